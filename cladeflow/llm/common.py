@@ -33,4 +33,4 @@ def within(df: DataFrame, rows: int) -> DataFrame:
 
     ``df`` should be cheap to count: a checkpoint or a small aggregate.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df

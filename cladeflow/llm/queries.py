@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm.common import table
+from cladeflow.llm.language_id import UNDETERMINED, held_out, identify, train
 from cladeflow.llm.licenses import BETWEEN, COPYRIGHT_LINE, KNOWN, SPELLINGS, scan
+from cladeflow.llm.minhash import near_duplicates
 from cladeflow.llm.mixing import mix
 from cladeflow.llm.packing import pack
 from cladeflow.llm.sharding import BITS, shard
@@ -43,6 +45,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -55,6 +61,15 @@ def packed_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def languages(docs: DataFrame) -> DataFrame:
+    """``docs`` with held_out, lang_pred and score, learned from those that aren't held out."""
+    return identify(docs.withColumn("held_out", held_out()), train(docs.filter(~held_out())))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), F.array(F.col("source")))
     return mixed.docs.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -72,8 +87,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op3_minhash": op3_minhash,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,

@@ -10,9 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm import queries as q
+from cladeflow.llm.minhash import near_duplicates
 from cladeflow.llm.mixing import mix
 
 
+#: Half of 1 + a decision value. Below it, no language claims a document: all say clearly no.
+LEAST_SCORE = 0.3
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that some language claims; what has no letters or shares nothing with any goes."""
+    told = q.languages(docs)
+    return told.filter((F.col("lang_pred") != q.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    found = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_semi").union(docs.filter("doc_id IS NULL"))
+
+
 def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, which may be never."""
     taken = mix(docs, F.array(F.col("source"))).docs
@@ -25,6 +42,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language", in_a_language),
+    ("near copies", without_near_copies),
     ("mixing", sources_mixed),
     ("packing", packed),
 ]
