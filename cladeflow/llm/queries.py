@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeflow.llm import ann, topk
 from cladeflow.llm.common import table
 from cladeflow.llm.language_id import UNDETERMINED, held_out, identify, train
 from cladeflow.llm.licenses import BETWEEN, COPYRIGHT_LINE, KNOWN, SPELLINGS, scan
@@ -41,6 +42,18 @@ URL_RULES = [
 ]
 
 
+#: Both vector searches ask for the neighbours of every row whose id this divides.
+EVERY = 20
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % EVERY == 0)
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % EVERY == 0)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -86,6 +99,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_license_scan": op2_license_scan,
     "op3_minhash": op3_minhash,
     "op4_sharding": op4_sharding,
@@ -94,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
+    "op10_topk": op10_topk,
 }
 
 
