@@ -98,6 +98,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens")
 
 
+def op4_sharding_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and rows at each point of the curve that op4_sharding follows."""
+    return op4_sharding(spark, sf_dir).groupBy("curve").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+
+
+def op7_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source: its words, its target, and whether op7_mixing takes as many words, to the size of its
+    largest document."""
+    docs = table(spark, sf_dir, "documents")
+    rows = mix(docs, F.array("source")).docs
+    sums = rows.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("size").alias("most"))
+    near = F.abs(F.col("taken") - F.col("target")) <= F.col("most")
+    return sums.select("source", "source_size", F.round("target", 3).alias("target"), near.alias("near"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_license_scan": op2_license_scan,
@@ -109,8 +124,157 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_topk": op10_topk,
+    "op4_sharding_curve": op4_sharding_curve,
+    "op7_mixing_targets": op7_mixing_targets,
 }
 
 
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Words of a text, in SQL.
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def _licenses_sql() -> str:
+    spellings = "MAP {" + ", ".join(f"{_sql(a)}: {_sql(b)}" for a, b in SPELLINGS.items()) + "}"
+    plain = f"trim(regexp_replace(lower(CASE WHEN regexp_matches(line, {_sql(COPYRIGHT_LINE)}) THEN '' ELSE line END), {_sql(BETWEEN)}, ' ', 'g'))"
+    words = f"array_to_string(list_transform(string_split({plain}, ' '), lambda w: coalesce(spelt[w], w)), ' ')"
+    lines = f"list_filter(list_transform(string_split_regex(coalesce(text, ''), '[\r\n]+'), lambda line: {words}), lambda x: x <> '')"
+    rows = ", ".join(f"({_sql(n)}, {_sql(t)})" for n, t in KNOWN)
+    return f"""
+    WITH spelling AS (SELECT {spellings} AS spelt),
+    known AS (SELECT sha256(array_to_string({lines}, ' ')) AS digest, min(license) AS license
+              FROM (VALUES {rows}) AS t(license, text), spelling GROUP BY 1),
+    docs AS (SELECT row_number() OVER () AS k, doc_id, {lines} AS lines FROM documents, spelling),
+    whole AS (SELECT k, doc_id, array_to_string(lines, ' ') AS body, lines FROM docs),
+    named AS (SELECT k, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+              FROM (SELECT k, sha256(unnest(lines)) AS digest FROM docs) JOIN known USING (digest) GROUP BY k)
+    SELECT doc_id, CASE WHEN body = '' THEN 0 ELSE length(body) - length(replace(body, ' ', '')) + 1 END AS n_words,
+           sha256(body) AS digest, license, coalesce(notices, '') AS notices
+    FROM whole LEFT JOIN known ON sha256(body) = known.digest LEFT JOIN named USING (k)"""
+
+
+def _near_copies_sql() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    WITH RECURSIVE worded AS (SELECT doc_id, {_WORDS.format(lower)} AS w FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM worded),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+    links AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b USING (s)
+        JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
+
+
+def _mixing_sql() -> str:
+    """Targets by their closed form: sources capped in the order of cap by weight. The seeded selection of
+    documents is a hash of Spark's, so that only sums are compared (op7_mixing_targets)."""
+    return f"""
+    WITH docs AS (SELECT source, len({_WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+    sources AS (SELECT source, sum(size) AS source_size FROM docs GROUP BY 1),
+    weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM sources),
+    ordered AS (SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / weight, source) AS k FROM weighed),
+    before AS (SELECT *, coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+                      sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM ordered),
+    level AS (SELECT arg_min((total - capped) / free, k) FILTER (WHERE (total - capped) / free * weight <= 3 * source_size) AS level
+              FROM before, (SELECT sum(size)::DOUBLE AS total FROM docs))
+    SELECT source, source_size::BIGINT AS source_size, round(least(3.0 * source_size, weight * level), 3) AS target, true AS near
+    FROM weighed, level"""
+
+
+def _topk_sql() -> str:
+    return f"""
+    WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+               FROM ok q JOIN ok c ON q.vec_id <> c.vec_id WHERE q.vec_id % {EVERY} = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 20"""
+
+
+def _shards_sql() -> str:
+    top = 2**BITS
+    untangle = f"""list_reduce(list_prepend(x, list_transform(range({BITS - 1}, 0, -1), lambda q: [q])), lambda p, b:
+        list_reduce(list_prepend(p, [[0], [1], [2]]), lambda y, i:
+            CASE WHEN (y[i[1] + 1] & (1 << b[1])) <> 0 THEN [xor(y[1], (1 << b[1]) - 1), y[2], y[3]]
+                 WHEN i[1] = 0 THEN y
+                 WHEN i[1] = 1 THEN [xor(y[1], xor(y[1], y[2]) & ((1 << b[1]) - 1)), xor(y[2], xor(y[1], y[2]) & ((1 << b[1]) - 1)), y[3]]
+                 ELSE [xor(y[1], xor(y[1], y[3]) & ((1 << b[1]) - 1)), y[2], xor(y[3], xor(y[1], y[3]) & ((1 << b[1]) - 1))] END))"""
+    bits = " + ".join(f"(((xor(g[{i + 1}], t) >> {b}) & 1) << {3 * b + 2 - i})" for b in range(BITS) for i in range(3))
+    flips = ", ".join(f"CASE WHEN (g[3] & {1 << q}) <> 0 THEN {(1 << q) - 1} ELSE 0 END" for q in range(BITS - 1, 0, -1))
+    t = flips.split(", CASE")
+    parts = [t[0], *["CASE" + x for x in t[1:]]]
+    joined = parts[0]
+    for x in parts[1:]:
+        joined = f"xor({joined}, {x})"
+    return f"""
+    WITH docs AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, source, lang, count(*) OVER () AS total FROM documents),
+    ranks AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS LAST) - 1 AS s, dense_rank() OVER (ORDER BY lang NULLS LAST) - 1 AS l,
+                     length(bin(size)) - 1 AS whole FROM docs),
+    levels AS (SELECT *, least(2 * whole + CASE WHEN 2 * size >= 3 * (1::BIGINT << whole) THEN 1 ELSE 0 END, {top - 1})::BIGINT AS z,
+                      (s * {top} // (max(s) OVER () + 1))::BIGINT AS x0, (l * {top} // (max(l) OVER () + 1))::BIGINT AS y0 FROM ranks),
+    cells AS (SELECT DISTINCT [x0, y0, z] AS x FROM levels),
+    loose AS (SELECT x, {untangle} AS u FROM cells),
+    gray AS (SELECT x, [u[1], xor(u[1], u[2]), xor(u[1], xor(u[2], u[3]))] AS g FROM loose),
+    turned AS (SELECT x, g, {joined} AS t FROM gray),
+    curves AS (SELECT x, {bits} AS curve FROM turned)
+    SELECT curve, sum(size)::BIGINT AS bytes, count(*) AS n FROM levels JOIN curves ON curves.x = [x0, y0, z] GROUP BY 1"""
+
+
+def _urls_sql() -> str:
+    rules = ", ".join(f"({_sql(h)}, {_sql(p)}, {_sql(v)})" for h, p, v in URL_RULES)
+    capitals, small = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+    def parts(url: str) -> tuple[str, str, str]:
+        rest = f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) END"
+        host = f"coalesce(translate(regexp_extract({rest}, '^[^/?#]*'), {capitals}, {small}), '')"
+        path = f"coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '')"
+        query = f"coalesce(regexp_extract({rest}, '^[^?#]*(\\?[^#]*)', 1), '')"
+        return host, path, f"CASE WHEN {host} <> '' THEN {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || {query} END"
+
+    h, p, n = parts("url")
+    th, tp, tn = parts("target")
+    return f"""
+    WITH RECURSIVE rules AS (SELECT * FROM (VALUES {rules}) AS t(rule_host, rule_path, rule_verdict)),
+    parsed AS (SELECT row_number() OVER () AS k, page_id, url, {h} AS host, {p} AS path, {n} AS node, html FROM pages),
+    tags AS (SELECT url, node, host, regexp_extract(regexp_extract(html, {_sql(CANONICAL_TAG)}), {_sql(HREF)}, 1) AS link FROM parsed
+             UNION ALL SELECT url, node, host, regexp_extract(regexp_extract(html, {_sql(REFRESH_TAG)}), {_sql(REFRESH_URL)}, 1) FROM parsed),
+    aimed AS (SELECT node, CASE WHEN link = '' OR link IS NULL THEN NULL
+                    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+                    WHEN link LIKE '//%' THEN split_part(url, '://', 1) || ':' || link
+                    WHEN link LIKE '/%' THEN split_part(url, '://', 1) || '://' || host || link END AS target FROM tags),
+    ends AS (SELECT node AS a, {tn} AS b, {th} AS host, {tp} AS path FROM aimed WHERE target IS NOT NULL),
+    links AS (SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b),
+    nodes AS (SELECT node, host, path FROM parsed UNION SELECT b, host, path FROM ends),
+    reach AS (SELECT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    fits AS (SELECT node, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(rule_verdict, length(rule_host || rule_path)) AS said
+             FROM nodes JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL),
+    bad AS (SELECT DISTINCT r.a AS node FROM reach r JOIN fits f ON r.b = f.node WHERE said = 'block'),
+    components AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1)
+    SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bad.node IS NOT NULL THEN 'block' END, 'allow') AS verdict, component
+    FROM parsed LEFT JOIN (SELECT DISTINCT host, path, rule, said FROM fits) USING (host, path) LEFT JOIN bad ON bad.node = parsed.node LEFT JOIN components ON components.node = parsed.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that have it. Vector search by quantised codes, packing, token counts, the
+    classifier, the choice by hash within a source and a hash's place in a shard have none: tests
+    hold those against brute force. Sums that follow from the shards' and the mix's rules are
+    queries of their own."""
+    return {
+        "op2_license_scan": _licenses_sql(),
+        "op3_minhash": _near_copies_sql(),
+        "op4_sharding_curve": _shards_sql(),
+        "op7_mixing_targets": _mixing_sql(),
+        "op8_url_filter": _urls_sql(),
+        "op10_topk": _topk_sql(),
+    }
