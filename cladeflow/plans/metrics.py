@@ -1 +1,144 @@
-"""Registered queries."""
+"""Registered queries: benchmark pairs and metrics over line items as (test, prediction) pairs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cladeflow.operators import metrics as op
+from cladeflow.operators.common import first_by
+from cladeflow.plans.registry import Tables, query
+from cladeflow.plans.trees import CLOSURE, both
+
+# The true label is the customer's nation + 1, the predicted one the supplier's; 0 rejects, -1 is wrong.
+PAIRS = """pairs AS (SELECT l_linenumber % 2 AS lev, l_orderkey AS samp, c_nationkey + 1 AS test, CASE WHEN l_quantity < 5 THEN 0 WHEN l_discount = 0.1 THEN -1 WHEN l_partkey % 3 = 0 THEN c_nationkey + 1 ELSE s_nationkey + 1 END AS pred, l_tax
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
+CONF = f"{PAIRS}, conf AS (SELECT lev, test, pred, count(*) AS cnt FROM pairs GROUP BY 1, 2, 3)"
+WEIGHTS = f"{CONF}, wt AS (SELECT lev, test, sum(cnt) AS n, max(sum(cnt)) OVER (PARTITION BY lev) / sum(cnt) AS weight FROM conf GROUP BY 1, 2), wc AS (SELECT lev, test, pred, cnt * weight AS w, cnt FROM conf JOIN wt USING (lev, test))"
+SENS = "sens AS (SELECT lev, test, sum(CASE WHEN test = pred THEN w ELSE 0 END) / sum(w) AS sens FROM wc GROUP BY 1, 2)"
+SPEC = "spec AS (SELECT lev, pred, sum(CASE WHEN test = pred THEN w ELSE 0 END) / sum(w) AS spec FROM wc WHERE pred > 0 AND (lev, pred) IN (SELECT (lev, test) FROM wc) GROUP BY 1, 2)"
+
+
+def pairs_of(t: Tables) -> DataFrame:
+    c = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(t.customer.select("c_custkey", (F.col("c_nationkey") + 1).alias("test")), "c_custkey")
+    s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") + 1).alias("sup"))
+    pred = F.when(F.col("l_quantity") < 5, 0).when(F.col("l_discount") == 0.1, -1).when(F.col("l_partkey") % 3 == 0, F.col("test")).otherwise(F.col("sup"))
+    return t.lineitem.join(c, "l_orderkey").join(s, "l_suppkey").select((F.col("l_linenumber") % 2).alias("lev"), F.col("l_orderkey").alias("samp"), "test", pred.alias("pred"), "l_tax")
+
+
+def conf_of(t: Tables) -> DataFrame:
+    return op.confusion(pairs_of(t), ["lev"], "test", "pred")
+
+
+def weighted_of(t: Tables) -> DataFrame:
+    conf = conf_of(t)
+    return op.weighted(conf, op.class_weights(conf, ["lev"], "test"), ["lev"], "test")
+
+
+@query(f"WITH {PAIRS} SELECT lev, count(*) AS n FROM pairs WHERE l_tax >= 0.02 OR lev = 0 GROUP BY 1")
+def m2_prefiltered(t: Tables) -> DataFrame:
+    return pairs_of(t).filter("l_tax >= 0.02 OR lev = 0").groupBy("lev").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CONF} SELECT lev, test, pred, cnt FROM conf")
+def m3_confusion(t: Tables) -> DataFrame:
+    return conf_of(t)
+
+
+@query(f"WITH {WEIGHTS} SELECT lev, test, n::BIGINT AS n, round(weight, 8) AS weight FROM wt")
+def m4_class_weights(t: Tables) -> DataFrame:
+    return op.class_weights(conf_of(t), ["lev"], "test").withColumn("weight", F.round("weight", 8))
+
+
+@query(f"WITH {WEIGHTS} SELECT lev, test, pred, round(w, 6) AS w FROM wc")
+def m5_weighted_confusion(t: Tables) -> DataFrame:
+    return weighted_of(t).select("lev", "test", "pred", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {WEIGHTS}, {SENS} SELECT lev, test, round(sens, 8) AS sens FROM sens")
+def m6_sensitivity(t: Tables) -> DataFrame:
+    return op.sensitivity(weighted_of(t), ["lev"], "test", "pred").withColumn("sens", F.round("sens", 8))
+
+
+@query(f"WITH {WEIGHTS}, {SPEC} SELECT lev, pred, round(spec, 8) AS spec FROM spec")
+def m7_specificity(t: Tables) -> DataFrame:
+    return op.specificity(weighted_of(t), ["lev"], "test", "pred").withColumn("spec", F.round("spec", 8))
+
+
+@query(f"WITH {CONF} SELECT lev, sum(CASE WHEN test = pred THEN cnt ELSE 0 END) / sum(cnt) AS acc FROM conf GROUP BY 1")
+def m8_accuracy(t: Tables) -> DataFrame:
+    return op.accuracy(conf_of(t), ["lev"], "test", "pred")
+
+
+@query(f"WITH {WEIGHTS}, {SENS}, {SPEC} SELECT lev, round(avg(sens), 7) AS sens, (SELECT round(avg(spec), 7) FROM spec s WHERE s.lev = sens.lev) AS spec FROM sens GROUP BY 1")
+def m9_macro_averages(t: Tables) -> DataFrame:
+    w = weighted_of(t)
+    out = op.macro(op.sensitivity(w, ["lev"], "test", "pred"), op.specificity(w, ["lev"], "test", "pred"), ["lev"])
+    return out.select("lev", F.round("sens", 7).alias("sens"), F.round("spec", 7).alias("spec"))
+
+
+@query(f"WITH {CONF} SELECT lev, a.n_name AS test_name, coalesce(b.n_name, CASE pred WHEN 0 THEN 'reject' ELSE 'wrong' END) AS pred_name, cnt FROM conf JOIN nation a ON test = a.n_nationkey + 1 LEFT JOIN nation b ON pred = b.n_nationkey + 1")
+def m10_named_confusion(t: Tables) -> DataFrame:
+    n = t.nation.select((F.col("n_nationkey") + 1).alias("k"), "n_name")
+    x = conf_of(t).join(n.select(F.col("k").alias("test"), F.col("n_name").alias("test_name")), "test").join(n.select(F.col("k").alias("pred"), F.col("n_name").alias("found")), "pred", "left")
+    return x.select("lev", "test_name", F.coalesce("found", F.when(F.col("pred") == 0, "reject").otherwise("wrong")).alias("pred_name"), "cnt")
+
+
+@query(f"WITH {PAIRS}, conf AS (SELECT test, pred, count(*) AS cnt FROM pairs GROUP BY 1, 2), n AS (SELECT *, sum(cnt) OVER (PARTITION BY test) AS n FROM conf) SELECT test, pred, cnt, floor(cnt * (SELECT max(n) FROM n) / n + 0.5)::BIGINT AS balanced FROM n")
+def m11_balanced_confusion(t: Tables) -> DataFrame:
+    return op.balanced_confusion(op.confusion(pairs_of(t), [], "test", "pred"), "test", "pred")
+
+
+@query(f"WITH {WEIGHTS}, {SENS} SELECT lev, round(avg(sens), 7) AS mean, round(min(sens), 7) AS least, round(stddev_pop(sens), 7) AS sd FROM sens GROUP BY 1")
+def m12_summary(t: Tables) -> DataFrame:
+    s = op.summary(op.sensitivity(weighted_of(t), ["lev"], "test", "pred"), ["lev"], "sens")
+    return s.select("lev", *[F.round(c, 7).alias(c) for c in ("mean", "least", "sd")])
+
+
+@query(f"WITH {PAIRS} SELECT p.param, lev, sum((test = CASE WHEN l_tax < p.param THEN 0 ELSE pred END)::INT) / count(*) AS acc FROM pairs, (VALUES (0.0), (0.02), (0.05)) p(param) GROUP BY 1, 2")
+def m13_metrics_by_parameter(t: Tables) -> DataFrame:
+    params = t.spark.createDataFrame([(0.0,), (0.02,), (0.05,)], "param double")
+    x = pairs_of(t).join(F.broadcast(params)).withColumn("pred", F.when(F.col("l_tax") < F.col("param"), 0).otherwise(F.col("pred")))
+    return op.accuracy(op.confusion(x, ["param", "lev"], "test", "pred"), ["param", "lev"], "test", "pred")
+
+
+@query(f"WITH {PAIRS} SELECT samp, lev, bool_or(test = pred) AS is_correct FROM pairs WHERE samp IN (SELECT samp FROM pairs WHERE lev = 0) GROUP BY 1, 2")
+def m14_correctness_records(t: Tables) -> DataFrame:
+    p = pairs_of(t)
+    return p.join(p.filter("lev = 0").select("samp").distinct(), "samp", "left_semi").groupBy("samp", "lev").agg(F.bool_or(F.col("test") == F.col("pred")).alias("is_correct"))
+
+
+@query("""WITH s AS (SELECT l_returnflag AS f, l_suppkey, sum(l_quantity)::BIGINT AS w FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, coalesce(sum(w) FILTER (WHERE f = 'A'), 0)::BIGINT AS A, coalesce(sum(w) FILTER (WHERE f = 'N'), 0)::BIGINT AS N, coalesce(sum(w) FILTER (WHERE f = 'R'), 0)::BIGINT AS R
+    FROM s GROUP BY 1 HAVING max(w) >= 5000""")
+def m15_abundance(t: Tables) -> DataFrame:
+    return op.abundance(t.lineitem.withColumn("w", F.col("l_quantity").cast("long")), "l_returnflag", "l_suppkey", "w", 5000, ["A", "N", "R"])
+
+
+@query("SELECT doc_id, coalesce(m.to_id, 'model_' || source) AS model FROM documents LEFT JOIN (SELECT 'model_src1' AS from_id, 'model_src2' AS to_id) m ON 'model_' || source = from_id")
+def m16_correct_model_ids(t: Tables) -> DataFrame:
+    remap = t.spark.createDataFrame([("model_src1", "model_src2")], "model string, to string")
+    d = t.documents.select("doc_id", F.concat(F.lit("model_"), "source").alias("model"))
+    return d.join(F.broadcast(remap), "model", "left").select("doc_id", F.coalesce("to", "model").alias("model"))
+
+
+@query(f"""{CLOSURE}, cand AS (SELECT l_orderkey AS samp, l_suppkey, l_extendedprice, 100 + s_nationkey AS node, 100 + c_nationkey AS truth FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+    excl AS (SELECT DISTINCT id AS truth, 0 AS lev, 0::BIGINT AS x FROM tree WHERE id BETWEEN 100 AND 199 UNION ALL SELECT id, 1, id FROM tree WHERE id BETWEEN 100 AND 199 UNION ALL SELECT id, 2, idpar FROM tree WHERE id BETWEEN 100 AND 199),
+    kept AS (SELECT c.*, lev FROM cand c JOIN excl USING (truth) WHERE NOT EXISTS (SELECT 1 FROM closure k WHERE k.id = node AND k.anc_id = x)),
+    best AS (SELECT *, count(*) OVER (PARTITION BY samp, lev) AS n_models FROM kept QUALIFY row_number() OVER (PARTITION BY samp, lev ORDER BY l_extendedprice DESC, l_suppkey) = 1)
+    SELECT samp, lev, n_models, tn.idpar AS test_region, pn.idpar AS pred_region FROM best JOIN tree tn ON truth = tn.id JOIN tree pn ON node = pn.id""")
+def m1_benchmark_pairs(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    nodes, pairs = both(t)
+    s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") + 100).cast("long").alias("node"))
+    c = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(t.customer.select("c_custkey", (F.col("c_nationkey") + 100).cast("long").alias("truth")), "c_custkey")
+    cand = t.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice").join(s, "l_suppkey").join(c, "l_orderkey").withColumnRenamed("l_orderkey", "samp")
+    nations = nodes.filter("id BETWEEN 100 AND 199")
+    excl = nations.select(F.col("id").alias("truth"), F.explode(F.array(F.struct(F.lit(0).alias("lev"), F.lit(0).cast("long").alias("x")), F.struct(F.lit(1).alias("lev"), F.col("id").alias("x")), F.struct(F.lit(2).alias("lev"), F.col("idpar").alias("x")))).alias("e")).select("truth", "e.lev", "e.x")
+    kept = cand.join(F.broadcast(excl), "truth").join(pairs.select(F.col("id").alias("node"), F.col("anc_id").alias("x")), ["node", "x"], "left_anti")
+    n = kept.withColumn("n_models", F.count("*").over(Window.partitionBy("samp", "lev")))
+    best = first_by(n, ["samp", "lev"], [F.desc("l_extendedprice"), F.col("l_suppkey")])
+    up = nations.select("id", "idpar")
+    return best.join(up.select(F.col("id").alias("truth"), F.col("idpar").alias("test_region")), "truth").join(up.select(F.col("id").alias("node"), F.col("idpar").alias("pred_region")), "node").select("samp", "lev", "n_models", "test_region", "pred_region")
+
+

@@ -53,4 +53,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best model of each sample, its lineage, and the clade report by rank."""
-    return queries()["a5_rollup"](spark, sf_dir)
+    return queries()["a8_clade_report"](spark, sf_dir)
