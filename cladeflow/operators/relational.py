@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import seeded
-from cladeflow.operators.common import first_by
+from cladeflow.operators.common import first_by, small
 
 
 def filter_rows(df: DataFrame, exprs: dict[str, str] | None = None, where: str | None = None, fields: list[str] | None = None) -> DataFrame:
@@ -89,7 +89,7 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int, ident: str
     q = queries.select(F.col(ident).alias("id_q"), F.col(vector).alias("v_q"))
     p = points.select(F.col(ident).alias("id_p"), F.col(vector).alias("v_p"), F.col(label).alias("label"))
     square = F.aggregate(F.zip_with("v_q", "v_p", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
-    pairs = p.crossJoin(F.broadcast(q)).filter("id_q <> id_p").withColumn("dist", F.sqrt(square))
+    pairs = p.crossJoin(small(q, 10_000)).filter("id_q <> id_p").withColumn("dist", F.sqrt(square))
     near = first_by(pairs.select("id_q", "id_p", "label", "dist"), ["id_q"], [F.col("dist"), F.col("id_p")], k)
     near = near.filter(F.col("dist") <= most) if most is not None else near
     votes = near.groupBy("id_q", "label").agg(F.count("*").alias("votes"))

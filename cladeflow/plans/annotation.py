@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.functions import columns as fn
@@ -15,11 +15,11 @@ from cladeflow.plans.trees import CLOSURE, TREE, both, nodes_of
 from cladeflow.sources import writers
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, 'scf_' || l_suppkey AS contig, l_linenumber::BIGINT * 10 - 1 AS start, (l_linenumber * 10 + l_quantity)::BIGINT AS \"end\", CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS strand FROM lineitem WHERE l_orderkey % 8 = 0")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, 'scf_' || l_suppkey AS contig, l_linenumber::BIGINT * 10 - 1 AS start, (l_linenumber * 10 + l_quantity)::BIGINT AS \"end\", CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS strand FROM lineitem")
 def f14_orf_places(t: Tables) -> DataFrame:
     at = F.col("l_linenumber") * 10
     orf = F.concat_ws("_", F.lit("scf"), F.col("l_suppkey").cast("string"), at.cast("string"), (at + F.col("l_quantity").cast("int")).cast("string"), F.when(F.col("l_returnflag") == "R", "-1").otherwise("1"))
-    x = t.lineitem.filter("l_orderkey % 8 = 0").select("l_orderkey", "l_linenumber", "l_partkey", op.orf_place(orf).alias("o"))
+    x = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", op.orf_place(orf).alias("o"))
     return fn.flatten_struct(x, "o")
 
 
@@ -41,28 +41,27 @@ def f21_ragged_length(t: Tables) -> DataFrame:
     return x.filter(F.col("attrib")["len"].cast("int") >= 30).select("p_partkey")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY c_custkey DESC, o_orderkey) AS place FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' QUALIFY place <= 200")
+@query("SELECT o_orderkey, -c_custkey AS ordinal FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'")
 def s4_listed_order(t: Tables) -> DataFrame:
     x = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.when(F.col("o_orderstatus") != "P", "tree").alias("tree"))
     order = t.customer.select("c_custkey", (-F.col("c_custkey")).alias("ordinal"))
-    rows = op.in_listed_order(x, order, "c_custkey", "ordinal", "tree").orderBy("ordinal", "o_orderkey").limit(200)
-    return rows.select("o_orderkey", F.row_number().over(Window.orderBy("ordinal", "o_orderkey")).cast("long").alias("place"))
+    return op.in_listed_order(x, order, "c_custkey", "ordinal", "tree").select("o_orderkey", "ordinal")
 
 
-@query(f"""{CLOSURE}, h AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 2 = 0 THEN l_suppkey END AS gi, l_suppkey + 1 AS gi2 FROM lineitem WHERE l_orderkey % 9 = 0),
+@query(f"""{CLOSURE}, h AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 2 = 0 THEN l_suppkey END AS gi, l_suppkey + 1 AS gi2 FROM lineitem),
     line AS (SELECT id, string_agg(coalesce(rank, 'no_rank') || '=' || anc_id, ',' ORDER BY dist DESC) AS lineage FROM (SELECT c.id, anc_id, dist, a.rank FROM closure c JOIN tree a ON anc_id = a.id) GROUP BY 1)
     SELECT l_orderkey, l_linenumber, l_partkey, coalesce(a.s_suppkey, b.s_suppkey) AS source, lineage FROM h LEFT JOIN supplier a ON gi = a.s_suppkey LEFT JOIN supplier b ON gi2 = b.s_suppkey LEFT JOIN line ON line.id = 100 + coalesce(a.s_nationkey, b.s_nationkey)""")
 def j24_header_metadata(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
     line = tree.paths(tree.with_info(pairs, nodes, "rank"), F.concat(F.coalesce("anc_rank", F.lit("no_rank")), F.lit("="), F.col("anc_id").cast("string")))
     s = t.supplier.select("s_suppkey", (F.col("s_nationkey") + 100).cast("long").alias("id"))
-    h = t.lineitem.filter("l_orderkey % 9 = 0").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_partkey") % 2 == 0, F.col("l_suppkey")).alias("gi"), (F.col("l_suppkey") + 1).alias("gi2"))
+    h = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_partkey") % 2 == 0, F.col("l_suppkey")).alias("gi"), (F.col("l_suppkey") + 1).alias("gi2"))
     x = h.join(s.select(F.col("s_suppkey").alias("gi"), F.col("s_suppkey").alias("s1"), F.col("id").alias("id1")), "gi", "left").join(s.select(F.col("s_suppkey").alias("gi2"), F.col("s_suppkey").alias("s2"), F.col("id").alias("id2")), "gi2", "left")
     x = x.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("s1", "s2").alias("source"), F.coalesce("id1", "id2").alias("id"))
     return x.join(line, "id", "left").drop("id")
 
 
-@query(f"""{CLOSURE}, rec AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 1000 + o_custkey ELSE 9999999 END AS taxid, CASE WHEN o_orderkey % 3 = 1 THEN 'nation_' || (o_custkey % 25) ELSE 'common' END AS name FROM orders WHERE o_orderkey % 4 = 0),
+@query(f"""{CLOSURE}, rec AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 1000 + o_custkey ELSE 9999999 END AS taxid, CASE WHEN o_orderkey % 3 = 1 THEN 'nation_' || (o_custkey % 25) ELSE 'common' END AS name FROM orders),
     names AS (SELECT lower(name) AS key, id FROM tree UNION ALL SELECT 'common', id FROM tree WHERE id IN (1003, 1010)),
     a AS (SELECT k, taxid AS node, 'taxid' AS how FROM rec JOIN tree ON taxid = id), hits AS (SELECT DISTINCT k, id FROM rec JOIN names ON name = key WHERE k NOT IN (SELECT k FROM a)), n AS (SELECT k, count(*) AS n FROM hits GROUP BY 1),
     c AS (SELECT anc_id FROM closure WHERE id IN (1003, 1010) GROUP BY 1 HAVING count(*) = 2), l AS (SELECT anc_id AS lcs FROM c JOIN (SELECT id, max(dist) AS depth FROM closure GROUP BY 1) ON id = anc_id ORDER BY depth DESC LIMIT 1)
@@ -70,28 +69,29 @@ def j24_header_metadata(t: Tables) -> DataFrame:
 def p20_resolved_annotations(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
     k = F.col("o_orderkey") % 3
-    rec = t.orders.filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("k"), F.when(k == 0, F.col("o_custkey") + 1000).otherwise(9999999).alias("taxid"), F.when(k == 1, F.concat(F.lit("nation_"), (F.col("o_custkey") % 25).cast("string"))).otherwise("common").alias("name"))
+    rec = t.orders.select(F.col("o_orderkey").alias("k"), F.when(k == 0, F.col("o_custkey") + 1000).otherwise(9999999).alias("taxid"), F.when(k == 1, F.concat(F.lit("nation_"), (F.col("o_custkey") % 25).cast("string"))).otherwise("common").alias("name"))
     names = nodes.select("id", "name").union(nodes.filter("id IN (1003, 1010)").select("id", F.lit("common")))
     return op.resolved(rec, names, pairs, nodes, "k")
 
 
-@query(f"""{CLOSURE}, cand AS (SELECT s_suppkey AS v, lower(n_name) AS host, 1 AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, lower(r_name), 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, 'asia', 2 FROM supplier),
+@query(f"""{CLOSURE}, cand AS (SELECT s_suppkey AS v, lower(n_name) AS host, 1 AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 2000 UNION ALL SELECT s_suppkey, lower(r_name), 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 6000 UNION ALL SELECT s_suppkey, 'asia', 2 FROM supplier),
     hits AS (SELECT DISTINCT v, id, score FROM cand JOIN tree ON host = lower(name) WHERE id NOT IN (SELECT id FROM closure WHERE anc_id = 10)), best AS (SELECT DISTINCT v, id FROM hits h WHERE score = (SELECT min(score) FROM hits m WHERE m.v = h.v))
     SELECT v, id FROM best b WHERE NOT EXISTS (SELECT 1 FROM best o JOIN closure c ON c.anc_id = o.id WHERE o.v = b.v AND c.id = b.id AND dist > 0)""")
 def p24_assigned_hosts(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
     s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     one = lambda where, name, score: s.filter(where).select(F.col("s_suppkey").alias("v"), F.lower(name).alias("host"), F.lit(score).alias("score"))
-    cand = one("s_suppkey % 2 = 0", F.col("n_name"), 1).union(one("s_suppkey % 4 = 0", F.col("r_name"), 1)).union(one("true", F.lit("asia"), 2))
+    cand = one("s_acctbal > 2000", F.col("n_name"), 1).union(one("s_acctbal > 6000", F.col("r_name"), 1)).union(one("true", F.lit("asia"), 2))
     return op.assigned_hosts(cand, nodes, pairs, nodes.filter("id = 10"), "v")
 
 
-@query(f"""{CLOSURE}, h AS (SELECT id FROM tree WHERE id BETWEEN 1000 AND 1060), s AS (SELECT id FROM tree WHERE id >= 1000 AND id % 6 = 1 AND id < 1200),
-    near AS (SELECT h.id AS host, id AS ref, -1 AS up FROM h JOIN s USING (id) UNION ALL SELECT a.id, b.id, min(a.dist) FROM closure a JOIN closure b USING (anc_id) WHERE a.id IN (SELECT id FROM h) AND b.id IN (SELECT id FROM s) AND a.id <> b.id AND a.dist <= 2 GROUP BY 1, 2)
+@query(f"""{CLOSURE}, h AS (SELECT id FROM tree WHERE rank = 'customer'), s AS (SELECT 1000 + c_custkey AS id FROM customer WHERE c_mktsegment = 'MACHINERY'),
+    near AS (SELECT h.id AS host, id AS ref, -1 AS up FROM h JOIN s USING (id) UNION ALL SELECT a.id, b.id, min(a.dist) FROM closure a JOIN closure b USING (anc_id) WHERE a.id IN (SELECT id FROM h) AND b.id IN (SELECT id FROM s) AND a.id <> b.id AND a.dist <= 1 GROUP BY 1, 2)
     SELECT host, ref FROM near QUALIFY row_number() OVER (PARTITION BY host ORDER BY up, ref) = 1""")
 def p25_reference_hosts(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
-    return op.reference_hosts(nodes.filter("id BETWEEN 1000 AND 1060"), pairs, nodes.filter("id >= 1000 AND id % 6 = 1 AND id < 1200"), 2)
+    with_sequence = t.customer.filter("c_mktsegment = 'MACHINERY'").select((F.col("c_custkey") + 1000).alias("id"))
+    return op.reference_hosts(nodes.filter("rank = 'customer'"), pairs, with_sequence, 1)
 
 
 @query("SELECT DISTINCT p_partkey, h AS host, CASE WHEN p_size % 2 = 0 THEN p_size::BIGINT END AS taxid FROM (SELECT p_partkey, p_size, unnest([lower(trim(p_name)), lower(trim(p_type)), NULL]) AS h FROM part) WHERE h IS NOT NULL AND h <> ''")
@@ -115,10 +115,10 @@ def p37_training_rows(t: Tables) -> DataFrame:
     return op.training_rows(t.customer.select("c_nationkey", "c_custkey"), q, "c_nationkey", "c_custkey", 21).select("c_custkey", F.col("number").cast("long").alias("number"))
 
 
-@query(f"""{CLOSURE} SELECT count(DISTINCT c_custkey) AS picks FROM customer WHERE c_custkey % 9 = 0""")
+@query(f"""{CLOSURE} SELECT sum(least(n, 3))::BIGINT AS picks FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)""")
 def p35_checked_picks(t: Tables) -> DataFrame:
     nodes = nodes_of(t)
-    picks = t.customer.filter("c_custkey % 9 = 0").select((F.col("c_custkey") + 1000).alias("id"))
+    picks = models.picked_per_group(t.customer, "c_nationkey", "c_custkey", 3, 7).select((F.col("c_custkey") + 1000).alias("id"))
     require_empty(picks.join(nodes, "id", "left_anti"), "picks without a node")
     return picks.agg(F.countDistinct("id").alias("picks"))
 
@@ -189,10 +189,10 @@ def u5_shred_count_argument(t: Tables) -> DataFrame:
     return f.filter(F.col("start") < 100 * (F.col("old_id") % 3 + 1)).groupBy("old_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_mktsegment AS seg, count(*) AS n FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1")
+@query("SELECT c_mktsegment AS seg, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 def snk11_named_table(t: Tables) -> DataFrame:
-    t.customer.filter("c_custkey % 2 = 0").createOrReplaceTempView("_even_customers")
-    return t.spark.sql("SELECT c_mktsegment AS seg, count(*) AS n FROM _even_customers GROUP BY 1")
+    t.customer.filter("c_acctbal > 0").createOrReplaceTempView("_paying_customers")
+    return t.spark.sql("SELECT c_mktsegment AS seg, count(*) AS n FROM _paying_customers GROUP BY 1")
 
 
 @query("SELECT r_regionkey::VARCHAR || '~' || r_name AS line FROM region")

@@ -17,12 +17,12 @@ def spans(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_returnflag", "l_partkey", "l_suppkey", at.alias("start"), (at + F.col("l_quantity").cast("int")).alias("end"))
 
 
-@query(f"""WITH {SPANS}, pos AS (SELECT DISTINCT l_orderkey, l_returnflag, unnest(range(s, e)) AS p FROM spans), hit AS (SELECT DISTINCT l_orderkey, unnest(range(l_suppkey % 40, l_suppkey % 40 + 15)) AS p FROM spans WHERE l_partkey % 2 = 0)
+@query(f"""WITH {SPANS}, pos AS (SELECT DISTINCT l_orderkey, l_returnflag, unnest(range(s, e)) AS p FROM spans), hit AS (SELECT DISTINCT l_orderkey, unnest(range(l_suppkey % 40, l_suppkey % 40 + 15)) AS p FROM spans WHERE l_returnflag <> 'N')
     SELECT l_orderkey, l_returnflag, count(*) AS covered FROM pos JOIN hit USING (l_orderkey, p) GROUP BY 1, 2""")
 def a14_interval_coverage(t: Tables) -> DataFrame:
     s = spans(t)
     start = (F.col("l_suppkey") % 40).cast("int")
-    hits = s.filter("l_partkey % 2 = 0").select("l_orderkey", start.alias("start"), (start + 15).alias("end"))
+    hits = s.filter("l_returnflag <> 'N'").select("l_orderkey", start.alias("start"), (start + 15).alias("end"))
     return op.coverage(s.select("l_orderkey", "l_returnflag", "start", "end"), hits, ["l_orderkey"], "l_returnflag").withColumn("covered", F.col("covered").cast("long"))
 
 
@@ -60,17 +60,17 @@ def i3_joined_elements(t: Tables) -> DataFrame:
     return op.joined_elements(t.part, "p_size", "p_partkey", "p_name", F.col("p_partkey") % 2 == 0)
 
 
-@query(f"WITH {SPANS} SELECT l_orderkey, s AS start, e AS \"end\", row_number() OVER (PARTITION BY l_orderkey ORDER BY s, e, l_partkey, l_suppkey) AS place, min(s) OVER (PARTITION BY l_orderkey) AS array_start FROM spans WHERE l_orderkey % 4 = 0")
+@query(f"WITH {SPANS} SELECT l_orderkey, s AS start, e AS \"end\", row_number() OVER (PARTITION BY l_orderkey ORDER BY s, e, l_partkey, l_suppkey) AS place, min(s) OVER (PARTITION BY l_orderkey) AS array_start FROM spans")
 def i4_element_listing(t: Tables) -> DataFrame:
     of = Window.partitionBy("l_orderkey")
-    s = spans(t).filter("l_orderkey % 4 = 0")
+    s = spans(t)
     return s.select("l_orderkey", "start", "end", F.row_number().over(of.orderBy("start", "end", "l_partkey", "l_suppkey")).cast("long").alias("place"), F.min("start").over(of).alias("array_start"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 2 = 0 THEN b - 1 ELSE e - 1 END AS start, CASE WHEN l_partkey % 2 = 0 THEN e ELSE b END AS stop FROM (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN l_linenumber * 10 ELSE l_linenumber * 10 + 30 END AS b, CASE WHEN l_partkey % 2 = 0 THEN l_linenumber * 10 + 30 ELSE l_linenumber * 10 END AS e FROM lineitem WHERE l_orderkey % 6 = 0)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 2 = 0 THEN b - 1 ELSE e - 1 END AS start, CASE WHEN l_partkey % 2 = 0 THEN e ELSE b END AS stop FROM (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN l_linenumber * 10 ELSE l_linenumber * 10 + 30 END AS b, CASE WHEN l_partkey % 2 = 0 THEN l_linenumber * 10 + 30 ELSE l_linenumber * 10 END AS e FROM lineitem)")
 def i5_forward_strand(t: Tables) -> DataFrame:
     fwd, at = F.col("l_partkey") % 2 == 0, F.col("l_linenumber") * 10
-    x = t.lineitem.filter("l_orderkey % 6 = 0").withColumn("b", F.when(fwd, at).otherwise(at + 30)).withColumn("e", F.when(fwd, at + 30).otherwise(at))
+    x = t.lineitem.withColumn("b", F.when(fwd, at).otherwise(at + 30)).withColumn("e", F.when(fwd, at + 30).otherwise(at))
     return op.forward(x, "b", "e", fwd).select("l_orderkey", "l_linenumber", "l_partkey", "start", "stop")
 
 

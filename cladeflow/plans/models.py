@@ -11,24 +11,24 @@ from cladeflow.plans.registry import Tables, query
 from cladeflow.plans.sequences import seqs, seqs_sql
 from cladeflow.plans.trees import CLOSURE, DEPTH, both
 
-MODEL = f"""{seqs_sql('doc_id % 2 = 0')}, """ + """g AS (SELECT lang AS doc_id, seq FROM seqs),
+MODEL = f"""{seqs_sql()}, """ + """g AS (SELECT lang AS doc_id, seq FROM seqs),
     m3 AS (SELECT doc_id AS model, kmer, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i::INT, 3))) AS kmer FROM g WHERE length(seq) >= 3) GROUP BY 1, 2),
     m1 AS (SELECT doc_id AS model, kmer, count(*) AS n FROM (SELECT doc_id, unnest(string_split(seq, '')) AS kmer FROM g) WHERE kmer <> '' GROUP BY 1, 2),
     t3 AS (SELECT model, left(kmer, 2) AS context, right(kmer, 1) AS next, ln((n + 1) / (sum(n) OVER (PARTITION BY model, left(kmer, 2)) + 4)) AS logp FROM m3),
     t1 AS (SELECT model, kmer AS next, ln((n + 1) / (sum(n) OVER (PARTITION BY model) + 4)) AS logp FROM m1)"""
-SCORES = f"""{MODEL}, test AS (SELECT doc_id, lang, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents WHERE doc_id % 20 = 1),
+SCORES = f"""{MODEL}, test AS (SELECT doc_id, lang, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents),
     tk AS (SELECT doc_id, kmer, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i::INT, 3))) AS kmer FROM test WHERE length(seq) >= 3) GROUP BY 1, 2),
     sc AS (SELECT doc_id, m.model, sum(n * coalesce(t3.logp, t1.logp, -1.3862943611198906)) AS score FROM tk, (SELECT DISTINCT model FROM t3) m LEFT JOIN t3 ON t3.model = m.model AND context = left(kmer, 2) AND t3.next = right(kmer, 1) LEFT JOIN t1 ON t1.model = m.model AND t1.next = right(kmer, 1) GROUP BY 1, 2)"""
 
 
 def trained(t: Tables) -> DataFrame:
-    s = seqs(t, "doc_id % 2 = 0").select("lang", "seq")
+    s = seqs(t).select("lang", "seq")
     table = op.train(s, "lang", "seq", 2)
     return table.filter("length(context) <> 1")
 
 
 def scored(t: Tables) -> DataFrame:
-    return op.score(seqs(t, "doc_id % 20 = 1"), "doc_id", "seq", trained(t), "lang", 2)
+    return op.score(seqs(t), "doc_id", "seq", trained(t), "lang", 2)
 
 
 @query(f"WITH {MODEL} SELECT model AS lang, context, next, round(logp, 6) AS logp FROM t3 UNION ALL SELECT model, '', next, round(logp, 6) FROM t1")
@@ -72,10 +72,10 @@ def p6_prediction_mode(t: Tables) -> DataFrame:
     return op.first_by(rows, ["l_orderkey"], [F.desc("l_extendedprice"), F.col("l_suppkey")]).select("l_orderkey", "l_suppkey")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(1 / (1 + exp(-(-0.5 + 2 * s + 1.5 * n + 0.01 * lev + 0.8 * s * n))), 6) AS conf FROM (SELECT *, l_extendedprice / 100000 / l_quantity AS s, pow(l_quantity, -0.25) AS n, CASE WHEN l_linenumber * 30 = 90 THEN 115 ELSE l_linenumber * 30 END AS lev FROM lineitem WHERE l_orderkey % 10 = 1)""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(1 / (1 + exp(-(-0.5 + 2 * s + 1.5 * n + 0.01 * lev + 0.8 * s * n))), 6) AS conf FROM (SELECT *, l_extendedprice / 100000 / l_quantity AS s, pow(l_quantity, -0.25) AS n, CASE WHEN l_linenumber * 30 = 90 THEN 115 ELSE l_linenumber * 30 END AS lev FROM lineitem)""")
 def p7_confidence(t: Tables) -> DataFrame:
     c = op.confidence(F.col("l_extendedprice") / 100000, F.col("l_quantity"), F.col("l_linenumber") * 30)
-    return t.lineitem.filter("l_orderkey % 10 = 1").select("l_orderkey", "l_linenumber", "l_partkey", F.round(c, 6).alias("conf"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(c, 6).alias("conf"))
 
 
 @query()
@@ -109,9 +109,9 @@ def p10_sample_weights(t: Tables) -> DataFrame:
     return q.join(given, "l_orderkey", "left").select("l_orderkey", F.coalesce("given", "q").alias("weight"))
 
 
-@query("SELECT n_name, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_partkey % 10 = 0 GROUP BY 1")
+@query("SELECT n_name, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def p11_taxonomy_report(t: Tables) -> DataFrame:
-    n = t.lineitem.filter("l_partkey % 10 = 0").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
+    n = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
     by = n.join(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")), "s_suppkey").groupBy("n_nationkey").agg(F.sum("n").alias("n"))
     return by.join(t.nation, "n_nationkey").select("n_name", "n")
 
@@ -123,7 +123,7 @@ def p12_one_vs_rest(t: Tables) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     x = t.embeddings.select("vec_id", F.col("label").alias("true"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
-    labels = sorted(r[0] for r in x.select("true").distinct().limit(100).collect())[:3]
+    labels = sorted(r[0] for r in x.select("true").distinct().collect())
     parts = None
     for v in labels:
         m = LinearSVC(maxIter=5, regParam=0.1).fit(x.withColumn("label", (F.col("true") == v).cast("double")))
@@ -156,31 +156,31 @@ def p18_parameter_grid(t: Tables) -> DataFrame:
     return out.select("c", F.col("g").cast("int").alias("g"), F.col("id").cast("long").alias("id"))
 
 
-@query(f"""{CLOSURE}, h AS (SELECT l_orderkey AS s, 100 + s_nationkey AS node, (20 - l_linenumber)::BIGINT AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 3 = 0),
+@query(f"""{CLOSURE}, h AS (SELECT l_orderkey AS s, 100 + s_nationkey AS node, (20 - l_linenumber)::BIGINT AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
     tot AS (SELECT s, count(*) AS hits, sum(w) AS aw FROM h GROUP BY 1), up AS (SELECT s, anc_id, count(*) AS here, sum(w) AS w FROM h JOIN closure ON node = id GROUP BY 1, 2),
     ok AS (SELECT s, anc_id, CASE t.rank WHEN 'nation' THEN 1 WHEN 'region' THEN 2 WHEN 'root' THEN 3 END AS level, w / aw AS part FROM up JOIN tot USING (s) JOIN tree t ON anc_id = t.id WHERE t.rank IS NOT NULL AND (here = hits OR (hits >= 4 AND here >= 2 AND w / aw >= 0.75)))
     SELECT s AS l_orderkey, anc_id AS vote, level FROM ok QUALIFY row_number() OVER (PARTITION BY s ORDER BY level, part DESC, anc_id) = 1""")
 def p19_annotation_vote(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") + 100).cast("long").alias("node"))
-    h = t.lineitem.filter("l_orderkey % 3 = 0").join(s, "l_suppkey").select("l_orderkey", "node", (20 - F.col("l_linenumber")).cast("long").alias("w"))
+    h = t.lineitem.join(s, "l_suppkey").select("l_orderkey", "node", (20 - F.col("l_linenumber")).cast("long").alias("w"))
     return op.annotation_vote(h, pairs, nodes, {"nation": 1, "region": 2, "root": 3}, "l_orderkey", "node", "w")
 
 
-@query(f"""{CLOSURE}, {DEPTH}, p AS (SELECT o_orderkey, 1000 + o_custkey AS a, 100 + (o_orderkey % 25) AS b FROM orders WHERE o_orderkey % 5 = 0),
+@query(f"""{CLOSURE}, {DEPTH}, p AS (SELECT o_orderkey, 1000 + o_custkey AS a, 100 + (o_orderkey % 25) AS b FROM orders),
     m AS (SELECT o_orderkey, x.anc_id AS lcs, x.dist AS up FROM p JOIN closure x ON a = x.id JOIN closure y ON b = y.id AND x.anc_id = y.anc_id QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY x.dist) = 1)
     SELECT depth, count(*) AS n, sum(count(*)) OVER (ORDER BY depth DESC)::BIGINT AS cum FROM m JOIN depth ON lcs = id GROUP BY 1""")
 def p22_host_levels(t: Tables) -> DataFrame:
     _, pairs = both(t)
-    p = t.orders.filter("o_orderkey % 5 = 0").select("o_orderkey", (F.col("o_custkey") + 1000).alias("a"), (F.col("o_orderkey") % 25 + 100).alias("b"))
+    p = t.orders.select("o_orderkey", (F.col("o_custkey") + 1000).alias("a"), (F.col("o_orderkey") % 25 + 100).alias("b"))
     n = tree.lowest_common(pairs, p, "a", "b").join(tree.depths(pairs).withColumnRenamed("id", "lcs"), "lcs").groupBy("depth").agg(F.count("*").alias("n"))
     return n.withColumn("cum", F.sum("n").over(Window.orderBy(F.desc("depth"))))
 
 
-@query(f"""{CLOSURE}, p AS (SELECT o_orderkey, 1000 + o_custkey AS a, 1000 + (o_custkey * 3 + 1) % 150 AS b FROM orders WHERE o_orderkey % 7 = 0)
+@query(f"""{CLOSURE}, p AS (SELECT o_orderkey, 1000 + o_custkey AS a, 1000 + (o_custkey * 3 + 1) % 150 AS b FROM orders)
     SELECT o_orderkey, x.anc_id AS lcs, x.dist + y.dist AS steps FROM p JOIN closure x ON a = x.id JOIN closure y ON b = y.id AND x.anc_id = y.anc_id QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY x.dist) = 1""")
 def p21_compared_predictions(t: Tables) -> DataFrame:
-    p = t.orders.filter("o_orderkey % 7 = 0").select("o_orderkey", (F.col("o_custkey") + 1000).alias("a"), (F.expr("(o_custkey * 3 + 1) % 150") + 1000).alias("b"))
+    p = t.orders.select("o_orderkey", (F.col("o_custkey") + 1000).alias("a"), (F.expr("(o_custkey * 3 + 1) % 150") + 1000).alias("b"))
     return tree.lowest_common(both(t)[1], p, "a", "b").select("o_orderkey", "lcs", (F.col("dist_a") + F.col("dist_b")).alias("steps"))
 
 
@@ -196,13 +196,12 @@ def p26_random_picks(t: Tables) -> DataFrame:
     return op.picked_per_group(t.customer.select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey", 3, 7)
 
 
-@query(f"""WITH {seqs_sql()}, m AS (SELECT 'model_' || source AS model, unnest(list_transform(range(0, 1000, 2), lambda i: i)) AS doc_id, source FROM (SELECT DISTINCT source FROM seqs WHERE source < 'src2'))
-    SELECT m.model, count(*) AS n, sum(length(seq))::BIGINT AS len FROM m JOIN seqs s ON s.doc_id = m.doc_id AND s.source = m.source GROUP BY 1""")
+@query(f"WITH {seqs_sql()}, m AS (SELECT unnest(['lang_' || lang, 'source_' || source]) AS model, seq FROM seqs) SELECT model, count(*) AS n, sum(length(seq))::BIGINT AS len FROM m GROUP BY 1")
 def p27_sequences_of_models(t: Tables) -> DataFrame:
     s = seqs(t)
-    d = s.filter("source < 'src2' AND doc_id < 1000 AND doc_id % 2 = 0").groupBy("source").agg(F.collect_list("doc_id").alias("ids_seq"))
-    listed = d.select(F.concat(F.lit("model_"), "source").alias("model"), F.explode("ids_seq").alias("doc_id"))
-    return s.join(listed, "doc_id").groupBy("model").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("len"))
+    models = F.array(F.concat(F.lit("lang_"), "lang"), F.concat(F.lit("source_"), "source"))
+    listed = t.documents.select("doc_id", F.explode(models).alias("model"))
+    return s.select("doc_id", "seq").join(listed, "doc_id").groupBy("model").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("len"))
 
 
 @query(f"""{CLOSURE}, s AS (SELECT anc_id AS id, count(*) AS total FROM closure JOIN orders ON id = 1000 + o_custkey GROUP BY 1)
@@ -238,9 +237,9 @@ def p36_training_targets(t: Tables) -> DataFrame:
     return x.select("id", F.least(F.floor(F.col("up") / F.count("*").over(Window.partitionBy("idpar"))), "total").alias("target"), (F.col("total") >= 80).alias("enough"))
 
 
-@query("SELECT o_orderkey, coalesce(l.q, 0) AS label FROM orders LEFT JOIN (SELECT s_suppkey AS h, s_nationkey % 4 + 1 AS q FROM supplier WHERE s_suppkey % 2 = 0) l ON o_custkey % 50 = h")
+@query("SELECT o_orderkey, coalesce(l.q, 0) AS label FROM orders LEFT JOIN (SELECT s_suppkey AS h, s_nationkey % 4 + 1 AS q FROM supplier WHERE s_acctbal > 3000) l ON o_custkey % 50 = h")
 def p33_host_labels(t: Tables) -> DataFrame:
-    h = t.supplier.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("h"), (F.col("s_nationkey") % 4 + 1).alias("q"))
+    h = t.supplier.filter("s_acctbal > 3000").select(F.col("s_suppkey").alias("h"), (F.col("s_nationkey") % 4 + 1).alias("q"))
     return t.orders.select("o_orderkey", (F.col("o_custkey") % 50).alias("h")).join(h, "h", "left").select("o_orderkey", F.coalesce("q", F.lit(0)).alias("label"))
 
 

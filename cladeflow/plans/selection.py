@@ -67,15 +67,14 @@ def f9_hit_thresholds(t: Tables) -> DataFrame:
     return t.lineitem.filter(ok).agg(F.count("*").alias("hits"), F.countDistinct("l_partkey").alias("parts"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey || ':11'), o_orderkey) AS place FROM orders WHERE o_orderkey % 50 < 3 QUALIFY place <= 100")
+@query("SELECT o_orderkey, md5(o_orderkey || ':11') AS place FROM orders")
 def f13_shuffled(t: Tables) -> DataFrame:
-    rows = t.orders.filter("o_orderkey % 50 < 3").orderBy(fn.seeded("o_orderkey", 11), "o_orderkey").limit(100)
-    return rows.select("o_orderkey", F.row_number().over(Window.orderBy(fn.seeded("o_orderkey", 11), "o_orderkey")).cast("long").alias("place"))
+    return t.orders.select("o_orderkey", fn.seeded("o_orderkey", 11).alias("place")).orderBy("place", "o_orderkey")
 
 
-@query("SELECT 'GOS_' || s_suppkey AS id FROM supplier WHERE s_acctbal > 1000 AND s_suppkey % 7 < 4 AND s_nationkey IN (1, 2, 3, 5, 8, 13)")
+@query("SELECT 'GOS_' || s_suppkey AS id FROM supplier WHERE s_acctbal > 1000 AND s_acctbal < 9000 AND s_nationkey IN (1, 2, 3, 5, 8, 13)")
 def f17_select_scaffolds(t: Tables) -> DataFrame:
-    return t.supplier.filter((F.col("s_acctbal") > 1000) & (F.col("s_suppkey") % 7 < 4) & F.col("s_nationkey").isin(1, 2, 3, 5, 8, 13)).select(F.concat(F.lit("GOS_"), "s_suppkey").alias("id"))
+    return t.supplier.filter((F.col("s_acctbal") > 1000) & (F.col("s_acctbal") < 9000) & F.col("s_nationkey").isin(1, 2, 3, 5, 8, 13)).select(F.concat(F.lit("GOS_"), "s_suppkey").alias("id"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'fastener' WHEN p_name LIKE '%gear%' THEN 'drive' ELSE regexp_extract(p_name, '^(\\w+)', 1) END AS class FROM part""")
@@ -138,9 +137,9 @@ def j9_unique_by_key(t: Tables) -> DataFrame:
     return op.unique_by(t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey"), ["l_partkey", "l_suppkey"], "l_orderkey")
 
 
-@query("SELECT s_suppkey, coalesce(b.bal, s_acctbal) AS s_acctbal FROM supplier LEFT JOIN (SELECT c_custkey AS k, c_acctbal AS bal FROM customer WHERE c_custkey % 3 = 0) b ON s_suppkey = k")
+@query("SELECT s_suppkey, coalesce(b.bal, s_acctbal) AS s_acctbal FROM supplier LEFT JOIN (SELECT c_custkey AS k, c_acctbal AS bal FROM customer WHERE c_mktsegment = 'BUILDING') b ON s_suppkey = k")
 def j10_update_join(t: Tables) -> DataFrame:
-    new = t.customer.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_acctbal").alias("s_acctbal"))
+    new = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_acctbal").alias("s_acctbal"))
     return op.update_from(t.supplier, new, "s_suppkey", "s_acctbal").select("s_suppkey", "s_acctbal")
 
 
@@ -170,9 +169,9 @@ def j14_transitive_ids(t: Tables) -> DataFrame:
 
 
 @query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN p.p_size IS NULL THEN 'missing' WHEN p.p_size = 0 THEN 'zero' WHEN n.n_nationkey IS NULL THEN 'no node' ELSE 'ok' END AS status
-          FROM lineitem LEFT JOIN (SELECT p_partkey, p_size % 30 AS p_size FROM part WHERE p_partkey % 5 <> 0) p ON l_partkey = p_partkey LEFT JOIN nation n ON p_size = n_nationkey) GROUP BY 1""")
+          FROM lineitem LEFT JOIN (SELECT p_partkey, p_size % 30 AS p_size FROM part WHERE p_type <> 'PROMO') p ON l_partkey = p_partkey LEFT JOIN nation n ON p_size = n_nationkey) GROUP BY 1""")
 def j15_lookup_status(t: Tables) -> DataFrame:
-    lookup = t.part.filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 30).alias("p_size"))
+    lookup = t.part.filter("p_type <> 'PROMO'").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 30).alias("p_size"))
     return op.status_of(t.lineitem.select("l_partkey"), lookup, t.nation, "l_partkey", "p_size", "n_nationkey").groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -188,21 +187,21 @@ def j17_peptide_read_assembly(t: Tables) -> DataFrame:
     return chain.groupBy("l_partkey").agg(F.countDistinct("c_nationkey").alias("nations"))
 
 
-@query("SELECT a.o_orderkey AS id, a.o_orderpriority AS was, b.o_orderpriority AS now FROM orders a JOIN orders b ON a.o_orderkey + 1 = b.o_orderkey WHERE a.o_orderpriority <> b.o_orderpriority AND a.o_custkey % 4 = 0")
+@query("SELECT a.o_orderkey AS id, a.o_orderpriority AS was, b.o_orderpriority AS now FROM orders a JOIN orders b ON a.o_orderkey + 1 = b.o_orderkey WHERE a.o_orderpriority <> b.o_orderpriority")
 def j20_changed_assignments(t: Tables) -> DataFrame:
-    a = t.orders.filter("o_custkey % 4 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("was"))
+    a = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("was"))
     b = t.orders.select((F.col("o_orderkey") - 1).alias("id"), F.col("o_orderpriority").alias("now"))
     return a.join(b, "id").filter("was <> now")
 
 
-@query("""WITH q AS (SELECT vec_id AS id_q, embedding AS v FROM embeddings WHERE vec_id % 25 = 0),
+@query("""WITH q AS (SELECT vec_id AS id_q, embedding AS v FROM embeddings WHERE label = 3),
           d AS (SELECT id_q, vec_id, label, sqrt(list_sum(list_transform(list_zip(v, embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))) AS dist FROM q, embeddings WHERE id_q <> vec_id),
           n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id_q ORDER BY dist, vec_id) <= 7),
           v AS (SELECT id_q, label, count(*) AS votes FROM n GROUP BY 1, 2)
           SELECT id_q, label, votes FROM v QUALIFY row_number() OVER (PARTITION BY id_q ORDER BY votes DESC, label) = 1""")
 def j21_nearest_neighbours(t: Tables) -> DataFrame:
     e = t.embeddings
-    return op.nearest_neighbours(e.filter("vec_id % 25 = 0"), e, 7, "vec_id", "embedding", "label")
+    return op.nearest_neighbours(e.filter("label = 3"), e, 7, "vec_id", "embedding", "label")
 
 
 @query("""WITH s AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 1 ELSE o_orderkey - 1 END AS mate, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS label FROM orders)
@@ -378,11 +377,11 @@ def w8_first_record(t: Tables) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_extendedprice / l_quantity - mean) / sd * sqrt(l_quantity / 25), 5) AS z FROM lineitem
-          JOIN (SELECT l_suppkey, avg(l_extendedprice / l_quantity) AS mean, stddev_pop(l_extendedprice / l_quantity) AS sd FROM lineitem GROUP BY 1 HAVING sd > 0) USING (l_suppkey) WHERE l_orderkey % 10 = 0""")
+          JOIN (SELECT l_suppkey, avg(l_extendedprice / l_quantity) AS mean, stddev_pop(l_extendedprice / l_quantity) AS sd FROM lineitem GROUP BY 1 HAVING sd > 0) USING (l_suppkey)""")
 def w10_z_scores(t: Tables) -> DataFrame:
     rate = F.col("l_extendedprice") / F.col("l_quantity")
     stats = t.lineitem.groupBy("l_suppkey").agg(F.avg(rate).alias("mean"), F.stddev_pop(rate).alias("sd")).filter("sd > 0")
-    return t.lineitem.filter("l_orderkey % 10 = 0").join(stats, "l_suppkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round((rate - F.col("mean")) / F.col("sd") * F.sqrt(F.col("l_quantity") / 25), 5).alias("z"))
+    return t.lineitem.join(stats, "l_suppkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round((rate - F.col("mean")) / F.col("sd") * F.sqrt(F.col("l_quantity") / 25), 5).alias("z"))
 
 
 @query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS j, unnest(embedding)::DOUBLE AS x FROM embeddings)
@@ -401,10 +400,10 @@ def w12_best_per_type(t: Tables) -> DataFrame:
     return best.unionByName(items.filter("l_returnflag = 'N'")).drop("l_linenumber")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderstatus = 'F') DESC, o_custkey, o_orderkey) AS place FROM orders QUALIFY place <= 50")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 def s1_multi_key_sort(t: Tables) -> DataFrame:
     order = [F.desc(F.col("o_orderstatus") == "F"), F.col("o_custkey"), F.col("o_orderkey")]
-    return t.orders.orderBy(*order).limit(50).select("o_orderkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return t.orders.select("o_orderkey", "o_custkey", "o_orderstatus").orderBy(*order)
 
 
 @query("SELECT o_custkey, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS total FROM orders GROUP BY 1 ORDER BY total DESC, o_custkey LIMIT 20")

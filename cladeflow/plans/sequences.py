@@ -14,16 +14,16 @@ SEQ = "translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijk
 RC = "translate(reverse({0}), 'ACGTacgt', 'TGCAtgca')"
 
 
-def seqs_sql(where: str = "true") -> str:
-    return f"seqs AS (SELECT doc_id, source, lang, {SEQ} AS seq FROM documents WHERE {where})"
+def seqs_sql() -> str:
+    return f"seqs AS (SELECT doc_id, source, lang, {SEQ} AS seq FROM documents)"
 
 
 def kmers_sql(k: int, name: str = "km", seq: str = "seq") -> str:
     return f"{name} AS (SELECT doc_id, kmer, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, length({seq}) - {k - 2}), lambda i: substr({seq}, i::INT, {k}))) AS kmer FROM seqs) WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY 1, 2)"
 
 
-def seqs(t: Tables, where: str = "true") -> DataFrame:
-    return t.documents.filter(where).select("doc_id", "source", "lang", fn.sequence_of(F.col("text")).alias("seq"))
+def seqs(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", "source", "lang", fn.sequence_of(F.col("text")).alias("seq"))
 
 
 @query(f"WITH {seqs_sql()}, {kmers_sql(4)} SELECT doc_id, kmer, n FROM km")
@@ -36,9 +36,9 @@ def k2_merged_strands(t: Tables) -> DataFrame:
     return op.kmer_counts(seqs(t), "doc_id", "seq", 3, merge=True)
 
 
-@query(f"WITH {seqs_sql('doc_id % 4 = 0')}, {kmers_sql(3)} SELECT doc_id, kmer, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 8) AS freq FROM km")
+@query(f"WITH {seqs_sql()}, {kmers_sql(3)} SELECT doc_id, kmer, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 8) AS freq FROM km")
 def k3_frequencies(t: Tables) -> DataFrame:
-    return op.frequencies(op.kmer_counts(seqs(t, "doc_id % 4 = 0"), "doc_id", "seq", 3), "doc_id", unit=True).select("doc_id", "kmer", F.round("freq", 8).alias("freq"))
+    return op.frequencies(op.kmer_counts(seqs(t), "doc_id", "seq", 3), "doc_id", unit=True).select("doc_id", "kmer", F.round("freq", 8).alias("freq"))
 
 
 @query(f"WITH {seqs_sql()}, {kmers_sql(5)} SELECT doc_id, count(*) AS kinds FROM km GROUP BY 1")
@@ -46,27 +46,27 @@ def k4_presence(t: Tables) -> DataFrame:
     return op.kmers(seqs(t), "doc_id", "seq", 5).distinct().groupBy("doc_id").agg(F.count("*").alias("kinds"))
 
 
-@query(f"""WITH {seqs_sql('doc_id % 4 = 1')}, {kmers_sql(1, 'k1')}, {kmers_sql(2, 'k2')}, {kmers_sql(3, 'k3')}, tot AS (SELECT doc_id, sum(n) AS total, count(*) AS kinds FROM k1 GROUP BY 1),
+@query(f"""WITH {seqs_sql()}, {kmers_sql(1, 'k1')}, {kmers_sql(2, 'k2')}, {kmers_sql(3, 'k3')}, tot AS (SELECT doc_id, sum(n) AS total, count(*) AS kinds FROM k1 GROUP BY 1),
     x AS (SELECT doc_id, 1 AS k, kmer, n, total / kinds AS expected FROM k1 JOIN tot USING (doc_id)
       UNION ALL SELECT a.doc_id, 2, a.kmer, a.n, p.n * l.n / total FROM k2 a JOIN k1 p ON a.doc_id = p.doc_id AND left(a.kmer, 1) = p.kmer JOIN k1 l ON a.doc_id = l.doc_id AND right(a.kmer, 1) = l.kmer JOIN tot ON a.doc_id = tot.doc_id
       UNION ALL SELECT a.doc_id, 3, a.kmer, a.n, p.n * l.n / total FROM k3 a JOIN k2 p ON a.doc_id = p.doc_id AND left(a.kmer, 2) = p.kmer JOIN k1 l ON a.doc_id = l.doc_id AND right(a.kmer, 1) = l.kmer JOIN tot ON a.doc_id = tot.doc_id)
     SELECT doc_id, k, kmer, n, round(expected, 6) AS expected, round((n - expected) / expected, 4) AS feature FROM x""")
 def k5_ladder(t: Tables) -> DataFrame:
-    out = op.ladder(seqs(t, "doc_id % 4 = 1"), "doc_id", "seq", 3)
+    out = op.ladder(seqs(t), "doc_id", "seq", 3)
     return out.withColumn("expected", F.round("expected", 6)).withColumn("feature", F.round("feature", 4))
 
 
-@query(f"""WITH {seqs_sql('doc_id % 4 = 1')}, {kmers_sql(2, 'k2')}, {kmers_sql(3, 'k3')}, x AS (SELECT doc_id, 2 AS k, kmer, n FROM k2 UNION ALL SELECT doc_id, 3, kmer, n FROM k3)
+@query(f"""WITH {seqs_sql()}, {kmers_sql(2, 'k2')}, {kmers_sql(3, 'k3')}, x AS (SELECT doc_id, 2 AS k, kmer, n FROM k2 UNION ALL SELECT doc_id, 3, kmer, n FROM k3)
     SELECT doc_id, k, kmer, n / sum(n) OVER (PARTITION BY doc_id, k) AS freq FROM x""")
 def k6_frequency_by_level(t: Tables) -> DataFrame:
-    s = seqs(t, "doc_id % 4 = 1")
+    s = seqs(t)
     parts = [op.frequencies(op.kmer_counts(s, "doc_id", "seq", k), "doc_id").select("doc_id", F.lit(k).alias("k"), "kmer", "freq") for k in (2, 3)]
     return parts[0].union(parts[1])
 
 
-@query(f"""WITH {seqs_sql('doc_id % 4 = 2')}, {kmers_sql(3)}, {kmers_sql(3, 'rv', 'reverse(seq)')} SELECT a.doc_id, a.kmer, a.n / coalesce(r.n, 1.0) AS ratio FROM km a LEFT JOIN rv r ON a.doc_id = r.doc_id AND a.kmer = r.kmer""")
+@query(f"""WITH {seqs_sql()}, {kmers_sql(3)}, {kmers_sql(3, 'rv', 'reverse(seq)')} SELECT a.doc_id, a.kmer, a.n / coalesce(r.n, 1.0) AS ratio FROM km a LEFT JOIN rv r ON a.doc_id = r.doc_id AND a.kmer = r.kmer""")
 def k7_reversed_ratio(t: Tables) -> DataFrame:
-    s = seqs(t, "doc_id % 4 = 2")
+    s = seqs(t)
     rev = op.kmer_counts(s.withColumn("seq", F.reverse("seq")), "doc_id", "seq", 3)
     return op.against_reversed(op.kmer_counts(s, "doc_id", "seq", 3), rev, "doc_id", F.lit(1.0)).select("doc_id", "kmer", "ratio")
 
@@ -155,12 +155,12 @@ def k21_labels_of_fragments(t: Tables) -> DataFrame:
     return f.join(t.labels, "doc_id").select(F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("start").cast("string")).alias("id"), "quality", "toxic")
 
 
-@query("""WITH f AS (SELECT l_orderkey, l_linenumber * 100 AS s, l_linenumber * 100 + l_quantity::INT AS e, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS strand FROM lineitem WHERE l_orderkey % 20 = 0),
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber * 100 AS s, l_linenumber * 100 + l_quantity::INT AS e, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS strand FROM lineitem),
     g AS (SELECT *, coalesce(max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM f)
     SELECT l_orderkey, s AS start, e AS "end", strand FROM f UNION ALL SELECT l_orderkey, reach, s, 0 FROM g WHERE s > reach UNION ALL SELECT l_orderkey, max(e), 1000, 0 FROM f GROUP BY 1""")
 def k22_coding_split(t: Tables) -> DataFrame:
     at = F.col("l_linenumber") * 100
-    f = t.lineitem.filter("l_orderkey % 20 = 0").select("l_orderkey", at.cast("int").alias("start"), (at + F.col("l_quantity")).cast("int").alias("end"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("strand"))
+    f = t.lineitem.select("l_orderkey", at.cast("int").alias("start"), (at + F.col("l_quantity")).cast("int").alias("end"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("strand"))
     return op.split_by_features(f.select("l_orderkey", F.lit(1000).alias("n")).distinct(), f, "l_orderkey", "n")
 
 
@@ -180,9 +180,9 @@ def k24_training_text(t: Tables) -> DataFrame:
     return op.training_text(seqs(t).select("doc_id", "seq"), "doc_id", "seq", 200_000, 5).select("doc_id", "strand", F.md5("seq").alias("digest"))
 
 
-@query(f"WITH {seqs_sql('doc_id % 3 = 0')} SELECT source, md5(string_agg(seq, 'NNNNNNN' ORDER BY doc_id)) AS digest FROM seqs GROUP BY 1")
+@query(f"WITH {seqs_sql()} SELECT source, md5(string_agg(seq, 'NNNNNNN' ORDER BY doc_id)) AS digest FROM seqs GROUP BY 1")
 def k25_concatenated(t: Tables) -> DataFrame:
-    return op.concatenated(seqs(t, "doc_id % 3 = 0"), "source", "doc_id", "seq").select("source", F.md5("seq").alias("digest"))
+    return op.concatenated(seqs(t), "source", "doc_id", "seq").select("source", F.md5("seq").alias("digest"))
 
 
 @query("SELECT vec_id, label || ' 1:' || printf('%.4f', embedding[1]::DOUBLE) || ' 2:' || printf('%.4f', embedding[2]::DOUBLE) || ' 3:' || printf('%.4f', embedding[3]::DOUBLE) AS line FROM embeddings")

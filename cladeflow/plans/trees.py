@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.operators import tree as op
@@ -60,19 +60,19 @@ def t3_under_any(t: Tables) -> DataFrame:
     return op.under(pairs, nodes.filter("id IN (10, 103, 107)"), strict=True)
 
 
-@query(f"""{CLOSURE}, couples AS (SELECT 1000 + c_custkey AS a, 1000 + (c_custkey * 7 + 3) % 150 AS b FROM customer WHERE c_custkey < 150),
+@query(f"""{CLOSURE}, couples AS (SELECT 1000 + c_custkey AS a, 1000 + (c_custkey * 7 + 3) % 150 AS b FROM customer),
     met AS (SELECT a, b, x.anc_id AS lcs, x.dist AS dist_a, y.dist AS dist_b FROM couples JOIN closure x ON a = x.id JOIN closure y ON b = y.id AND x.anc_id = y.anc_id)
     SELECT a, b, lcs, dist_a, dist_b FROM met QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY dist_a) = 1""")
 def t4_lowest_common(t: Tables) -> DataFrame:
-    couples = t.customer.filter("c_custkey < 150").select((F.col("c_custkey") + 1000).alias("a"), (F.expr("(c_custkey * 7 + 3) % 150") + 1000).alias("b"))
+    couples = t.customer.select((F.col("c_custkey") + 1000).alias("a"), (F.expr("(c_custkey * 7 + 3) % 150") + 1000).alias("b"))
     return op.lowest_common(both(t)[1], couples, "a", "b")
 
 
-@query(f"""{CLOSURE}, {DEPTH}, m AS (SELECT c_mktsegment AS g, 1000 + c_custkey AS id FROM customer WHERE c_custkey < 40), k AS (SELECT g, count(*) AS n FROM m GROUP BY 1)
+@query(f"""{CLOSURE}, {DEPTH}, m AS (SELECT c_mktsegment AS g, 1000 + c_custkey AS id FROM customer), k AS (SELECT g, count(*) AS n FROM m GROUP BY 1)
     SELECT g, anc_id AS lcs FROM (SELECT g, anc_id, count(*) AS held FROM m JOIN closure USING (id) GROUP BY 1, 2) JOIN k USING (g) JOIN depth ON anc_id = depth.id WHERE held = n
     QUALIFY row_number() OVER (PARTITION BY g ORDER BY depth DESC) = 1""")
 def t4_lowest_common_of_many(t: Tables) -> DataFrame:
-    members = t.customer.filter("c_custkey < 40").select(F.col("c_mktsegment").alias("g"), (F.col("c_custkey") + 1000).alias("id"))
+    members = t.customer.select(F.col("c_mktsegment").alias("g"), (F.col("c_custkey") + 1000).alias("id"))
     return op.lowest_common_of_sets(both(t)[1], members, "g")
 
 
@@ -170,10 +170,10 @@ def t18_painted(t: Tables) -> DataFrame:
     return op.painted(pairs, nodes.withColumn("k", k).filter("k IS NOT NULL"), "k")
 
 
-@query(f"{CLOSURE}, chosen AS (SELECT id FROM tree WHERE id % 7 = 2) SELECT id FROM chosen s WHERE NOT EXISTS (SELECT 1 FROM closure c JOIN chosen o ON c.anc_id = o.id WHERE c.id = s.id AND dist > 0)")
+@query(f"{CLOSURE}, chosen AS (SELECT id FROM tree WHERE name LIKE '%2' OR name LIKE 'A%') SELECT id FROM chosen s WHERE NOT EXISTS (SELECT 1 FROM closure c JOIN chosen o ON c.anc_id = o.id WHERE c.id = s.id AND dist > 0)")
 def t19_top_nodes(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
-    return op.top_nodes(pairs, nodes.filter("id % 7 = 2").select("id"))
+    return op.top_nodes(pairs, nodes.filter("name LIKE '%2' OR name LIKE 'A%'").select("id"))
 
 
 @query("""WITH names AS (SELECT n_nationkey AS id, lower(n_name) AS key FROM nation UNION ALL SELECT 100, 'small' UNION ALL SELECT 101, 'red' UNION ALL SELECT 102, 'red widget'),
@@ -221,13 +221,13 @@ def t25_sequences_of_subtrees(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", (F.col("o_custkey") + 1000).alias("id")).join(found, "id", "left_semi").select("o_orderkey")
 
 
-@query(f"""{CLOSURE}, s AS (SELECT id FROM tree WHERE rank = 'customer' AND id < 1100), near AS (SELECT a.id AS target, b.id, min(a.dist) AS up FROM closure a JOIN closure b USING (anc_id)
-    WHERE a.id IN (SELECT id FROM s WHERE id % 10 = 0) AND b.id IN (SELECT id FROM s) AND a.id <> b.id AND a.dist <= 2 GROUP BY 1, 2)
+@query(f"""{CLOSURE}, s AS (SELECT id FROM tree WHERE rank = 'customer'), near AS (SELECT a.id AS target, b.id, min(a.dist) AS up FROM closure a JOIN closure b USING (anc_id)
+    WHERE a.id IN (SELECT 1000 + c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') AND b.id IN (SELECT id FROM s) AND a.id <> b.id AND a.dist <= 1 GROUP BY 1, 2)
     SELECT target, id, up, row_number() OVER (PARTITION BY target ORDER BY up, id)::INTEGER AS place FROM near""")
 def t26_fill_up_order(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
-    s = nodes.filter("rank = 'customer' AND id < 1100")
-    return op.fill_up_order(pairs, s.filter("id % 10 = 0"), s, 2)
+    targets = t.customer.filter("c_mktsegment = 'MACHINERY'").select((F.col("c_custkey") + 1000).alias("id"))
+    return op.fill_up_order(pairs, targets, nodes.filter("rank = 'customer'"), 1)
 
 
 @query(f"""WITH {TREE}, leaf AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'TAXID' || (100 + s_nationkey) || '_' || s_name WHEN 1 THEN 'TAXID99999999_' || s_name ELSE s_name END AS name, CASE s_suppkey % 3 WHEN 0 THEN 100 + s_nationkey WHEN 1 THEN 1 ELSE 900000 END AS idpar FROM supplier)
@@ -284,10 +284,10 @@ def a8_clade_report(t: Tables) -> DataFrame:
     return long.groupBy("rank", "name").agg(F.sum("cnt").alias("cnt_samp"), F.sum("len").alias("len_samp"), F.floor(F.sum("len") / F.sum("cnt")).alias("avg_len"), (F.sum("score").cast("double") / F.sum("len")).alias("avg_score"))
 
 
-@query(f"{CLOSURE}, {WIDE} SELECT rank, clade, sum(c_acctbal::DECIMAL(18, 2))::DOUBLE AS weight FROM (SELECT id, 'nation' AS rank, nation AS clade FROM wide UNION ALL SELECT id, 'region', region FROM wide) JOIN customer ON id = 1000 + c_custkey WHERE c_custkey % 2 = 0 GROUP BY 1, 2")
+@query(f"{CLOSURE}, {WIDE} SELECT rank, clade, sum(c_acctbal::DECIMAL(18, 2))::DOUBLE AS weight FROM (SELECT id, 'nation' AS rank, nation AS clade FROM wide UNION ALL SELECT id, 'region', region FROM wide) JOIN customer ON id = 1000 + c_custkey GROUP BY 1, 2")
 def a9_rank_weights(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
-    wide = op.fixed_lineage(pairs, nodes, RANKS).join(balances(t).filter("id % 2 = 0"), "id")
+    wide = op.fixed_lineage(pairs, nodes, RANKS).join(balances(t), "id")
     return wide.unpivot(["weight"], ["nation", "region"], "rank", "clade").groupBy("rank", "clade").agg(F.sum("weight").cast("double").alias("weight"))
 
 
