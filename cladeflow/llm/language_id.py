@@ -91,7 +91,7 @@ class Model:
 
 
 def fit(presence: np.ndarray, labels: list[str], landmarks: int = 160, ridge: float = 1e-3) -> Model:
-    """Fit on rows of presences (bool, text by slot), the landmarks being taken from the languages in turn."""
+    """Fit on rows of packed presence bits (text by slot), the landmarks being taken from the languages in turn."""
     languages = sorted(set(labels))
     turn: dict[str, int] = {}
     order = []
@@ -99,10 +99,13 @@ def fit(presence: np.ndarray, labels: list[str], landmarks: int = 160, ridge: fl
         order.append((turn.get(label, 0), languages.index(label), k))
         turn[label] = turn.get(label, 0) + 1
     chosen = [k for *_, k in sorted(order)[:landmarks]]
-    columns = np.flatnonzero(presence[chosen].any(axis=0))
-    marks = presence[np.ix_(chosen, columns)].astype(np.float32)
-    size = presence.sum(axis=1)
-    kernel = (presence[:, columns].astype(np.float32) @ marks.T) / np.sqrt(size[:, None] * size[chosen][None, :])
+    marks = np.unpackbits(presence[chosen], axis=1)
+    columns = np.flatnonzero(marks.any(axis=0))
+    marks = marks[:, columns].astype(np.float32)
+    size = np.bitwise_count(presence).sum(axis=1, dtype=np.float64)
+    # a few rows at a time are unpacked
+    products = [np.unpackbits(presence[at : at + 64], axis=1)[:, columns].astype(np.float32) @ marks.T for at in range(0, len(labels), 64)]
+    kernel = np.concatenate(products) / np.sqrt(size[:, None] * size[chosen][None, :])
     values, vectors = np.linalg.eigh(kernel[chosen])
     keep = values > values.max() * 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])  # the landmarks' kernel to the power -1/2
@@ -112,10 +115,10 @@ def fit(presence: np.ndarray, labels: list[str], landmarks: int = 160, ridge: fl
     # languages count alike, however many texts they have
     w = np.array([1 / (len(languages) * turn[label]) for label in labels])[:, None]
     solved = np.linalg.solve(x.T @ (x * w) + ridge * np.eye(x.shape[1]), x.T @ (y * w))
-    return Model(languages, columns.astype(np.int32), marks, size[chosen].astype(np.float64), root @ solved)
+    return Model(languages, columns.astype(np.int32), marks, size[chosen], root @ solved)
 
 
-def train(labelled: DataFrame, sample: int = 2000, landmarks: int = 160, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
+def train(labelled: DataFrame, sample: int = 1600, landmarks: int = 160, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
     """Fit on at most ``sample`` rows of ``labelled``, as many of each language, in the order of a hash of
     their ids; None if there are none with a label and a letter.
 
@@ -146,7 +149,7 @@ def train(labelled: DataFrame, sample: int = 2000, landmarks: int = 160, id_col:
     found.sort(key=lambda r: (r.place, r.label, r.id))
     if not found:
         return None
-    presence = np.unpackbits(np.array([np.frombuffer(r.bits, dtype=np.uint8) for r in found]), axis=1).astype(bool)
+    presence = np.frombuffer(b"".join(r.bits for r in found), dtype=np.uint8).reshape(len(found), -1)
     return fit(presence, [r.label for r in found], landmarks)
 
 

@@ -24,9 +24,9 @@ ROWS, BANDS = 5, 48
 PERMUTATIONS = ROWS * BANDS // 2
 #: One bit of each value; two sets at 0.75 agree in 210 of 240 on average, with a deviation of 5.1.
 SKETCH_WORDS = 4
-LEAST_AGREEMENT = 182
-#: Buckets of more sets than this get their pairs from rare shingles.
-LARGE = 256
+LEAST_AGREEMENT = 184
+#: Bands whose buckets propose first; the others then only propose across what these have joined.
+FIRST_BANDS = 6
 #: Ids that are broadcast at most to pick the texts to be read again.
 BROADCAST_IDS = 2_000_000
 
@@ -62,7 +62,7 @@ def _sketch(signatures: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[pa.Array, list]]:
+def _slices(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[pa.Array, list]]:
     """Ids and texts, about ``most`` characters at a time."""
     ids, texts = batch.column(0), batch.column(1)
     start = held = 0
@@ -127,7 +127,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
 
 def _alike(x: str, y: str, percent: int) -> Column:
     """Two rows with n and sketch that may be similar enough: their sizes allow it and their sketches
-    agree in as many bits as all but 2e-8 of such pairs do."""
+    agree in as many bits as all but 4e-7 of such pairs do."""
     differ = sum((F.bit_count(F.col(f"{x}.s{j}").bitwiseXOR(F.col(f"{y}.s{j}"))) for j in range(1, SKETCH_WORDS)), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
     return (100 * small >= percent * large) & (differ <= 2 * PERMUTATIONS - LEAST_AGREEMENT)
@@ -141,12 +141,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     one place:
 
     1. Sets with equal fingerprints are one node, named by its smallest id.
-    2. Each bucket of a band proposes its smallest node to all others; full sets confirm; components.
-    3. In buckets that still hold several components, pairs across components are proposed if their
-       sketches allow the similarity. Buckets of more than ``LARGE`` nodes propose only pairs that
-       share one of their rarest shingles: two sets of the wanted similarity must share one among
-       their first n - ceil(0.75 n) + 1 in any common order, and the rarest first leave out what
-       whole buckets share. Full sets confirm; components of all links.
+    2. Each bucket of the first few bands proposes one of its nodes, drawn by a hash, to all others; full sets confirm;
+       components. Then each bucket of any band that still holds several components proposes another
+       node to the nodes of other components.
+    3. Nodes of buckets that hold several components even so propose all pairs across components that
+       share one of their rarest shingles and that sketch, sizes and places of shingles allow to be
+       similar enough. Full sets confirm; components of all links.
 
     Defined results: null, empty and wordless texts have no shingles, link with nothing and are kept;
     rows of one id are one document for links; a null id has a null component and is kept; an empty
@@ -161,45 +161,71 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     copies = named.join(first, key).select("id", "node", "n", *sketch, F.when(F.col("id") == F.col("node"), F.col("bands")).alias("bands"))
     copies = cut(copies)
     heads = copies.filter("bands IS NOT NULL")
-    in_band = heads.select("node", F.explode("bands").alias("band"))
-    buckets = in_band.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("held")).filter("pivot < last")
-    members = cut(in_band.join(buckets.select("band", "pivot", "held"), "band"))
+    in_band = heads.select("node", F.posexplode("bands").alias("place", "band"))
+    buckets = in_band.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("held")).filter("low < high")
+    members = cut(in_band.join(buckets.select("band", "held"), "band"))
     about = heads.select("node", "n", *sketch).dropDuplicates(["node"])
 
-    stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = cut(_may_be(stars, about, percent))
-    links = cut(_confirmed(stars, texts, k, percent))
-    of = components(links)
+    def split(placed: DataFrame, turn: int) -> DataFrame:
+        """Buckets that hold several components, each with a node drawn by a hash and its component."""
+        drawn = F.min_by(F.struct("node", "component"), F.xxhash64("node", "band", F.lit(turn)))
+        found = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), drawn.alias("pivot"))
+        return found.filter("low < high").select("band", "pivot")
+
+    of, tested, links = None, None, None
+    for turn, places in enumerate((f"place < {FIRST_BANDS}", "true")):
+        placed = _placed(members.filter(places), of)
+        stars = placed.join(split(placed, turn), "band").filter("component <> pivot.component")
+        stars = stars.select(F.greatest("node", "pivot.node").alias("a"), F.least("node", "pivot.node").alias("b")).distinct()
+        stars = cut(_may_be(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), about, percent))
+        if stars.isEmpty():
+            continue
+        tested = stars if tested is None else tested.union(stars)
+        found = _confirmed(stars, texts, k, percent)
+        links = cut(found if links is None else links.union(found))
+        of = components(links)
 
     # what the stars left apart
-    placed = members.select("band", "node", "held").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    apart = cut(placed.join(split.select("band"), "band", "left_semi").join(about, "node"))
-    small = apart.filter(F.col("held") <= LARGE)
-    pairs = small.alias("x").join(small.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & _alike("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    crowd = cut(apart.filter(F.col("held") > LARGE).select("node", "component", "n", *sketch).dropDuplicates(["node"]))
-    if not crowd.isEmpty():
-        pairs = pairs.union(_by_rare_shingles(crowd, texts, k, percent))
+    placed = _placed(members, of)
+    apart = placed.join(split(placed, 0).select("band"), "band", "left_semi").select("node", "component").distinct()
+    apart = cut(apart.join(about, "node"))
+    if apart.isEmpty():
+        pairs = apart.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    else:
+        pairs = _by_rare_shingles(apart, texts, k, percent)
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
+    pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
-        of = components(links.union(_confirmed(pairs, texts, k, percent)))
+        found = _confirmed(pairs, texts, k, percent)
+        of = components(found if links is None else links.union(found))
 
-    where = copies.select("id", "node").distinct().join(of, "node", "left").select("id", F.coalesce("component", "node").alias("component_id"))
+    where = _placed(copies.select("id", "node").distinct(), of).select("id", F.col("component").alias("component_id"))
     where = where.groupBy("id").agg(F.min("component_id").alias("component_id"))
     out = signed.select("id", "n").join(where, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _placed(rows: DataFrame, of: DataFrame | None) -> DataFrame:
+    """Rows of nodes with their components so far; a node that no link has reached is its own."""
+    if of is None:
+        return rows.withColumn("component", F.col("node"))
+    return rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def _may_be(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the similarity."""
     x = pairs.join(about.select(F.col("node").alias("a"), F.struct(*about.columns[1:]).alias("x")), "a")
     return x.join(about.select(F.col("node").alias("b"), F.struct(*about.columns[1:]).alias("y")), "b").filter(_alike("x", "y", percent)).select("a", "b")
 
 
-def _by_rare_shingles(crowd: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) across components in ``crowd`` that share one of their rarest shingles."""
-    sets = cut(_sets(texts, crowd.select("node"), k))
+def _by_rare_shingles(apart: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) across components in ``apart`` that may be similar enough and share a rare shingle.
+
+    All sets are put in one order, the rarest shingles first. Two sets of the wanted similarity share a
+    shingle among their first n - ceil(0.75 n) + 1; and where the first that they share stands at the
+    places p and q, they share at most 1 + min(n - p, m - q) in all. Both hold for any order.
+    """
+    sets = cut(_sets(texts, apart.select("node"), k))
     rows = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     shared = rows.join(often, "shingle")
@@ -207,6 +233,9 @@ def _by_rare_shingles(crowd: DataFrame, texts: DataFrame, k: int, percent: int)
     # a node's shingles that no other has come first and propose nothing
     alone = F.col("n") - F.count("*").over(Window.partitionBy("node"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    head = shared.withColumn("place", alone + F.row_number().over(order)).filter(F.col("place") <= prefix).select("node", "shingle").join(crowd, "node")
+    head = shared.withColumn("at", alone + F.row_number().over(order)).filter(F.col("at") <= prefix).select("node", "shingle", "at").join(apart, "node")
     x, y = head.alias("x"), head.alias("y")
-    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & _alike("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    common = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    may = (100 + percent) * common >= percent * (F.col("x.n") + F.col("y.n"))
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & may & _alike("x", "y", percent)
+    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))

@@ -18,7 +18,7 @@ _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 #: Bytes of text that are hashed at once.
-STEP = 1 << 21
+STEP = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

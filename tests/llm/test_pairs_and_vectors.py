@@ -56,9 +56,10 @@ def corpus():
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "a b"), (n + 4, "A  b"), (n + 5, "b a"), (None, rows[0][1])]
 
 
-@pytest.mark.parametrize("large", [minhash.LARGE, 1])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, large):
-    monkeypatch.setattr(minhash, "LARGE", large)  # 1: all buckets go by rare shingles
+@pytest.mark.parametrize("stars", [True, False])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, stars):
+    if not stars:  # all links are left to the rare shingles
+        monkeypatch.setattr(minhash, "_may_be", lambda pairs, about, percent: pairs.limit(0))
     rows = corpus()
     docs = spark.createDataFrame([(*x, "clash") for x in rows], DOCS + ", n string")
     got = near_duplicates(docs).collect()
