@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from cladeflow.llm.common import cut
 
 
+#: Links that a partition should hold at least.
+ROWS = 200_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) of any ordered type, to a row (node, component) for each node in a link between
     different nodes; the component is its smallest node.
@@ -24,6 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         if r[0] == 0 or tuple(r) == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = tuple(r)
+        # few links in many partitions cost a file for each in every shuffle
+        links = links.coalesce(max(1, r[0] // ROWS))
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()

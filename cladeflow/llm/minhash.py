@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     in_band = heads.select("node", F.posexplode("bands").alias("place", "band"))
     buckets = in_band.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("held")).filter("low < high")
     members = cut(in_band.join(buckets.select("band", "held"), "band"))
-    about = heads.select("node", "n", *sketch).dropDuplicates(["node"])
+    about = cut(heads.select("node", "n", *sketch).dropDuplicates(["node"]))
 
     def split(placed: DataFrame, turn: int) -> DataFrame:
         """Buckets that hold several components, each with a node drawn by a hash and its component."""
