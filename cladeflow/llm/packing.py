@@ -108,7 +108,8 @@ class Schedule:
 
 @functools.lru_cache(maxsize=2)
 def _encoder(ranks: str, pattern: str, keep: int):
-    """A function from a text to the bytes of its ids (little-endian, 16 bits if they suffice)."""
+    """A function from a text to the bytes of its ids (little-endian, 16 bits if they suffice), their type,
+    and a function that forgets the words met so far."""
     import base64
     import re
 
@@ -139,7 +140,7 @@ def _encoder(ranks: str, pattern: str, keep: int):
         first, *others = text.split(" ")
         return np.array(encode(first), dtype=kind).tobytes() + b"".join(map(words.__getitem__, others))
 
-    return ids, kind
+    return ids, kind, words.clear
 
 
 def pack(
@@ -174,7 +175,7 @@ def pack(
     columns = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, kind = _encoder(ranks, pattern, word_cache)
+        ids, kind, forget = _encoder(ranks, pattern, word_cache)
         end, width = np.array([end_id], dtype=kind).tobytes(), np.dtype(kind).itemsize
         chunk, so_far = TaskContext.get().partitionId(), {}
         for batch in batches:
@@ -195,6 +196,7 @@ def pack(
                         ["id", "source", "chunk", "at", "n", "ids"],
                     )
                     a, b, c, rows = [], [], [], 0
+        forget()  # else the worker would hold the words while it runs other stages
 
     tokens = cut(columns.mapInArrow(tokenize, "id long, source string, chunk int, at long, n long, ids binary"))
     sums = cut(tokens.groupBy("chunk", "source").agg(F.sum("n").alias("n")))
