@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +35,11 @@ def within(df: DataFrame, rows: int) -> DataFrame:
     ``df`` should be cheap to count: a checkpoint or a small aggregate.
     """
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def release() -> None:
+    """Give back the Arrow memory that a Python worker's finished batches leave in its pool.
+
+    Workers outlive their tasks, and the next stage's tasks share the executor with them.
+    """
+    pa.default_memory_pool().release_unused()

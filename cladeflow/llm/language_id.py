@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeflow.llm.common import release
+
 #: N-grams are told apart by 17 bits of a hash.
 BITS = 17
 SLOTS = 1 << BITS
@@ -143,6 +145,7 @@ def train(labelled: DataFrame, sample: int = 1600, landmarks: int = 160, id_col:
 
         for x in batches:
             yield x.assign(bits=[packed(t) for t in x["text"]])[["id", "label", "place", "bits"]]
+        release()
 
     texts = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
     found = texts.mapInPandas(bits, "id long, label string, place int, bits binary").filter("bits IS NOT NULL").dropDuplicates(["id"]).collect()
@@ -165,9 +168,11 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def said(texts: pd.Series) -> pd.DataFrame:
-        names, scores = shared.value.predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
+    def said(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            names, scores = shared.value.predict(texts.tolist())
+            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
+        release()
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*keep, said(F.col(text_col).cast("string")).alias("_said")).select(*keep, "_said.lang_pred", "_said.score")

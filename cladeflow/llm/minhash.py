@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import cut, within
+from cladeflow.llm.common import cut, release, within
 from cladeflow.llm.graph import components
 from cladeflow.llm.shingles import mix, shingle_sets
 
@@ -96,6 +96,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                     [ids, pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *[pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH_WORDS)], bands],
                     ["id", "n", "f1", "f2", *[f"s{j}" for j in range(SKETCH_WORDS)], "bands"],
                 )
+        release()
 
     return docs.mapInArrow(sign, "id long, n long, f1 long, f2 long, " + ", ".join(f"s{j} long" for j in range(SKETCH_WORDS)) + ", bands array<long>")
 
@@ -111,6 +112,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 np.cumsum([len(x) for x in sets], out=offsets[1:])
                 flat = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "shingles"])
+        release()
 
     wanted = docs.join(within(nodes.withColumnRenamed("node", "id"), BROADCAST_IDS), "id", "left_semi")
     return wanted.mapInArrow(collect, "node long, shingles array<long>")

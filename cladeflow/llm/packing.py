@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import cut, within
+from cladeflow.llm.common import cut, release, within
 
 #: More queues than this are refused: a window can't hold a token of each.
 MAX_SOURCES = 4096
@@ -197,6 +197,7 @@ def pack(
                     )
                     a, b, c, rows = [], [], [], 0
         forget()  # else the worker would hold the words while it runs other stages
+        release()
 
     tokens = cut(columns.mapInArrow(tokenize, "id long, source string, chunk int, at long, n long, ids binary"))
     sums = cut(tokens.groupBy("chunk", "source").agg(F.sum("n").alias("n")))
@@ -224,6 +225,7 @@ def pack(
             for lo, hi in zip(edges, [*edges[1:], len(n)], strict=True):
                 if hi > lo:
                     yield pieces(batch.slice(lo, hi - lo))
+        release()
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
         source, n = batch.column("source"), batch.column("n").to_numpy()
