@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from importlib import resources
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,25 +130,97 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\r\n]+"), canonical), lambda x: x != "")
 
 
-def known(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
+# Names by which one-line notices call the licences, besides the identifiers.
+NAMES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD License"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL version 3", "AGPLv3"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache 2.0 License", "Apache License 2.0"],
+    "Artistic-1.0-Perl": ["Artistic License 1.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License"],
+    "BSL-1.0": ["Boost Software License", "Boost Software License, Version 1.0"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International License", "CC BY 4.0 License"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0 License"],
+    "CC-BY-NC-ND-4.0": ["Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC BY-NC-ND 4.0 License"],
+    "CC-BY-NC-SA-4.0": ["Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC BY-NC-SA 4.0 License"],
+    "CC-BY-ND-4.0": ["Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0 License"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0 License"],
+    "CC0-1.0": ["CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "CC0"],
+    "GFDL-1.2": ["GNU Free Documentation License, Version 1.2"],
+    "GFDL-1.3": ["GNU Free Documentation License, Version 1.3"],
+    "GPL-1.0": ["GNU General Public License, version 1", "GNU GPL version 1", "GPLv1"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GPLv2", "GPL version 2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GPLv3", "GPL version 3"],
+    "ISC": ["ISC License"],
+    "LGPL-2.0": ["GNU Library General Public License, version 2"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU LGPL version 2.1", "LGPLv2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU LGPL version 3", "LGPLv3"],
+    "MIT": ["MIT License"],
+    "MPL-1.1": ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"],
+    "OFL-1.1": ["SIL Open Font License, Version 1.1"],
+    "Unicode-3.0": ["Unicode License v3"],
+    "Unlicense": ["The Unlicense"],
+    "Zlib": ["zlib License"],
+}
+# How a one-line notice begins, and what stands before the licence's name.
+BEGINNINGS = ["Licensed", "Released", "Distributed", "This project is licensed", "This work is licensed", "This software is licensed", "This code is licensed", "This file is licensed"]
+BEFORE_NAME = ["under", "under the", "under a", "under the terms of", "under the terms of the"]
+#: What follows the terms in a whole text, and documents often leave out.
+APPENDIX = r"(?m)^[ \t]*(?:APPENDIX: How to apply|(?:Appendix: )?How to Apply These Terms|ADDENDUM: How to use|EXHIBIT A|Exhibit A - ).*(?s:.*)"
+#: What stands alone on a line at the end of the terms.
+END_OF_TERMS = r"(?mi)^[ \t]*end of terms and conditions[ \t]*$"
+
+
+def wordings(text: str) -> set[str]:
+    """A whole text as documents give it: with and without its title, its appendix, the line "All rights
+    reserved", and the numbers of a short text's conditions."""
+    cuts = [
+        lambda t: re.sub(APPENDIX, "", t),
+        lambda t: re.sub(END_OF_TERMS, "", t),
+        lambda t: re.sub(r"(?mi)^[ \t]*all rights reserved\.?[ \t]*$", "", t),
+        lambda t: re.sub(r"(?m)^[ \t]*\d\.[ \t]", "", t) if len(t) < 3000 else t,
+        lambda t: t.lstrip().partition("\n\n")[2] if len(t.lstrip().partition("\n\n")[0]) < 100 else t,
+    ]
+    found = {text}
+    for f in cuts:
+        found |= {cut for t in found if len(cut := f(t)) > 400}
+    return found
+
+
+@cache
+def all_known() -> list[tuple[str, str]]:
+    """``KNOWN``, the whole texts in the folder license_texts (<license>[--<edition>].txt) and those of
+    ``KNOWN`` in all ``wordings``, and one-line notices by ``NAMES``."""
+    files = [(f.name.removesuffix(".txt").split("--")[0], f.read_text("utf-8")) for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")]
+    whole = {(name, t) for name, text in KNOWN + files if len(text) > 400 for t in wordings(text)}
+    titles = {name: ["", *names, *[f"The {x}" for x in names], *[f"{x} ({name})" for x in names], *[f"The {x} ({name})" for x in names]] for name, names in NAMES.items()}
+    whole |= {(name, f"{title}\n{rights}\n{t}") for name, t in whole if len(t) < 3000 for title in titles[name] for rights in ("", "All rights reserved.")}
+    lines = {(name, f"{a} {b} {called}") for name, names in NAMES.items() for a, b, called in product(BEGINNINGS, BEFORE_NAME, [name, *names])}
+    tags = {(name, f"{tag}: {name}{more}") for name in NAMES for tag in ("SPDX-License-Identifier", "License") for more in (["", "-only", "-or-later", "+"] if "GPL" in name or "GFDL" in name else [""])}
+    return KNOWN + sorted(whole | lines | tags)
+
+
+def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     """Known licences: license, digest. As many rows as ``texts`` at most, one for each digest."""
     rows = spark.createDataFrame(texts, "license string, text string")
     whole = F.sha2(F.array_join(lines_of(F.col("text")), " "), 256)
     return rows.select("license", whole.alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, texts: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document: n_words, digest (SHA-256) of its canonical text, license (of the known
     text that it is as a whole, else null), notices (licences that a line of it names by a known
     notice, sorted, joined by commas; empty if none).
 
-    The texts' digests are hash-joined to the few known ones, which are broadcast: their number is
-    that of ``texts``. Nothing is shuffled.
+    The texts' digests are hash-joined to the known ones, which are broadcast: their number is that
+    of ``texts`` (license, text) at most, ``all_known()`` if None. Nothing is shuffled.
 
     Defined results: null, empty and wordless texts have the digest of the empty text and no
     license; ids may be null and rows may repeat; other columns are not returned.
     """
-    by_digest = known(docs.sparkSession, texts)
+    rows = known(docs.sparkSession, all_known() if texts is None else texts).collect()
+    by_digest = docs.sparkSession.createDataFrame(rows, "digest string, license string")
     lines = docs.select(F.col(id_col), lines_of(F.col(text_col).cast("string")).alias("lines"))
     whole = F.array_join("lines", " ")
     hashed = lines.select(
@@ -152,7 +229,10 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = KNOWN, id_col: str = "d
         F.sha2(whole, 256).alias("digest"),
         F.transform("lines", lambda x: F.sha2(x, 256)).alias("line_digests"),
     )
-    table = F.create_map(*[F.lit(x) for r in by_digest.collect() for x in (r.digest, r.license)])
-    named = F.filter(F.transform("line_digests", lambda d: F.element_at(table, d)), lambda x: x.isNotNull())
+    # lines are looked up in a hash set, and only those found in the map, which is searched from its start
+    listed = lambda k: "split('" + " ".join(r[k] for r in rows) + "', ' ')"
+    hits = F.expr("filter(line_digests, d -> d IN (" + ", ".join(f"'{r.digest}'" for r in rows) + "))") if rows else F.array().cast("array<string>")
+    table = F.expr(f"map_from_arrays({listed('digest')}, {listed('license')})")
+    named = F.transform(hits, lambda d: F.element_at(table, d))
     notices = F.array_join(F.array_sort(F.array_distinct(named)), ",")
     return hashed.join(F.broadcast(by_digest), "digest", "left").select(id_col, "n_words", "digest", "license", notices.alias("notices"))

@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -222,6 +224,28 @@ def test_licences_by_canonical_text(spark):
     assert [lines[i].notices for i in (3, 4, 5)] == ["CC-BY-NC-4.0,MIT", "Apache-2.0", ""]
 
 
+def test_common_licences_are_known(spark):
+    body = lambda name: (Path(licenses.__file__).parent / "license_texts" / f"{name}.txt").read_text()
+    names = ["Apache-2.0", "Artistic-1.0-Perl", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Zlib", "Unlicense", "BSL-1.0"]
+    rows = [(i, body(name).upper(), name, "") for i, name in enumerate(names)]
+    rows += [
+        (50, body("Apache-2.0").split("APPENDIX")[0], "Apache-2.0", ""),
+        (51, body("GPL-2.0").split("END OF TERMS")[0], "GPL-2.0", ""),
+        (52, "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + body("BSD-3-Clause").split("\n\n", 1)[1], "BSD-3-Clause", ""),
+        (53, "Copyright (c) 2020, X\nAll rights reserved.\n\n" + re.sub(r"(?m)^\d\.", "*", body("BSD-3-Clause").split("\n\n", 1)[1]), "BSD-3-Clause", ""),
+        (54, [t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 500][0].split("\n\n", 1)[1], "MIT", ""),
+        (55, "The MIT License (MIT)\n" + [t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 500][0].split("\n\n", 1)[1], "MIT", ""),
+        (60, "prose\nThis project is licensed under the BSD 3-Clause License.\n# SPDX-License-Identifier: GPL-2.0-or-later\nmore", None, "BSD-3-Clause,GPL-2.0"),
+        (61, body("MPL-2.0") + "\nand a tail", None, ""),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, [(i, t, None, None) for i, t, _, _ in rows])).collect()}
+    bad = [(i, got[i].license, name) for i, _, name, _ in rows if got[i].license != name]
+    assert not bad
+    assert [(got[i].license, got[i].notices) for i in (60, 61)] == [(None, "BSD-3-Clause,GPL-2.0"), (None, "")]
+    clash = spark.createDataFrame(licenses.all_known(), "license string, text string").select("license", F.array_join(licenses.lines_of(F.col("text")), " ").alias("body")).groupBy("body").agg(F.collect_set("license").alias("of")).filter((F.size("of") > 1) | (F.col("body") == ""))
+    assert clash.collect() == []
+
+
 def true_hilbert_neighbours(order):
     return all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for p, q in itertools.pairwise(order))
 
