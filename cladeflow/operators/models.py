@@ -121,11 +121,24 @@ def annotation_vote(hits: DataFrame, pairs: DataFrame, nodes: DataFrame, levels:
 
 
 def host_candidates(names: DataFrame, name: str, fillers: list[str]) -> DataFrame:
-    """(name, words, host): a virus name without filler words, cut at phage or virus, by falling prefixes."""
-    base = F.trim(F.regexp_replace(F.lower(name), r"\b(phage|virus)\b.*$", ""))
-    words = F.filter(F.split(base, r"\s+"), lambda w: (w != "") & ~w.isin(fillers))
-    x = names.select(name, words.alias("_w")).filter(F.size("_w") > 0).select(name, F.explode(F.sequence(F.size("_w"), F.lit(1), F.lit(-1))).alias("words"), "_w")
-    return x.select(name, "words", F.array_join(F.slice("_w", F.lit(1), F.col("words")), " ").alias("host"))
+    """(name, words, host): what a virus name says of its host, by falling prefixes of the words before the
+    first that contains phage or virus, a filler as the first word left out.
+
+    What stands before phage in that word is a last word: itself and with the endings bacter, bacterium and
+    bacteria; cyanophage gives cyanobacteria, bacteriophage and virophage give none.
+    """
+    words = F.filter(F.split(F.lower(name), r"\s+"), lambda w: w != "")
+    words = F.when(F.get(words, F.lit(0)).isin(fillers), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+    at = F.array_position(F.transform("_w", lambda w: w.contains("phage") | w.contains("virus")), True).cast("int")
+    last = F.get("_w", F.col("_at") - 1)
+    stem = F.when(last.contains("phage"), F.substring_index(last, "phage", 1)).otherwise("")
+    ends = F.when(last == "cyanophage", F.array(F.lit("cyanobacteria"))).when(~F.col("_stem").isin("", "bacterio", "viro"), F.transform(F.array(*[F.lit(x) for x in ("", "bacter", "bacterium", "bacteria")]), lambda x: F.concat("_stem", x)))
+    x = names.select(name, words.alias("_w")).filter(F.size("_w") > 0).withColumn("_at", at).withColumn("_stem", F.coalesce(stem, F.lit("")))
+    x = x.select(name, F.when(F.col("_at") > 0, F.slice("_w", F.lit(1), F.col("_at") - 1)).otherwise(F.col("_w")).alias("_head"), F.coalesce(ends, F.array().cast("array<string>")).alias("_ends"))
+    whole = F.transform("_ends", lambda e: F.struct((F.size("_head") + 1).alias("words"), F.concat_ws(" ", F.col("_head"), e).alias("host")))
+    counts = F.when(F.size("_head") > 0, F.sequence(F.size("_head"), F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    short = F.transform(counts, lambda n: F.struct(n.alias("words"), F.array_join(F.slice("_head", F.lit(1), n), " ").alias("host")))
+    return x.select(name, F.explode(F.concat(whole, short)).alias("_c")).select(name, "_c.words", "_c.host")
 
 
 def picked_per_group(df: DataFrame, group: str, ident: str, n: int, seed: int) -> DataFrame:

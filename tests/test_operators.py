@@ -161,6 +161,28 @@ def test_allocation_is_whole_and_even(bushy):
             assert sum(got[x] for x in k) == got[i] and max(got[x] for x in k) - min(got[x] for x in k) <= 1
 
 
+def test_host_candidates_of_virus_names(spark):
+    want = {
+        "Vibriophage VP16": [(1, "vibrio"), (1, "vibriobacter"), (1, "vibriobacterium"), (1, "vibriobacteria")],
+        "Uncultured cyanophage": [(1, "cyanobacteria")],
+        "Marine Cyanophage S-1": [(2, "marine cyanobacteria"), (1, "marine")],
+        "x mosaicvirus": [(1, "x")],
+        "Blackberry cv. Apache virus": [(3, "blackberry cv. apache"), (2, "blackberry cv."), (1, "blackberry")],
+        "Yersinia hybrid bacteriophage 3": [(2, "yersinia hybrid"), (1, "yersinia")],
+        "Red Roseophage virus": [(2, "red roseo"), (2, "red roseobacter"), (2, "red roseobacterium"), (2, "red roseobacteria"), (1, "red")],
+        "hybrid": [],
+        "phage T4": [],
+        "": [],
+        None: [],
+        "uncultured uncultured Thing": [(2, "uncultured thing"), (1, "uncultured")],
+    }
+    out = models.host_candidates(spark.createDataFrame([(n,) for n in want], "name string"), "name", ["uncultured", "unclassified", "unidentified", "hybrid"])
+    got = {n: [] for n in want}
+    for r in out.collect():
+        got[r.name].append((r.words, r.host))
+    assert got == want
+
+
 def test_interval_union_and_coverage(spark):
     spans = [(1, 0, 5), (1, 5, 9), (1, 2, 3), (1, 2, 3), (1, 20, 30), (2, 1, 1), (2, 4, 6)]
     df = spark.createDataFrame(spans, "k int, start int, end int")
