@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import seeded
 from cladeflow.operators.common import first_by
-from cladeflow.operators.tree import fill_up_order, lowest_common_of_sets
+from cladeflow.operators.tree import fill_up_order, find_names, lowest_common_of_sets
 
 
 def orf_place(orf: Column) -> Column:
@@ -37,15 +37,29 @@ def in_listed_order(df: DataFrame, order: DataFrame, ident: str, place: str, tre
 
 
 def resolved(records: DataFrame, names: DataFrame, pairs: DataFrame, nodes: DataFrame, ident: str) -> DataFrame:
-    """(id, node, how) of annotation records (id, taxid, name): their taxid if it is a node, else the only
-    node of that name, else the lowest common node of all of that name."""
-    by_id = records.join(nodes.select(F.col("id").alias("taxid")), "taxid").select(ident, F.col("taxid").alias("node"), F.lit("taxid").alias("how"))
-    rest = records.join(by_id, ident, "left_anti")
-    hits = rest.join(names.select(F.lower("name").alias("_k"), "id"), F.lower("name") == F.col("_k")).select(ident, "id").distinct()
-    n = hits.groupBy(ident).agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    one = n.filter("n = 1").select(ident, F.col("id").alias("node"), F.lit("name").alias("how"))
-    many = lowest_common_of_sets(pairs, hits.join(n.filter("n > 1").select(ident), ident), ident)
-    return by_id.union(one).union(many.select(ident, F.col("lcs").alias("node"), F.lit("common").alias("how")))
+    """(id, node, how) of annotation records (id, taxid, name, lineage: names from the root down), by the
+    first step that gives a node: taxid, if it is a node; name, the only node of the longest prefix of the
+    name's words that is a name; lineage, the only node of a lineage name, the lowest such name first;
+    common, the lowest common node of the lowest lineage name that several nodes have.
+
+    A record that no step resolves isn't returned, nor is one whose several nodes have no common node.
+    """
+    step = lambda df, node, n, how: df.select(ident, F.col(node).cast("long").alias("node"), F.lit(n).alias("_step"), F.lit(how).alias("how"))
+    by_id = step(records.join(nodes.select(F.col("id").alias("taxid")), "taxid"), "taxid", 1, "taxid")
+    rest = records.join(by_id.select(ident).distinct(), ident, "left_anti")
+    names = names.select(F.lower("name").alias("name"), "id").distinct()
+    asked = rest.select(F.trim("name").alias("_asked")).filter(F.col("_asked") != "").distinct()
+    fuzzy = find_names(names, asked, "name", "_asked").groupBy("_asked").agg(F.count("*").alias("_n"), F.min("id").alias("_node")).filter("_n = 1")
+    by_name = step(rest.select(ident, F.trim("name").alias("_asked")).join(fuzzy, "_asked"), "_node", 2, "name")
+    up = rest.select(ident, F.posexplode(F.reverse("lineage")).alias("_place", "_key")).withColumn("_key", F.lower("_key"))
+    of = names.groupBy(F.col("name").alias("_key")).agg(F.count("*").alias("_n"), F.min("id").alias("_node"))
+    found = up.join(of, "_key")
+    lowest = lambda where: first_by(found.filter(where), [ident], [F.col("_place")])
+    by_lineage = step(lowest("_n = 1"), "_node", 3, "lineage")
+    several = lowest("_n > 1")
+    same = several.select("_key").distinct().join(names.withColumnRenamed("name", "_key"), "_key")
+    by_common = step(several.join(lowest_common_of_sets(pairs, same, "_key"), "_key"), "lcs", 4, "common")
+    return first_by(by_id.union(by_name).union(by_lineage).union(by_common), [ident], [F.col("_step")]).select(ident, "node", "how")
 
 
 def assigned_hosts(candidates: DataFrame, nodes: DataFrame, pairs: DataFrame, barred: DataFrame, virus: str) -> DataFrame:

@@ -69,7 +69,7 @@ def j24_header_metadata(t: Tables) -> DataFrame:
 def p20_resolved_annotations(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
     k = F.col("o_orderkey") % 3
-    rec = t.orders.select(F.col("o_orderkey").alias("k"), F.when(k == 0, F.col("o_custkey") + 1000).otherwise(9999999).alias("taxid"), F.when(k == 1, F.concat(F.lit("nation_"), (F.col("o_custkey") % 25).cast("string"))).otherwise("common").alias("name"))
+    rec = t.orders.select(F.col("o_orderkey").alias("k"), F.when(k == 0, F.col("o_custkey") + 1000).otherwise(9999999).alias("taxid"), F.when(k == 1, F.concat(F.lit("nation_"), (F.col("o_custkey") % 25).cast("string"))).otherwise("common").alias("name")).withColumn("lineage", F.array("name"))
     names = nodes.select("id", "name").union(nodes.filter("id IN (1003, 1010)").select("id", F.lit("common")))
     return op.resolved(rec, names, pairs, nodes, "k")
 

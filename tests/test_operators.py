@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeflow.functions import columns as fn
-from cladeflow.operators import intervals, kmers, metrics, models, relational, tree
+from cladeflow.operators import annotation, intervals, kmers, metrics, models, relational, tree
 from cladeflow.plans import registry
 from cladeflow.sources import readers, writers
 from cladeflow.streaming import scores
@@ -183,6 +183,26 @@ def test_host_candidates_of_virus_names(spark):
     assert got == want
 
 
+def test_annotations_resolve_by_the_first_step(spark):
+    rows = [(1, 0, "root"), (2, 1, "Bacteria"), (3, 2, "Escherichia"), (4, 3, "Escherichia coli"), (5, 2, "Actinobacteria"), (6, 5, "Actinobacteria"), (7, 6, "Twin"), (8, 3, "Twin")]
+    nodes = spark.createDataFrame(rows, "id long, idpar long, name string")
+    records = [
+        (1, 4, "Twin", ["Bacteria"], 4, "taxid"),
+        (2, 99, " escherichia COLI K-12 ", ["Bacteria"], 4, "name"),
+        (3, None, "Escherichia coli", None, 4, "name"),
+        (4, None, "Nothing known", ["Bacteria", "Escherichia", "Lost"], 3, "lineage"),
+        (5, 99, "Twin", ["Bacteria", "Actinobacteria", "Twin"], 2, "lineage"),
+        (6, 99, "Twin strain 3", ["Lost", "Actinobacteria", "Twin"], 2, "common"),
+        (7, 99, None, ["Actinobacteria", "Lost"], 5, "common"),
+        (8, 99, "Twin", [], None, None),
+        (9, None, "", None, None, None),
+        (10, None, None, ["root", None, "Escherichia"], 3, "lineage"),
+    ]
+    df = spark.createDataFrame([r[:4] for r in records], "k long, taxid long, name string, lineage array<string>")
+    got = annotation.resolved(df, nodes, tree.closure(nodes), nodes, "k").collect()
+    assert sorted(map(tuple, got)) == [(r[0], *r[4:]) for r in records if r[4]]
+
+
 def test_interval_union_and_coverage(spark):
     spans = [(1, 0, 5), (1, 5, 9), (1, 2, 3), (1, 2, 3), (1, 20, 30), (2, 1, 1), (2, 4, 6)]
     df = spark.createDataFrame(spans, "k int, start int, end int")
