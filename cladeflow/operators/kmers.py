@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.functions.columns import hash01, reverse_complement, seeded
-from cladeflow.operators.common import first_by
+from cladeflow.functions.columns import hash01, probabilistic_round, reverse_complement, seeded
+from cladeflow.operators.common import first_by, small
 
 
 def windows(seqs: DataFrame, ident: str, seq: str, k: int, step: int = 100_000) -> DataFrame:
@@ -69,6 +69,27 @@ def shred(seqs: DataFrame, ident: str, seq: str, length: int, offset: int = 0, n
     return out.select("old_id", "start", (F.col("start") + length).alias("end"), F.substring("_s", F.col("start") + 1, F.lit(length)).alias("frag"))
 
 
+def capped_fragments(seqs: DataFrame, group: str, ident: str, seq: str, length: int, cap: int, seed: int) -> DataFrame:
+    """(group, old_id, start, end, frag): about ``cap`` fragments of each group, shared among its sequences by
+    length: ratio = cap * length / all symbols of the group; a sequence has the quota len * ratio / length,
+    rounded up or down by chance (seeded), and the fragments that come first in seeded order within it.
+    All fragments (quota -1) where the ratio is 1 or more.
+
+    Groups are only summed up; fragments are numbered within one sequence.
+    """
+    totals = seqs.groupBy(group).agg(F.sum(F.length(seq)).alias("_total"))
+    ratio = F.lit(float(cap * length)) / F.col("_total")
+    quota = F.when(ratio < 1, probabilistic_round(F.length(seq) * ratio / length, ident, f"quota:{seed}")).otherwise(-1)
+    shared = seqs.join(small(totals.withColumnRenamed(group, "_group")), F.col(group).eqNullSafe(F.col("_group"))).withColumn("_quota", quota)
+    starts = F.sequence(F.lit(0), F.length(seq) - length, F.lit(length))
+    whole = shared.filter((F.length(seq) >= length) & (F.col("_quota") != 0)).select(group, F.col(ident).alias("old_id"), F.col(seq).alias("_s"), "_quota", starts.alias("_starts"))
+    # in each sequence's own array: its places by their hashes, as many as the quota
+    hashed = F.array_sort(F.transform("_starts", lambda x: F.struct(seeded(F.concat(F.col("old_id").cast("string"), F.lit("-"), x.cast("string")), seed).alias("h"), x.alias("start"))))
+    chosen = F.when(F.col("_quota") < 0, F.col("_starts")).otherwise(F.transform(F.slice(hashed, F.lit(1), F.greatest(F.col("_quota"), F.lit(0)).cast("int")), lambda x: x["start"]))
+    out = whole.select(group, "old_id", "_s", F.explode(chosen).alias("start"))
+    return out.select(group, "old_id", "start", (F.col("start") + length).alias("end"), F.substring("_s", F.col("start") + 1, F.lit(length)).alias("frag"))
+
+
 def random_part(seqs: DataFrame, ident: str, seq: str, length: int, seed: int) -> DataFrame:
     """A part of each sequence that begins anywhere; whole sequences where they are shorter."""
     start = F.floor(hash01(ident, seed) * (F.greatest(F.length(seq) - length, F.lit(0)) + 1)).cast("int")

@@ -94,6 +94,14 @@ def k11_capped_fragments(t: Tables) -> DataFrame:
     return op.shred(seqs(t), "doc_id", "seq", 100, n=5, seed=6).select("old_id", "start")
 
 
+@query(f"""WITH {seqs_sql()}, r AS (SELECT source, 2000 * 100 / sum(length(seq))::DOUBLE AS ratio FROM seqs GROUP BY 1), x AS (SELECT doc_id, source, seq, ratio, length(seq) * ratio / 100 AS share FROM seqs JOIN r USING (source)),
+    q AS (SELECT doc_id, source, seq, CASE WHEN ratio < 1 THEN floor(share) + CASE WHEN share - floor(share) > ('0x' || substr(md5(doc_id || ':quota:6'), 1, 8))::BIGINT / 4294967296.0 THEN 1 ELSE 0 END ELSE -1 END AS quota FROM x),
+    f AS (SELECT source, doc_id, quota, unnest(range(0, length(seq) - 99, 100)) AS s FROM q WHERE length(seq) >= 100)
+    SELECT source, doc_id AS old_id, s::INT AS start FROM f QUALIFY quota < 0 OR row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || '-' || s || ':6'), s) <= quota""")
+def k11_reference_fragments(t: Tables) -> DataFrame:
+    return op.capped_fragments(seqs(t), "source", "doc_id", "seq", 100, 2000, 6).select("source", "old_id", "start")
+
+
 @query(f"WITH {seqs_sql()}, h AS (SELECT *, floor(('0x' || substr(md5(doc_id || ':8'), 1, 8))::BIGINT / 4294967296.0 * (greatest(length(seq) - 300, 0) + 1))::INT AS s FROM seqs) SELECT doc_id, s AS start, md5(substr(seq, s + 1, 300)) AS digest FROM h")
 def k12_random_part(t: Tables) -> DataFrame:
     return op.random_part(seqs(t), "doc_id", "seq", 300, 8).select("doc_id", "start", F.md5("part").alias("digest"))

@@ -161,6 +161,24 @@ def test_allocation_is_whole_and_even(bushy):
             assert sum(got[x] for x in k) == got[i] and max(got[x] for x in k) - min(got[x] for x in k) <= 1
 
 
+def test_fragments_are_shared_by_length(spark):
+    rows = [("a", i, "ACGTA" * n) for i, n in enumerate([2000, 400, 400, 20, 20, 19, 3])] + [("b", 50, "A" * 250), ("b", 51, "C" * 99), (None, 60, "G" * 100)]
+    seqs = spark.createDataFrame(rows, "g string, id long, seq string")
+    cap = 50
+    got = kmers.capped_fragments(seqs, "g", "id", "seq", 100, cap, 3).collect()
+    of = {i: sorted(r.start for r in got if r.old_id == i) for _, i, _ in rows}
+    total = sum(len(s) for g, _, s in rows if g == "a")
+    for g, i, s in rows:
+        assert len(set(of[i])) == len(of[i]) and all(x % 100 == 0 and x + 100 <= len(s) for x in of[i])
+        if g == "a":
+            assert len(of[i]) in {min(n, len(s) // 100) for n in (int(len(s) * cap / total), int(len(s) * cap / total) + 1)}
+    assert of[0] and len(of[0]) > 2 * len(of[1])
+    assert (of[50], of[51], of[60]) == ([0, 100], [], [0])
+    assert all(r.frag == dict((i, s) for _, i, s in rows)[r.old_id][r.start : r.end] for r in got)
+    again = kmers.capped_fragments(seqs.repartition(3), "g", "id", "seq", 100, cap, 3).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in again} and len(got) == len(again)
+
+
 def test_host_candidates_of_virus_names(spark):
     want = {
         "Vibriophage VP16": [(1, "vibrio"), (1, "vibriobacter"), (1, "vibriobacterium"), (1, "vibriobacteria")],
