@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,25 @@ def first_by(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFra
     """The first ``n`` rows of each key; Spark cuts groups down before the shuffle."""
     at = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_at", F.row_number().over(at)).filter(F.col("_at") <= n).drop("_at")
+
+
+def range_bucket(df: DataFrame, key: str, n: int = 256) -> Column:
+    """About ``n`` ranges of a key, numbered in its order, with bounds from a sample by hash."""
+    found = sorted(r[0] for r in df.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(16 * n).collect())
+    bounds = F.array(*[F.lit(x) for x in dict.fromkeys(found[15::16])])
+    return F.size(F.filter(bounds, lambda b: b <= F.col(key))) if len(found) > 15 else F.lit(0)
+
+
+def running(df: DataFrame, group: str, bucket: Column, order: list, value: Column) -> DataFrame:
+    """``df`` with _run, the sum of ``value`` in its group up to each row in ``order``, and _total, the
+    group's. ``bucket`` rises with ``order``, and equal keys share one: buckets are summed up, the few sums
+    are added along each group, and rows are put in order within buckets, so that no task holds a group."""
+    x = df.withColumn("_b", bucket).withColumn("_v", value)
+    sums = x.groupBy(group, "_b").agg(F.sum("_v").alias("_n"))
+    of = Window.partitionBy(group)
+    before = F.sum("_n").over(of.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    start = sums.select(F.col(group).alias("_g"), F.col("_b").alias("_c"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(of).alias("_total"))
+    own = F.sum("_v").over(Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # both null-safe: from a plain equality Spark infers a filter of _c by the columns that _b is made of
+    placed = x.join(small(start), F.col(group).eqNullSafe(F.col("_g")) & F.col("_b").eqNullSafe(F.col("_c")))
+    return placed.withColumn("_run", own + F.col("_before")).drop("_b", "_v", "_g", "_c", "_before")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import hash01, probabilistic_round, reverse_complement, seeded
-from cladeflow.operators.common import first_by, small
+from cladeflow.operators.common import first_by, range_bucket, running, small
 
 
 def windows(seqs: DataFrame, ident: str, seq: str, k: int, step: int = 100_000) -> DataFrame:
@@ -106,9 +106,8 @@ def replace_degenerate(seqs: DataFrame, ident: str, seq: str, seed: int) -> Data
 def chunk_index(seqs: DataFrame, group: str, ident: str, length: str, size: int) -> DataFrame:
     """Chunks of a fixed size along the concatenated sequences of each group: the sequence that each
     begins in, and how far into it."""
-    at = Window.partitionBy(group).orderBy(ident)
-    end = F.sum(length).over(at.rowsBetween(Window.unboundedPreceding, 0))
-    placed = seqs.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col(length))
+    seqs = seqs.select(group, ident, length)
+    placed = running(seqs, group, range_bucket(seqs, ident), [ident], F.col(length)).withColumnRenamed("_run", "_end").withColumn("_start", F.col("_end") - F.col(length))
     first = F.ceil(F.col("_start") / size).cast("long")
     last = F.ceil(F.col("_end") / size).cast("long") - 1
     chunks = placed.filter(first <= last).select(group, ident, "_start", F.explode(F.sequence(first, last)).alias("chunk"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions import columns as fn
 from cladeflow.operators import kmers as op
-from cladeflow.operators.common import first_by
+from cladeflow.operators.common import first_by, range_bucket, running
 from cladeflow.plans.registry import Tables, query
 
 SEQ = "translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
@@ -132,11 +132,9 @@ def k16_renumbered(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':2'), doc_id) <= round(0.3 * count(*) OVER (PARTITION BY lang))")
 def k17_sample_by_ratio(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    of = Window.partitionBy("lang")
-    d = t.documents.select("doc_id", "lang").withColumn("at", F.row_number().over(of.orderBy(fn.seeded("doc_id", 2), "doc_id"))).withColumn("n", F.count("*").over(of))
-    return d.filter(F.col("at") <= F.round(0.3 * F.col("n"))).select("doc_id", "lang")
+    h = fn.seeded("doc_id", 2)
+    d = running(t.documents.select("doc_id", "lang"), "lang", F.coalesce(F.substring(h, 1, 2), F.lit("")), [h, F.col("doc_id")], F.lit(1))
+    return d.filter(F.col("_run") <= F.round(0.3 * F.col("_total"))).select("doc_id", "lang")
 
 
 @query("""WITH u AS (SELECT vec_id AS unit, embedding AS w FROM embeddings WHERE vec_id < 9), d AS (SELECT vec_id, label, unit, sqrt(list_sum(list_transform(list_zip(embedding, w), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))) AS dist FROM embeddings, u),
@@ -205,11 +203,9 @@ def snk4_fasta_records(t: Tables) -> DataFrame:
 
 @query(f"WITH {seqs_sql()} SELECT source, ((sum(length(seq)) OVER (PARTITION BY source ORDER BY doc_id) - length(seq)) // 20000)::BIGINT AS chunk_id, doc_id, length(seq)::BIGINT AS n FROM seqs")
 def snk6_size_chunks(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.length("seq").cast("long")
-    before = F.sum(n).over(Window.partitionBy("source").orderBy("doc_id")) - n
-    return seqs(t).select("source", F.floor(before / 20000).alias("chunk_id"), "doc_id", n.alias("n"))
+    s = seqs(t).select("source", "doc_id", F.length("seq").cast("long").alias("n"))
+    x = running(s, "source", range_bucket(s, "doc_id"), ["doc_id"], F.col("n"))
+    return x.select("source", F.floor((F.col("_run") - F.col("n")) / 20000).alias("chunk_id"), "doc_id", "n")
 
 
 @query(f"WITH {seqs_sql()}, c AS (SELECT doc_id, unnest(string_split(seq, '')) AS symbol FROM seqs) SELECT symbol, count(*) AS n FROM c WHERE symbol <> '' GROUP BY 1")

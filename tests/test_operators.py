@@ -179,6 +179,25 @@ def test_fragments_are_shared_by_length(spark):
     assert {tuple(r) for r in got} == {tuple(r) for r in again} and len(got) == len(again)
 
 
+def test_chunks_of_one_group_take_several_tasks(spark):
+    r = random.Random(5)
+    rows = [("a" if i % 50 else None, i, r.randrange(0, 90)) for i in range(6000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = kmers.chunk_index(spark.createDataFrame(rows, "g string, id long, n long").repartition(3), "g", "id", "n", 100)
+        got = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for g in ("a", None):
+        at = 0
+        for _, i, n in (x for x in rows if x[0] == g):
+            want += [(g, c, i, c * 100 - at) for c in range(-(-at // 100), -(-(at + n) // 100))]
+            at += n
+    assert sorted((tuple(x)[:4] for x in got), key=str) == sorted(want, key=str)
+    assert len({x.task for x in got if x.g == "a"}) > 1
+
+
 def test_host_candidates_of_virus_names(spark):
     want = {
         "Vibriophage VP16": [(1, "vibrio"), (1, "vibriobacter"), (1, "vibriobacterium"), (1, "vibriobacteria")],
