@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,19 +18,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
-
-    The files go to the folder that the session names in ``spark.checkpoint.dir``; only where that
-    is unset (a local test session) a folder of this process is taken.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``. Where it names none, a local session
+    gets a folder of this process; a cluster, whose machines don't share one, gets an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Tables:
+    """Intermediate tables in the shared folder.
+
+    ``put`` writes a frame as Parquet and reads it back, which cuts its lineage, lets later steps read
+    only the columns that they need, and packs small files into few tasks. ``drop`` deletes those
+    that nothing reads any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self.kept: list[tuple[DataFrame, str]] = []
+        self.written = 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{self.written}"
+        self.written += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        spark = self.spark.sparkContext
+        for _, path in [x for x in self.kept if any(x[0] is y for y in frames)]:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        self.kept = [x for x in self.kept if not any(x[0] is y for y in frames)]
+
+
 def within(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import cut, release, within
+from cladeflow.llm.common import Tables, release, within
 from cladeflow.llm.graph import components
 from cladeflow.llm.shingles import mix, shingle_sets
 
@@ -29,6 +29,9 @@ LEAST_AGREEMENT = 184
 FIRST_BANDS = 6
 #: Ids that are broadcast at most to pick the texts to be read again.
 BROADCAST_IDS = 2_000_000
+#: Sets with copies that are broadcast at most, and parts in which more are joined.
+BROADCAST_SETS = 100_000
+SALTS = 32
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,13 +121,30 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return wanted.mapInArrow(collect, "node long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b), each once, whose full sets are similar enough."""
-    nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    sets = cut(_sets(docs, nodes, k))
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return joined.filter(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+class _Texts:
+    """Whole texts (id, text) from which sets are made anew wherever full sets decide."""
+
+    def __init__(self, rows: DataFrame, k: int, percent: int, tables: Tables):
+        self.rows, self.k, self.percent, self.tables = rows, k, percent, tables
+        #: Whether an id has several rows, which then count once for each of its texts.
+        self.repeated = False
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        found = _sets(self.rows, nodes, self.k)
+        return self.tables.put(found.dropDuplicates() if self.repeated else found)
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b), each once, whose full sets are similar enough, as a table.
+
+        A pair's first set is shuffled with it; a node of very many pairs is a key that Spark splits.
+        """
+        nodes = self.tables.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        sets = self.sets(nodes)
+        joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+        common = F.size(F.array_intersect("of_a", "of_b"))
+        out = self.tables.put(joined.filter(100 * common >= self.percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b"))
+        self.tables.drop(nodes, sets)
+        return out
 
 
 def _alike(x: str, y: str, percent: int) -> Column:
@@ -142,7 +162,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     or more, as the bands are cut for that. The steps, none of which needs a bucket or a component in
     one place:
 
-    1. Sets with equal fingerprints are one node, named by its smallest id.
+    1. Sets with equal sizes and equal fingerprints (two sums of 64-bit hashes) are one node, named by
+       its smallest id; two different sets of one size are taken for one with probability 2^-128.
     2. Each bucket of the first few bands proposes one of its nodes, drawn by a hash, to all others; full sets confirm;
        components. Then each bucket of any band that still holds several components proposes another
        node to the nodes of other components.
@@ -150,67 +171,94 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
        share one of their rarest shingles and that sketch, sizes and places of shingles allow to be
        similar enough. Full sets confirm; components of all links.
 
+    Every step's result is a table in the shared folder, deleted when the steps that read it are done.
+
     Defined results: null, empty and wordless texts have no shingles, link with nothing and are kept;
     rows of one id are one document for links; a null id has a null component and is kept; an empty
     table stays empty; other columns are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    tables = Tables(docs.sparkSession)
+    texts = _Texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), k, percent, tables)
     sketch = [f"s{j}" for j in range(SKETCH_WORDS)]
-    signed = cut(_signed(texts, k))
+    signed = tables.put(_signed(texts.rows, k))
     key = ["n", "f1", "f2"]
-    named = signed.filter("n > 0 AND id IS NOT NULL")
-    first = named.groupBy(*key).agg(F.min("id").alias("node"))
-    copies = named.join(first, key).select("id", "node", "n", *sketch, F.when(F.col("id") == F.col("node"), F.col("bands")).alias("bands"))
-    copies = cut(copies)
-    heads = copies.filter("bands IS NOT NULL")
-    in_band = heads.select("node", F.posexplode("bands").alias("place", "band"))
-    buckets = in_band.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("held")).filter("low < high")
-    members = cut(in_band.join(buckets.select("band", "held"), "band"))
-    about = cut(heads.select("node", "n", *sketch).dropDuplicates(["node"]))
-
-    def split(placed: DataFrame, turn: int) -> DataFrame:
-        """Buckets that hold several components, each with a node drawn by a hash and its component."""
-        drawn = F.min_by(F.struct("node", "component"), F.xxhash64("node", "band", F.lit(turn)))
-        found = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), drawn.alias("pivot"))
-        return found.filter("low < high").select("band", "pivot")
-
-    of, tested, links = None, None, None
-    for turn, places in enumerate((f"place < {FIRST_BANDS}", "true")):
-        placed = _placed(members.filter(places), of)
-        stars = placed.join(split(placed, turn), "band").filter("component <> pivot.component")
-        stars = stars.select(F.greatest("node", "pivot.node").alias("a"), F.least("node", "pivot.node").alias("b")).distinct()
-        stars = cut(_may_be(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), about, percent))
-        if stars.isEmpty():
-            continue
-        tested = stars if tested is None else tested.union(stars)
-        found = _confirmed(stars, texts, k, percent)
-        links = cut(found if links is None else links.union(found))
-        of = components(links)
+    multi = tables.put(signed.filter("n > 0 AND id IS NOT NULL").groupBy(*key).agg(F.min("id").alias("node"), F.count("*").alias("held")).filter("held > 1").drop("held"))
+    whole = _named(signed, multi, key)
+    ids = tables.put(whole.select("id", "n", "node"))
+    own = whole.filter("id = node")
+    about = tables.put(own.select("node", "n", *sketch).distinct())
+    heads = own.select("node", "bands")
+    texts.repeated = ids.filter("id = node").count() > about.count()
+    heads = tables.put(heads.dropDuplicates() if texts.repeated else heads)
+    tables.drop(signed, multi)
+
+    # the first bands: every node is its own component
+    first = heads.select("node", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("band"))
+    # min() of an exclusive or with the band's hash draws a node without sorting
+    drawn = first.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.col("node").bitwiseXOR(F.xxhash64("band"))).alias("drawn"))
+    pivots = tables.put(drawn.filter("low < high").select("band", F.col("drawn").bitwiseXOR(F.xxhash64("band")).alias("pivot")))
+    stars = first.join(pivots, "band").filter("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+    tested = tables.put(_may_be(stars, about, percent))
+    tables.drop(pivots)
+    links = texts.confirmed(tested)
+    of = tables.put(components(links, tables))
+
+    # all bands: buckets that hold several components, each with a node drawn by a hash
+    placed = _placed(heads, of).select("node", "component", F.explode("bands").alias("band"))
+    members = _open(placed, tables)
+    drawn = F.min_by(F.struct("node", "component"), F.xxhash64("node", "band"))
+    pivots = tables.put(members.groupBy("band").agg(drawn.alias("pivot")))
+    stars = members.join(pivots, "band").filter("component <> pivot.component")
+    stars = stars.select(F.greatest("node", "pivot.node").alias("a"), F.least("node", "pivot.node").alias("b")).distinct()
+    stars = tables.put(_may_be(stars.join(tested, ["a", "b"], "left_anti"), about, percent))
+    tables.drop(heads, pivots)
+    found = texts.confirmed(stars)
+    links = tables.put(links.union(found))
+    after = tables.put(components(links, tables))
 
     # what the stars left apart
-    placed = _placed(members, of)
-    apart = placed.join(split(placed, 0).select("band"), "band", "left_semi").select("node", "component").distinct()
-    apart = cut(apart.join(about, "node"))
-    if apart.isEmpty():
-        pairs = apart.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    else:
-        pairs = _by_rare_shingles(apart, texts, k, percent)
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        found = _confirmed(pairs, texts, k, percent)
-        of = components(found if links is None else links.union(found))
-
-    where = _placed(copies.select("id", "node").distinct(), of).select("id", F.col("component").alias("component_id"))
-    where = where.groupBy("id").agg(F.min("component_id").alias("component_id"))
-    out = signed.select("id", "n").join(where, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    still = _open(_placed(members.drop("component"), after), tables)
+    apart = tables.put(still.select("node", "component").distinct().join(about, "node"))
+    tables.drop(of, members, still)
+    if not apart.isEmpty():
+        pairs = _by_rare_shingles(apart, texts).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = tables.put(pairs.join(tested.union(stars), ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            after = tables.put(components(links.union(texts.confirmed(pairs)), tables))
+        tables.drop(pairs)
+    tables.drop(about, tested, stars, links, apart)
+
+    where = _placed(ids, after).filter("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("component_id"))
+    out = ids.select("id", "n").join(where, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _placed(rows: DataFrame, of: DataFrame | None) -> DataFrame:
+def _named(signed: DataFrame, multi: DataFrame, key: list[str]) -> DataFrame:
+    """``signed`` with the node of each row: the smallest id of its exact copies, null without shingles or id.
+
+    ``multi`` has the sets of several rows. Few are broadcast; many are joined in salted parts, so that
+    the copies of one text don't meet in one task.
+    """
+    if multi.count() <= BROADCAST_SETS:
+        rows, by = F.broadcast(multi), key
+    else:
+        rows, by = multi.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*key, "salt"]
+        signed = signed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    out = signed.join(rows, by, "left")
+    return out.withColumn("node", F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.coalesce("node", "id"))))
+
+
+def _open(placed: DataFrame, tables: Tables) -> DataFrame:
+    """The rows (node, component, band) of buckets that hold several components, as a table."""
+    sums = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    bands = tables.put(sums.filter("low < high").select("band"))
+    out = tables.put(placed.select("node", "component", "band").join(bands, "band", "left_semi"))
+    tables.drop(bands)
+    return out
+
+
+def _placed(rows: DataFrame, of: DataFrame) -> DataFrame:
     """Rows of nodes with their components so far; a node that no link has reached is its own."""
-    if of is None:
-        return rows.withColumn("component", F.col("node"))
     return rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
@@ -220,14 +268,14 @@ def _may_be(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     return x.join(about.select(F.col("node").alias("b"), F.struct(*about.columns[1:]).alias("y")), "b").filter(_alike("x", "y", percent)).select("a", "b")
 
 
-def _by_rare_shingles(apart: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _by_rare_shingles(apart: DataFrame, texts: _Texts) -> DataFrame:
     """Pairs (a, b) across components in ``apart`` that may be similar enough and share a rare shingle.
 
     All sets are put in one order, the rarest shingles first. Two sets of the wanted similarity share a
     shingle among their first n - ceil(0.75 n) + 1; and where the first that they share stands at the
     places p and q, they share at most 1 + min(n - p, m - q) in all. Both hold for any order.
     """
-    sets = cut(_sets(texts, apart.select("node"), k))
+    sets, percent = texts.sets(apart.select("node").distinct()), texts.percent
     rows = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     shared = rows.join(often, "shingle")
