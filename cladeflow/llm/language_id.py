@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,14 +82,17 @@ class Model:
         kernel = (rows @ self.landmarks.T) / np.sqrt(size[:, None] * self.sizes[None, :])
         return np.hstack([kernel, np.ones((len(texts), 1))]) @ self.weights, some
 
-    def predict(self, texts: list[str | None], batch: int = 128) -> tuple[list[str], np.ndarray]:
-        names, scores = [], []
+    def predict(self, texts: list[str | None], batch: int = 128) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores (0 to 1), and whether the landmarks raise any language above what a text that
+        is like none of them would get."""
+        names, scores, claimed = [], [np.empty(0)], [np.empty(0, dtype=bool)]
         for at in range(0, len(texts), batch):
             values, some = self.scores(texts[at : at + batch])
             best = values.argmax(axis=1)
             names += [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, some, strict=True)]
             scores.append(np.where(some, np.clip((values.max(axis=1) + 1) / 2, 0, 1), 0.0))
-        return names, np.concatenate(scores) if scores else np.empty(0)
+            claimed.append(some & (values > self.weights[-1]).any(axis=1))
+        return names, np.concatenate(scores), np.concatenate(claimed)
 
 
 def fit(presence: np.ndarray, labels: list[str], landmarks: int = 160, ridge: float = 1e-3) -> Model:
@@ -128,27 +131,31 @@ def train(labelled: DataFrame, sample: int = 1600, landmarks: int = 160, id_col:
     text, however long it is). Rows of one id count once; null ids and labels are not learned from.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL").filter(F.col("label") != UNDETERMINED)
-    names = rows.select("label").distinct().limit(sample + 1).collect()
-    if not names:
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).limit(sample + 1).collect()
+    if not counts:
         return None
-    if len(names) > sample:
+    if len(counts) > sample:
         raise ValueError(f"more than {sample} languages")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, sample // len(names)))
-    chosen = F.broadcast(chosen.select("id", "label", "place").dropDuplicates(["id"]))
-
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    each = max(1, sample // len(counts))
+    # four times as many as wanted are below a language's limit, however many rows it has
+    limits = [(r["label"], 2**63 - 1 if r["n"] <= 4 * each else round(-(2**63) + 2**64 * 4 * each / r["n"])) for r in counts]
+    limits = F.broadcast(labelled.sparkSession.createDataFrame(limits, "label string, most long"))
+    near = rows.withColumn("hash", F.xxhash64("id")).join(limits, "label").filter("hash <= most").select("id", "label", "hash").dropDuplicates(["id"])
+    chosen = near.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("hash", "id"))).filter(F.col("place") <= each)
+    chosen = F.broadcast(chosen.select("id", "label", "place"))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(text: str | None) -> bytes | None:
             present = np.zeros(SLOTS, dtype=bool)
             some = grams(text, present)
             return np.packbits(present).tobytes() if some else None
 
         for x in batches:
-            yield x.assign(bits=[packed(t) for t in x["text"]])[["id", "label", "place", "bits"]]
+            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("label"), x.column("place"), pa.array([packed(t.as_py()) for t in x.column("text")], pa.binary())], ["id", "label", "place", "bits"])
         release()
 
-    texts = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
-    found = texts.mapInPandas(bits, "id long, label string, place int, bits binary").filter("bits IS NOT NULL").dropDuplicates(["id"]).collect()
+    texts = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select(F.col("id").cast("long"), "label", "place", "text")
+    found = texts.mapInArrow(bits, "id long, label string, place int, bits binary").filter("bits IS NOT NULL").dropDuplicates(["id"]).collect()
     found.sort(key=lambda r: (r.place, r.label, r.id))
     if not found:
         return None
@@ -157,25 +164,27 @@ def train(labelled: DataFrame, sample: int = 1600, landmarks: int = 160, id_col:
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1; half of 1 + the best decision value).
+    """``docs`` with lang_pred, score (0 to 1; half of 1 + the best decision value) and lang_claimed (whether
+    the text is like any landmark at all).
 
-    Defined results: a null text and one without a letter are ``und`` with score 0, as is everything
-    without a model; ties go to the language that sorts first; other columns and repeated rows stay,
-    but columns named lang_pred or score are replaced. Nothing is shuffled.
+    Defined results: a null text and one without a letter are ``und`` with score 0 and unclaimed, as is
+    everything without a model; ties go to the language that sorts first; other columns and repeated
+    rows stay, but columns of the three names are replaced. Nothing is shuffled.
     """
+    names = ["lang_pred", "score", "lang_claimed"]
+    keep = [F.col(c) for c in docs.columns if c not in names]
     if model is None:
-        return docs.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
+        return docs.select(*keep, F.lit(UNDETERMINED).alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(False).alias(names[2]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def said(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, lang_claimed boolean")
+    def said(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names, scores = shared.value.predict(texts.tolist())
-            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
+            found, scores, claimed = shared.value.predict(texts.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores), pa.array(claimed)], names)
         release()
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*keep, said(F.col(text_col).cast("string")).alias("_said")).select(*keep, "_said.lang_pred", "_said.score")
+    return docs.select(*keep, said(F.col(text_col).cast("string")).alias("_said")).select(*keep, *[f"_said.{c}" for c in names])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from cladeflow.llm.common import cut, release, within
 
-#: More queues than this are refused: a window can't hold a token of each.
+#: More queues than this are refused: the work for each edge of a window grows with their number.
 MAX_SOURCES = 4096
+#: Numbers (window edges by sources) that are held at once.
+CELLS = 4_000_000
 
 
 class Schedule:
@@ -38,7 +40,10 @@ class Schedule:
         ends = self.t / self.w  # when each queue runs dry
         order = np.unique(np.concatenate([[0.0], ends]))
         self.time = order
-        self.sum = np.minimum(self.t[None, :], order[:, None] * self.w[None, :]).sum(axis=1)
+        by_end = np.argsort(ends, kind="stable")
+        dry, left = np.concatenate([[0.0], np.cumsum(self.t[by_end])]), np.concatenate([np.cumsum(self.w[by_end][::-1])[::-1], [0.0]])
+        ended = np.searchsorted(ends[by_end], order, side="right")
+        self.sum = dry[ended] + order * left[ended]
 
     def served(self, k: np.ndarray) -> np.ndarray:
         """A row for each window number in ``k``: tokens of each source in the windows before."""
@@ -91,6 +96,15 @@ class Schedule:
         k = hi - lo + 2  # the edges of the windows lo to hi
         doc = np.repeat(np.arange(len(n)), k)
         edge = np.arange(len(doc)) - np.repeat(np.cumsum(k) - k, k) + lo[doc]
+        step = max(CELLS // len(self.t), 16)
+        parts = [self._between(source, start, n, doc[i : i + step + 1], edge[i : i + step + 1]) for i in range(0, max(len(doc) - 1, 1), step)]
+        out = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        if int(out[2].sum()) != int(n.sum()):
+            raise RuntimeError("the windows do not cover the documents")
+        return out
+
+    def _between(self, source: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The pieces between edges that follow one another and are of one document."""
         served = self.served(edge)
         here = doc[:-1] == doc[1:]
         doc, win, before, after = doc[:-1][here], edge[:-1][here], served[:-1][here], served[1:][here]
@@ -100,14 +114,11 @@ class Schedule:
         a, b = np.maximum(mine, start[doc]), np.minimum(end, start[doc] + n[doc])
         ok = b > a
         offset = ahead[at, s] - (end - mine) + (a - mine)
-        out = doc[ok], (a - start[doc])[ok], (b - a)[ok], win[ok], offset[ok]
-        if int(out[2].sum()) != int(n.sum()):
-            raise RuntimeError("the windows do not cover the documents")
-        return out
+        return doc[ok], (a - start[doc])[ok], (b - a)[ok], win[ok], offset[ok]
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(ranks: str, pattern: str, keep: int):
+def _encoder(ranks: str, pattern: str, added: tuple[tuple[str, int], ...], keep: int):
     """A function from a text to the bytes of its ids (little-endian, 16 bits if they suffice), their type,
     and a function that forgets the words met so far."""
     import base64
@@ -118,7 +129,9 @@ def _encoder(ranks: str, pattern: str, keep: int):
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
     encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-    kind = "<u2" if max(table.values()) < 65536 else "<u4"
+    kind = "<u2" if max([*table.values(), *(i for _, i in added)]) < 65536 else "<u4"
+    special = {x: np.array([i], dtype=kind).tobytes() for x, i in added}
+    apart = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if added else None
 
     class Words(dict):
         """Ids of a space and a word; what doesn't fit is worked out again."""
@@ -135,6 +148,12 @@ def _encoder(ranks: str, pattern: str, keep: int):
     unlike = re.compile(r" \s| \Z").search
 
     def ids(text: str) -> bytes:
+        """Each added token of a text is its id; what lies between them is encoded for itself."""
+        if apart and any(x in text for x in special):
+            return b"".join(special[x] if x in special else plain(x) for x in apart(text) if x)
+        return plain(text)
+
+    def plain(text: str) -> bytes:
         if unlike(text):
             return np.array(encode(text), dtype=kind).tobytes()
         first, *others = text.split(" ")
@@ -154,13 +173,16 @@ def pack(
     text_col: str = "text",
     source_col: str = "source",
     word_cache: int = 600_000,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pack all tokens of ``docs`` into windows that hold the sources in target proportions.
 
-    ``ranks`` is a public rank file of a byte-level vocabulary and ``pattern`` its pre-token pattern;
+    ``ranks`` is a public rank file of a byte-level vocabulary, ``pattern`` its pre-token pattern and
+    ``added`` the ids of the strings that its tokenizer takes out of a text before anything else;
     ``weights`` gives the sources' target proportions (default: their share of all tokens, so that
     all queues run dry together; a source without a weight has the weight 1). Each text is followed
-    by ``end_id``. A queue holds its documents in the order in which Spark reads them.
+    by ``end_id``. A queue holds its documents in the order in which Spark reads them, so that another
+    split of the input into tasks gives another packing, equally whole.
 
     Returns a row per piece: id, source, start (its document's tokens before it), length, doc_tokens,
     sequence_id, offset (in the sequence, gapless from 0), ids (32-bit little-endian). All sequences
@@ -171,11 +193,11 @@ def pack(
     not read. More than ``MAX_SOURCES`` sources raise ``ValueError``. The tokens are written once, as a
     checkpoint; the documents are never shuffled.
     """
-    spark = docs.sparkSession
+    special = tuple(sorted((added or {}).items()))
     columns = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, kind, forget = _encoder(ranks, pattern, word_cache)
+        ids, kind, forget = _encoder(ranks, pattern, special, word_cache)
         end, width = np.array([end_id], dtype=kind).tobytes(), np.dtype(kind).itemsize
         chunk, so_far = TaskContext.get().partitionId(), {}
         for batch in batches:
@@ -210,7 +232,7 @@ def pack(
     if any(not x > 0 for x in shares):
         raise ValueError("weights must be positive")
     plan = Schedule([r.n for r in totals], shares, window) if totals else None
-    kind = "<u2" if _ids_fit(ranks) else "<u4"
+    kind = "<u2" if _ids_fit(ranks) and all(i < 65536 for _, i in special) else "<u4"
 
     before = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = within(before.select(F.col("chunk").alias("of_chunk"), F.col("source").alias("of_source"), "base"), 200_000)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,12 @@ def tokenizer(name: str) -> str:
 
 
 def packed(docs: DataFrame) -> DataFrame:
+    """Ids as the tokenizer file makes them; its ranks and pattern are also on their own."""
     import public_tokenizers
 
-    return pack(docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    with open(tokenizer("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+    return pack(docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
 
 
 # The rules of the URL filter (host, path, verdict).

@@ -32,9 +32,9 @@ def test_packing_places_every_token_once(spark, some):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    added = {"<|endoftext|>": 50256}
     docs = docs_of(spark, some).repartition(3).withColumn("start", F.lit("clash"))
-    pieces = packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, window=128).collect()
+    pieces = packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, window=128, added=added).collect()
     by_doc, by_seq = {}, {}
     for p in pieces:
         by_doc.setdefault(p.doc_id, []).append(p)
@@ -69,7 +69,7 @@ def test_packing_places_every_token_once(spark, some):
     for s in range(len(by_seq) - 1):  # each window has the target proportions, to a token or two
         for source, n in tokens_of.items():
             assert abs(share[s].get(source, 0) - 128 * n / total) <= 2.5
-    rows = packing.sequences(packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, window=128), 128).collect()
+    rows = packing.sequences(packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, window=128, added=added), 128).collect()
     assert all(len(r.ids) == 128 * 4 for r in rows) and sum(r.n_tokens for r in rows) == total
 
 
