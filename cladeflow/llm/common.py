@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -75,8 +76,10 @@ def within(df: DataFrame, rows: int) -> DataFrame:
 
 
 def release() -> None:
-    """Give back the Arrow memory that a Python worker's finished batches leave in its pool.
+    """Give back the memory that a Python worker's finished batches leave in Arrow's pool and in the C heap.
 
     Workers outlive their tasks, and the next stage's tasks share the executor with them.
     """
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

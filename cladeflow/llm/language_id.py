@@ -10,6 +10,7 @@ batch of texts is two matrix products: presences by landmarks, and landmarks by
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -180,8 +181,9 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     @F.arrow_udf("lang_pred string, score double, lang_claimed boolean")
     def said(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found, scores, claimed = shared.value.predict(texts.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores), pa.array(claimed)], names)
+            parts = [shared.value.predict(texts.slice(at, 512).to_pylist()) for at in range(0, len(texts), 512)]
+            found, scores, claimed = [list(itertools.chain(*x)) for x in zip(*parts, strict=True)] if parts else ([], [], [])
+            yield pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(claimed, pa.bool_())], names)
         release()
 
     return docs.select(*keep, said(F.col(text_col).cast("string")).alias("_said")).select(*keep, *[f"_said.{c}" for c in names])

@@ -26,7 +26,7 @@ from cladeflow.llm.common import cut, release, within
 #: More queues than this are refused: the work for each edge of a window grows with their number.
 MAX_SOURCES = 4096
 #: Numbers (window edges by sources) that are held at once.
-CELLS = 4_000_000
+CELLS = 500_000
 
 
 class Schedule:
@@ -211,7 +211,7 @@ def pack(
                 b.append(len(x) // width)
                 c.append(x)
                 rows += len(x)
-                if rows >= 8_000_000 or k + 1 == len(source):
+                if rows >= 1_000_000 or k + 1 == len(source):
                     span = slice(k + 1 - len(a), k + 1)
                     yield pa.RecordBatch.from_arrays(
                         [doc.slice(span.start, len(a)), pa.array(source[span], pa.string()), pa.array([chunk] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())],
@@ -240,10 +240,10 @@ def pack(
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # about 100,000 pieces at a time
+            # about 20,000 pieces at a time
             n = batch.column("n").to_numpy()
             expected = np.cumsum(n * min(len(names), window) // window + 4)
-            edges = np.searchsorted(expected, np.arange(0, expected[-1] if len(n) else 0, 100_000))
+            edges = np.searchsorted(expected, np.arange(0, expected[-1] if len(n) else 0, 20_000))
             for lo, hi in zip(edges, [*edges[1:], len(n)], strict=True):
                 if hi > lo:
                     yield pieces(batch.slice(lo, hi - lo))

@@ -1,4 +1,4 @@
-"""What the two vector searches share: usable vectors, equal vectors as one, and results by query.
+"""What the two vector searches share: usable vectors, equal vectors as one, dealing out, and results by query.
 
 A search asks for the ``k`` best of all rows but the query's own, ties to the smaller id. Rows with equal
 vectors score alike everywhere, so they are searched as one, under their ``k + 1`` smallest ids: no
@@ -7,6 +7,8 @@ query can need more of them, as it leaves out at most itself.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,25 @@ def finite(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
+def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """An Arrow column of arrays of one length as rows of doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+
+
+def dealt(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """(key, size) to (key, first, parts): neighbouring keys share a bin while it holds ``most`` rows; a larger
+    key has bins of its own, over which its rows are dealt."""
+    out, at, held = [], 0, 0
+    for key, size in sizes:
+        parts = -(-size // most)
+        if held and (parts > 1 or held + size > most):
+            at, held = at + 1, 0
+        out.append((key, at, parts))
+        at, held = (at + parts, 0) if parts > 1 else (at, held + size)
+    return out
+
+
 def grouped(rows: DataFrame, k: int) -> DataFrame:
     """(id, v) to a row for each distinct vector: group (its smallest id), v, ids (its k + 1 smallest).
 
