@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import seeded
-from cladeflow.operators.common import first_by
-from cladeflow.operators.tree import fill_up_order, find_names, lowest_common_of_sets
+from cladeflow.operators.common import first_by, small
+from cladeflow.operators.kmers import renumber
+from cladeflow.operators.tree import find_names, lowest_common_of_sets, nearest_of_rank
 
 
 def orf_place(orf: Column) -> Column:
@@ -75,9 +76,13 @@ def assigned_hosts(candidates: DataFrame, nodes: DataFrame, pairs: DataFrame, ba
 
 def reference_hosts(hosts: DataFrame, pairs: DataFrame, with_sequence: DataFrame, bound: int) -> DataFrame:
     """(host, ref): the node with a sequence nearest to each host: in its own subtree first, then by how
-    far up the common node is; ids break ties, whatever was chosen for others."""
+    far up the common node is; ids break ties, whatever was chosen for others.
+
+    Each ancestor has its least node with a sequence, so that no host meets all candidates."""
     own = hosts.select(F.col("id").alias("host")).join(with_sequence.select(F.col("id").alias("host")), "host").select("host", F.col("host").alias("ref"), F.lit(-1).alias("up"))
-    near = fill_up_order(pairs, hosts, with_sequence, bound).select(F.col("target").alias("host"), F.col("id").alias("ref"), "up")
+    least = with_sequence.select("id").join(pairs.select("id", "anc_id"), "id").groupBy("anc_id").agg(F.min("id").alias("ref"))
+    up = hosts.select("id").join(pairs.filter(F.col("dist") <= bound), "id")
+    near = up.join(least, "anc_id").select(F.col("id").alias("host"), "ref", F.col("dist").alias("up"))
     return first_by(own.union(near), ["host"], [F.col("up"), F.col("ref")]).select("host", "ref")
 
 
@@ -91,15 +96,24 @@ def feature_hosts(features: DataFrame, virus: str, columns: list[str], xref: str
 def class_quotas(totals: DataFrame, least: int, most: int) -> DataFrame:
     """Foreground classes with enough samples, each with an equal quota of ``most`` that it can fill."""
     ok = totals.filter(F.col("total") >= least)
-    n = F.count("*").over(Window.partitionBy())
-    return ok.withColumn("quota", F.least("total", F.floor(F.lit(most) / n)))
+    n = F.broadcast(ok.agg(F.count("*").alias("_n")))
+    return ok.join(n).withColumn("quota", F.least("total", F.floor(F.lit(most) / F.col("_n")))).drop("_n")
+
+
+def regrouped(of_host: DataFrame, refs: DataFrame, pairs: DataFrame, nodes: DataFrame, virus: str, ranks: list[str]) -> DataFrame:
+    """(group, ref, virus): viruses (virus, host) under the reference sequence of their host, and references
+    under their first node of one of ``ranks``; a reference without such a node is left out."""
+    group = nearest_of_rank(pairs, nodes, ranks).select(F.col("id").alias("ref"), F.col("at_rank").alias("group"))
+    return of_host.join(refs, "host").join(group, "ref").select("group", "ref", virus).distinct()
 
 
-def training_rows(samples: DataFrame, quotas: DataFrame, label: str, ident: str, seed: int) -> DataFrame:
-    """As many samples of each class as its quota, in seeded order, with the classes numbered from 1."""
-    number = F.dense_rank().over(Window.orderBy(label))
-    q = quotas.select(label, "quota").withColumn("number", number)
+def training_rows(samples: DataFrame, quotas: DataFrame, label: str, ident: str, seed: int, background: DataFrame | None = None, background_number: int = 0) -> DataFrame:
+    """As many samples of each class as its quota, in seeded order, with the classes numbered from 1;
+    ``background`` (label, quota) are classes that share one number."""
+    q = renumber(quotas.select(label, "quota"), label, "number").select(label, "quota", (F.col("number") + 1).alias("number"))
+    if background is not None:
+        q = q.union(background.select(label, "quota", F.lit(background_number).cast("long")))
     at = Window.partitionBy(label).orderBy(seeded(ident, seed), F.col(ident))
-    return samples.join(F.broadcast(q), label).withColumn("_at", F.row_number().over(at)).filter(F.col("_at") <= F.col("quota")).drop("_at")
+    return samples.join(small(q), label).withColumn("_at", F.row_number().over(at)).filter(F.col("_at") <= F.col("quota")).drop("_at")
 
 

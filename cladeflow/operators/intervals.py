@@ -24,9 +24,17 @@ def coverage(parts: DataFrame, hits: DataFrame, key: list[str], kind: str) -> Da
 
 
 def nearest(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """The least gap between a's and b's intervals of one key; negative where they overlap."""
-    gap = F.abs((F.col("a.start") + F.col("a.end")) / 2 - (F.col("b.start") + F.col("b.end")) / 2) - (F.col("a.end") - F.col("a.start")) / 2 - (F.col("b.end") - F.col("b.start")) / 2
-    return a.alias("a").join(b.alias("b"), key).groupBy(key).agg(F.min(gap).alias("gap"))
+    """The least gap between a's and b's intervals of one key; negative where they overlap.
+
+    Sorted by their middles, an interval of a is next to the least start of what follows and to the
+    greatest end of what comes before: no pairs are formed.
+    """
+    both = a.select(key, "start", "end", F.lit(None).cast("double").alias("_s"), F.lit(None).cast("double").alias("_e"))
+    both = both.unionByName(b.select(key, F.lit(None).alias("start"), F.lit(None).alias("end"), F.col("start").cast("double").alias("_s"), F.col("end").cast("double").alias("_e")))
+    at = Window.partitionBy(key).orderBy(F.coalesce(F.col("start") + F.col("end"), F.col("_s") + F.col("_e")))
+    after = F.min("_s").over(at.rangeBetween(Window.currentRow, Window.unboundedFollowing)) - F.col("end")
+    before = F.col("start") - F.max("_e").over(at.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("gap", F.least(after, before)).groupBy(key).agg(F.min("gap").alias("gap")).filter("gap IS NOT NULL")
 
 
 def array_extents(elements: DataFrame, array: str) -> DataFrame:
@@ -44,8 +52,9 @@ def spacers_in_ratio(elements: DataFrame, array: str, low: float = 0.6, high: fl
 
 def similar_spacers(spacers: DataFrame, array: str, place: str, seq: str, identity: float = 0.6, reach: int = 3) -> DataFrame:
     """Share of spacers that are like one of the next few: identity is 1 - edit distance by length."""
-    later = spacers.select(array, F.col(place).alias("_p"), F.col(seq).alias("_q"))
-    near = spacers.join(later, array).filter((F.col("_p") > F.col(place)) & (F.col("_p") <= F.col(place) + reach))
+    steps = F.explode(F.sequence(F.lit(1), F.lit(reach)))
+    later = spacers.select(array, F.col(place).alias("_p"), F.col(seq).alias("_q"), steps.alias("_step")).withColumn(place, F.col("_p") - F.col("_step"))
+    near = spacers.join(later.select(array, place, "_q"), [array, place])
     like = 1 - F.levenshtein(seq, "_q") / F.greatest(F.length(seq), F.length("_q")) >= identity
     hit = near.filter(like).select(array, place).distinct().withColumn("_hit", F.lit(1))
     return spacers.join(hit, [array, place], "left").groupBy(array).agg((F.sum(F.coalesce("_hit", F.lit(0))) / F.count("*")).alias("share"))

@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from cladeflow.functions.columns import hash01, probabilistic_round, reverse_complement, seeded
 from cladeflow.operators.common import first_by, range_bucket, running, small
 
+#: Units of a grid at most.
+MAX_UNITS = 100_000
 
-def windows(seqs: DataFrame, ident: str, seq: str, k: int, step: int = 100_000) -> DataFrame:
-    """Long sequences cut into parts that share k - 1 symbols, so that no task holds all k-mers of one."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - k, F.lit(0)), F.lit(step))
-    parts = seqs.filter(F.length(seq) >= k).select(ident, F.col(seq).alias("_s"), F.explode(starts).alias("_at"))
-    return parts.select(ident, F.substring("_s", F.col("_at") + 1, F.lit(step + k - 1)).alias(seq))
+
+def windows(seqs: DataFrame, ident: str, seq: str, k: int, step: int = 50_000) -> DataFrame:
+    """Long sequences cut into parts that share k - 1 symbols, so that no array holds all k-mers of one.
+
+    One pass over the sequence cuts it; each part then gets the first symbols of the next.
+    """
+    cut_up = seqs.filter(F.length(seq) >= k).select(ident, F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_parts"))
+    joined = F.transform("_parts", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("_parts", i + 1), 1, k - 1), F.lit(""))))
+    return cut_up.select(ident, F.explode(joined).alias(seq))
 
 
 def kmers(seqs: DataFrame, ident: str, seq: str, k: int, merge: bool = False) -> DataFrame:
     """(id, kmer) for each place of a k-mer of upper-case A, C, G and T; ``merge``: under the smaller of
-    it and its reverse complement."""
-    parts = windows(seqs, ident, seq, k)
-    places = F.sequence(F.lit(1), F.length(seq) - k + 1)
-    found = parts.select(ident, F.explode(F.transform(places, lambda i: F.substring(F.col(seq), i, F.lit(k)))).alias("kmer")).filter(F.col("kmer").rlike("^[ACGT]+$"))
+    it and its reverse complement. The time is linear in the length of a sequence."""
+    at_each_place = F.regexp_extract_all(F.col(seq), F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
+    found = windows(seqs, ident, seq, k).select(ident, F.explode(at_each_place).alias("kmer"))
     return found.withColumn("kmer", F.least("kmer", reverse_complement(F.col("kmer")))) if merge else found
 
 
@@ -128,10 +133,11 @@ def balance(df: DataFrame, label: str, ident: str, target: int | str, seed: int,
 
 
 def renumber(df: DataFrame, label: str, to: str = "number") -> DataFrame:
-    """Labels as 0 to n - 1 in their order."""
-    names = df.select(label).distinct()
-    numbered = names.withColumn(to, (F.row_number().over(Window.orderBy(label)) - 1).cast("long"))
-    return df.join(F.broadcast(numbered), label)
+    """Labels as 0 to n - 1 in their order; rows without a label go. However many labels there are, they
+    are numbered within ranges of them."""
+    names = df.select(label).filter(F.col(label).isNotNull()).distinct().withColumn("_all", F.lit(0))
+    placed = running(names, "_all", range_bucket(names, label), [label], F.lit(1))
+    return df.join(small(placed.select(label, (F.col("_run") - 1).cast("long").alias(to))), label)
 
 
 def to_sparse(df: DataFrame, vector: str, to: str = "sparse") -> DataFrame:
@@ -152,7 +158,10 @@ def svmlight(label: Column, vector: Column) -> Column:
 
 
 def nearest_units(df: DataFrame, ident: str, vector: str, units: DataFrame, radius: float) -> DataFrame:
-    """(id, unit, dist) of the nearest grid unit (unit, weights; a small, stated grid) within ``radius``."""
+    """(id, unit, dist) of the nearest grid unit (unit, weights) within ``radius``. The grid is a stated set
+    that meets all rows; one of more than ``MAX_UNITS`` units raises ``ValueError``."""
+    if units.count() > MAX_UNITS:
+        raise ValueError(f"more than {MAX_UNITS} units")
     square = F.aggregate(F.zip_with(vector, "weights", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
     pairs = df.join(F.broadcast(units)).select(ident, "unit", F.sqrt(square).alias("dist"))
     best = pairs.groupBy(ident).agg(F.min(F.struct("dist", "unit")).alias("m"))
@@ -175,6 +184,22 @@ def concatenated(seqs: DataFrame, group: str, ident: str, seq: str, spacer: str
     return seqs.groupBy(group).agg(F.array_join(F.transform(items, lambda x: x[seq]), spacer).alias(seq))
 
 
+def concatenated_parts(seqs: DataFrame, group: str, ident: str, seq: str, size: int, spacer: str = "NNNNNNN") -> DataFrame:
+    """(group, part, seq): the text of ``concatenated`` in parts of ``size`` symbols, numbered from 0, the last
+    one shorter. No row or task holds a group, however long it is."""
+    rows = seqs.filter(F.col(seq).isNotNull()).select(group, ident, F.concat(F.col(seq), F.lit(spacer)).alias("_s"))
+    placed = running(rows, group, range_bucket(rows, ident), [ident], F.length("_s").cast("long"))
+    # the last sequence of a group has no spacer behind it
+    text = F.when(F.col("_run") == F.col("_total"), F.expr(f"left(_s, length(_s) - {len(spacer)})")).otherwise(F.col("_s"))
+    placed = placed.select(group, ident, (F.col("_run") - F.length("_s")).alias("_start"), text.alias("_s")).filter(F.length("_s") > 0)
+    lead = (F.lit(size) - F.col("_start") % size).cast("int")
+    rest = F.regexp_extract_all(F.expr("substr(_s, _lead + 1)"), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    pieces = placed.withColumn("_lead", lead).select(group, ident, "_start", F.posexplode(F.concat(F.array(F.expr("left(_s, _lead)")), rest)).alias("_i", "_piece"))
+    pieces = pieces.withColumn("part", (F.floor(F.col("_start") / size) + F.col("_i")).cast("long"))
+    items = F.array_sort(F.collect_list(F.struct("_start", "_i", "_piece")))
+    return pieces.groupBy(group, "part").agg(F.array_join(F.transform(items, lambda x: x["_piece"]), "").alias(seq))
+
+
 def training_text(seqs: DataFrame, ident: str, seq: str, cap: int, seed: int) -> DataFrame:
     """Both strands of each sequence, all cut by one ratio so that their sum stays near ``cap``."""
     total = seqs.agg(F.sum(F.length(seq))).first()[0] or 0

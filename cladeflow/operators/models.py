@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cladeflow.functions.columns import seeded
 from cladeflow.operators.common import cut, first_by, small
 from cladeflow.operators.kmers import kmer_counts
-from cladeflow.operators.tree import with_info
+from cladeflow.operators.relational import status_of
+from cladeflow.operators.tree import fill_lineage, fixed_lineage, lowest_common, with_info
 
 # Coefficients of the confidence model.
 SCALE = {"b0": -0.5, "b1": 2.0, "b2": 1.5, "b3": 0.01, "b4": 0.8, "e": 4.0}
@@ -107,6 +108,59 @@ def grid(spark, params: dict[str, list]) -> DataFrame:
     return out.withColumn("id", F.row_number().over(Window.orderBy(*params)) - 1)
 
 
+def prediction_rows(preds: DataFrame, meta: DataFrame, nodes: DataFrame, pairs: DataFrame, levels: dict[str, int], ranks: list[str], least: int, given: DataFrame | None = None, mapped: DataFrame | None = None, c: dict = SCALE) -> DataFrame:
+    """The full row of each prediction (id, len, idscore, score) of a sample of ``least`` symbols or more.
+
+    ``meta`` (idscore, namescore, taxid) says what a score id stands for, ``mapped`` (taxid, to) replaces
+    taxids by others, ``given`` (id, given) are weights, else a sample weighs its length. Returns id, len,
+    taxid, name, rank, weight, idscore, namescore and, for each of ``ranks``, taxid_, name_ and score_: the
+    node of the lineage, filled up and down over all ``levels`` (from the bottom; the last is the root's),
+    and the confidence at that node's own level, 1 at the root. A taxid that is no node (0, a reject)
+    keeps its row, with nulls.
+    """
+    x = preds.filter(F.col("len") >= least).join(small(meta), "idscore")
+    if mapped is not None:
+        x = x.join(small(mapped), "taxid", "left").withColumn("taxid", F.coalesce("to", "taxid")).drop("to")
+    x = x.join(given, "id", "left") if given is not None else x.withColumn("given", F.lit(None))
+    x = x.withColumn("weight", F.coalesce(F.col("given").cast("double"), F.col("len").cast("double")))
+    info = nodes.select(F.col("id").alias("taxid"), "name", "rank")
+    wide = fill_lineage(fixed_lineage(pairs, nodes, list(levels)), list(levels), "up-down")
+    x = x.join(info, "taxid", "left").join(wide.select(F.col("id").alias("taxid"), *[F.col(r).alias(f"taxid_{r}") for r in ranks]), "taxid", "left")
+    top = max(levels.values())
+    out = ["id", "len", "taxid", "name", "rank", "weight", "idscore", "namescore"]
+    for r in ranks:
+        at = F.coalesce(*[F.when(F.col("_rank") == k, v) for k, v in levels.items()])
+        x = x.join(info.select(F.col("taxid").alias(f"taxid_{r}"), F.col("name").alias(f"name_{r}"), F.col("rank").alias("_rank")), f"taxid_{r}", "left").withColumn("_level", at)
+        sure = F.when(F.col("_level") == top, 1.0).otherwise(F.round(confidence(F.col("score"), F.col("len"), F.col("_level"), c), 2))
+        x = x.withColumn(f"score_{r}", F.when(F.col("_level").isNotNull(), sure)).drop("_rank", "_level")
+        out += [f"taxid_{r}", f"name_{r}", f"score_{r}"]
+    return x.select(*out)
+
+
+def taxonomy_report(ids: DataFrame, lookup: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str, value: str, weight: str) -> DataFrame:
+    """What a list of ids stands for: (status, id, ids, weight), the ids that found a node by each node above
+    it, and those that did not by why (missing, zero, no node), with id 0."""
+    found = status_of(ids, lookup, nodes, key, value, "id")
+    sums = F.count("*").alias("ids"), F.sum(weight).alias("weight")
+    lost = found.filter("status <> 'ok'").groupBy("status").agg(*sums).select("status", F.lit(0).cast("long").alias("id"), "ids", "weight")
+    by = found.filter("status = 'ok'").groupBy(F.col(value).alias("id")).agg(*sums).join(pairs, "id").groupBy("anc_id").agg(F.sum("ids").alias("ids"), F.sum("weight").alias("weight"))
+    return lost.union(by.select(F.lit("ok"), F.col("anc_id").cast("long"), "ids", "weight"))
+
+
+def match_rates(couples: DataFrame, pairs: DataFrame, nodes: DataFrame, a: str, b: str, levels: dict[str, int], good: int) -> DataFrame:
+    """(level, tested, matched, level_distance) of two predictions, for the couples in which b's level is at or
+    below each level: they match where the common node's level is ``good`` or below, or is b itself; the
+    distance is the mean step in levels from b to the common node. A node without a level has that of
+    the nearest node above with one."""
+    at = F.coalesce(*[F.when(F.col("anc_rank") == k, v) for k, v in levels.items()])
+    own = with_info(pairs, nodes, "rank").withColumn("_level", at).filter("_level IS NOT NULL").groupBy("id").agg(F.min_by("_level", "dist").alias("_level"))
+    of = lambda x, to: own.select(F.col("id").alias(x), F.col("_level").alias(to))
+    x = lowest_common(pairs, couples, a, b).join(of(b, "level_b"), b).join(of("lcs", "level_lcs"), "lcs")
+    x = x.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels.values()]))).filter(F.col("level_b") <= F.col("level"))
+    hit = (F.col("level_lcs") <= good) | (F.col("dist_b") == 0)
+    return x.groupBy("level").agg(F.count("*").alias("tested"), F.count_if(hit).alias("matched"), F.avg(F.col("level_lcs") - F.col("level_b")).alias("level_distance"))
+
+
 def annotation_vote(hits: DataFrame, pairs: DataFrame, nodes: DataFrame, levels: dict[str, int], sample: str, node: str, weight: str, least: int = 4, least_here: int = 2, share: float = 0.75) -> DataFrame:
     """(sample, vote): each hit counts, with its weight, for its node and all above; from the lowest level
     up, the first node wins that has all hits, or, of ``least`` or more, ``least_here`` and the share."""
@@ -162,6 +216,17 @@ def test_terminals(leaves: DataFrame, group: str, ident: str, n: str, target: st
     return x.withColumn("is_test", F.col("_in") | (none & smallest)).drop("_sum", "_in")
 
 
+def checked_counts(nodes: DataFrame, totals: DataFrame, own: DataFrame) -> DataFrame:
+    """One row of counts: nodes with a total (id, total), those above their parent's total, and those without
+    rows of their own (``own``: id) whose total isn't the sum of their children's. Both must be 0."""
+    child = totals.join(nodes.select("id", "idpar"), "id").select(F.col("idpar").alias("id"), F.col("total").alias("_child"))
+    met = totals.join(child, "id")
+    sums = met.groupBy("id", "total").agg(F.sum("_child").alias("_sum"), F.count_if(F.col("_child") > F.col("total")).alias("_above"))
+    sums = sums.join(own.select("id").distinct().withColumn("_own", F.lit(1)), "id", "left")
+    bad = sums.agg(F.coalesce(F.sum("_above"), F.lit(0)).alias("above_parent"), F.count_if(F.col("_own").isNull() & (F.col("_sum") != F.col("total"))).alias("unlike_children"))
+    return totals.agg(F.count("*").alias("nodes")).join(F.broadcast(bad))
+
+
 def allocate_down(nodes: DataFrame, depth: DataFrame, root: int, amount: int, seed: int) -> DataFrame:
     """(id, amount): an amount split equally at each branch; what can't be split goes to the children
     that come first in seeded order."""
@@ -169,7 +234,10 @@ def allocate_down(nodes: DataFrame, depth: DataFrame, root: int, amount: int, se
     most = tree.agg(F.max("depth")).first()[0]
     level = tree.filter(F.col("id") == root).select("id", F.lit(amount).cast("long").alias("amount"))
     out = level
-    start = tree.filter(F.col("id") == root).first().depth
+    top = tree.filter(F.col("id") == root).first()
+    if top is None:  # no tree, or not this root
+        return out
+    start = top.depth
     for d in range(start + 1, most + 1):
         below = tree.filter(F.col("depth") == d).join(level.select(F.col("id").alias("idpar"), "amount"), "idpar")
         of = Window.partitionBy("idpar")
@@ -199,4 +267,4 @@ def representatives_up(nodes: DataFrame, depth: DataFrame, items: DataFrame, see
         part = below.select("id", "item")
         out = part if out is None else out.union(part)
         level -= 1
-    return out
+    return items.select("id", "item").limit(0) if out is None else out

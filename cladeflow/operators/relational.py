@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from cladeflow.functions.columns import seeded
 from cladeflow.operators.common import first_by, small
 
+#: Columns of a pivoted report at most.
+MAX_COLUMNS = 10_000
+#: Queries of a search that are broadcast together, and parts that points and larger query sets are dealt in.
+QUERY_BLOCK, POINT_PARTS = 10_000, 64
+
 
 def filter_rows(df: DataFrame, exprs: dict[str, str] | None = None, where: str | None = None, fields: list[str] | None = None) -> DataFrame:
     """Derive columns, filter and pick, all given as SQL expressions."""
@@ -84,12 +89,21 @@ def status_of(df: DataFrame, lookup: DataFrame, nodes: DataFrame, key: str, valu
 def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int, ident: str, vector: str, label: str, most: float | None = None) -> DataFrame:
     """Label of each query by a vote of its ``k`` nearest points (Euclidean); 0 if none is near enough.
 
-    ``queries`` is a stated set that meets all points; each task of the points keeps its own best k.
+    ``queries`` is a stated set that meets all points; each task of the points keeps its own best k. A set of
+    more than ``QUERY_BLOCK`` goes in blocks, each of which meets each of ``POINT_PARTS`` parts of the points
+    in a key of its own.
     """
     q = queries.select(F.col(ident).alias("id_q"), F.col(vector).alias("v_q"))
     p = points.select(F.col(ident).alias("id_p"), F.col(vector).alias("v_p"), F.col(label).alias("label"))
     square = F.aggregate(F.zip_with("v_q", "v_p", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
-    pairs = p.crossJoin(small(q, 10_000)).filter("id_q <> id_p").withColumn("dist", F.sqrt(square))
+    blocks = -(-q.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        pairs = p.crossJoin(F.broadcast(q))
+    else:
+        of_q = q.withColumn("_block", F.pmod(F.xxhash64("id_q"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(POINT_PARTS - 1))))
+        of_p = p.withColumn("_part", F.pmod(F.xxhash64("id_p"), F.lit(POINT_PARTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        pairs = of_p.join(of_q, ["_block", "_part"]).drop("_block", "_part")
+    pairs = pairs.filter("id_q <> id_p").withColumn("dist", F.sqrt(square))
     near = first_by(pairs.select("id_q", "id_p", "label", "dist"), ["id_q"], [F.col("dist"), F.col("id_p")], k)
     near = near.filter(F.col("dist") <= most) if most is not None else near
     votes = near.groupBy("id_q", "label").agg(F.count("*").alias("votes"))
@@ -161,8 +175,12 @@ def in_all_splits(df: DataFrame, label: str, split: str) -> DataFrame:
 
 
 def pivot_report(df: DataFrame, row: str, column: str, value: Column, columns: list | None = None, rest=0) -> DataFrame:
-    """A row for each value of ``row``, a column for each of ``column``; missing cells get ``rest``."""
-    columns = columns or [r[0] for r in df.select(column).distinct().orderBy(column).limit(1000).collect()]
+    """A row for each value of ``row``, a column for each of ``column``; missing cells get ``rest``. More than
+    ``MAX_COLUMNS`` columns raise ``ValueError``: a row that wide is no report."""
+    if columns is None:
+        columns = [r[0] for r in df.select(column).distinct().orderBy(column).limit(MAX_COLUMNS + 1).collect()]
+        if len(columns) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} columns")
     return df.groupBy(row).pivot(column, columns).agg(value).na.fill(rest)
 
 

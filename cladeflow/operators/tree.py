@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.operators.common import cut, first_by
+from cladeflow.operators.common import cut, first_by, range_bucket, running
 
 #: Ranks of the lineage from the bottom up and their levels.
 LEVELS = {"species": 20, "genus": 30, "family": 40, "order": 50, "class": 60, "phylum": 70, "kingdom": 80, "superkingdom": 90, "root": 100}
@@ -21,7 +21,8 @@ def closure(nodes: DataFrame) -> DataFrame:
     """(id, anc_id, dist) with each node itself at distance 0.
 
     Pointer doubling: the pairs at the greatest distance so far are joined with all pairs, so that
-    rounds grow with the logarithm of the depth. A parent that is no node ends a lineage.
+    rounds grow with the logarithm of the depth. A parent that is no node ends a lineage; a node that
+    is its own ancestor raises ``ValueError``.
     """
     all_pairs = nodes.select("id", F.col("id").alias("anc_id"), F.lit(0).alias("dist"))
     real = nodes.select(F.col("id").alias("idpar"))
@@ -33,6 +34,8 @@ def closure(nodes: DataFrame) -> DataFrame:
         more = cut(more)
         if more.isEmpty():
             return all_pairs.union(pairs)
+        if not more.filter("id = anc_id").isEmpty():
+            raise ValueError("the tree has a cycle")
         pairs, reach = cut(pairs.union(more)), reach * 2
 
 
@@ -145,6 +148,8 @@ def reduce_up(nodes: DataFrame, pairs: DataFrame, value: str, combine: Column, i
         below = cut(now.join(deep.select("id", "idpar", "ok"), "id"))
         done.append(below.select("id", F.col("x").alias("result")))
         level -= 1
+    if not done:
+        return nodes.select("id", F.col(value).alias("x")).groupBy("id").agg(combine.alias("result"))
     return reduce(lambda a, b: a.union(b), done)
 
 
@@ -191,13 +196,15 @@ def find_names(names: DataFrame, asked: DataFrame, name: str, query: str) -> Dat
 
 
 def with_custom_leaves(nodes: DataFrame, leaves: DataFrame, ident: str, first_id: int, top: int) -> DataFrame:
-    """Leaves with new ids added: under the node that the prefix TAXIDnnn_ of their name names, under the
+    """Leaves with new ids added, numbered by name within ranges of names: under the node that the prefix TAXIDnnn_ of their name names, under the
     root if there is no such node, and under a new node ``top`` without that prefix."""
     asked = F.regexp_extract(ident, r"^TAXID(\d+)_", 1)
     new = leaves.select(F.col(ident).alias("name"), F.when(asked != "", asked.cast("long")).alias("want"))
     found = new.join(nodes.select(F.col("id").alias("want"), F.lit(1).alias("there")), "want", "left")
     root = nodes.filter("idpar = 0").select(F.col("id").alias("root"))
-    number = F.row_number().over(Window.orderBy("name")) + (first_id - 1)
+    found = found.withColumn("_all", F.lit(0))
+    found = running(found, "_all", range_bucket(found, "name"), ["name"], F.lit(1))
+    number = F.col("_run") + (first_id - 1)
     parent = F.when(F.col("want").isNull(), top).when(F.col("there").isNull(), F.col("root")).otherwise(F.col("want"))
     grown = found.join(F.broadcast(root)).select(number.cast("long").alias("id"), parent.cast("long").alias("idpar"), F.lit("species").alias("rank"), "name")
     node = root.select(F.lit(top).cast("long").alias("id"), F.col("root").cast("long").alias("idpar"), F.lit("custom").alias("rank"), F.lit("custom sequences").alias("name"))
@@ -220,6 +227,16 @@ def weighted_scores(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     return sums.select("id", "weight", "n", (F.col("_s") / F.col("weight")).alias("score"))
 
 
+def scores_with_fallback(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """(id, score, n): the mean of each node's own scores (id, score); a node without any has the mean over the
+    scores that its children have or pass on. A scored node thus counts for every node above it up to
+    the next one with scores of its own, which follows from the closure without a walk."""
+    own = scores.groupBy("id").agg(F.sum("score").alias("_s"), F.count("*").alias("n"))
+    stop = pairs.filter("dist > 0").join(own.select(F.col("id").alias("anc_id")), "anc_id", "left_semi").groupBy("id").agg(F.min("dist").alias("_stop"))
+    given = own.join(pairs, "id").join(stop, "id", "left").filter("_stop IS NULL OR dist < _stop")
+    return given.groupBy("anc_id").agg((F.sum("_s").cast("double") / F.sum("n")).alias("score"), F.sum("n").alias("n")).withColumnRenamed("anc_id", "id")
+
+
 def faked_ranks(pairs: DataFrame, nodes: DataFrame, template: list[str]) -> DataFrame:
     """Ranks for unranked lineages: the place on the way down picks from ``template``; species stay."""
     place = depths(pairs)

@@ -94,6 +94,19 @@ def p25_reference_hosts(t: Tables) -> DataFrame:
     return op.reference_hosts(nodes.filter("rank = 'customer'"), pairs, with_sequence, 1)
 
 
+@query(f"""{CLOSURE}, h AS (SELECT id FROM tree WHERE rank = 'customer'), s AS (SELECT 1000 + c_custkey AS id FROM customer WHERE c_mktsegment = 'MACHINERY'),
+    near AS (SELECT h.id AS host, id AS ref, -1 AS up FROM h JOIN s USING (id) UNION ALL SELECT a.id, b.id, min(a.dist) FROM closure a JOIN closure b USING (anc_id) WHERE a.id IN (SELECT id FROM h) AND b.id IN (SELECT id FROM s) AND a.id <> b.id AND a.dist <= 1 GROUP BY 1, 2),
+    refs AS (SELECT host, ref FROM near QUALIFY row_number() OVER (PARTITION BY host ORDER BY up, ref) = 1),
+    g AS (SELECT c.id AS ref, arg_min(anc_id, dist) AS "group" FROM closure c JOIN tree a ON anc_id = a.id WHERE a.rank IN ('nation', 'region') GROUP BY 1)
+    SELECT DISTINCT "group", ref, o_orderkey FROM orders JOIN refs ON host = 1000 + o_custkey JOIN g USING (ref)""")
+def p25_regrouped_viruses(t: Tables) -> DataFrame:
+    nodes, pairs = both(t)
+    with_sequence = t.customer.filter("c_mktsegment = 'MACHINERY'").select((F.col("c_custkey") + 1000).alias("id"))
+    refs = op.reference_hosts(nodes.filter("rank = 'customer'"), pairs, with_sequence, 1)
+    viruses = t.orders.select("o_orderkey", (F.col("o_custkey") + 1000).alias("host"))
+    return op.regrouped(viruses, refs, pairs, nodes, "o_orderkey", ["nation", "region"])
+
+
 @query("SELECT DISTINCT p_partkey, h AS host, CASE WHEN p_size % 2 = 0 THEN p_size::BIGINT END AS taxid FROM (SELECT p_partkey, p_size, unnest([lower(trim(p_name)), lower(trim(p_type)), NULL]) AS h FROM part) WHERE h IS NOT NULL AND h <> ''")
 def p34_feature_hosts(t: Tables) -> DataFrame:
     f = t.part.select("p_partkey", "p_name", "p_type", F.lit(None).cast("string").alias("lab"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("taxon:"), F.col("p_size").cast("string"))).otherwise("none").alias("xref"))
@@ -115,6 +128,23 @@ def p37_training_rows(t: Tables) -> DataFrame:
     return op.training_rows(t.customer.select("c_nationkey", "c_custkey"), q, "c_nationkey", "c_custkey", 21).select("c_custkey", F.col("number").cast("long").alias("number"))
 
 
+@query("""WITH q AS (SELECT c_nationkey, least(count(*), 40) AS quota, count(*) >= 20 AS fg FROM customer GROUP BY 1), n AS (SELECT c_nationkey, quota, CASE WHEN fg THEN row_number() OVER (PARTITION BY fg ORDER BY c_nationkey) ELSE 0 END AS number FROM q)
+    SELECT c_custkey, number FROM customer JOIN n USING (c_nationkey) QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey || ':21'), c_custkey) <= max(quota) OVER (PARTITION BY c_nationkey)""")
+def p37_with_background(t: Tables) -> DataFrame:
+    q = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n")).select("c_nationkey", F.least("n", F.lit(40)).alias("quota"), "n")
+    rows = op.training_rows(t.customer.select("c_nationkey", "c_custkey"), q.filter("n >= 20"), "c_nationkey", "c_custkey", 21, q.filter("n < 20"))
+    return rows.select("c_custkey", "number")
+
+
+@query(f"""{CLOSURE}, total AS (SELECT anc_id AS id, count(*) AS total FROM closure JOIN orders ON id = 1000 + o_custkey GROUP BY 1), own AS (SELECT 1000 + o_custkey AS id, count(*) AS own FROM orders GROUP BY 1)
+    SELECT (SELECT count(*) FROM total) AS nodes, (SELECT count(*) FROM total c JOIN tree t USING (id) JOIN total p ON t.idpar = p.id WHERE c.total > p.total) AS above_parent,
+        (SELECT count(*) FROM (SELECT p.id FROM total p JOIN tree t ON t.idpar = p.id JOIN total c ON c.id = t.id LEFT JOIN own ON own.id = p.id WHERE own.id IS NULL GROUP BY p.id, p.total HAVING sum(c.total) <> p.total)) AS unlike_children""")
+def p35_checked_counts(t: Tables) -> DataFrame:
+    nodes, pairs = both(t)
+    o = t.orders.select((F.col("o_custkey") + 1000).alias("id"), F.lit(1).alias("one"))
+    return models.checked_counts(nodes, tree.subtree_totals(pairs, o, "one"), o)
+
+
 @query(f"""{CLOSURE} SELECT sum(least(n, 3))::BIGINT AS picks FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)""")
 def p35_checked_picks(t: Tables) -> DataFrame:
     nodes = nodes_of(t)
@@ -131,31 +161,6 @@ def p28_representatives(t: Tables) -> DataFrame:
     return models.representatives_up(nodes, tree.depths(pairs), items, 5, 100)
 
 
-@query()
-def p17_cross_validation(t: Tables) -> DataFrame:
-    """Each fold predicted by a linear model of the others, one metric pass over all; no SQL form."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    x = models.folds(t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features")), "vec_id", 3, 4).cache()
-    parts = None
-    for k in range(3):
-        fitted = LogisticRegression(maxIter=5, regParam=0.1).fit(x.filter(F.col("fold") != k))
-        p = fitted.transform(x.filter(F.col("fold") == k)).select("vec_id", "fold", F.col("label").alias("test"), F.col("prediction").alias("pred"))
-        parts = p if parts is None else parts.union(p)
-    return parts.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("test") == F.col("pred")).cast("double")).alias("acc"))
-
-
-@query()
-def k18_pca(t: Tables) -> DataFrame:
-    """Two principal components; signs are arbitrary, so that there is no SQL form."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    x = t.embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    return PCA(k=2, inputCol="v", outputCol="p").fit(x).transform(x).select("vec_id", F.abs(vector_to_array("p")[0]).alias("p1"), F.abs(vector_to_array("p")[1]).alias("p2"))
-
-
 @query("SELECT n_nationkey, word, place FROM (SELECT n_nationkey, unnest(string_split(n_name, '_')) AS word, generate_subscripts(string_split(n_name, '_'), 1) - 1 AS place FROM nation) WHERE word <> ''")
 def src9_row_expanding_hook(t: Tables) -> DataFrame:
     from pyspark.sql.functions import udtf

@@ -73,7 +73,7 @@ def src12_model_descriptions(t: Tables) -> DataFrame:
     n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     m = n.groupBy("n_regionkey", "r_name").agg(F.collect_list(F.concat_ws("_", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"))).alias("ids_seq"))
     m = m.select(F.struct("ids_seq", F.concat(F.lit("m"), F.col("n_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), (F.col("n_regionkey") + 10).alias("taxid")).alias("m"))
-    m.agg(F.collect_list("m").alias("mgt_mod_descr")).coalesce(1).write.json(at)
+    m.agg(F.collect_list("m").alias("models")).coalesce(1).write.json(at)
     return readers.read_models(t.spark, at)
 
 

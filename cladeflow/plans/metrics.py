@@ -135,7 +135,7 @@ def m1_benchmark_pairs(t: Tables) -> DataFrame:
     cand = t.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice").join(s, "l_suppkey").join(c, "l_orderkey").withColumnRenamed("l_orderkey", "samp")
     nations = nodes.filter("id BETWEEN 100 AND 199")
     excl = nations.select(F.col("id").alias("truth"), F.explode(F.array(F.struct(F.lit(0).alias("lev"), F.lit(0).cast("long").alias("x")), F.struct(F.lit(1).alias("lev"), F.col("id").alias("x")), F.struct(F.lit(2).alias("lev"), F.col("idpar").alias("x")))).alias("e")).select("truth", "e.lev", "e.x")
-    kept = cand.join(F.broadcast(excl), "truth").join(pairs.select(F.col("id").alias("node"), F.col("anc_id").alias("x")), ["node", "x"], "left_anti")
+    kept = cand.join(excl, "truth").join(pairs.select(F.col("id").alias("node"), F.col("anc_id").alias("x")), ["node", "x"], "left_anti")
     n = kept.withColumn("n_models", F.count("*").over(Window.partitionBy("samp", "lev")))
     best = first_by(n, ["samp", "lev"], [F.desc("l_extendedprice"), F.col("l_suppkey")])
     up = nations.select("id", "idpar")

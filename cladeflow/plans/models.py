@@ -78,19 +78,6 @@ def p7_confidence(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(c, 6).alias("conf"))
 
 
-@query()
-def p8_fitted_confidence(t: Tables) -> DataFrame:
-    """Logistic regression on score, length and level with their interaction; no SQL form."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    x = t.lineitem.select((F.col("l_returnflag") == "R").cast("double").alias("label"), (F.col("l_extendedprice") / 1e5).alias("s"), F.pow("l_quantity", F.lit(-0.25)).alias("n"), F.col("l_linenumber").cast("double").alias("lev"))
-    x = VectorAssembler(inputCols=["s", "n", "lev", "sn"], outputCol="features").transform(x.withColumn("sn", F.col("s") * F.col("n")))
-    model = LogisticRegression(maxIter=20).fit(x)
-    names = ["b1", "b2", "b3", "b4"]
-    return t.spark.createDataFrame([("b0", float(model.intercept)), *[(n, float(v)) for n, v in zip(names, model.coefficients, strict=True)]], "name string, value double")
-
-
 @query(f"""{CLOSURE}, s AS (SELECT o_orderkey AS id, count(*) AS len, arg_max(l_suppkey, (l_extendedprice, -l_suppkey)) AS idscore, max(l_extendedprice) AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(*) >= 3)
     SELECT s.id, len, 100 + s_nationkey AS taxid, n_name AS name, coalesce(CASE WHEN s.id % 3 = 0 THEN 2.5 END, len) AS weight, idscore, r_name AS name_region, score FROM s JOIN supplier ON idscore = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def p9_prediction_rows(t: Tables) -> DataFrame:
@@ -116,22 +103,6 @@ def p11_taxonomy_report(t: Tables) -> DataFrame:
     return by.join(t.nation, "n_nationkey").select("n_name", "n")
 
 
-@query()
-def p12_one_vs_rest(t: Tables) -> DataFrame:
-    """Linear one-versus-rest decisions on embeddings, the highest per row; no SQL form."""
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    x = t.embeddings.select("vec_id", F.col("label").alias("true"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
-    labels = sorted(r[0] for r in x.select("true").distinct().collect())
-    parts = None
-    for v in labels:
-        m = LinearSVC(maxIter=5, regParam=0.1).fit(x.withColumn("label", (F.col("true") == v).cast("double")))
-        d = m.transform(x).select("vec_id", F.lit(v).alias("label"), vector_to_array("rawPrediction")[1].alias("y"))
-        parts = d if parts is None else parts.union(d)
-    return op.with_rejects(op.two_best(parts, "vec_id", "label", "y"), "label", "value", -10.0)
-
-
 @query("SELECT vec_id, round(sign(y) * (1 - exp(-abs(y))), 8) AS soft FROM (SELECT vec_id, embedding[1]::DOUBLE * 10 AS y FROM embeddings)")
 def p13_soft_decision(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(op.soft_decision(F.col("embedding")[0].cast("double") * 10), 8).alias("soft"))
@@ -150,12 +121,6 @@ def p16_folds(t: Tables) -> DataFrame:
     return op.folds(t.embeddings.select("vec_id"), "vec_id", 5, 4)
 
 
-@query("SELECT c, g, row_number() OVER (ORDER BY c, g) - 1 AS id FROM (VALUES (0.1), (1.0), (10.0)) a(c), (VALUES (1), (2)) b(g)")
-def p18_parameter_grid(t: Tables) -> DataFrame:
-    out = op.grid(t.spark, {"c": [0.1, 1.0, 10.0], "g": [1, 2]})
-    return out.select("c", F.col("g").cast("int").alias("g"), F.col("id").cast("long").alias("id"))
-
-
 @query(f"""{CLOSURE}, h AS (SELECT l_orderkey AS s, 100 + s_nationkey AS node, (20 - l_linenumber)::BIGINT AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
     tot AS (SELECT s, count(*) AS hits, sum(w) AS aw FROM h GROUP BY 1), up AS (SELECT s, anc_id, count(*) AS here, sum(w) AS w FROM h JOIN closure ON node = id GROUP BY 1, 2),
     ok AS (SELECT s, anc_id, CASE t.rank WHEN 'nation' THEN 1 WHEN 'region' THEN 2 WHEN 'root' THEN 3 END AS level, w / aw AS part FROM up JOIN tot USING (s) JOIN tree t ON anc_id = t.id WHERE t.rank IS NOT NULL AND (here = hits OR (hits >= 4 AND here >= 2 AND w / aw >= 0.75)))

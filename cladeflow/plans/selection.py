@@ -165,7 +165,7 @@ def j13_labels_left(t: Tables) -> DataFrame:
 @query("SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN c_nationkey + 10 ELSE c_nationkey END AS assigned FROM customer")
 def j14_transitive_ids(t: Tables) -> DataFrame:
     moved = t.nation.filter("n_nationkey < 10").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_nationkey") + 10).alias("to"))
-    return t.customer.join(F.broadcast(moved), "c_nationkey", "left").select("c_custkey", F.coalesce("to", "c_nationkey").alias("assigned"))
+    return t.customer.join(moved, "c_nationkey", "left").select("c_custkey", F.coalesce("to", "c_nationkey").alias("assigned"))
 
 
 @query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN p.p_size IS NULL THEN 'missing' WHEN p.p_size = 0 THEN 'zero' WHEN n.n_nationkey IS NULL THEN 'no node' ELSE 'ok' END AS status

@@ -191,6 +191,12 @@ def k25_concatenated(t: Tables) -> DataFrame:
     return op.concatenated(seqs(t), "source", "doc_id", "seq").select("source", F.md5("seq").alias("digest"))
 
 
+@query(f"""WITH {seqs_sql()}, w AS (SELECT source, string_agg(seq, 'NNNNNNN' ORDER BY doc_id) AS s FROM seqs GROUP BY 1), p AS (SELECT source, s, unnest(range(0, (length(s) + 4999) // 5000)) AS part FROM w)
+    SELECT source, part, md5(substr(s, part * 5000 + 1, 5000)) AS digest FROM p""")
+def k25_concatenated_parts(t: Tables) -> DataFrame:
+    return op.concatenated_parts(seqs(t), "source", "doc_id", "seq", 5000).select("source", "part", F.md5("seq").alias("digest"))
+
+
 @query("SELECT vec_id, label || ' 1:' || printf('%.4f', embedding[1]::DOUBLE) || ' 2:' || printf('%.4f', embedding[2]::DOUBLE) || ' 3:' || printf('%.4f', embedding[3]::DOUBLE) AS line FROM embeddings")
 def snk8_svmlight_lines(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", op.svmlight(F.col("label"), F.slice("embedding", 1, 3)).alias("line"))

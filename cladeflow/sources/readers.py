@@ -66,10 +66,10 @@ def read_table(spark: SparkSession, path, columns: list[str] | None = None, head
     return df.filter(where) if where else df
 
 
-def read_models(spark: SparkSession, path) -> DataFrame:
-    """Model descriptions to (id_seq, id, name, taxid), a row for each sequence of a model."""
-    schema = "mgt_mod_descr array<struct<ids_seq: array<string>, id: string, name: string, taxid: long>>"
-    return spark.read.json(path, multiLine=True, schema=schema).select(F.explode("mgt_mod_descr").alias("m")).select(F.explode("m.ids_seq").alias("id_seq"), "m.id", "m.name", "m.taxid")
+def read_models(spark: SparkSession, path, key: str = "models") -> DataFrame:
+    """Model descriptions, a list under ``key``, to (id_seq, id, name, taxid), a row for each sequence of a model."""
+    schema = f"`{key}` array<struct<ids_seq: array<string>, id: string, name: string, taxid: long>>"
+    return spark.read.json(path, multiLine=True, schema=schema).select(F.explode(F.col(f"`{key}`")).alias("m")).select(F.explode("m.ids_seq").alias("id_seq"), "m.id", "m.name", "m.taxid")
 
 
 def read_tree(spark: SparkSession, path) -> DataFrame:

@@ -16,13 +16,14 @@ def write_fasta(df: DataFrame, path: str, header: Column, seq: str, width: int =
 
 
 def write_report(df: DataFrame, path: str, sep: str = "\t", header: bool = True, comment: str | None = None) -> None:
-    """A delimited report; with a comment, one file whose first lines are the comment and the header."""
+    """A delimited report; with a comment, the first file holds the comment and the header, and the rows follow
+    in files after it, as many as there are tasks."""
     if comment is None:
         df.write.mode("overwrite").csv(path, sep=sep, header=header)
         return
-    lines = df.select(F.lit(2).alias("k"), F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
-    head = df.sparkSession.createDataFrame([(0, f"#{comment}"), (1, sep.join(df.columns))], "k int, value string")
-    head.union(lines).coalesce(1).sortWithinPartitions("k", "value").select("value").write.mode("overwrite").text(path)
+    lines = df.select(F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
+    head = df.sparkSession.createDataFrame([(f"#{comment}\n" + sep.join(df.columns),)], "value string")
+    head.coalesce(1).union(lines).write.mode("overwrite").text(path)
 
 
 def gff_line(contig: Column, source: Column, kind: Column, start: Column, end: Column, score: Column, strand: Column, attributes: Column) -> Column:
