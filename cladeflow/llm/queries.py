@@ -251,12 +251,14 @@ def _urls_sql() -> str:
     return f"""
     WITH RECURSIVE rules AS (SELECT * FROM (VALUES {rules}) AS t(rule_host, rule_path, rule_verdict)),
     parsed AS (SELECT row_number() OVER () AS k, page_id, url, {h} AS host, {p} AS path, {n} AS node, html FROM pages),
-    tags AS (SELECT url, node, host, regexp_extract(regexp_extract(html, {_sql(CANONICAL_TAG)}), {_sql(HREF)}, 1) AS link FROM parsed
-             UNION ALL SELECT url, node, host, regexp_extract(regexp_extract(html, {_sql(REFRESH_TAG)}), {_sql(REFRESH_URL)}, 1) FROM parsed),
+    tags AS (SELECT url, node, host, path, regexp_extract(regexp_extract(html, {_sql(CANONICAL_TAG)}), {_sql(HREF)}, 1) AS link FROM parsed
+             UNION ALL SELECT url, node, host, path, regexp_extract(regexp_extract(html, {_sql(REFRESH_TAG)}), {_sql(REFRESH_URL)}, 1) FROM parsed),
     aimed AS (SELECT node, CASE WHEN link = '' OR link IS NULL THEN NULL
                     WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
                     WHEN link LIKE '//%' THEN split_part(url, '://', 1) || ':' || link
-                    WHEN link LIKE '/%' THEN split_part(url, '://', 1) || '://' || host || link END AS target FROM tags),
+                    WHEN link LIKE '/%' THEN split_part(url, '://', 1) || '://' || host || link
+                    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') OR link LIKE '#%' OR link LIKE '?%' THEN NULL
+                    ELSE split_part(url, '://', 1) || '://' || host || CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || link END AS target FROM tags),
     ends AS (SELECT node AS a, {tn} AS b, {th} AS host, {tp} AS path FROM aimed WHERE target IS NOT NULL),
     links AS (SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b),
     nodes AS (SELECT node, host, path FROM parsed UNION SELECT b, host, path FROM ends),

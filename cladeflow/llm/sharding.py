@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.llm.common import cut
+from cladeflow.operators.common import range_bucket, running
 
 #: Levels of each dimension: 2 to this power.
 BITS = 6
@@ -47,10 +48,11 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
     A row's place is the number of rows before its point of the curve, plus those of the same point
     with a smaller salt (a hash), plus its place among those few, so that no task sorts more than a
-    salted part of a point, however many rows share it. The text itself is not shuffled.
+    salted part of a point, however many rows share it. Values of the dimensions and points are put in
+    order within ranges of them, however many there are. The text itself is not shuffled.
 
     Defined results: a null text has size 1 and the CRC of no bytes; null dimensions are a value of
-    their own, after all others; equal rows take neighbouring slots; an empty table has no rows;
+    their own, after all others; equal rows lie in one part of a point; an empty table has no rows;
     other columns are not read.
     """
     text = F.col(text_col).cast("string")
@@ -66,15 +68,13 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     cells = counts.groupBy(*keys, "level").agg(F.sum("n").alias("n"))
     levels = []
     for k in keys:  # the values of a dimension, in order, spread over its levels
-        values = cells.groupBy(k).agg(F.count("*").alias("_"))
-        every = Window.partitionBy()
-        place = F.row_number().over(Window.orderBy(k)) - 1
-        values = values.select(k, place.alias("place"), F.count("*").over(every).alias("of"))
-        cells = cells.join(values.select(k, F.floor(F.col("place") * 2**BITS / F.col("of")).cast("long").alias(f"at_{k}")), k)
+        values = cells.groupBy(k).agg(F.lit(0).alias("all"))
+        values = running(values, "all", range_bucket(values, k), [k], F.lit(1))
+        cells = cells.join(values.select(k, F.floor((F.col("_run") - 1) * 2**BITS / F.col("_total")).cast("long").alias(f"at_{k}")), k)
         levels.append(f"at_{k}")
-    cells = cells.withColumn("curve", hilbert(f"array({', '.join(levels)}, level)", len(dims) + 1))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("curve", *keys, "level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select(*keys, "level", "curve", before.alias("cell_start"))
+    cells = cut(cells.withColumn("curve", hilbert(f"array({', '.join(levels)}, level)", len(dims) + 1)).withColumn("all", F.lit(0)))
+    cells = running(cells, "all", range_bucket(cells, "curve"), ["curve", *keys, "level"], F.col("n"))
+    cells = cells.select(*keys, "level", "curve", (F.col("_run") - F.col("n")).alias("cell_start"))
     here = Window.partitionBy(*keys, "level").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("among", F.coalesce(F.sum("n").over(here), F.lit(0))).join(cells, [*keys, "level"])
     starts = starts.select(*keys, "level", "salt", "curve", (F.col("cell_start") + F.col("among")).alias("start"))

@@ -19,6 +19,8 @@ CANONICAL_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+#: Rules that are looked up row by row at most, and parts in which more are joined.
+FEW_RULES, SALTS = 1000, 32
 
 
 def after_scheme(url: Column) -> Column:
@@ -60,11 +62,33 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
 
 
-def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """``hosts`` (host, each once) to (host, fits: the rules for it and for what it is under)."""
+def fits_of(rules: list, host: Column) -> Column:
+    """The rules (rows of host, path, verdict) for a host and for what it is under, looked up in each row."""
+    by: dict[str, list[Column]] = {}
+    for r in rules:
+        if None not in (r["host"], r["path"], r["verdict"]):
+            one = F.struct(F.lit(len(r["host"] + r["path"])).alias("length"), F.lit(r["host"] + r["path"]).alias("rule"), F.lit(r["path"]).alias("path"), F.lit(r["verdict"]).alias("verdict"))
+            by.setdefault(r["host"], []).append(one)
+    if not by:
+        return F.lit(None).cast("array<struct<length: int, rule: string, path: string, verdict: string>>")
+    known = F.create_map(*[x for name, some in by.items() for x in (F.lit(name), F.array(*some))])
+    return F.flatten(F.filter(F.transform(suffixes(host), lambda s: known[s]), lambda x: x.isNotNull()))
+
+
+def with_fits(x: DataFrame, rules: DataFrame) -> DataFrame:
+    """``x`` (host and more) with fits: the rules for its host and for what that is under.
+
+    Up to ``FEW_RULES`` are looked up row by row. More are joined with the distinct hosts, and the hosts
+    with the rows in salted parts, as a common host's rows shouldn't meet in one task.
+    """
+    few = rules.limit(FEW_RULES + 1).collect()
+    if len(few) <= FEW_RULES:
+        return x.withColumn("fits", fits_of(few, F.col("host")))
     named = rules.select(F.col("host").alias("suffix"), F.struct(F.length(F.concat("host", "path")).alias("length"), F.concat("host", "path").alias("rule"), "path", "verdict").alias("fit"))
-    found = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("suffix")).join(within(named, 100_000), "suffix")
-    return found.groupBy("host").agg(F.collect_set("fit").alias("fits"))
+    found = x.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("suffix")).join(within(named, 100_000), "suffix")
+    fits = found.groupBy("host").agg(F.collect_set("fit").alias("fits")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = x.withColumn("salt", F.pmod(F.xxhash64("node", "path"), F.lit(SALTS)).cast("int"))
+    return salted.join(fits, ["host", "salt"], "left").drop("salt")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -76,8 +100,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     canonical links join it with, and allowed otherwise; an explicit allow takes precedence for the
     page that it fits, and doesn't lift a block from the others.
 
-    Rules are looked up for each distinct host, so that a common host is looked up once. Links are
-    found by components(); without any, nothing is iterated.
+    Rules are looked up row by row, without a shuffle. Links are found by components(); without any,
+    nothing is iterated.
 
     Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
     links with nothing, so that it is allowed; null html has no links; ids may be null and rows may
@@ -96,14 +120,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     links = cut(links.select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b"), host_of(F.col("to")).alias("to_host"), path_of(F.col("to")).alias("to_path")))
     linked = not links.isEmpty()
 
-    hosts = parsed.select("host")
-    if linked:
-        hosts = hosts.union(links.select("to_host"))
-    fits = rules_by_host(hosts.distinct(), rules)
-
     def decided(x: DataFrame) -> DataFrame:
         best = F.array_max(F.filter("fits", lambda r: F.col("path").startswith(r["path"])))
-        return x.join(fits, "host", "left").withColumn("best", best)
+        return with_fits(x, rules).withColumn("best", best)
 
     pages_by_rule = decided(parsed)
     if not linked:
