@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.functions.columns import seeded
-from cladeflow.operators.common import first_by, small
+from cladeflow.operators.common import first_by, in_seeded_order, small
 from cladeflow.operators.kmers import renumber
 from cladeflow.operators.tree import find_names, lowest_common_of_sets, nearest_of_rank
 
@@ -113,7 +112,7 @@ def training_rows(samples: DataFrame, quotas: DataFrame, label: str, ident: str,
     q = renumber(quotas.select(label, "quota"), label, "number").select(label, "quota", (F.col("number") + 1).alias("number"))
     if background is not None:
         q = q.union(background.select(label, "quota", F.lit(background_number).cast("long")))
-    at = Window.partitionBy(label).orderBy(seeded(ident, seed), F.col(ident))
-    return samples.join(small(q), label).withColumn("_at", F.row_number().over(at)).filter(F.col("_at") <= F.col("quota")).drop("_at")
+    placed = in_seeded_order(samples.join(small(q), label), label, ident, seed, F.lit(1))
+    return placed.filter("_run <= quota").drop("_run", "_total")
 
 

@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeflow.functions.columns import seeded
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the folder that the session names in spark.checkpoint.dir. Where it
@@ -39,6 +41,12 @@ def range_bucket(df: DataFrame, key: str, n: int = 256) -> Column:
     return F.size(F.filter(bounds, lambda b: b <= F.col(key))) if len(found) > 15 else F.lit(0)
 
 
+def in_seeded_order(df: DataFrame, group: str, ident: str, seed: int | str, value: Column) -> DataFrame:
+    """running() in the order of a seeded hash of ``ident``, in buckets of that hash."""
+    h = seeded(ident, seed)
+    return running(df, group, F.coalesce(F.substring(h, 1, 2), F.lit("")), [h, F.col(ident)], value)
+
+
 def running(df: DataFrame, group: str, bucket: Column, order: list, value: Column) -> DataFrame:
     """``df`` with _run, the sum of ``value`` in its group up to each row in ``order``, and _total, the
     group's. ``bucket`` rises with ``order``, and equal keys share one: buckets are summed up, the few sums

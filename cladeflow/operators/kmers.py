@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import hash01, probabilistic_round, reverse_complement, seeded
-from cladeflow.operators.common import first_by, range_bucket, running, small
+from cladeflow.operators.common import first_by, in_seeded_order, range_bucket, running, small
 
 #: Units of a grid at most.
 MAX_UNITS = 100_000
@@ -128,8 +128,8 @@ def balance(df: DataFrame, label: str, ident: str, target: int | str, seed: int,
     most = F.lit(target)
     for k, v in (per_label or {}).items():
         most = F.when(F.col(label) == k, F.lit(v)).otherwise(most)
-    at = Window.partitionBy(label).orderBy(seeded(ident, seed), F.col(ident))
-    return df.withColumn("_most", most).withColumn("_at", F.row_number().over(at)).filter("_most < 0 OR _at <= _most").drop("_most", "_at")
+    placed = in_seeded_order(df.withColumn("_most", most), label, ident, seed, F.lit(1))
+    return placed.filter("_most < 0 OR _run <= _most").select(*df.columns)
 
 
 def renumber(df: DataFrame, label: str, to: str = "number") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import seeded
-from cladeflow.operators.common import cut, first_by, small
+from cladeflow.operators.common import cut, first_by, in_seeded_order, small
 from cladeflow.operators.kmers import kmer_counts
 from cladeflow.operators.relational import status_of
 from cladeflow.operators.tree import fill_lineage, fixed_lineage, lowest_common, with_info
@@ -37,12 +37,15 @@ def score(samples: DataFrame, ident: str, seq: str, table: DataFrame, model: str
     context first; a context that a model lacks falls back to the model's empty one, and to a
     quarter for a symbol that the model has never seen."""
     seen = kmer_counts(samples, ident, seq, order + 1).withColumn("context", F.expr(f"left(kmer, {order})")).withColumn("next", F.right("kmer", F.lit(1)))
-    models = small(table.select(model).distinct())
-    asked = seen.select(ident, "context", "next", "n").join(models)
-    full = table.select(model, "context", "next", F.col("logp").alias("p_full"))
+    # what every model falls back to, for the four symbols that it may be asked for
+    symbols = table.select(model).distinct().withColumn("next", F.explode(F.array(*[F.lit(x) for x in "ACGT"])))
     empty = table.filter("context = ''").select(model, "next", F.col("logp").alias("p_empty"))
-    x = asked.join(full, [model, "context", "next"], "left").join(small(empty), [model, "next"], "left")
-    return x.groupBy(ident, model).agg(F.sum(F.col("n") * F.coalesce("p_full", "p_empty", F.lit(-1.3862943611198906))).alias("score"))
+    plain = symbols.join(empty, [model, "next"], "left").select(model, "next", F.coalesce("p_empty", F.lit(-1.3862943611198906)).alias("p_plain"))
+    base = seen.groupBy(ident, "next").agg(F.sum("n").alias("n")).join(small(plain), "next").select(ident, model, (F.col("n") * F.col("p_plain")).alias("part"))
+    # and what a context that a model has changes about that
+    full = table.filter(F.length("context") == order).join(small(plain), [model, "next"]).select(model, "context", "next", (F.col("logp") - F.col("p_plain")).alias("more"))
+    known = seen.join(full, ["context", "next"]).select(ident, model, (F.col("n") * F.col("more")).alias("part"))
+    return base.union(known).groupBy(ident, model).agg(F.sum("part").alias("score"))
 
 
 def best_of_shared(scores: DataFrame, sample: str, model: str, ids: DataFrame, score_id: str) -> DataFrame:
@@ -208,12 +211,11 @@ def train_flags(totals: DataFrame, min_train: int, min_test: int, ratio: float)
 def test_terminals(leaves: DataFrame, group: str, ident: str, n: str, target: str, seed: int) -> DataFrame:
     """Whole terminals that go to the test side: in seeded order while their sum stays within the group's
     target; where none fits, the smallest one."""
-    order = [seeded(ident, seed), F.col(ident)]
-    at = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = leaves.withColumn("_sum", F.sum(n).over(at)).withColumn("_in", F.col("_sum") <= F.col(target))
-    none = ~F.bool_or("_in").over(Window.partitionBy(group))
-    smallest = F.row_number().over(Window.partitionBy(group).orderBy(n, ident)) == 1
-    return x.withColumn("is_test", F.col("_in") | (none & smallest)).drop("_sum", "_in")
+    x = in_seeded_order(leaves, group, ident, seed, F.col(n)).withColumn("_in", F.col("_run") <= F.col(target))
+    sums = x.groupBy(F.col(group).alias("_group")).agg(F.bool_or("_in").alias("_some"), F.min(F.struct(n, ident)).alias("_least"))
+    x = x.join(small(sums), F.col(group).eqNullSafe(F.col("_group")))
+    smallest = ~F.col("_some") & (F.col(f"_least.{ident}") == F.col(ident))
+    return x.withColumn("is_test", F.col("_in") | smallest).select(*leaves.columns, "is_test")
 
 
 def checked_counts(nodes: DataFrame, totals: DataFrame, own: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.functions.columns import seeded
-from cladeflow.operators.common import first_by, small
+from cladeflow.operators.common import first_by, in_seeded_order
 
 #: Columns of a pivoted report at most.
 MAX_COLUMNS = 10_000
@@ -101,7 +100,7 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int, ident: str
         pairs = p.crossJoin(F.broadcast(q))
     else:
         of_q = q.withColumn("_block", F.pmod(F.xxhash64("id_q"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(POINT_PARTS - 1))))
-        of_p = p.withColumn("_part", F.pmod(F.xxhash64("id_p"), F.lit(POINT_PARTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        of_p = p.withColumn("_part", F.pmod(F.xxhash64("id_p"), F.lit(POINT_PARTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         pairs = of_p.join(of_q, ["_block", "_part"]).drop("_block", "_part")
     pairs = pairs.filter("id_q <> id_p").withColumn("dist", F.sqrt(square))
     near = first_by(pairs.select("id_q", "id_p", "label", "dist"), ["id_q"], [F.col("dist"), F.col("id_p")], k)
@@ -129,8 +128,8 @@ def priority_cascade(df: DataFrame, key: str, kind: str, length: str, ident: str
 
 def fill_to_limit(df: DataFrame, key: str, ident: str, size: str, limit: float, seed: int) -> DataFrame:
     """Rows of each key in seeded order while their running total stays within ``limit``."""
-    at = Window.partitionBy(key).orderBy(seeded(ident, seed), F.col(ident)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(size).over(at)).filter(F.col("running") <= limit)
+    placed = in_seeded_order(df, key, ident, seed, F.col(size))
+    return placed.filter(F.col("_run") <= limit).select(*df.columns, F.col("_run").alias("running"))
 
 
 def number_elements(df: DataFrame, organism: str, kind: str, size: str, ident: str) -> DataFrame:

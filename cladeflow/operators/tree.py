@@ -221,7 +221,7 @@ def fill_up_order(pairs: DataFrame, targets: DataFrame, others: DataFrame, bound
 
 def weighted_scores(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """(id, weight, n, score): sums over each subtree of sample weights and counts, and the mean score by
-    weight of what lies below; a node without samples of its own takes its children's."""
+    weight of all that lies in it; see scores_with_fallback() for scores that children only stand in for."""
     below = pairs.join(samples.select("id", "weight", "score"), "id")
     sums = below.groupBy(F.col("anc_id").alias("id")).agg(F.sum("weight").alias("weight"), F.count("*").alias("n"), F.sum(F.col("weight") * F.col("score")).alias("_s"))
     return sums.select("id", "weight", "n", (F.col("_s") / F.col("weight")).alias("score"))
