@@ -58,5 +58,6 @@ def running(df: DataFrame, group: str, bucket: Column, order: list, value: Colum
     start = sums.select(F.col(group).alias("_g"), F.col("_b").alias("_c"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(of).alias("_total"))
     own = F.sum("_v").over(Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     # both null-safe: from a plain equality Spark infers a filter of _c by the columns that _b is made of
-    placed = x.join(small(start), F.col(group).eqNullSafe(F.col("_g")) & F.col("_b").eqNullSafe(F.col("_c")))
+    # the sums are written once, at most a row for each group and bucket
+    placed = x.join(small(cut(start)), F.col(group).eqNullSafe(F.col("_g")) & F.col("_b").eqNullSafe(F.col("_c")))
     return placed.withColumn("_run", own + F.col("_before")).drop("_b", "_v", "_g", "_c", "_before")
