@@ -5,21 +5,27 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import seeded
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the folder that the session names in spark.checkpoint.dir. Where it
-    names none, a local session gets a folder of this process; a cluster gets an error."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where it names none, a local session gets a
+    folder of this process; a cluster, whose machines don't share one, gets an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.match(r"local(\[|$)", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

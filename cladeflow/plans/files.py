@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.operators.common import shared_folder
 from cladeflow.plans.registry import Tables, query
 from cladeflow.plans.sequences import seqs, seqs_sql
 from cladeflow.plans.trees import TREE, nodes_of
@@ -17,8 +17,7 @@ from cladeflow.streaming import scores
 
 def scratch(t: Tables) -> str:
     """A new folder beside the checkpoints."""
-    at = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-files-")
-    return f"{at}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/files-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {seqs_sql()} SELECT doc_id::VARCHAR AS id, md5(seq) AS digest FROM seqs WHERE length(seq) > 0")
