@@ -106,6 +106,26 @@ def min_cost_flow(capacity: list[int], members: list[tuple], wanted: dict, costs
             flow[p][t] += amount
 
 
+def _apart(members: list[tuple]) -> list[list[int]]:
+    """Patterns in groups that share no source with each other."""
+    of: dict = {}
+
+    def top(s):
+        while of[s] != s:
+            of[s] = of[of[s]]
+            s = of[s]
+        return s
+
+    for m in members:
+        for s in m:
+            of.setdefault(s, s)
+            of[top(s)] = top(m[0])
+    groups: dict = {}
+    for p, m in enumerate(members):
+        groups.setdefault(top(m[0]), []).append(p)
+    return list(groups.values())
+
+
 @dataclass
 class Mix:
     """``docs``: the documents with size, source_size, target, copies and assigned; ``targets`` and
@@ -202,10 +222,16 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, most: int
     weights = {s: 1 + k % 3 for k, s in enumerate(names)} if weights is None else weights
     total = sum(size for _, size in patterns)
     targets = fill_targets(sizes, weights, most) if len(patterns) == len(sizes) else _overlapping_targets(sizes, weights, most, total)
-    flow = min_cost_flow([c for _, c in patterns], [m for m, _ in patterns], {s: round(t) for s, t in targets.items()}, list(range(most)))
+    flow: list[dict] = [{} for _ in patterns]
+    for some in _apart([m for m, _ in patterns]):  # patterns that share no source are flows of their own
+        wanted = {s: round(targets[s]) for p in some for s in patterns[p][0]}
+        for p, f in zip(some, min_cost_flow([patterns[p][1] for p in some], [patterns[p][0] for p in some], wanted, list(range(most))), strict=True):
+            flow[p] = f
 
     # A pattern's documents are one line, run over again for each use; its sources take stretches of it.
-    stretches, ends = [], []
+    stretches: list[tuple] = []
+    ends: list[tuple[int, int]] = []
+    of_pattern: dict[int, list[tuple]] = {}
     for p, (m, size) in enumerate(patterns):
         at = 0
         for s in m:
@@ -213,6 +239,7 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, most: int
             while left > 0:
                 step = min(left, size - at % size)
                 stretches.append((p, s, at % size, at % size + step, size))
+                of_pattern.setdefault(p, []).append(stretches[-1])
                 at, left = at + step, left - step
     for p, _, a, b, size in stretches:
         ends += [(p, x) for x in (a, b) if 0 < x < size]
@@ -223,7 +250,7 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, most: int
     top = (1 << 63) - 1
     rows = []
     for p, (m, _) in enumerate(patterns):
-        parts = [(0 if a == 0 else at[p, a], top if b == size else at[p, b], s) for q, s, a, b, size in stretches if q == p]
+        parts = [(0 if a == 0 else at[p, a], top if b == size else at[p, b], s) for _, s, a, b, size in of_pattern.get(p, [])]
         rows.append((list(m), sum(sizes[s] for s in m), float(sum(targets[s] for s in m)), parts))
     part = T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("source", T.StringType())])
     schema = T.StructType([T.StructField("_m", T.ArrayType(T.StringType())), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_parts", T.ArrayType(part))])
