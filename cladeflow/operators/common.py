@@ -34,6 +34,11 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def summed(df: DataFrame) -> DataFrame:
+    """small() of an aggregate that is written first, so that what it sums up isn't read twice."""
+    return small(cut(df))
+
+
 def first_by(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key; Spark cuts groups down before the shuffle."""
     at = Window.partitionBy(*keys).orderBy(*order)
@@ -65,5 +70,5 @@ def running(df: DataFrame, group: str, bucket: Column, order: list, value: Colum
     own = F.sum("_v").over(Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     # both null-safe: from a plain equality Spark infers a filter of _c by the columns that _b is made of
     # the sums are written once, at most a row for each group and bucket
-    placed = x.join(small(cut(start)), F.col(group).eqNullSafe(F.col("_g")) & F.col("_b").eqNullSafe(F.col("_c")))
+    placed = x.join(summed(start), F.col(group).eqNullSafe(F.col("_g")) & F.col("_b").eqNullSafe(F.col("_c")))
     return placed.withColumn("_run", own + F.col("_before")).drop("_b", "_v", "_g", "_c", "_before")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import hash01, probabilistic_round, reverse_complement, seeded
-from cladeflow.operators.common import first_by, in_seeded_order, range_bucket, running, small
+from cladeflow.operators.common import first_by, in_seeded_order, range_bucket, running, summed
 
 #: Units of a grid at most.
 MAX_UNITS = 100_000
@@ -85,7 +85,7 @@ def capped_fragments(seqs: DataFrame, group: str, ident: str, seq: str, length:
     totals = seqs.groupBy(group).agg(F.sum(F.length(seq)).alias("_total"))
     ratio = F.lit(float(cap * length)) / F.col("_total")
     quota = F.when(ratio < 1, probabilistic_round(F.length(seq) * ratio / length, ident, f"quota:{seed}")).otherwise(-1)
-    shared = seqs.join(small(totals.withColumnRenamed(group, "_group")), F.col(group).eqNullSafe(F.col("_group"))).withColumn("_quota", quota)
+    shared = seqs.join(summed(totals.withColumnRenamed(group, "_group")), F.col(group).eqNullSafe(F.col("_group"))).withColumn("_quota", quota)
     starts = F.sequence(F.lit(0), F.length(seq) - length, F.lit(length))
     whole = shared.filter((F.length(seq) >= length) & (F.col("_quota") != 0)).select(group, F.col(ident).alias("old_id"), F.col(seq).alias("_s"), "_quota", starts.alias("_starts"))
     # in each sequence's own array: its places by their hashes, as many as the quota
@@ -137,7 +137,7 @@ def renumber(df: DataFrame, label: str, to: str = "number") -> DataFrame:
     are numbered within ranges of them."""
     names = df.select(label).filter(F.col(label).isNotNull()).distinct().withColumn("_all", F.lit(0))
     placed = running(names, "_all", range_bucket(names, label), [label], F.lit(1))
-    return df.join(small(placed.select(label, (F.col("_run") - 1).cast("long").alias(to))), label)
+    return df.join(summed(placed.select(label, (F.col("_run") - 1).cast("long").alias(to))), label)
 
 
 def to_sparse(df: DataFrame, vector: str, to: str = "sparse") -> DataFrame:

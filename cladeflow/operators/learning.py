@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import hash01, seeded
-from cladeflow.operators.common import first_by, small
+from cladeflow.operators.common import first_by, small, summed
 from cladeflow.operators.models import folds, soft_decision
 
 #: Sets of parameters that one scan tries at most, and labels that get a model of their own at most.
@@ -92,9 +92,9 @@ def classified(decisions: DataFrame, ident: str, label: str, thresholds: list[fl
     ``known`` (label) masks labels that have no model; ``trust`` (label, srm) turns decisions into soft
     ones times that factor.
     """
-    d = decisions if known is None else decisions.join(small(known.select(label).distinct()), label, "left_semi")
+    d = decisions if known is None else decisions.join(summed(known.select(label).distinct()), label, "left_semi")
     if trust is not None:
-        d = d.join(small(trust), label).withColumn("y", soft_decision(F.col("y")) * F.col("srm"))
+        d = d.join(summed(trust), label).withColumn("y", soft_decision(F.col("y")) * F.col("srm"))
     best = first_by(d.select(ident, label, "y"), [ident], [F.desc("y"), F.col(label)])
     each = best.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
     return each.select(ident, "threshold", F.when(F.col("y") >= F.col("threshold"), F.col(label)).otherwise(0).alias("pred"))

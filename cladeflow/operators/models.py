@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import seeded
-from cladeflow.operators.common import cut, first_by, in_seeded_order, small
+from cladeflow.operators.common import cut, first_by, in_seeded_order, small, summed
 from cladeflow.operators.kmers import kmer_counts
 from cladeflow.operators.relational import status_of
 from cladeflow.operators.tree import fill_lineage, fixed_lineage, lowest_common, with_info
@@ -22,7 +22,7 @@ def train(seqs: DataFrame, model: str, seq: str, order: int = 3, least: int = 0)
     ``order`` symbols, with one added to each count; groups shorter in sum than ``least`` are left out."""
     if least:
         big = seqs.groupBy(model).agg(F.sum(F.length(seq)).alias("_n")).filter(F.col("_n") >= least).select(model)
-        seqs = seqs.join(small(big), model, "left_semi")
+        seqs = seqs.join(summed(big), model, "left_semi")
     parts = []
     for k in range(order + 1):
         n = kmer_counts(seqs.select(F.col(model).alias("_m"), seq), "_m", seq, k + 1)
@@ -37,13 +37,14 @@ def score(samples: DataFrame, ident: str, seq: str, table: DataFrame, model: str
     context first; a context that a model lacks falls back to the model's empty one, and to a
     quarter for a symbol that the model has never seen."""
     seen = kmer_counts(samples, ident, seq, order + 1).withColumn("context", F.expr(f"left(kmer, {order})")).withColumn("next", F.right("kmer", F.lit(1)))
+    table = cut(table)  # else the models would be trained for each of its uses
     # what every model falls back to, for the four symbols that it may be asked for
     symbols = table.select(model).distinct().withColumn("next", F.explode(F.array(*[F.lit(x) for x in "ACGT"])))
     empty = table.filter("context = ''").select(model, "next", F.col("logp").alias("p_empty"))
-    plain = symbols.join(empty, [model, "next"], "left").select(model, "next", F.coalesce("p_empty", F.lit(-1.3862943611198906)).alias("p_plain"))
-    base = seen.groupBy(ident, "next").agg(F.sum("n").alias("n")).join(small(plain), "next").select(ident, model, (F.col("n") * F.col("p_plain")).alias("part"))
+    plain = small(symbols.join(empty, [model, "next"], "left").select(model, "next", F.coalesce("p_empty", F.lit(-1.3862943611198906)).alias("p_plain")))
+    base = seen.groupBy(ident, "next").agg(F.sum("n").alias("n")).join(plain, "next").select(ident, model, (F.col("n") * F.col("p_plain")).alias("part"))
     # and what a context that a model has changes about that
-    full = table.filter(F.length("context") == order).join(small(plain), [model, "next"]).select(model, "context", "next", (F.col("logp") - F.col("p_plain")).alias("more"))
+    full = table.filter(F.length("context") == order).join(plain, [model, "next"]).select(model, "context", "next", (F.col("logp") - F.col("p_plain")).alias("more"))
     known = seen.join(full, ["context", "next"]).select(ident, model, (F.col("n") * F.col("more")).alias("part"))
     return base.union(known).groupBy(ident, model).agg(F.sum("part").alias("score"))
 
@@ -213,7 +214,7 @@ def test_terminals(leaves: DataFrame, group: str, ident: str, n: str, target: st
     target; where none fits, the smallest one."""
     x = in_seeded_order(leaves, group, ident, seed, F.col(n)).withColumn("_in", F.col("_run") <= F.col(target))
     sums = x.groupBy(F.col(group).alias("_group")).agg(F.bool_or("_in").alias("_some"), F.min(F.struct(n, ident)).alias("_least"))
-    x = x.join(small(sums), F.col(group).eqNullSafe(F.col("_group")))
+    x = x.join(summed(sums), F.col(group).eqNullSafe(F.col("_group")))
     smallest = ~F.col("_some") & (F.col(f"_least.{ident}") == F.col(ident))
     return x.withColumn("is_test", F.col("_in") | smallest).select(*leaves.columns, "is_test")
 
