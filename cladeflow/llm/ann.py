@@ -106,7 +106,7 @@ def search(
     sample: int = 16_384,
     lists: int | None = None,
     groups: int = 16,
-    aim: float = 0.98,
+    aim: float = 0.99,
     rerank: int = 256,
 ) -> DataFrame:
     """For each row with ``is_query`` the ``k`` rows found with the largest inner product, the row itself left
