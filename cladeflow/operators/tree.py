@@ -36,7 +36,9 @@ def closure(nodes: DataFrame) -> DataFrame:
         if rings:
             raise ValueError("the tree has a cycle")
         if not n:
-            return all_pairs.union(pairs)
+            # one table: a union that is joined several times over is planned anew for each use, and its
+            # parts share attributes, which the optimizer's constraints can't tell apart
+            return cut(all_pairs.union(pairs))
         pairs, reach = pairs.union(more), reach * 2
 
 
