@@ -16,6 +16,7 @@ from cladeflow.llm.minhash import near_duplicates
 from cladeflow.llm.mixing import mix
 from cladeflow.llm.packing import pack
 from cladeflow.llm.sharding import BITS, shard
+from cladeflow.llm.simhash import near_duplicates as close_fingerprints
 from cladeflow.llm.token_counts import count_tokens
 from cladeflow.llm.url_filter import CANONICAL_TAG, HREF, REFRESH_TAG, REFRESH_URL, filter_urls
 
@@ -102,6 +103,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return close_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and rows at each point of the curve that op4_sharding follows."""
     return op4_sharding(spark, sf_dir).groupBy("curve").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_topk": op10_topk,
+    "op11_simhash": op11_simhash,
     "op4_sharding_curve": op4_sharding_curve,
     "op7_mixing_targets": op7_mixing_targets,
 }
