@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cladeflow.llm import ann, topk
 from cladeflow.llm.common import table
+from cladeflow.llm.conversations import damaged, repair
+from cladeflow.llm.divergence import audit
 from cladeflow.llm.language_id import UNDETERMINED, held_out, identify, train
 from cladeflow.llm.licenses import BETWEEN, COPYRIGHT_LINE, KNOWN, SPELLINGS, scan
 from cladeflow.llm.minhash import near_duplicates
@@ -107,6 +109,15 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair(damaged(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text"))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and rows at each point of the curve that op4_sharding follows."""
     return op4_sharding(spark, sf_dir).groupBy("curve").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
@@ -134,6 +145,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_topk": op10_topk,
     "op11_simhash": op11_simhash,
+    "op12_conversations": op12_conversations,
+    "op13_divergence": op13_divergence,
     "op4_sharding_curve": op4_sharding_curve,
     "op7_mixing_targets": op7_mixing_targets,
 }
@@ -277,9 +290,79 @@ def _urls_sql() -> str:
     FROM parsed LEFT JOIN (SELECT DISTINCT host, path, rule, said FROM fits) USING (host, path) LEFT JOIN bad ON bad.node = parsed.node LEFT JOIN components ON components.node = parsed.node"""
 
 
+def _conversations_sql() -> str:
+    """The cheapest scripts by states of the grammar, row by row; a script is its cost in nine digits and its audit,
+    so that least() gives the cheapest, and the first in ASCII among those."""
+
+    def more(x: str, cost: str, edit: str) -> str:
+        return f"(lpad((left({x}, 9)::INTEGER + {cost})::VARCHAR, 9, '0') || substr({x}, 10) || '{edit}')"
+
+    def put_in(inner: str) -> str:
+        a = f"least(s2, {more('s0', '3', 'I')}, {more('s1', '3', 'I')}, {more('s3', '3', 'I')})"
+        return f"(SELECT * REPLACE ({a} AS s2, least(s3, {more('s2', '3', 'I')}) AS s3) FROM {inner})"
+
+    def step(to: int, symbol: str, *froms: int) -> str:
+        kept = [f"CASE WHEN NOT must AND initial = '{symbol}' THEN {more(f's{x}', 'extra', 'K')} END" for x in froms]
+        given = [f"CASE WHEN NOT must AND initial <> '{symbol}' THEN {more(f's{x}', 'extra + 3', 'R')} END" for x in froms if symbol != "s"]
+        return f"least({', '.join([more(f's{to}', '4', 'D'), *kept, *given])})"
+
+    bits = "list_reduce(list_prepend(c, range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ord(c)::BIGINT)), lambda x, b: xor(x >> 8, crc_table[(xor(x, b) & 255) + 1])), 4294967295)"
+    blank = r"'[^\x20\x09-\x0D]'"
+    role = "CASE WHEN i2 IN ('s', 'u', 'a') THEN i2 ELSE 'x' END"
+    return rf"""
+    WITH RECURSIVE coded AS (SELECT list_transform(range(256), lambda c: {bits}) AS crc_table),
+    given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+    faults AS (SELECT *, {crc} % 20 AS fault FROM given, coded),
+    hurt AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                    unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM faults),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt),
+    known AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, left(role, 1) AS i2, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS i1,
+                     NOT regexp_matches(text, {blank}) AS blank FROM placed),
+    judged AS (SELECT *, NOT blank AND seen AS again, NOT blank AND NOT seen AND NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut_off FROM known),
+    sums AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate,
+                    count(*) FILTER (WHERE cut_off) AS truncated, count(*) FILTER (WHERE i > 1 AND i1 || i2 NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1),
+    walk(conv_id, i, s0, s1, s2, s3) AS (SELECT conv_id, 0, '000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM sums
+        UNION ALL SELECT conv_id, i, {more('s0', '4', 'D')}, {step(1, 's', 0)}, {step(2, 'u', 0, 1, 3)}, {step(3, 'a', 2)}
+        FROM (SELECT w.conv_id, w.i + 1 AS i, s0, s1, s2, s3, {role} AS initial, blank OR again AS must, CASE WHEN cut_off THEN 3 ELSE 0 END AS extra
+              FROM {put_in(put_in('walk'))} w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1)),
+    ends AS (SELECT w.conv_id, least(s0, s3) AS script FROM {put_in(put_in('walk'))} w JOIN sums s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = s.n),
+    edits AS (SELECT conv_id, unnest(string_split(substr(script, 10), '')) AS edit, generate_subscripts(string_split(substr(script, 10), ''), 1) AS spot FROM ends WHERE length(script) > 9),
+    aimed AS (SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER o AS i, count(*) FILTER (WHERE edit <> 'D') OVER o AS place FROM edits WINDOW o AS (PARTITION BY conv_id ORDER BY spot)),
+    met AS (SELECT a.conv_id, spot, edit, place, j.role, j.text, i2 FROM aimed a LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM a.conv_id AND j.i = a.i AND edit <> 'I' WHERE edit <> 'D'),
+    led AS (SELECT *, coalesce(first_value(i2 = 's' AND edit = 'K') OVER (PARTITION BY conv_id ORDER BY spot), false) AS led FROM met),
+    texts AS (SELECT conv_id, string_agg(CASE edit WHEN 'K' THEN role ELSE CASE WHEN (place - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY spot) AS body
+              FROM led GROUP BY 1)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           coalesce(left(script, 9)::BIGINT, 0) AS cost, coalesce(substr(script, 10), '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+def _divergence_sql() -> str:
+    return r"""
+    WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    words AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+    kept AS (SELECT lang, term, count(*) AS n_lang FROM words GROUP BY 1, 2 HAVING count(DISTINCT d) >= 3),
+    langs AS (SELECT lang, count(*) AS v, sum(n_lang) AS total_lang FROM kept GROUP BY 1),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+    totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY 1, 2),
+    grps AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN totals USING (lang, source) LEFT JOIN langs USING (lang)),
+    dense AS (SELECT g.lang, g.source, k.term, n_lang, coalesce(n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (total + v))::HUGEINT AS p
+              FROM grps g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM grps a JOIN grps b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    q AS (SELECT *, (1 + 1000000000::HUGEINT * (n_lang + 1) // (total_lang + v))::HUGEINT AS q FROM dense JOIN langs USING (lang)),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM q WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+    FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that have it. Vector search by quantised codes, packing, token counts, the
-    classifier, the choice by hash within a source and a hash's place in a shard have none: tests
+    classifier, fingerprints by XXH64, the choice by hash within a source and a hash's place in a shard have none: tests
     hold those against brute force. Sums that follow from the shards' and the mix's rules are
     queries of their own."""
     return {
@@ -289,4 +372,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing_targets": _mixing_sql(),
         "op8_url_filter": _urls_sql(),
         "op10_topk": _topk_sql(),
+        "op12_conversations": _conversations_sql(),
+        "op13_divergence": _divergence_sql(),
     }
