@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import release
+from cladeflow.llm.common import Tables, release, within
+from cladeflow.operators.common import range_bucket, running
 
 #: Costs of a new role, of a row left out, of a row put in, and of a cut-off row that stays.
 REROLE, DELETE, INSERT, CUT_OFF = 3, 4, 3, 3
@@ -24,6 +25,10 @@ REROLE, DELETE, INSERT, CUT_OFF = 3, 4, 3, 3
 BLANKS, ENDS = b" \t\n\x0b\x0c\r", b".!?"
 #: Rows up to which a conversation is aligned as a whole; longer ones in segments of so many.
 LONG = 2048
+#: Rows up to which one task reads a conversation from end to end.
+WHOLE = 200_000
+#: Conversations of more rows that are broadcast at most.
+BROADCAST_ROWS = 100_000
 #: Bytes that results may hold before they are handed on.
 HELD = 1 << 22
 
@@ -216,6 +221,35 @@ def repaired(codes: str) -> tuple[int, str]:
     return _align_short(codes) if len(codes) <= 32 else align(codes) if len(codes) <= LONG else align_long(codes)
 
 
+class _Repaired:
+    """The hash of a repaired conversation, fed with its rows in order."""
+
+    def __init__(self, audit: str):
+        self.audit, self.at, self.due, self.some, self.hash = audit, 0, "u", False, hashlib.sha256()
+
+    def _line(self, role: bytes, text: bytes) -> None:
+        self.hash.update((b"\n" if self.some else b"") + role + b":" + text)
+        self.some = True
+        self.due = "u" if role[:1] in (b"s", b"a") else "a"
+
+    def put_in(self) -> None:
+        """The rows that are put in here."""
+        while self.audit[self.at : self.at + 1] == "I":
+            self._line(_ROLE[self.due], b"")
+            self.at += 1
+
+    def row(self, role: bytes, text: bytes) -> None:
+        self.put_in()
+        edit = self.audit[self.at]
+        self.at += 1
+        if edit != "D":
+            self._line(_ROLE[self.due] if edit == "R" else role, text)
+
+    def digest(self) -> str:
+        self.put_in()
+        return self.hash.hexdigest()
+
+
 class _Conversation:
     """What one pass over the rows of a conversation gathers."""
 
@@ -253,21 +287,11 @@ class _Conversation:
 
     def result(self) -> tuple:
         cost, audit = repaired("".join(self.codes))
-        digest, due, rows, some = hashlib.sha256(), "u", iter(self.rows), False
-        for edit in audit:
-            if edit == "I":
-                role, text = _ROLE[due], b""
-            else:
-                role, text = next(rows)
-                if edit == "D":
-                    continue
-                if edit == "R":
-                    role = _ROLE[due]
-            digest.update((b"\n" if some else b"") + role + b":" + text)
-            some = True
-            due = "u" if role[:1] in (b"s", b"a") else "a"
+        text = _Repaired(audit)
+        for row in self.rows:
+            text.row(*row)
         gaps = self.high - self.low + 1 - self.turns if self.turns else 0
-        return gaps, self.blank, self.duplicate, self.truncated, self.illegal, cost, audit, digest.hexdigest()
+        return gaps, self.blank, self.duplicate, self.truncated, self.illegal, cost, audit, text.digest()
 
 
 def damaged(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -280,6 +304,9 @@ def damaged(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> Data
     return x.select("conv", "turn", copies.alias("there"), F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), bare.alias("text"))
 
 
+_COUNTS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+
+
 def repair(rows: DataFrame, conv: str = "conv", turn: str = "turn", role: str = "role", text: str = "text", there: str | None = "there") -> DataFrame:
     """A row for each conversation: conv, gaps in its turns, rows that are blank, duplicate or truncated (the first that
     holds), neighbours of illegal roles, and the cheapest repair: its cost, its audit and the SHA-256 of what it gives.
@@ -287,9 +314,9 @@ def repair(rows: DataFrame, conv: str = "conv", turn: str = "turn", role: str =
     Blank and duplicate rows must go; a new role costs 3, leaving a row out 4, putting an empty one in 3, and a
     truncated row that stays 3. Rows come in the order of turns, nulls first, equal ones by role and text.
 
-    Rows are dealt by conversation and sorted by Spark; a task reads one conversation after another, and
-    holds one at a time, as a hash of its repaired text needs its rows in order. More than ``LONG`` rows
-    are aligned in segments, in linear time.
+    Conversations of up to ``WHOLE`` rows are dealt to tasks and sorted by Spark; a task reads one after
+    another and holds one at a time. More than ``LONG`` rows are aligned in segments, in linear time. For
+    those of more than ``WHOLE`` rows see repair_huge().
 
     Defined results: rows not ``there`` only name their conversation; a null conversation is one; null
     roles and texts are empty; no rows give zeros, no audit and the hash of nothing; an empty table stays empty;
@@ -297,35 +324,123 @@ def repair(rows: DataFrame, conv: str = "conv", turn: str = "turn", role: str =
     """
     of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     x = rows.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), of(role).alias("role"), of(text).alias("text"), (F.col(there) if there else F.lit(True)).alias("there"))
-    x = x.repartition("conv").sortWithinPartitions("conv", F.asc_nulls_first("turn"), "role", "text")
-    names = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    tables = Tables(rows.sparkSession)
+    huge = tables.put(x.filter("there").groupBy("conv").agg(F.count("*").alias("n")).filter(F.col("n") > WHOLE).select("conv", F.lit(True).alias("huge")))
+    if huge.isEmpty():
+        return _streamed(x)
+    named = within(huge.withColumnRenamed("conv", "_conv"), BROADCAST_ROWS)
+    marked = x.join(named, F.col("conv").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    return _streamed(marked.filter("huge IS NULL").drop("huge")).unionByName(repair_huge(marked.filter("huge AND there").drop("huge", "there"), tables))
+
+
+def _in_order(x: DataFrame, by: list, names: list[str], kinds: str, start, add, result) -> DataFrame:
+    """A row for each conversation from its rows in the order ``by``: a task streams through its conversations, with
+    start(), add(state, row) for each row and result(state)."""
+    fields = x.schema["conv"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, of_now, done, held, kind = None, None, [], 0, None
+        state, now, done, held, kind = None, None, [], 0, None
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array([d[0] for d in done], kind), *[pa.array([d[k] for d in done], pa.int64() if k < 7 else pa.string()) for k in range(1, 9)]]
+            columns = [pa.array([d[0] for d in done], kind), *[pa.array([d[k + 1] for d in done]) for k in range(len(names))]]
             done.clear()
             return pa.RecordBatch.from_arrays(columns, ["conv", *names])
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), batch.column(4).to_pylist()]
-            for c, t, r, b, is_there in zip(*columns, strict=True):
-                if now is None or c != of_now:
-                    if now is not None:
-                        done.append((of_now, *now.result()))
-                        held += len(done[-1][7]) + 200
+            columns = [c.cast(pa.binary()).to_pylist() if pa.types.is_string(c.type) and k else c.to_pylist() for k, c in enumerate(batch.columns)]
+            for c, *row in zip(*columns, strict=True):
+                if state is None or c != now:
+                    if state is not None:
+                        done.append((now, *result(state)))
+                        held += sum(len(v) for v in done[-1][1:] if isinstance(v, str)) + 100
                         if held > HELD:
                             yield flush()
                             held = 0
-                    now, of_now = _Conversation(), c
-                if is_there:
-                    now.add(t, r.as_py(), b.as_py())
-        if now is not None:
-            done.append((of_now, *now.result()))
+                    state, now = start(), c
+                add(state, row)
+        if state is not None:
+            done.append((now, *result(state)))
             yield flush()
         release()
 
-    schema = f"conv {x.schema['conv'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names[:6]) + ", audit string, repaired_sha256 string"
-    return x.mapInArrow(run, schema)
+    return x.repartition("conv").sortWithinPartitions("conv", *by).mapInArrow(run, f"conv {fields}, {kinds}")
+
+
+def _streamed(x: DataFrame) -> DataFrame:
+    def add(state: _Conversation, row: list) -> None:
+        turn, role, text, there = row
+        if there:
+            state.add(turn, role, text)
+
+    kinds = ", ".join(f"{c} long" for c in _COUNTS) + ", audit string, repaired_sha256 string"
+    return _in_order(x, [F.asc_nulls_first("turn"), "role", "text"], [*_COUNTS, "audit", "repaired_sha256"], kinds, _Conversation, add, _Conversation.result)
+
+
+def repair_huge(x: DataFrame, tables: Tables) -> DataFrame:
+    """repair() of conversations (conv, turn, role, text) that no task should read as a whole.
+
+    Rows are numbered within ranges of turns and cut into segments of ``LONG`` rows; tasks find each segment's
+    cheapest scripts between any two states of the grammar, and one task joins a conversation's few
+    outcomes, which are strings of an audit's length. The hash is of one text, which a task therefore
+    reads in order, but never holds. Rows of one turn are put in order by one task.
+    """
+    by = [F.asc_nulls_first("turn"), "role", "text"]
+    x = tables.put(x)
+    placed = running(x, "conv", range_bucket(x, "turn"), by, F.lit(1)).withColumnRenamed("_run", "pos").drop("_total")
+    placed = tables.put(placed.withColumn("digest", F.sha2(F.col("text"), 256)))
+    seen = tables.put(placed.groupBy(F.col("conv").alias("_conv"), F.col("role").alias("_role"), F.col("digest").alias("_digest")).agg(F.min("pos").alias("first")))
+    same = F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("role") == F.col("_role")) & (F.col("digest") == F.col("_digest"))
+    blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
+    kind = F.when(blank, "b").when(F.col("pos") > F.col("first"), "d").when(~last.isin(".", "!", "?"), "t").otherwise("")
+    initial = F.substring("role", 1, 1)
+    coded = placed.join(seen, same).select("conv", "turn", "pos", F.when(initial.isin("s", "u", "a"), initial).otherwise("x").alias("initial"), kind.alias("kind"))
+    coded = tables.put(coded.withColumn("segment", F.floor((F.col("pos") - 1) / LONG)))
+
+    def outcomes(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        initials, kinds = t.column("initial").to_pylist(), t.column("kind").to_pylist()
+        codes = "".join("D" if k in ("b", "d") else i.upper() if k else i for i, k in zip(initials, kinds, strict=True))
+        bad = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+        found = [(a, b, c, audit) for a in _FOLLOWS for b, (c, audit) in segment(codes, a).items()]
+        n = len(found)
+        fixed = [t.column(c).slice(0, 1).combine_chunks().take(pa.array([0] * n)) for c in ("conv", "segment")]
+        cut = [pa.array([v] * n, pa.int64()) for v in (kinds.count("b"), kinds.count("d"), kinds.count("t"), bad)]
+        ends = [pa.array([v] * n) for v in (initials[0], initials[-1])]
+        return pa.table([*fixed, *cut, *ends, *[pa.array([f[k] for f in found]) for k in range(4)]], [*_SEGMENT])
+
+    key = coded.schema["conv"].dataType.simpleString()
+    kinds = "segment long, blank long, duplicate long, truncated long, bad long, head string, tail string, start long, stop long, cost long, audit string"
+    segments = tables.put(coded.groupBy("conv", "segment").applyInArrow(outcomes, f"conv {key}, {kinds}"))
+
+    def whole(t: pa.Table) -> pa.Table:
+        parts, about = {}, {}
+        for r in t.to_batches():
+            for v in r.to_pylist():
+                parts.setdefault(v["segment"], {}).setdefault(v["start"], {})[v["stop"]] = (v["cost"], v["audit"])
+                about[v["segment"]] = (v["blank"], v["duplicate"], v["truncated"], v["bad"], v["head"], v["tail"])
+        order = sorted(parts)
+        cost, audit = joined([parts[k] for k in order])
+        sums = [sum(about[k][j] for k in order) for j in range(4)]
+        sums[3] += sum(about[a][5] + about[b][4] not in ("su", "ua", "au") for a, b in zip(order, order[1:], strict=False))
+        return pa.table([t.column("conv").slice(0, 1), *[pa.array([v]) for v in (*sums, cost, audit)]], ["conv", "blank", "duplicate", "truncated", "illegal", "cost", "audit"])
+
+    found = tables.put(segments.groupBy("conv").applyInArrow(whole, f"conv {key}, blank long, duplicate long, truncated long, illegal long, cost long, audit string"))
+    turns = x.groupBy("conv").agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).alias("gaps"))
+
+    # the audit comes first, then the rows in order
+    lines = placed.select("conv", "pos", "role", "text").union(found.select("conv", F.lit(0).cast("long"), F.lit(""), "audit"))
+
+    def add(state: list, row: list) -> None:
+        if row[0] == 0:
+            state.append(_Repaired(row[2].decode()))
+        else:
+            state[0].row(row[1], row[2])
+
+    hashed = _in_order(lines, ["pos"], ["repaired_sha256"], "repaired_sha256 string", list, add, lambda state: (state[0].digest(),))
+    out = found.alias("f").join(turns.alias("t"), F.col("f.conv").eqNullSafe(F.col("t.conv"))).join(hashed.alias("h"), F.col("f.conv").eqNullSafe(F.col("h.conv")))
+    return out.select("f.conv", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+_SEGMENT = ["conv", "segment", "blank", "duplicate", "truncated", "bad", "head", "tail", "start", "stop", "cost", "audit"]

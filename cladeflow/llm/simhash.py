@@ -23,7 +23,8 @@ from cladeflow.llm.graph import components
 SEED = 42
 #: Shingles that are hashed at once.
 STEP = 1 << 16
-#: Fingerprints of one bucket that are compared with each other; larger buckets are split by more blocks.
+#: Fingerprints of one bucket that are compared with each other; larger buckets are split by more blocks, down to
+#: four free places, which hold 16 fingerprints: the number must not be less.
 LIMIT = 64
 #: Fingerprints of several rows that are broadcast at most, and parts in which more are joined.
 BROADCAST_ROWS = 100_000
