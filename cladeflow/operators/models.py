@@ -249,25 +249,3 @@ def allocate_down(nodes: DataFrame, depth: DataFrame, root: int, amount: int, se
         level = cut(below.select("id", share.alias("amount")))
         out = out.union(level)
     return out
-
-
-def representatives_up(nodes: DataFrame, depth: DataFrame, items: DataFrame, seed: int, cap: int) -> DataFrame:
-    """(id, item): for each node the items of its children, cut to the median number that its children
-    have and to ``cap``, level by level from below."""
-    tree = cut(nodes.select("id", "idpar").join(depth, "id"))
-    level = tree.agg(F.max("depth")).first()[0]
-    out, below = None, None
-    while level is not None and level >= 0:
-        here = tree.filter(F.col("depth") == level)
-        own = items.join(here.select("id"), "id", "left_semi").select("id", "item")
-        if below is not None:
-            n = below.groupBy("idpar", "id").agg(F.count("*").alias("n"))
-            most = n.groupBy(F.col("idpar").alias("id")).agg(F.least(F.floor(F.percentile("n", 0.5)), F.lit(cap)).alias("most"))
-            at = Window.partitionBy("id").orderBy(seeded("item", seed), "item")
-            up = below.select(F.col("idpar").alias("id"), "item").distinct().join(most, "id").withColumn("_at", F.row_number().over(at)).filter(F.col("_at") <= F.col("most")).select("id", "item")
-            own = own.union(up.join(here.select("id"), "id", "left_semi")).distinct()
-        below = cut(own.join(here.select("id", "idpar"), "id"))
-        part = below.select("id", "item")
-        out = part if out is None else out.union(part)
-        level -= 1
-    return items.select("id", "item").limit(0) if out is None else out

@@ -153,14 +153,6 @@ def p35_checked_picks(t: Tables) -> DataFrame:
     return picks.agg(F.countDistinct("id").alias("picks"))
 
 
-@query()
-def p28_representatives(t: Tables) -> DataFrame:
-    """Representative orders up the tree: median child list size, level by level; no SQL form."""
-    nodes, pairs = both(t)
-    items = t.orders.select((F.col("o_custkey") + 1000).alias("id"), F.col("o_orderkey").alias("item"))
-    return models.representatives_up(nodes, tree.depths(pairs), items, 5, 100)
-
-
 @query("SELECT n_nationkey, word, place FROM (SELECT n_nationkey, unnest(string_split(n_name, '_')) AS word, generate_subscripts(string_split(n_name, '_'), 1) - 1 AS place FROM nation) WHERE word <> ''")
 def src9_row_expanding_hook(t: Tables) -> DataFrame:
     from pyspark.sql.functions import udtf

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ["selection", "trees", "sequences", "models", "metrics", "intervals", "files", "annotation", "learning"]
+_MODULES = ["selection", "trees", "sequences", "models", "metrics", "intervals", "files", "annotation", "learning", "sampling"]
 
 
 class Tables:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladeflow.operators import annotation, intervals, kmers, learning, models, relational, tree
+from cladeflow.operators import annotation, intervals, kmers, learning, models, relational, sampling, tree
 
 
 def test_kmers_across_windows(spark):
@@ -66,7 +66,7 @@ def test_odd_trees(spark):
     assert pairs.count() == 0
     assert tree.reduce_up(none, pairs, "v", F.sum("x")).count() == 0
     assert models.allocate_down(none, tree.depths(pairs), 1, 5, 1).count() == 0
-    assert models.representatives_up(none, tree.depths(pairs), spark.createDataFrame([], "id long, item long"), 1, 3).count() == 0
+    assert sampling.representatives_up(none, tree.depths(pairs), spark.createDataFrame([], "id long, item long"), 1, 3).count() == 0
     ring = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "id long, idpar long")
     with pytest.raises(ValueError, match="cycle"):
         tree.closure(ring)
