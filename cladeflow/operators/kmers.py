@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import hash01, probabilistic_round, reverse_complement, seeded
-from cladeflow.operators.common import first_by, in_seeded_order, range_bucket, running, summed
+from cladeflow.operators.common import cut, in_seeded_order, range_bucket, running, summed
 
 #: Units of a grid at most.
 MAX_UNITS = 100_000
+#: Symbols of a sequence that are coded at once, and different k-mers that a task counts before it hands them on.
+STEP, HELD = 1 << 20, 1 << 18
+#: The longest k-mers that fit into a code of 64 bits.
+MAX_K = 31
+
+_DIGIT = np.full(256, 4, dtype=np.int64)
+_DIGIT[list(b"ACGT")] = range(4)
 
 
 def windows(seqs: DataFrame, ident: str, seq: str, k: int, step: int = 50_000) -> DataFrame:
@@ -30,8 +41,76 @@ def kmers(seqs: DataFrame, ident: str, seq: str, k: int, merge: bool = False) ->
     return found.withColumn("kmer", F.least("kmer", reverse_complement(F.col("kmer")))) if merge else found
 
 
+def _codes(text: bytes, ks: list[int], merge: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, codes, counts) of the k-mers of a sequence, a stretch of it at a time."""
+    for at in range(0, max(len(text), 1), STEP):
+        x = _DIGIT[np.frombuffer(text[at : at + STEP + max(ks) - 1], dtype=np.uint8)]
+        bad = np.concatenate([[0], np.cumsum(x > 3)])
+        for k in ks:
+            n = min(len(x) - k + 1, STEP)  # the places that begin in this stretch
+            if n <= 0:
+                continue
+            codes = np.zeros(n, dtype=np.int64)
+            for j in range(k):
+                codes = codes * 4 + x[j : j + n]
+            codes = codes[bad[k : k + n] == bad[:n]]
+            if merge:
+                rest, other = codes.copy(), np.zeros_like(codes)
+                for _ in range(k):
+                    other = other * 4 + 3 - rest % 4
+                    rest //= 4
+                codes = np.minimum(codes, other)
+            yield k, *np.unique(codes, return_counts=True)
+
+
+def code_counts(seqs: DataFrame, ident: str, seq: str, ks: list[int], merge: bool = False) -> DataFrame:
+    """(id, k, code, n): how often a sequence has each k-mer of upper-case A, C, G and T, for all ``ks`` in one pass. A code is
+    the k-mer as a number of k digits to the base 4; ``merge``: of the smaller of it and its reverse complement.
+
+    Tasks count stretches of a sequence in arrays, so that only different k-mers are shuffled.
+    """
+    if max(ks) > MAX_K:
+        raise ValueError(f"k-mers of more than {MAX_K} symbols")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, of_k, codes, counts, held = [], [], [], [], 0
+
+            def flush(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                sizes = [len(x) for x in codes]
+                rows = pa.array(np.repeat(at, sizes).astype(np.int64))
+                arrays = [batch.column(0).take(rows), pa.array(np.repeat(of_k, sizes).astype(np.int32)), pa.array(np.concatenate(codes)), pa.array(np.concatenate(counts).astype(np.int64))]
+                for x in (at, of_k, codes, counts):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(arrays, [ident, "k", "code", "n"])
+
+            for row, text in enumerate(batch.column(1).cast(pa.binary())):
+                for k, found, n in _codes(text.as_py() or b"", ks, merge):
+                    for kept, x in zip((at, of_k, codes, counts), (row, k, found, n), strict=True):
+                        kept.append(x)
+                    held += len(found)
+                    if held > HELD:
+                        yield flush()
+                        held = 0
+            if codes:
+                yield flush()
+
+    kind = seqs.schema[ident].dataType.simpleString()
+    parts = seqs.select(ident, seq).mapInArrow(count, f"`{ident}` {kind}, k int, code long, n long")
+    return parts.groupBy(ident, "k", "code").agg(F.sum("n").alias("n"))
+
+
+def coded(code: Column, k: Column) -> Column:
+    """The k-mer of a code."""
+    return F.when(k > 0, F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, F.lit("0")), "0123", "ACGT")).otherwise("")
+
+
+def code_of(kmer: Column) -> Column:
+    return F.when(F.length(kmer) > 0, F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")).otherwise(0)
+
+
 def kmer_counts(seqs: DataFrame, ident: str, seq: str, k: int, merge: bool = False) -> DataFrame:
-    return kmers(seqs, ident, seq, k, merge).groupBy(ident, "kmer").agg(F.count("*").alias("n"))
+    return code_counts(seqs, ident, seq, [k], merge).select(ident, coded(F.col("code"), F.lit(k)).alias("kmer"), "n")
 
 
 def frequencies(counts: DataFrame, ident: str, unit: bool = False) -> DataFrame:
@@ -45,17 +124,15 @@ def frequencies(counts: DataFrame, ident: str, unit: bool = False) -> DataFrame:
 def ladder(seqs: DataFrame, ident: str, seq: str, most: int) -> DataFrame:
     """k-mers of 1 to ``most`` symbols with what the shorter ones lead to expect: the count of the first
     k - 1 symbols times the share of the last; single symbols are expected alike."""
-    levels = None
-    for k in range(1, most + 1):
-        level = kmer_counts(seqs, ident, seq, k).withColumn("k", F.lit(k))
-        levels = level if levels is None else levels.unionByName(level)
-    one = levels.filter("k = 1").select(ident, F.col("kmer").alias("last"), F.col("n").alias("n_last"))
-    sums = one.groupBy(ident).agg(F.sum("n_last").alias("total"), F.count("*").alias("kinds"))
-    prefix = levels.select(ident, F.col("kmer").alias("prefix"), F.col("n").alias("n_prefix"))
-    cut_up = levels.withColumn("prefix", F.expr("left(kmer, k - 1)")).withColumn("last", F.right("kmer", F.lit(1)))
-    x = cut_up.join(prefix, [ident, "prefix"], "left").join(one, [ident, "last"]).join(sums, ident)
-    expected = F.when(F.col("k") == 1, F.col("total") / F.col("kinds")).otherwise(F.col("n_prefix") * F.col("n_last") / F.col("total"))
-    return x.withColumn("expected", expected).withColumn("feature", (F.col("n") - F.col("expected")) / F.col("expected")).select(ident, "k", "kmer", "n", "expected", "feature")
+    levels = cut(code_counts(seqs, ident, seq, list(range(1, most + 1))))
+    of = lambda code: F.sum(F.when(F.col("code") == code, F.col("n")).otherwise(0))
+    one = levels.filter("k = 1").groupBy(ident).agg(F.array(*[of(c) for c in range(4)]).alias("_one"), F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    prefix = levels.filter(F.col("k") < most).select(ident, (F.col("k") + 1).alias("k"), F.col("code").alias("_prefix"), F.col("n").alias("n_prefix"))
+    x = levels.withColumn("_prefix", F.shiftright("code", 2)).join(prefix, [ident, "k", "_prefix"], "left").join(one, ident)
+    last = F.get("_one", F.col("code").bitwiseAND(F.lit(3)).cast("int"))
+    expected = F.when(F.col("k") == 1, F.col("total") / F.col("kinds")).otherwise(F.col("n_prefix") * last / F.col("total"))
+    x = x.withColumn("expected", expected).withColumn("feature", (F.col("n") - F.col("expected")) / F.col("expected"))
+    return x.select(ident, "k", coded(F.col("code"), F.col("k")).alias("kmer"), "n", "expected", "feature")
 
 
 def against_reversed(counts: DataFrame, reversed_counts: DataFrame, ident: str, expected: Column) -> DataFrame:
@@ -64,14 +141,40 @@ def against_reversed(counts: DataFrame, reversed_counts: DataFrame, ident: str,
     return counts.join(other, [ident, "kmer"], "left").withColumn("ratio", F.col("n") / F.coalesce(F.nullif("n_rev", F.lit(0)), expected))
 
 
+def _starts(seq: str, length: int, step: int) -> Column:
+    return F.when(F.length(seq) >= length, F.sequence(F.lit(0), F.length(seq) - length, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
+def _cut_at(df: DataFrame, seq: str, starts: str, length: int, keep: list[str]) -> DataFrame:
+    """A row for each of the ``starts`` of a sequence, with the fragment of ``length`` there, in time linear in the
+    sequence: it is cut once into blocks of a few fragments' length, and a fragment is taken from its
+    block, and from the next, by their numbers."""
+    block = 4 * length
+    cut_up = df.select(*keep, starts, F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("_parts"))
+
+    def fragment(s: Column) -> Column:
+        i = F.floor(s / block).cast("int")
+        at = s - i * block
+        head = F.substring(F.get("_parts", i), at + 1, F.lit(length))
+        tail = F.substring(F.coalesce(F.get("_parts", i + 1), F.lit("")), F.lit(1), F.greatest(at + length - block, F.lit(0)))
+        return F.struct(s.alias("start"), F.concat(head, tail).alias("frag"))
+
+    return cut_up.select(*keep, F.explode(F.transform(F.col(starts), fragment)).alias("_x")).select(*keep, "_x.start", "_x.frag")
+
+
 def shred(seqs: DataFrame, ident: str, seq: str, length: int, offset: int = 0, n: int | None = None, seed: int = 0) -> DataFrame:
     """Fragments of a fixed length, each ``length + offset`` after the last; with ``n``, that many of a
-    sequence in seeded order. Returns old id, start, end, frag."""
-    starts = F.sequence(F.lit(0), F.length(seq) - length, F.lit(length + offset))
-    out = seqs.filter(F.length(seq) >= length).select(F.col(ident).alias("old_id"), F.col(seq).alias("_s"), F.explode(starts).alias("start"))
+    sequence in seeded order. Returns old id, start, end, frag.
+
+    Places are chosen in the sequence's own row, before any text is cut, so that nothing is shuffled: rows of
+    one id are sequences of their own.
+    """
+    starts = _starts(seq, length, length + offset)
     if n is not None:
-        out = first_by(out.withColumn("_key", F.concat(F.col("old_id").cast("string"), F.lit("-"), F.col("start").cast("string"))), ["old_id"], [seeded("_key", seed), F.col("start")], n)
-    return out.select("old_id", "start", (F.col("start") + length).alias("end"), F.substring("_s", F.col("start") + 1, F.lit(length)).alias("frag"))
+        hashed = F.array_sort(F.transform(starts, lambda x: F.struct(seeded(F.concat(F.col(ident).cast("string"), F.lit("-"), x.cast("string")), seed).alias("h"), x.alias("start"))))
+        starts = F.transform(F.slice(hashed, 1, n), lambda x: x["start"])
+    x = seqs.select(F.col(ident).alias("old_id"), F.col(seq).alias("_s"), starts.alias("_starts"))
+    return _cut_at(x, "_s", "_starts", length, ["old_id"]).select("old_id", "start", (F.col("start") + length).alias("end"), "frag")
 
 
 def capped_fragments(seqs: DataFrame, group: str, ident: str, seq: str, length: int, cap: int, seed: int) -> DataFrame:
@@ -80,19 +183,18 @@ def capped_fragments(seqs: DataFrame, group: str, ident: str, seq: str, length:
     rounded up or down by chance (seeded), and the fragments that come first in seeded order within it.
     All fragments (quota -1) where the ratio is 1 or more.
 
-    Groups are only summed up; fragments are numbered within one sequence.
+    Groups are only summed up; fragments are numbered within one sequence, and no text is shuffled.
     """
     totals = seqs.groupBy(group).agg(F.sum(F.length(seq)).alias("_total"))
     ratio = F.lit(float(cap * length)) / F.col("_total")
     quota = F.when(ratio < 1, probabilistic_round(F.length(seq) * ratio / length, ident, f"quota:{seed}")).otherwise(-1)
     shared = seqs.join(summed(totals.withColumnRenamed(group, "_group")), F.col(group).eqNullSafe(F.col("_group"))).withColumn("_quota", quota)
-    starts = F.sequence(F.lit(0), F.length(seq) - length, F.lit(length))
-    whole = shared.filter((F.length(seq) >= length) & (F.col("_quota") != 0)).select(group, F.col(ident).alias("old_id"), F.col(seq).alias("_s"), "_quota", starts.alias("_starts"))
+    whole = shared.filter((F.length(seq) >= length) & (F.col("_quota") != 0)).select(group, F.col(ident).alias("old_id"), F.col(seq).alias("_s"), "_quota", _starts(seq, length, length).alias("_all"))
     # in each sequence's own array: its places by their hashes, as many as the quota
-    hashed = F.array_sort(F.transform("_starts", lambda x: F.struct(seeded(F.concat(F.col("old_id").cast("string"), F.lit("-"), x.cast("string")), seed).alias("h"), x.alias("start"))))
-    chosen = F.when(F.col("_quota") < 0, F.col("_starts")).otherwise(F.transform(F.slice(hashed, F.lit(1), F.greatest(F.col("_quota"), F.lit(0)).cast("int")), lambda x: x["start"]))
-    out = whole.select(group, "old_id", "_s", F.explode(chosen).alias("start"))
-    return out.select(group, "old_id", "start", (F.col("start") + length).alias("end"), F.substring("_s", F.col("start") + 1, F.lit(length)).alias("frag"))
+    hashed = F.array_sort(F.transform("_all", lambda x: F.struct(seeded(F.concat(F.col("old_id").cast("string"), F.lit("-"), x.cast("string")), seed).alias("h"), x.alias("start"))))
+    chosen = F.when(F.col("_quota") < 0, F.col("_all")).otherwise(F.transform(F.slice(hashed, F.lit(1), F.greatest(F.col("_quota"), F.lit(0)).cast("int")), lambda x: x["start"]))
+    out = _cut_at(whole.withColumn("_starts", chosen), "_s", "_starts", length, [group, "old_id"])
+    return out.select(group, "old_id", "start", (F.col("start") + length).alias("end"), "frag")
 
 
 def random_part(seqs: DataFrame, ident: str, seq: str, length: int, seed: int) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import seeded
 from cladeflow.operators.common import cut, first_by, in_seeded_order, small, summed
-from cladeflow.operators.kmers import kmer_counts
+from cladeflow.operators.kmers import _codes, code_counts, code_of, coded
 from cladeflow.operators.relational import status_of
 from cladeflow.operators.tree import fill_lineage, fixed_lineage, lowest_common, with_info
 
@@ -17,36 +20,107 @@ from cladeflow.operators.tree import fill_lineage, fixed_lineage, lowest_common,
 SCALE = {"b0": -0.5, "b1": 2.0, "b2": 1.5, "b3": 0.01, "b4": 0.8, "e": 4.0}
 
 
+#: Models that a task scores at once, and contexts' symbols at most: a model's row of one length fits in memory.
+MODEL_BLOCK, MAX_ORDER = 64, 10
+#: Samples that one copy of a block of models serves at least and at most.
+LEAST_SAMPLES, MOST_SAMPLES = 256, 100_000
+#: What a symbol that a model has never seen gets.
+UNSEEN = -1.3862943611198906
+
+
 def train(seqs: DataFrame, model: str, seq: str, order: int = 3, least: int = 0) -> DataFrame:
     """A context model for each group of sequences: (model, context, next, logp) for contexts of 0 to
-    ``order`` symbols, with one added to each count; groups shorter in sum than ``least`` are left out."""
+    ``order`` symbols, with one added to each count; groups shorter in sum than ``least`` are left out. All
+    lengths of contexts are counted in one pass."""
     if least:
         big = seqs.groupBy(model).agg(F.sum(F.length(seq)).alias("_n")).filter(F.col("_n") >= least).select(model)
         seqs = seqs.join(summed(big), model, "left_semi")
-    parts = []
-    for k in range(order + 1):
-        n = kmer_counts(seqs.select(F.col(model).alias("_m"), seq), "_m", seq, k + 1)
-        n = n.withColumn("context", F.expr(f"left(kmer, {k})")).withColumn("next", F.right("kmer", F.lit(1)))
-        total = F.sum("n").over(Window.partitionBy("_m", "context"))
-        parts.append(n.select(F.col("_m").alias(model), "context", "next", F.log((F.col("n") + 1) / (total + 4)).alias("logp")))
-    return reduce(lambda a, b: a.union(b), parts)
+    n = code_counts(seqs, model, seq, list(range(1, order + 2))).withColumn("_context", F.shiftright("code", 2))
+    total = F.sum("n").over(Window.partitionBy(model, "k", "_context"))
+    logp = F.log((F.col("n") + 1) / (total + 4))
+    return n.select(model, coded(F.col("_context"), F.col("k") - 1).alias("context"), coded(F.col("code").bitwiseAND(F.lit(3)), F.lit(1)).alias("next"), logp.alias("logp"))
 
 
 def score(samples: DataFrame, ident: str, seq: str, table: DataFrame, model: str, order: int = 3) -> DataFrame:
-    """(id, model, score): the log-probability of each sample under each model. Symbols are counted by
-    context first; a context that a model lacks falls back to the model's empty one, and to a
-    quarter for a symbol that the model has never seen."""
-    seen = kmer_counts(samples, ident, seq, order + 1).withColumn("context", F.expr(f"left(kmer, {order})")).withColumn("next", F.right("kmer", F.lit(1)))
-    table = cut(table)  # else the models would be trained for each of its uses
-    # what every model falls back to, for the four symbols that it may be asked for
-    symbols = table.select(model).distinct().withColumn("next", F.explode(F.array(*[F.lit(x) for x in "ACGT"])))
-    empty = table.filter("context = ''").select(model, "next", F.col("logp").alias("p_empty"))
-    plain = small(symbols.join(empty, [model, "next"], "left").select(model, "next", F.coalesce("p_empty", F.lit(-1.3862943611198906)).alias("p_plain")))
-    base = seen.groupBy(ident, "next").agg(F.sum("n").alias("n")).join(plain, "next").select(ident, model, (F.col("n") * F.col("p_plain")).alias("part"))
-    # and what a context that a model has changes about that
-    full = table.filter(F.length("context") == order).join(plain, [model, "next"]).select(model, "context", "next", (F.col("logp") - F.col("p_plain")).alias("more"))
-    known = seen.join(full, ["context", "next"]).select(ident, model, (F.col("n") * F.col("more")).alias("part"))
-    return base.union(known).groupBy(ident, model).agg(F.sum("part").alias("score"))
+    """(id, model, score): the log-probability of each sample under each model. A null model is none.
+
+    Each symbol behind ``order`` others is looked up by the longest end of them after which the model has
+    seen it, down to no context; a symbol that it has never seen gets a quarter. What lengths the table
+    has is up to it: one with the full length and the empty context only falls back from one to the other.
+
+    A sample is one row of its different k-mers and their counts. Models come in blocks, of which each part of the
+    samples gets a copy: a task reads a block's rows first and then lets samples pass by, so that it
+    holds one block and one batch, and no k-mer of a sample meets a model as a row.
+    """
+    if order > MAX_ORDER:
+        raise ValueError(f"contexts of more than {MAX_ORDER} symbols")
+    table = cut(table.select(F.col(model).alias("_m"), F.length("context").alias("_level"), code_of(F.concat("context", "next")).alias("_code"), "logp").filter((F.col("_level") <= order) & F.col("_m").isNotNull()))
+    blocks = -(-table.select("_m").distinct().count() // MODEL_BLOCK)
+    n = samples.count()
+    cores = samples.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(n // LEAST_SAMPLES, 2 * cores), n // MOST_SAMPLES)
+    kind, of_model = samples.schema[ident].dataType.simpleString(), table.schema["_m"].dataType.simpleString()
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, codes, counts = [], [], []
+            for row, text in enumerate(batch.column(1).cast(pa.binary())):
+                for _, found, n in _codes(text.as_py() or b"", [order + 1], False):
+                    if len(found):
+                        at.append(row)
+                        codes.append(found)
+                        counts.append(n)
+            if at:
+                offsets = pa.array(np.cumsum([0, *map(len, codes)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int64))) for x in (codes, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *lists], ["_id", "_codes", "_n"])
+
+    found = samples.select(F.col(ident).alias("_id"), seq).mapInArrow(sparse, f"_id {kind}, _codes array<long>, _n array<long>")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    none = lambda t: F.lit(None).cast(t)
+    # long samples come in several rows, which need not meet
+    part = F.pmod(F.xxhash64("_id", F.get("_codes", F.lit(0)), F.size("_codes")), F.lit(parts)).cast("int")
+    of_samples = found.select(part.alias("_part"), each(blocks).alias("_block"), F.lit(1).alias("_kind"), "_id", none(of_model).alias("_m"), none("int").alias("_level"), "_codes", "_n", none("array<double>").alias("_logp"))
+    items = F.array_sort(F.collect_list(F.struct("_code", "logp")))
+    levels = table.groupBy("_m", "_level").agg(items.alias("_x"))
+    of_models = levels.select(each(parts).alias("_part"), F.pmod(F.xxhash64("_m"), F.lit(max(blocks, 1))).cast("int").alias("_block"), F.lit(0).alias("_kind"), none(kind).alias("_id"), "_m", "_level", F.transform("_x", lambda x: x["_code"]).alias("_codes"), none("array<long>").alias("_n"), F.transform("_x", lambda x: x["logp"]).alias("_logp"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        place = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)])
+            edges = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if hi == lo:
+                    continue
+                run = batch.slice(lo, hi - lo)
+                if place != (keys[0, lo], keys[1, lo]):
+                    place, known = (keys[0, lo], keys[1, lo]), {}
+                if keys[2, lo] == 0:
+                    for m, level, codes, logp in zip(run.column(4).to_pylist(), run.column(5).to_pylist(), run.column(6), run.column(8), strict=True):
+                        known.setdefault(m, {})[level] = (codes.values.to_numpy(), logp.values.to_numpy())
+                    continue
+                lists = run.column(6)
+                starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+                codes, n = lists.flatten().to_numpy(), run.column(7).flatten().to_numpy()
+                unique, back = np.unique(codes, return_inverse=True)
+                names = sorted(known)
+                values = np.empty((len(names), hi - lo))
+                for j, m in enumerate(names):
+                    logp = np.full(len(unique), UNSEEN)
+                    for level in sorted(known[m]):
+                        has, p = known[m][level]
+                        ends = unique % 4 ** (level + 1)
+                        at = np.minimum(np.searchsorted(has, ends), len(has) - 1)
+                        logp = np.where(has[at] == ends, p[at], logp)
+                    values[j] = np.add.reduceat(logp[back] * n, starts)
+                rows, chosen = np.tile(np.arange(hi - lo), len(names)), np.repeat(np.arange(len(names)), hi - lo)
+                yield pa.RecordBatch.from_arrays([run.column(3).take(pa.array(rows)), pa.array(names, batch.schema.field(4).type).take(pa.array(chosen)), pa.array(values.reshape(-1))], ["_id", "_m", "score"])
+
+    met = of_models.unionByName(of_samples).repartition(parts * max(blocks, 1), "_part", "_block").sortWithinPartitions("_part", "_block", "_kind")
+    out = met.mapInArrow(scored, f"_id {kind}, _m {of_model}, score double")
+    return out.groupBy(F.col("_id").alias(ident), F.col("_m").alias(model)).agg(F.sum("score").alias("score"))
 
 
 def best_of_shared(scores: DataFrame, sample: str, model: str, ids: DataFrame, score_id: str) -> DataFrame:

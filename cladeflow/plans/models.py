@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cladeflow.operators import tree
 from cladeflow.operators import models as op
 from cladeflow.plans.registry import Tables, query
-from cladeflow.plans.sequences import seqs, seqs_sql
+from cladeflow.plans.sequences import kmers_sql, seqs, seqs_sql
 from cladeflow.plans.trees import CLOSURE, DEPTH, both
 
 MODEL = f"""{seqs_sql()}, """ + """g AS (SELECT lang AS doc_id, seq FROM seqs),
@@ -41,6 +41,22 @@ def p2_scores(t: Tables) -> DataFrame:
     return scored(t).withColumn("score", F.round("score", 4))
 
 
+def _backoff_sql(order: int) -> str:
+    """Contexts of all lengths; each symbol takes the longest after which the model has seen it."""
+    counts = ", ".join(kmers_sql(k, f"b{k}").replace("doc_id", "lang") for k in range(1, order + 2))
+    tables = ", ".join(f"p{k} AS (SELECT lang AS model, kmer, ln((n + 1) / (sum(n) OVER (PARTITION BY lang, left(kmer, {k - 1})) + 4)) AS logp FROM b{k})" for k in range(1, order + 2))
+    longest = "coalesce(" + ", ".join(f"p{k}.logp" for k in range(order + 1, 0, -1)) + ", -1.3862943611198906)"
+    joins = " ".join(f"LEFT JOIN p{k} ON p{k}.model = m.model AND p{k}.kmer = right(s.kmer, {k})" for k in range(1, order + 2))
+    return f"{counts}, {tables}, {kmers_sql(order + 1, 's')} SELECT doc_id, m.model AS lang, round(sum(s.n * {longest}), 4) AS score FROM s, (SELECT DISTINCT lang AS model FROM seqs WHERE lang IS NOT NULL) m {joins} GROUP BY 1, 2"
+
+
+@query(f"WITH {seqs_sql()}, {_backoff_sql(4)}")
+def p2_backoff_scores(t: Tables) -> DataFrame:
+    """Contexts of 0 to 4 symbols."""
+    s = seqs(t)
+    return op.score(s, "doc_id", "seq", op.train(s, "lang", "seq", 4), "lang", 4).withColumn("score", F.round("score", 4))
+
+
 @query("SELECT l_orderkey, l_suppkey % 10 AS score_id, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2")
 def p3_shared_score_ids(t: Tables) -> DataFrame:
     ids = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_suppkey") % 10).alias("score_id"))

@@ -195,3 +195,67 @@ def test_training_rows_with_background(spark):
     q = lambda x: spark.createDataFrame(x, "l string, quota long")
     got = annotation.training_rows(rows, q([("c", 2), ("a", 3)]), "l", "id", 1, q([("b", 1)])).collect()
     assert sorted((x.l, x.number) for x in got) == [("a", 1)] * 3 + [("b", 0)] + [("c", 2)] * 2
+
+
+def test_scores_fall_back_to_the_longest_context_seen(spark):
+    """Against a plain scorer at order 4, with contexts that models lack, other symbols, long and short samples."""
+    r = random.Random(12)
+    groups = {"a": "ACGT", "b": "AC", "c": "ACG", "d": "T"}
+    seqs = [(m, "".join(r.choices(s + "N", k=r.choice([3, 60, 300])))) for m, s in groups.items() for _ in range(3)] + [(None, "ACGTACGT"), ("a", None)]
+    samples = [(i, "".join(r.choices("ACGTn", [9, 9, 9, 9, 1], k=n))) for i, n in enumerate([0, 4, 5, 6, 40, 700])]
+    count, total = {}, {}
+    for m, s in seqs:
+        for k in range(5):
+            for at in range(len(s or "") - k):
+                w = s[at : at + k + 1]
+                if set(w) <= set("ACGT"):
+                    count[m, w] = count.get((m, w), 0) + 1
+                    total[m, w[:-1]] = total.get((m, w[:-1]), 0) + 1
+    want = {}
+    for i, s in samples:
+        for at in range(len(s) - 4):
+            w = s[at : at + 5]
+            for m in groups if set(w) <= set("ACGT") else []:
+                seen = next((w[j:] for j in range(5) if (m, w[j:]) in count), None)
+                p = (count[m, seen] + 1) / (total[m, seen[:-1]] + 4) if seen else 0.25
+                want[i, m] = want.get((i, m), 0) + math.log(p)
+    table = models.train(spark.createDataFrame(seqs, "m string, seq string"), "m", "seq", 4)
+    for block in (64, 2):
+        models.MODEL_BLOCK = block
+        got = {(x.id, x.m): x.score for x in models.score(spark.createDataFrame(samples, "id int, seq string"), "id", "seq", table, "m", 4).collect()}
+        assert got == pytest.approx(want, abs=1e-9)
+    models.MODEL_BLOCK = 64
+    assert models.score(spark.createDataFrame([], "id int, seq string"), "id", "seq", table, "m", 4).count() == 0
+
+
+def test_codes_in_stretches_and_shredding_in_linear_time(spark, monkeypatch):
+    import time
+
+    monkeypatch.setattr(kmers, "STEP", 10)
+    text = b"ACGTTGCANACGTACGTTTACGACGTACG"
+    found = {}
+    for k, codes, n in kmers._codes(text, [2, 4], True):
+        for c, m in zip(codes.tolist(), n.tolist(), strict=True):
+            found[k, c] = found.get((k, c), 0) + m
+    want = {}
+    for k in (2, 4):
+        for at in range(len(text) - k + 1):
+            w = text[at : at + k].decode()
+            if "N" not in w:
+                w = min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA")))
+                c = int(w.translate(str.maketrans("ACGT", "0123")), 4)
+                want[k, c] = want.get((k, c), 0) + 1
+    assert found == want
+    seqs = [(1, "é" + "".join(random.Random(1).choices("ACGT", k=1003))), (2, "short"), (3, None)]
+    df = spark.createDataFrame(seqs, "id long, seq string")
+    for length, offset in [(10, 0), (7, -3), (9, 40), (100, -99), (1004, 0)]:
+        got = sorted(tuple(x) for x in kmers.shred(df, "id", "seq", length, offset).collect())
+        assert got == [(i, at, at + length, s[at : at + length]) for i, s in seqs if s for at in range(0, len(s) - length + 1, length + offset)]
+    took = []
+    for n in (200_000, 1_600_000):
+        long = spark.range(1).select("id", F.expr(f"repeat('ACGTTGCA', {n // 8})").alias("seq"))
+        began = time.time()
+        long = kmers.shred(long, "id", "seq", 100, n=5000)
+        assert long.filter("length(frag) = 100").count() == min(5000, n // 100)
+        took.append(time.time() - began)
+    assert took[1] < 8 * max(took[0], 1.0)
