@@ -6,34 +6,101 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Positions of a bin. Windows are sorted within bins of a key, and what lies before or after a bin is summed up
+#: by bin, so that no task holds a key.
+WIDTH = 1 << 16
+
+
+def _bin(position: Column) -> Column:
+    return F.floor(position / WIDTH)
+
+
+def _joined(x: DataFrame, sums: DataFrame, key: list[str]) -> DataFrame:
+    """``x`` with columns of ``sums`` by key and _bin, nulls being a key as any other."""
+    renamed = sums.select(*[F.col(k).alias(f"_by_{k}") for k in [*key, "_bin"]], *[c for c in sums.columns if c not in (*key, "_bin")])
+    on = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in [*key, "_bin"]]
+    return x.join(renamed, on).drop(*[f"_by_{k}" for k in [*key, "_bin"]])
+
+
+def _with_before(x: DataFrame, key: list[str], to: str, value: Column, total=F.sum, after: bool = False) -> DataFrame:
+    """``x`` with ``total`` (sum, max or min) of ``value`` over all bins before a row's own, or after it: a row for each
+    key and bin is put in order, no more."""
+    at = Window.partitionBy(*key).orderBy("_bin")
+    at = at.rowsBetween(1, Window.unboundedFollowing) if after else at.rowsBetween(Window.unboundedPreceding, -1)
+    sums = x.groupBy(*key, "_bin").agg(total(value).alias("_sum"))
+    return _joined(x, sums.withColumn(to, total("_sum").over(at)).drop("_sum"), key)
+
+
 def merged(df: DataFrame, key: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Unions of overlapping or touching intervals of each key."""
-    at = Window.partitionBy(*key).orderBy(start, end)
-    reach = F.max(end).over(at.rowsBetween(Window.unboundedPreceding, -1))
-    x = df.filter(F.col(start) < F.col(end)).withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
-    x = x.withColumn("_run", F.sum("_new").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    """Unions of overlapping or touching intervals of each key.
+
+    Of equal starts the furthest end counts; a bin of starts then has no more rows than positions.
+    """
+    x = df.filter(F.col(start) < F.col(end)).groupBy(*key, start).agg(F.max(end).alias(end)).withColumn("_bin", _bin(F.col(start)))
+    x = _with_before(x, key, "_reach", F.col(end), F.max)
+    at = Window.partitionBy(*key, "_bin").orderBy(start)
+    reach = F.greatest("_reach", F.max(end).over(at.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1)).drop("_reach")
+    x = _with_before(x, key, "_runs", F.col("_new"))
+    x = x.withColumn("_run", F.coalesce("_runs", F.lit(0)) + F.sum("_new").over(at.rowsBetween(Window.unboundedPreceding, 0)))
     return x.groupBy(*key, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
 
 
+def overlap_totals(a: DataFrame, b: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """(key, by, overlap): positions of a's intervals that b's cover, summed up over all pairs that overlap; without
+    pairs where they don't.
+
+    What b covers up to a place, with repeats, follows from how many of its intervals begin and end before it
+    and where: sums over bins and within the place's bin. No pairs are formed.
+    """
+    ends = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end").alias("at"), F.lit(1).alias("sign")))).alias("_x")
+    a, b = a.filter("start < end"), b.filter("start < end")
+    asked = a.select(*key, *by, ends).select(*key, *by, "_x.at", "_x.sign", F.lit(0).alias("_n"))
+    # a start opens a row of cover and an end closes it
+    edges = b.select(*key, ends).select(*key, "_x.at", (-F.col("_x.sign")).alias("_n")).groupBy(*key, "at").agg(F.sum("_n").alias("_n"))
+    x = asked.unionByName(edges.withColumn("sign", F.lit(0)), allowMissingColumns=True).withColumn("_bin", _bin(F.col("at")))
+    x = _with_before(x, key, "_n0", F.col("_n"))
+    x = _with_before(x, key, "_p0", F.col("_n") * F.col("at"))
+    at = Window.partitionBy(*key, "_bin").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    n = F.coalesce("_n0", F.lit(0)) + F.sum("_n").over(at)
+    p = F.coalesce("_p0", F.lit(0)) + F.sum(F.col("_n") * F.col("at")).over(at)
+    x = x.withColumn("_covered", n * F.col("at") - p).filter("sign <> 0")
+    return x.groupBy(*key, *by).agg(F.sum(F.col("sign") * F.col("_covered")).alias("overlap")).filter("overlap > 0")
+
+
+def overlapping(a: DataFrame, b: DataFrame, key: list[str], width: int = 4096) -> DataFrame:
+    """Pairs of a's and b's intervals of one key that overlap, each once; b's columns but the key as b_<column>.
+
+    Both are laid into the bins that they touch, and a pair is met in the bin where the later of the two
+    begins, so that a key is as many joins as it has bins.
+    """
+    touched = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width))).alias("_bin")
+    x = a.filter("start < end").select("*", touched("start", "end"))
+    y = b.select(*key, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in key]).filter("b_start < b_end").select("*", touched("b_start", "b_end"))
+    met = x.join(y, [*key, "_bin"]).filter("start < b_end AND b_start < end")
+    return met.filter(F.col("_bin") == F.floor(F.greatest("start", "b_start") / width)).drop("_bin")
+
+
 def coverage(parts: DataFrame, hits: DataFrame, key: list[str], kind: str) -> DataFrame:
-    """Distinct positions of the parts of each kind that hits cover, without a row for a position."""
-    u = merged(hits, key).select(*key, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    own = merged(parts, [*key, kind])
-    both = own.join(u, key).filter("start < _e AND _s < end")
-    return both.groupBy(*key, kind).agg(F.sum(F.least("end", "_e") - F.greatest("start", "_s")).alias("covered"))
+    """Distinct positions of the parts of each kind that hits cover, without a row for a position or a pair."""
+    return overlap_totals(merged(parts, [*key, kind]), merged(hits, key), key, [kind]).withColumnRenamed("overlap", "covered")
 
 
 def nearest(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """The least gap between a's and b's intervals of one key; negative where they overlap.
 
     Sorted by their middles, an interval of a is next to the least start of what follows and to the
-    greatest end of what comes before: no pairs are formed.
+    greatest end of what comes before, in its bin or in the bins after or before: no pairs are formed.
     """
     both = a.select(key, "start", "end", F.lit(None).cast("double").alias("_s"), F.lit(None).cast("double").alias("_e"))
     both = both.unionByName(b.select(key, F.lit(None).alias("start"), F.lit(None).alias("end"), F.col("start").cast("double").alias("_s"), F.col("end").cast("double").alias("_e")))
-    at = Window.partitionBy(key).orderBy(F.coalesce(F.col("start") + F.col("end"), F.col("_s") + F.col("_e")))
-    after = F.min("_s").over(at.rangeBetween(Window.currentRow, Window.unboundedFollowing)) - F.col("end")
-    before = F.col("start") - F.max("_e").over(at.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.withColumn("_middle", F.coalesce(F.col("start") + F.col("end"), F.col("_s") + F.col("_e"))).withColumn("_bin", _bin(F.col("_middle")))
+    # of equal middles only the shortest and the longest interval of b matter, and likewise of a
+    both = both.groupBy(key, "_bin", "_middle").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    both = _with_before(_with_before(both, [key], "_before", F.col("_e"), F.max), [key], "_after", F.col("_s"), F.min, after=True)
+    at = Window.partitionBy(key, "_bin").orderBy("_middle")
+    after = F.least("_after", F.min("_s").over(at.rangeBetween(Window.currentRow, Window.unboundedFollowing))) - F.col("end")
+    before = F.col("start") - F.greatest("_before", F.max("_e").over(at.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return both.withColumn("gap", F.least(after, before)).groupBy(key).agg(F.min("gap").alias("gap")).filter("gap IS NOT NULL")
 
 

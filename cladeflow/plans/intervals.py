@@ -92,5 +92,10 @@ def i7_overlay(t: Tables) -> DataFrame:
 @query(f"WITH {SPANS}, h AS (SELECT a.l_orderkey, a.l_partkey, sum(greatest(0, least(a.e, b.e) - greatest(a.s, b.s)))::BIGINT AS overlap FROM spans a JOIN spans b USING (l_orderkey) WHERE a.l_returnflag = 'A' AND b.l_returnflag = 'N' AND a.s < b.e AND b.s < a.e GROUP BY 1, 2) SELECT l_orderkey, l_partkey, overlap FROM h")
 def j18_interval_overlap(t: Tables) -> DataFrame:
     s = spans(t)
-    a, b = s.filter("l_returnflag = 'A'"), s.filter("l_returnflag = 'N'").select("l_orderkey", F.col("start").alias("s"), F.col("end").alias("e"))
-    return a.join(b, "l_orderkey").filter("start < e AND s < end").groupBy("l_orderkey", "l_partkey").agg(F.sum(F.least("end", "e") - F.greatest("start", "s")).alias("overlap"))
+    return op.overlap_totals(s.filter("l_returnflag = 'A'"), s.filter("l_returnflag = 'N'"), ["l_orderkey"], ["l_partkey"])
+
+
+@query(f"WITH {SPANS} SELECT a.l_orderkey, a.l_partkey, a.s AS start, a.e AS \"end\", b.l_partkey AS b_l_partkey, b.s AS b_start, b.e AS b_end FROM spans a JOIN spans b USING (l_orderkey) WHERE a.l_returnflag = 'A' AND b.l_returnflag = 'N' AND a.s < b.e AND b.s < a.e AND a.s < a.e AND b.s < b.e")
+def j18_overlapping_pairs(t: Tables) -> DataFrame:
+    s = spans(t).select("l_orderkey", "l_partkey", "l_returnflag", "start", "end")
+    return op.overlapping(s.filter("l_returnflag = 'A'").drop("l_returnflag"), s.filter("l_returnflag = 'N'").drop("l_returnflag"), ["l_orderkey"], 16)
