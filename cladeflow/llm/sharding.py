@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import cut
+from cladeflow.llm.common import cut, within
 from cladeflow.operators.common import range_bucket, running
 
 #: Levels of each dimension: 2 to this power.
 BITS = 6
-#: Rows at most that one group of the last sort should hold, where the curve has few points.
+#: Rows at most that one group of the last sort should hold, where the curve has few points or a text many copies.
 GROUP = 1_000_000
+#: Texts of more copies that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def hilbert(point: str, dims: int, bits: int = BITS) -> Column:
@@ -47,12 +49,14 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     plus 1), text_crc32, curve (the index), law, shard, slot (gapless from 0), grown_shard (null).
 
     A row's place is the number of rows before its point of the curve, plus those of the same point
-    with a smaller salt (a hash), plus its place among those few, so that no task sorts more than a
-    salted part of a point, however many rows share it. Values of the dimensions and points are put in
+    with a smaller salt (a hash of the text), plus its place among those few in the order of texts, so that no task
+    sorts more than a salted part of a point, however many rows share it. Equal texts of a point are
+    neighbours: only the borders between shards may divide one. A text of more than ``GROUP`` copies is
+    salted by their ids as well, in parts that follow each other. Values of the dimensions and points are put in
     order within ranges of them, however many there are. The text itself is not shuffled.
 
     Defined results: a null text has size 1 and the CRC of no bytes; null dimensions are a value of
-    their own, after all others; equal rows lie in one part of a point; an empty table has no rows;
+    their own, after all others; equal rows are neighbours; an empty table has no rows;
     other columns are not read.
     """
     text = F.col(text_col).cast("string")
@@ -62,9 +66,19 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     total = docs.count()
     salts = max(64, total // GROUP)
     rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("crc"), *key)
-    rows = rows.withColumn("level", size_level(F.col("size"))).withColumn("salt", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(salts)))
+    rows = rows.withColumn("level", size_level(F.col("size"))).withColumn("salt", F.pmod(F.xxhash64("crc", "size"), F.lit(salts)))
     keys = [f"key{k}" for k in range(len(dims))]
     counts = cut(rows.groupBy(*keys, "level", "salt").agg(F.count("*").alias("n")))
+    rows, apart = rows.withColumn("own", F.lit(0).cast("long")).withColumn("sub", F.lit(-1).cast("long")), [*keys, "level", "salt", "own", "sub"]
+    hot = counts.filter(F.col("n") > GROUP)
+    if hot.isEmpty():
+        counts = counts.withColumn("own", F.lit(0).cast("long")).withColumn("sub", F.lit(-1).cast("long"))
+    else:  # texts of very many copies get groups of their own
+        texts = rows.join(within(hot.drop("n"), BROADCAST_ROWS), [*keys, "level", "salt"], "left_semi").groupBy(*keys, "level", "crc", "size").agg(F.count("*").alias("n"))
+        heavy = cut(texts.filter(F.col("n") > GROUP).withColumn("parts", F.ceil(F.col("n") / GROUP)).drop("n"))
+        rows = rows.join(within(heavy, BROADCAST_ROWS), [*keys, "level", "crc", "size"], "left")
+        rows = rows.withColumn("own", F.when(F.col("parts").isNotNull(), F.xxhash64("crc", "size")).otherwise(0)).withColumn("sub", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(-1)))
+        counts = cut(rows.groupBy(*apart).agg(F.count("*").alias("n")))
     cells = counts.groupBy(*keys, "level").agg(F.sum("n").alias("n"))
     levels = []
     for k in keys:  # the values of a dimension, in order, spread over its levels
@@ -75,11 +89,11 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     cells = cut(cells.withColumn("curve", hilbert(f"array({', '.join(levels)}, level)", len(dims) + 1)).withColumn("all", F.lit(0)))
     cells = running(cells, "all", range_bucket(cells, "curve"), ["curve", *keys, "level"], F.col("n"))
     cells = cells.select(*keys, "level", "curve", (F.col("_run") - F.col("n")).alias("cell_start"))
-    here = Window.partitionBy(*keys, "level").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy(*keys, "level").orderBy("salt", "own", "sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("among", F.coalesce(F.sum("n").over(here), F.lit(0))).join(cells, [*keys, "level"])
-    starts = starts.select(*keys, "level", "salt", "curve", (F.col("cell_start") + F.col("among")).alias("start"))
-    placed = rows.join(starts, [*keys, "level", "salt"])
-    rank = F.col("start") + F.row_number().over(Window.partitionBy(*keys, "level", "salt").orderBy("id", "crc", "size")) - 1
+    starts = starts.select(*apart, "curve", (F.col("cell_start") + F.col("among")).alias("start"))
+    placed = rows.join(starts, apart)
+    rank = F.col("start") + F.row_number().over(Window.partitionBy(*apart).orderBy("crc", "size", "id")) - 1
     out = placed.withColumn("rank", rank).withColumn("shard", F.expr(f"(rank * {shards}) div {max(total, 1)}"))
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
     return out.select(
