@@ -28,11 +28,13 @@ CELLS, SMALL = 12, 2048
 
 @dataclass
 class Index:
-    """coarse: centroids by dimension; books: group by codeword by dimension; probes: lists to look into."""
+    """coarse: centroids by dimension; books: group by codeword by dimension; probes: lists to look into; place: how far down by
+    approximate score the sample's neighbours come."""
 
     coarse: np.ndarray
     books: np.ndarray
     probes: int
+    place: int = 0
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The nearest centroid of each row."""
@@ -70,7 +72,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
 
 def fit(sample: np.ndarray, lists: int, groups: int, aim: float, k: int, seed: int = 1) -> Index:
     """Train on a sample, and choose as many lists to look into as hold the share ``aim`` of the sample's
-    own ``k`` nearest neighbours."""
+    own ``k`` nearest neighbours; of these as many come by approximate score before ``place``."""
     rng = np.random.default_rng(seed)
     coarse = kmeans(sample, lists, rng)
     index = Index(coarse, np.empty((0, 0, 0)), len(coarse))
@@ -89,6 +91,12 @@ def fit(sample: np.ndarray, lists: int, groups: int, aim: float, k: int, seed: i
         order = np.argsort(np.argsort(-(asked @ coarse.T), axis=1), axis=1)
         place = np.sort(np.take_along_axis(order, near[top], axis=1).ravel())
         index.probes = max(least, int(place[min(len(place) - 1, int(np.ceil(aim * len(place))))]) + 1)
+        codes, tables = index.encode(sample, near), index.tables(asked)
+        about = (asked @ coarse.T)[:, near].astype(np.float32)
+        for g in range(groups):
+            about += tables[g][:, codes[:, g]]
+        place = np.sort(np.take_along_axis(np.argsort(np.argsort(-about, axis=1), axis=1), top, axis=1).ravel())
+        index.place = int(place[min(len(place) - 1, int(np.ceil(aim * len(place))))]) + 1
     return index
 
 
@@ -108,6 +116,7 @@ def search(
     groups: int = 16,
     aim: float = 0.99,
     rerank: int = 256,
+    most_rerank: int = 2048,
 ) -> DataFrame:
     """For each row with ``is_query`` the ``k`` rows found with the largest inner product, the row itself left
     out: query_id, rank (from 1), the other's id under ``id_col``, score (exact, in double precision).
@@ -116,7 +125,8 @@ def search(
     vectors at most (or 8 for each list, if that is more), by a hash of the id, that centroids and
     codebooks are trained on and that the number of lists to look into is chosen by (``aim``); every
     vector is indexed. ``rerank``: a query's best by approximate score, over all the lists that it looks
-    into, that are scored exactly.
+    into, that are scored exactly, at least; as many more, to ``most_rerank``, as bring the share ``aim`` of the sample's own
+    neighbours, for as many times more vectors as there are than in the sample.
 
     Neighbouring lists form cells of ``CELL`` vectors at most, of which only ids and codes are sent, and
     queries near each other form blocks of ``ASK`` at most; a query goes once to each cell with a list that
@@ -144,7 +154,9 @@ def search(
     n_lists = lists or int(np.clip(total**0.4, 16, 4096))
     chosen = distinct.orderBy(F.xxhash64("group"), "group").limit(max(sample, 8 * n_lists)).select("v").toArrow()
     parts = next(g for g in range(min(groups, d), 0, -1) if d % g == 0)
-    index = spark.sparkContext.broadcast(fit(matrix(chosen["v"], d), n_lists, parts, aim, k))
+    trained = fit(matrix(chosen["v"], d), n_lists, parts, aim, k)
+    rerank = int(min(max(rerank, trained.place * max(1.0, total / max(len(chosen), 1))), max(rerank, most_rerank)))
+    index = spark.sparkContext.broadcast(trained)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
