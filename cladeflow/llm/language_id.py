@@ -141,7 +141,7 @@ def train(labelled: DataFrame, sample: int = 1600, landmarks: int = 160, id_col:
     # four times as many as wanted are below a language's limit, however many rows it has
     limits = [(r["label"], 2**63 - 1 if r["n"] <= 4 * each else round(-(2**63) + 2**64 * 4 * each / r["n"])) for r in counts]
     limits = F.broadcast(labelled.sparkSession.createDataFrame(limits, "label string, most long"))
-    near = rows.withColumn("hash", F.xxhash64("id")).join(limits, "label").filter("hash <= most").select("id", "label", "hash").dropDuplicates(["id"])
+    near = rows.withColumn("hash", F.xxhash64("id")).join(limits, "label").filter("hash <= most").groupBy("id", "hash").agg(F.min("label").alias("label"))
     chosen = near.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("hash", "id"))).filter(F.col("place") <= each)
     chosen = F.broadcast(chosen.select("id", "label", "place"))
 

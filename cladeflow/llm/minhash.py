@@ -8,6 +8,7 @@ the estimate varies less. Bands of the signature propose links; full sets confir
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,13 +137,17 @@ class _Texts:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), each once, whose full sets are similar enough, as a table.
 
-        A pair's first set is shuffled with it; a node of very many pairs is a key that Spark splits.
+        The node of fewer pairs is joined first, so that a star's centre is sent once to each task that compares
+        its members with it, and not with every member; a node of very many pairs is a key that Spark splits.
         """
-        nodes = self.tables.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        sets = self.sets(nodes)
-        joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-        common = F.size(F.array_intersect("of_a", "of_b"))
-        out = self.tables.put(joined.filter(100 * common >= self.percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b"))
+        nodes = self.tables.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs")))
+        sets = self.sets(nodes.select("node"))
+        one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("pairs").alias("in_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("pairs").alias("in_b")), "b")
+        first = F.when(F.col("in_a") <= F.col("in_b"), F.col("a")).otherwise(F.col("b"))
+        one = one.select("a", "b", first.alias("first"), F.when(F.col("in_a") <= F.col("in_b"), F.col("b")).otherwise(F.col("a")).alias("last"))
+        joined = one.join(sets.select(F.col("node").alias("first"), F.col("shingles").alias("x")), "first").join(sets.select(F.col("node").alias("last"), F.col("shingles").alias("y")), "last")
+        common = F.size(F.array_intersect("x", "y"))
+        out = self.tables.put(joined.filter(100 * common >= self.percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
         self.tables.drop(nodes, sets)
         return out
 
@@ -284,8 +289,11 @@ def _by_rare_shingles(apart: DataFrame, texts: _Texts) -> DataFrame:
     alone = F.col("n") - F.count("*").over(Window.partitionBy("node"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     head = shared.withColumn("at", alone + F.row_number().over(order)).filter(F.col("at") <= prefix).select("node", "shingle", "at").join(apart, "node")
-    x, y = head.alias("x"), head.alias("y")
+    # sizes of the wanted similarity lie in one band or in neighbouring ones (bands are a little wider than the
+    # ratio), so that a shingle is a key for each
+    band = F.floor(F.log("n") / (1.01 * math.log(100 / percent) if percent < 100 else 1e-9))
+    x, y = head.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("x"), head.withColumn("band", band).alias("y")
     common = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     may = (100 + percent) * common >= percent * (F.col("x.n") + F.col("y.n"))
-    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & may & _alike("x", "y", percent)
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & may & _alike("x", "y", percent)
     return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))

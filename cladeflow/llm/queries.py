@@ -66,6 +66,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between different sets are confirmed on the full sets; copies, whose sets are equal, are told by size and
+    two 64-bit sums over the set, and their sets aren't compared again."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -319,7 +321,8 @@ def _conversations_sql() -> str:
     placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt),
     known AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, left(role, 1) AS i2, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS i1,
                      NOT regexp_matches(text, {blank}) AS blank FROM placed),
-    judged AS (SELECT *, NOT blank AND seen AS again, NOT blank AND NOT seen AND NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut_off FROM known),
+    judged AS (SELECT *, NOT blank AND seen AS again, NOT blank AND NOT seen AND NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut_off FROM known),
     sums AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate,
                     count(*) FILTER (WHERE cut_off) AS truncated, count(*) FILTER (WHERE i > 1 AND i1 || i2 NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1),
     walk(conv_id, i, s0, s1, s2, s3) AS (SELECT conv_id, 0, '000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM sums
