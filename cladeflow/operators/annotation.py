@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.operators.common import first_by, in_seeded_order, small
 from cladeflow.operators.kmers import renumber
-from cladeflow.operators.tree import find_names, lowest_common_of_sets, nearest_of_rank
+from cladeflow.operators.tree import close_names, find_names, lowest_common_of_sets, nearest_of_rank
 
 
 def orf_place(orf: Column) -> Column:
@@ -66,6 +66,10 @@ def assigned_hosts(candidates: DataFrame, nodes: DataFrame, pairs: DataFrame, ba
     """(virus, id): of candidates (virus, host, score; a name and how far it was changed) the nodes found at
     the smallest score that finds any, none under ``barred`` (id), and none under another of them."""
     hits = candidates.join(nodes.select(F.lower("name").alias("host"), "id"), "host").select(virus, "id", "score").distinct()
+    return _best_hosts(hits, pairs, barred, virus)
+
+
+def _best_hosts(hits: DataFrame, pairs: DataFrame, barred: DataFrame, virus: str) -> DataFrame:
     bad = pairs.join(barred.select(F.col("id").alias("anc_id")), "anc_id", "left_semi").select("id").distinct()
     hits = hits.join(bad, "id", "left_anti")
     best = hits.join(hits.groupBy(virus).agg(F.min("score").alias("score")), [virus, "score"]).select(virus, "id").distinct()
@@ -73,6 +77,19 @@ def assigned_hosts(candidates: DataFrame, nodes: DataFrame, pairs: DataFrame, ba
     return best.join(inner, [virus, "id"], "left_anti")
 
 
+def near_hosts(asked: DataFrame, names: DataFrame, pairs: DataFrame, barred: DataFrame, virus: str, host: str, most: int = 2) -> DataFrame:
+    """(virus, id): nodes whose names (``names``: id, name) are nearest to what ``asked`` (virus, host) says: the same name, else
+    one within the least number of edits up to ``most``, else the longest beginning of its words that is a name. Nodes
+    under ``barred`` (id) don't count, and of nodes found together none is under another."""
+    asked = asked.select(virus, F.trim(F.col(host)).alias("_host")).distinct()
+    close = close_names(names, asked, "name", "_host", most).withColumnRenamed("dist", "score")
+    words = find_names(names, asked, "name", "_host")
+    dropped = F.size(F.split(F.lower("_host"), r"\s+")) - F.col("words")
+    words = words.select("_host", "id", (F.lit(most + 1) + dropped).cast("int").alias("score")).filter(F.col("score") > most + 1)
+    hits = asked.join(close.select("_host", "id", "score").union(words), "_host").select(virus, "id", "score").distinct()
+    return _best_hosts(hits, pairs, barred, virus)
+
+
 def reference_hosts(hosts: DataFrame, pairs: DataFrame, with_sequence: DataFrame, bound: int) -> DataFrame:
     """(host, ref): the node with a sequence nearest to each host: in its own subtree first, then by how
     far up the common node is; ids break ties, whatever was chosen for others.

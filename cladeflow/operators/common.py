@@ -46,8 +46,11 @@ def first_by(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFra
 
 
 def range_bucket(df: DataFrame, key: str, n: int = 256) -> Column:
-    """About ``n`` ranges of a key, numbered in its order, with bounds from a sample by hash."""
-    found = sorted(r[0] for r in df.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(16 * n).collect())
+    """About ``n`` ranges of a key with as many rows each, numbered in its order, with bounds from a sample of rows: a
+    key of very many rows fills a range of its own, and doesn't crowd out others."""
+    rows = df.select(key).filter(F.col(key).isNotNull())
+    # which rows are drawn only moves the bounds
+    found = sorted(r[0] for r in rows.orderBy(F.xxhash64(key, F.monotonically_increasing_id())).limit(16 * n).collect())
     bounds = F.array(*[F.lit(x) for x in dict.fromkeys(found[15::16])])
     return F.size(F.filter(bounds, lambda b: b <= F.col(key))) if len(found) > 15 else F.lit(0)
 

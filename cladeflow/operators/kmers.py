@@ -204,10 +204,12 @@ def random_part(seqs: DataFrame, ident: str, seq: str, length: int, seed: int) -
 
 
 def replace_degenerate(seqs: DataFrame, ident: str, seq: str, seed: int) -> DataFrame:
-    """Symbols that aren't A, C, G or T replaced by bases that follow from id, place and seed."""
-    base = lambda i: F.substring(F.lit("ACGT"), F.pmod(F.xxhash64(F.col(ident), i, F.lit(seed)), F.lit(4)).cast("int") + 1, F.lit(1))
-    chars = F.transform(F.split(seq, ""), lambda c, i: F.when(F.length(c) == 0, c).when(F.instr(F.lit("ACGTacgt"), c) > 0, c).otherwise(base(i)))
-    return seqs.withColumn(seq, F.array_join(chars, ""))
+    """Symbols that aren't A, C, G or T replaced by bases that follow from id, seed and how many such symbols and stretches of
+    others come before. The sequence is taken apart at those symbols only."""
+    pieces = F.regexp_extract_all(F.col(seq), F.lit("[ACGTacgt]+|[^ACGTacgt]"), F.lit(0))
+    draw = lambda i: F.conv(F.substring(seeded(F.concat(F.col(ident).cast("string"), F.lit("-"), i.cast("string")), seed), 1, 4), 16, 10).cast("int") % 4
+    shown = F.transform(pieces, lambda p, i: F.when(p.rlike("^[ACGTacgt]"), p).otherwise(F.substring(F.lit("ACGT"), draw(i) + 1, F.lit(1))))
+    return seqs.withColumn(seq, F.array_join(shown, ""))
 
 
 def chunk_index(seqs: DataFrame, group: str, ident: str, length: str, size: int) -> DataFrame:

@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.operators.common import first_by, in_seeded_order
+from cladeflow.operators.neighbours import nearest_points
 
 #: Columns of a pivoted report at most.
 MAX_COLUMNS = 10_000
-#: Queries of a search that are broadcast together, and parts that points and larger query sets are dealt in.
-QUERY_BLOCK, POINT_PARTS = 10_000, 64
 
 
 def filter_rows(df: DataFrame, exprs: dict[str, str] | None = None, where: str | None = None, fields: list[str] | None = None) -> DataFrame:
@@ -86,28 +85,13 @@ def status_of(df: DataFrame, lookup: DataFrame, nodes: DataFrame, key: str, valu
 
 
 def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int, ident: str, vector: str, label: str, most: float | None = None) -> DataFrame:
-    """Label of each query by a vote of its ``k`` nearest points (Euclidean); 0 if none is near enough.
-
-    ``queries`` is a stated set that meets all points; each task of the points keeps its own best k. A set of
-    more than ``QUERY_BLOCK`` goes in blocks, each of which meets each of ``POINT_PARTS`` parts of the points
-    in a key of its own.
-    """
-    q = queries.select(F.col(ident).alias("id_q"), F.col(vector).alias("v_q"))
-    p = points.select(F.col(ident).alias("id_p"), F.col(vector).alias("v_p"), F.col(label).alias("label"))
-    square = F.aggregate(F.zip_with("v_q", "v_p", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
-    blocks = -(-q.count() // QUERY_BLOCK)
-    if blocks <= 1:
-        pairs = p.crossJoin(F.broadcast(q))
-    else:
-        of_q = q.withColumn("_block", F.pmod(F.xxhash64("id_q"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(POINT_PARTS - 1))))
-        of_p = p.withColumn("_part", F.pmod(F.xxhash64("id_p"), F.lit(POINT_PARTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = of_p.join(of_q, ["_block", "_part"]).drop("_block", "_part")
-    pairs = pairs.filter("id_q <> id_p").withColumn("dist", F.sqrt(square))
-    near = first_by(pairs.select("id_q", "id_p", "label", "dist"), ["id_q"], [F.col("dist"), F.col("id_p")], k)
-    near = near.filter(F.col("dist") <= most) if most is not None else near
+    """Label of each query by a vote of its ``k`` nearest points (Euclidean); 0 if none is near enough. See
+    neighbours.nearest_points() for how points are found without visiting all."""
+    near = nearest_points(queries, points, k, ident, vector, label, most)
     votes = near.groupBy("id_q", "label").agg(F.count("*").alias("votes"))
     won = first_by(votes, ["id_q"], [F.desc("votes"), F.col("label")])
-    return q.select("id_q").join(won, "id_q", "left").select("id_q", F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("votes", F.lit(0)).alias("votes"))
+    asked = queries.select(F.col(ident).alias("id_q"))
+    return asked.join(won, "id_q", "left").select("id_q", F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("votes", F.lit(0)).alias("votes"))
 
 
 def mate_concordance(df: DataFrame, ident: str, mate: str, label: str) -> DataFrame:
@@ -173,14 +157,20 @@ def in_all_splits(df: DataFrame, label: str, split: str) -> DataFrame:
     return df.join(whole, label, "left_semi")
 
 
-def pivot_report(df: DataFrame, row: str, column: str, value: Column, columns: list | None = None, rest=0) -> DataFrame:
-    """A row for each value of ``row``, a column for each of ``column``; missing cells get ``rest``. More than
+def pivot_report(df: DataFrame, row: str, column: str, value: Column, columns: list | None = None, rest=0, number: str | None = None) -> DataFrame:
+    """A row for each value of ``row``, a column for each of ``column``, in the order of ``columns`` or of their values; missing
+    cells get ``rest``. ``number``: cells as text by this format (such as "%.2f"), ``rest`` as it is. More than
     ``MAX_COLUMNS`` columns raise ``ValueError``: a row that wide is no report."""
     if columns is None:
         columns = [r[0] for r in df.select(column).distinct().orderBy(column).limit(MAX_COLUMNS + 1).collect()]
         if len(columns) > MAX_COLUMNS:
             raise ValueError(f"more than {MAX_COLUMNS} columns")
-    return df.groupBy(row).pivot(column, columns).agg(value).na.fill(rest)
+    wide = df.groupBy(row).pivot(column, columns).agg(value)
+    if number is None:
+        return wide.na.fill(rest)
+    cells = wide.columns[1:]
+    shown = lambda c: F.when(c.isNull(), str(rest)).otherwise(F.format_string(number, c.cast("double")))
+    return wide.select(row, *[shown(F.col(f"`{c}`")).alias(c) for c in cells])
 
 
 def histogram(df: DataFrame, value: Column, width: float) -> DataFrame:
@@ -197,3 +187,43 @@ def source_report(df: DataFrame, kind: str, stage: str, key: str, category: str)
     """Sources counted by stage, by stage and category, and by type and category, in one pass."""
     once = df.select(kind, stage, key, category).distinct()
     return once.groupingSets([[stage], [stage, category], [kind, category]], stage, category, kind).agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"))
+
+
+#: Words of a text that phrases are made of.
+WORDS = r"[\p{L}\p{N}]+"
+
+
+def word_places(df: DataFrame, ident: str, text: str, words: DataFrame | None = None) -> DataFrame:
+    """(word, id, places): where each text has each word, in small letters, from 0; ``words`` (word): only those."""
+    found = df.select(F.col(ident).alias("id"), F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))).alias("at", "word"))
+    found = found.join(words, "word", "left_semi") if words is not None else found
+    return found.groupBy("word", "id").agg(F.array_sort(F.collect_set("at")).alias("places"))
+
+
+def phrase_matches(df: DataFrame, ident: str, text: str, phrases: dict[str, str]) -> DataFrame:
+    """(phrase, id): which texts hold the words of each named phrase one after another, in any case and whatever parts them.
+
+    One pass over the texts finds the places of all words of all phrases; a phrase is where all its words
+    lie at their distances from one place.
+    """
+    asked = df.sparkSession.createDataFrame(list(phrases.items()), "phrase string, _text string").select("phrase", F.regexp_extract_all(F.lower("_text"), F.lit(WORDS), F.lit(0)).alias("_w"))
+    asked = asked.select("phrase", F.size("_w").alias("_n"), F.posexplode("_w").alias("_k", "word"))
+    index = word_places(df, ident, text, F.broadcast(asked.select("word").distinct()))
+    met = index.join(F.broadcast(asked), "word").select("phrase", "_n", "id", "_k", F.explode("places").alias("_p"))
+    held = met.groupBy("phrase", "_n", "id", (F.col("_p") - F.col("_k")).alias("_start")).agg(F.count("*").alias("_held"))
+    return held.filter(F.col("_held") == F.col("_n")).select("phrase", "id").distinct()
+
+
+def boolean_matches(df: DataFrame, ident: str, text: str, rules: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """(rule, id): texts by rules of phrases: "any" (one of them is enough), "all" and "none"; a rule has at least one of
+    "any" and "all"."""
+    for name, rule in rules.items():
+        if not (rule.get("any") or rule.get("all")):
+            raise ValueError(f"rule {name} asks for no phrase")
+    phrases = sorted({p for rule in rules.values() for kind in ("any", "all", "none") for p in rule.get(kind, [])})
+    hits = phrase_matches(df, ident, text, {p: p for p in phrases})
+    rows = [(name, kind, p, len(rule.get("all", [])), bool(rule.get("any"))) for name, rule in rules.items() for kind in ("any", "all", "none") for p in rule.get(kind, [])]
+    rows = F.broadcast(df.sparkSession.createDataFrame(rows, "rule string, _kind string, phrase string, _all int, _any boolean"))
+    n = lambda kind: F.count_if(F.col("_kind") == kind)
+    sums = hits.join(rows, "phrase").groupBy("rule", "id", "_all", "_any").agg(n("any").alias("_in"), n("all").alias("_of"), n("none").alias("_out"))
+    return sums.filter("_out = 0 AND _of = _all AND (_in > 0 OR NOT _any)").select("rule", "id")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +157,39 @@ def reduce_up(nodes: DataFrame, pairs: DataFrame, value: str, combine: Column, i
     return reduce(lambda a, b: a.union(b), done)
 
 
+def reduce_up_by(nodes: DataFrame, pairs: DataFrame, value: str, function, result: str, edges: DataFrame | None = None) -> DataFrame:
+    """reduce_up() by any Python function: (id, result) of ``function(own value, [(child id, child result), ...])``, the children
+    in the order of their ids; ``result`` is its SQL type. ``edges`` (id, child) says which children a node is given;
+    those that are no children of it are left out. Without it, all.
+
+    A level is one job, in which each node's children meet in one group.
+    """
+    deep = cut(nodes.join(depths(pairs), "id").select("id", "idpar", "depth", F.col(value).alias("own")))
+    level = deep.agg(F.max("depth")).first()[0]
+    kind, own_kind = deep.schema["id"].dataType.simpleString(), deep.schema["own"].dataType.simpleString()
+    given = None if edges is None else cut(edges.select(F.col("id").alias("_to"), F.col("child").alias("_from")).distinct())
+    done, below = [], None
+
+    def apply(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        own = next(r for r in rows if r["child"] is None)
+        kids = sorted((r["child"], r["result"]) for r in rows if r["child"] is not None)
+        return pa.Table.from_pylist([{"id": own["id"], "result": function(own["own"], kids)}], schema=pa.schema([t.schema.field("id"), t.schema.field("result")]))
+
+    none = lambda t: F.lit(None).cast(t)
+    while level is not None and level >= 0:
+        here = deep.filter(F.col("depth") == level)
+        rows = here.select("id", "own", none(kind).alias("child"), none(result).alias("result"))
+        if below is not None:
+            kids = below if given is None else below.join(given, (F.col("idpar") == F.col("_to")) & (F.col("id") == F.col("_from")), "left_semi")
+            rows = rows.union(kids.join(here.select(F.col("id").alias("idpar")), "idpar", "left_semi").select(F.col("idpar").alias("id"), none(own_kind), F.col("id").alias("child"), "result"))
+        now = rows.groupBy("id").applyInArrow(apply, f"id {kind}, result {result}")
+        below = cut(now.join(deep.select("id", "idpar"), "id"))
+        done.append(below.select("id", "result"))
+        level -= 1
+    return reduce(lambda a, b: a.union(b), done) if done else nodes.select("id", none(result).alias("result"))
+
+
 def reattached(nodes: DataFrame, pairs: DataFrame, keep: Column) -> DataFrame:
     """Nodes that ``keep`` holds for, each under its nearest kept ancestor (0 if there is none)."""
     kept = nodes.filter(keep)
@@ -198,6 +232,30 @@ def find_names(names: DataFrame, asked: DataFrame, name: str, query: str) -> Dat
     return hits.join(best, [query, "words"]).select(query, "words", "id")
 
 
+def _shortened(word: Column, most: int) -> Column:
+    """A word and all that is left of it after up to ``most`` letters are taken out, each once."""
+    words = F.array(word)
+    for _ in range(most):
+        cut_out = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i, w=w: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+        words = F.array_distinct(F.concat(words, F.flatten(F.transform(words, cut_out))))
+    return words
+
+
+def close_names(names: DataFrame, asked: DataFrame, name: str, query: str, most: int = 2) -> DataFrame:
+    """(query, id, dist): nodes whose name, in small letters, is within ``most`` edits of the query's.
+
+    Two words within ``most`` edits have something in common that is left of each after taking out ``most`` letters at most:
+    those are joined by hash, and the edit distance then decides. Work grows with a name's length to the power of ``most``.
+    """
+    of = lambda df, c, *more: df.select(*more, F.lower(F.trim(F.col(c))).alias("_w")).distinct()
+    keys = lambda df: df.withColumn("_key", F.explode(F.transform(_shortened(F.col("_w"), most), lambda x: F.xxhash64(x))))
+    left = keys(of(names, name).withColumnRenamed("_w", "_n").withColumn("_w", F.col("_n"))).select("_n", "_key")
+    right = keys(of(asked, query)).select("_w", "_key")
+    near = left.join(right, "_key").select("_n", "_w").distinct().withColumn("dist", F.levenshtein("_n", "_w")).filter(F.col("dist") <= most)
+    hits = near.join(names.select(F.lower(F.trim(name)).alias("_n"), "id"), "_n")
+    return asked.select(query).distinct().withColumn("_w", F.lower(F.trim(F.col(query)))).join(hits, "_w").select(query, "id", "dist")
+
+
 def with_custom_leaves(nodes: DataFrame, leaves: DataFrame, ident: str, first_id: int, top: int) -> DataFrame:
     """Leaves with new ids added, numbered by name within ranges of names: under the node that the prefix TAXIDnnn_ of their name names, under the
     root if there is no such node, and under a new node ``top`` without that prefix."""
@@ -246,3 +304,27 @@ def faked_ranks(pairs: DataFrame, nodes: DataFrame, template: list[str]) -> Data
     names = F.array(*[F.lit(x) for x in template])
     rank = F.when(F.col("rank") == "species", F.col("rank")).otherwise(F.coalesce(F.get(names, F.col("depth")), F.lit("no_rank")))
     return nodes.join(place, "id").select("id", rank.alias("rank"), "depth")
+
+
+def node_levels(nodes: DataFrame, pairs: DataFrame, levels: dict[str, int]) -> DataFrame:
+    """(id, level, ranked): the level of each node's own rank, 0 without one, and the nearest rank of ``levels`` from it up."""
+    own = F.coalesce(*[F.when(F.col("rank") == k, v) for k, v in levels.items()], F.lit(0))
+    ranked = with_info(pairs, nodes, "rank").filter(F.col("anc_rank").isin(list(levels))).groupBy("id").agg(F.min_by("anc_rank", "dist").alias("ranked"))
+    return nodes.select("id", own.alias("level")).join(ranked, "id", "left")
+
+
+def level_rows(pairs: DataFrame, nodes: DataFrame, ranks: list[str]) -> DataFrame:
+    """(id, level, clade, dist): each node with its ancestors of the ranks, itself included."""
+    return with_info(pairs, nodes, "rank").filter(F.col("anc_rank").isin(ranks)).select("id", F.col("anc_rank").alias("level"), F.col("anc_id").alias("clade"), "dist")
+
+
+def highest_rank_below(pairs: DataFrame, nodes: DataFrame, ranks: list[str]) -> DataFrame:
+    """(id, top): the place from 1 in ``ranks`` (from the bottom up) of the highest rank strictly below each node, 0 if none has one."""
+    place = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ranks]), F.col("rank")), F.lit(0)).cast("int")
+    return pairs.filter("dist > 0").join(nodes.select("id", place.alias("_place")), "id").groupBy(F.col("anc_id").alias("id")).agg(F.max("_place").alias("top"))
+
+
+def under_flagged(pairs: DataFrame, nodes: DataFrame, flag: Column) -> DataFrame:
+    """(id, flagged): whether ``flag``, a condition on a node, holds for it or for a node above it."""
+    flagged = nodes.filter(flag).select(F.col("id").alias("anc_id"), F.lit(True).alias("_flag"))
+    return pairs.join(flagged, "anc_id", "left").groupBy("id").agg(F.coalesce(F.bool_or("_flag"), F.lit(False)).alias("flagged"))

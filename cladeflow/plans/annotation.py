@@ -85,6 +85,22 @@ def p24_assigned_hosts(t: Tables) -> DataFrame:
     return op.assigned_hosts(cand, nodes, pairs, nodes.filter("id = 10"), "v")
 
 
+@query(f"""{CLOSURE}, asked AS (SELECT s_suppkey AS v, trim(CASE s_suppkey % 5 WHEN 0 THEN n_name WHEN 1 THEN left(n_name, 1) || substr(n_name, 3) WHEN 2 THEN 'x' || n_name || 'q' WHEN 3 THEN n_name || ' strain ' || s_suppkey ELSE r_name || 'ns' END) AS host
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), names AS (SELECT id, lower(name) AS name FROM tree WHERE id BETWEEN 2 AND 999),
+    words AS (SELECT v, host, string_split(lower(host), ' ') AS w FROM asked), tries AS (SELECT v, unnest(range(1, len(w) + 1)) AS k, w FROM words), found AS (SELECT v, k, len(w) - k AS dropped, id FROM tries JOIN names ON name = array_to_string(w[1:k], ' ')),
+    hits AS (SELECT v, id, levenshtein(name, lower(host)) AS score FROM asked JOIN names ON levenshtein(name, lower(host)) <= 2 UNION ALL SELECT v, id, 3 + dropped FROM found f WHERE dropped > 0 AND k = (SELECT max(k) FROM found m WHERE m.v = f.v)),
+    ok AS (SELECT DISTINCT * FROM hits WHERE id NOT IN (SELECT id FROM closure WHERE anc_id = 10)), best AS (SELECT DISTINCT v, id FROM ok h WHERE score = (SELECT min(score) FROM ok m WHERE m.v = h.v))
+    SELECT v, id FROM best b WHERE NOT EXISTS (SELECT 1 FROM best o JOIN closure c ON c.anc_id = o.id WHERE o.v = b.v AND c.id = b.id AND dist > 0)""")
+def p24_near_hosts(t: Tables) -> DataFrame:
+    """Hosts named exactly, misspelt in several ways, or with more words than the name."""
+    nodes, pairs = both(t)
+    s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    k, n = F.col("s_suppkey") % 5, F.col("n_name")
+    host = F.when(k == 0, n).when(k == 1, F.concat(F.left(n, F.lit(1)), F.substring(n, 3, 99))).when(k == 2, F.concat(F.lit("x"), n, F.lit("q"))).when(k == 3, F.concat(n, F.lit(" strain "), F.col("s_suppkey").cast("string"))).otherwise(F.concat("r_name", F.lit("ns")))
+    names = nodes.filter("id BETWEEN 2 AND 999").select("id", "name")
+    return op.near_hosts(s.select(F.col("s_suppkey").alias("v"), host.alias("host")), names, pairs, nodes.filter("id = 10"), "v", "host")
+
+
 @query(f"""{CLOSURE}, h AS (SELECT id FROM tree WHERE rank = 'customer'), s AS (SELECT 1000 + c_custkey AS id FROM customer WHERE c_mktsegment = 'MACHINERY'),
     near AS (SELECT h.id AS host, id AS ref, -1 AS up FROM h JOIN s USING (id) UNION ALL SELECT a.id, b.id, min(a.dist) FROM closure a JOIN closure b USING (anc_id) WHERE a.id IN (SELECT id FROM h) AND b.id IN (SELECT id FROM s) AND a.id <> b.id AND a.dist <= 1 GROUP BY 1, 2)
     SELECT host, ref FROM near QUALIFY row_number() OVER (PARTITION BY host ORDER BY up, ref) = 1""")
@@ -201,15 +217,22 @@ def snk3_custom_terminators(t: Tables) -> DataFrame:
 
 @query(f"WITH {TREE} SELECT id, idpar, rank, name, CASE rank WHEN 'customer' THEN 20 WHEN 'region' THEN 90 END AS level FROM tree")
 def snk9_tree_tables(t: Tables) -> DataFrame:
-    at = scratch(t)
-    n = nodes_of(t)
-    n.select("id", "idpar", "rank").write.parquet(f"{at}/nodes")
-    n.select("id", "name").write.parquet(f"{at}/names")
-    t.spark.createDataFrame([("customer", 20), ("region", 90)], "rank string, level int").write.parquet(f"{at}/levels")
+    at, (n, pairs) = scratch(t), both(t)
+    writers.write_tree_tables(n, pairs, at, {"customer": 20, "region": 90}, t.customer.select((F.col("c_custkey") + 1000).alias("id"), "c_acctbal"))
     read = t.spark.read.parquet
     return read(f"{at}/nodes").join(read(f"{at}/names"), "id").join(F.broadcast(read(f"{at}/levels")), "rank", "left").select("id", "idpar", "rank", "name", "level")
 
 
+@query(f"""{CLOSURE}, size AS (SELECT anc_id AS id, count(*) AS size FROM closure GROUP BY 1), prior AS (SELECT t.id, coalesce(sum(size) OVER (PARTITION BY idpar ORDER BY t.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM tree t JOIN size USING (id)),
+    l AS (SELECT c.id, (2 * sum(b) + max(dist) + 1)::BIGINT AS lnest FROM closure c JOIN prior p ON c.anc_id = p.id GROUP BY 1)
+    SELECT id, lnest, CASE t.rank WHEN 'customer' THEN 20 WHEN 'region' THEN 90 ELSE 0 END AS level, (SELECT arg_min(a.rank, dist) FROM closure c JOIN tree a ON anc_id = a.id WHERE c.id = t.id AND a.rank IN ('customer', 'region')) AS ranked, c_acctbal FROM tree t JOIN l USING (id) LEFT JOIN customer ON id = c_custkey + 1000""")
+def snk9_levels_and_attributes(t: Tables) -> DataFrame:
+    at, (n, pairs) = scratch(t), both(t)
+    writers.write_tree_tables(n, pairs, at, {"customer": 20, "region": 90}, t.customer.select((F.col("c_custkey") + 1000).alias("id"), "c_acctbal"))
+    read = t.spark.read.parquet
+    return read(f"{at}/nodes").select("id", "lnest").join(read(f"{at}/node_levels"), "id").join(read(f"{at}/attributes"), "id", "left")
+
+
 @query("SELECT c_custkey AS gi, (c_nationkey + 100)::INT AS taxid FROM customer")
 def src6_gi_taxids(t: Tables) -> DataFrame:
     from cladeflow.sources import readers

@@ -149,17 +149,50 @@ def snk7_gff_lines(t: Tables) -> DataFrame:
     return t.lineitem.select(line.alias("line"))
 
 
+@query("SELECT 's' || l_suppkey AS contig, count(*) + 1 AS n, min(l_partkey)::BIGINT AS least FROM lineitem GROUP BY 1")
+def snk7_contig_files(t: Tables) -> DataFrame:
+    """An output for each contig, read again: its lines, the first of which names the format."""
+    where, at = scratch(t), (F.col("l_linenumber") * 10).cast("int")
+    contig = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    line = writers.gff_line(F.col("contig"), F.lit("db"), F.lit("CDS"), at, at + F.col("l_quantity").cast("int"), F.lit(None), F.lit(1), F.create_map(F.lit("ID"), F.col("l_partkey").cast("string")))
+    writers.write_gff(t.lineitem.withColumn("contig", contig), line, where, "contig")
+    back = t.spark.read.text(where)
+    return back.groupBy("contig").agg(F.count("*").alias("n"), F.min(F.nullif(F.regexp_extract("value", "ID=(\\d+)", 1), F.lit("")).cast("long")).alias("least"))
+
+
+@query("SELECT o_orderpriority, count(*)::VARCHAR AS n FROM orders GROUP BY 1 UNION ALL SELECT 'o_orderpriority', 'n' UNION ALL SELECT '#orders', NULL UNION ALL SELECT 'end', NULL UNION ALL SELECT o_orderstatus, count(*)::VARCHAR FROM orders GROUP BY 1")
+def snk1_report_with_epilog(t: Tables) -> DataFrame:
+    at = scratch(t)
+    writers.write_report(t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n")), at, comment="orders", epilog="end")
+    writers.write_report(t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n")), at, header=False, append=True)
+    p = F.split("value", "\t")
+    return t.spark.read.text(at).select(p[0].alias("o_orderpriority"), F.get(p, F.lit(1)).alias("n"))
+
+
 def event_stream(t: Tables) -> DataFrame:
     return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
 
 
 @query("SELECT user_id, arg_max(event_type, (value, -event_id)) AS best, max(value) AS score FROM events GROUP BY 1")
 def st1_best_so_far(t: Tables) -> DataFrame:
-    at = scratch(t)
-    return scores.drained(scores.best_so_far(event_stream(t), "user_id", "event_type", "value", "event_id"), f"{at}/out", f"{at}/state")
+    at, best = scratch(t), scores.best_so_far(event_stream(t), "user_id", "event_type", "value", "event_id")
+    scores.upserted(best, f"{at}/out", f"{at}/state")
+    return scores.latest(t.spark, f"{at}/out", ["user_id"], best.schema)
 
 
 @query("SELECT event_type, count(*) AS n, sum(value::DECIMAL(18, 2))::DOUBLE AS weight, sum(value::DECIMAL(18, 2))::DOUBLE / count(*) AS mean FROM events GROUP BY 1")
 def st2_running_counts(t: Tables) -> DataFrame:
-    at = scratch(t)
-    return scores.drained(scores.running_counts(event_stream(t), "event_type", "value"), f"{at}/out", f"{at}/state")
+    at, counts = scratch(t), scores.running_counts(event_stream(t), "event_type", "value")
+    scores.upserted(counts, f"{at}/out", f"{at}/state")
+    return scores.latest(t.spark, f"{at}/out", ["event_type"], counts.schema)
+
+
+@query(f"WITH {seqs_sql()} SELECT doc_id::VARCHAR AS id, source AS name, length(seq)::BIGINT AS len, md5(seq) AS digest FROM seqs WHERE length(seq) > 0")
+def src1_fasta_parts(t: Tables) -> DataFrame:
+    """Records in parts, wherever the file is cut, put together again."""
+    s, at = seqs(t).filter("length(seq) > 0"), scratch(t)
+    writers.write_fasta(s, at, F.concat(F.col("doc_id").cast("string"), F.lit(" "), "source"), "seq")
+    parts = readers.read_fasta_parts(t.spark, at, 700)
+    whole = parts.groupBy("id", "header").agg(F.array_sort(F.collect_list(F.struct("start", "seq"))).alias("p"), F.sum(F.length("seq")).alias("len"))
+    text = F.array_join(F.transform("p", lambda x: x["seq"]), "")
+    return whole.select("id", F.regexp_extract("header", r"^\S+ (.*)", 1).alias("name"), "len", F.md5(text).alias("digest"))

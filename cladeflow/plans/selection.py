@@ -56,6 +56,14 @@ def f7_keywords(t: Tables) -> DataFrame:
     return t.part.filter(name.rlike("(red|blue)") & ~name.rlike("bolt|gear")).select("p_partkey").distinct()
 
 
+@query("""WITH w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM documents)
+    SELECT 'wanted' AS rule, doc_id AS id FROM w WHERE (t LIKE '% of the %' OR t LIKE '% de la %' OR t LIKE '% und die %') AND t NOT LIKE '% and the %' AND t NOT LIKE '% the of %'
+    UNION ALL SELECT 'both', doc_id FROM w WHERE t LIKE '% in %' AND t LIKE '% the in %' AND t LIKE '% of %'""")
+def f7_phrases(t: Tables) -> DataFrame:
+    rules = {"wanted": {"any": ["of the", "de la", "UND die"], "none": ["and the", "the of"]}, "both": {"all": ["in", "the, in", "of"]}}
+    return op.boolean_matches(t.documents, "doc_id", "text", rules)
+
+
 @query("""SELECT p_partkey, split_part(p_name, ' ', 1) AS db, regexp_extract(p_brand, '#(\\d+)', 1) AS acc, substr(p_type, 1, 2) AS kind FROM part""")
 def f8_header_fields(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.split("p_name", " ")[0].alias("db"), F.regexp_extract("p_brand", r"#(\d+)", 1).alias("acc"), F.substring("p_type", 1, 2).alias("kind"))
@@ -454,6 +462,11 @@ def snk2_pivot(t: Tables) -> DataFrame:
     return op.pivot_report(t.orders, "o_orderpriority", "o_orderstatus", F.count(F.lit(1)), ["F", "O", "P"])
 
 
+@query("SELECT o_orderpriority, coalesce(printf('%.2f', sum(o_totalprice) FILTER (WHERE o_orderstatus = 'P')::DOUBLE), 'X') AS P, coalesce(printf('%.2f', sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F')::DOUBLE), 'X') AS F FROM orders GROUP BY 1")
+def snk2_formatted_pivot(t: Tables) -> DataFrame:
+    return op.pivot_report(t.orders, "o_orderpriority", "o_orderstatus", F.sum(F.col("o_totalprice").cast("decimal(18,2)")), ["P", "F"], "X", "%.2f")
+
+
 @query("""SELECT p_partkey, md5(translate(reverse(translate(lower(regexp_replace(p_name, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')), 'ACGTacgt', 'TGCAtgca')) AS rc,
           regexp_replace(p_name, '[^A-Za-z0-9_.-]', '_', 'g') AS safe, lpad(bin(p_size), 8, '0') AS bits, (floor(p_retailprice) + CASE WHEN p_retailprice - floor(p_retailprice) > ('0x' || substr(md5(p_partkey || ':9'), 1, 8))::BIGINT / 4294967296.0 THEN 1 ELSE 0 END)::BIGINT AS rounded,
           regexp_replace(p_name, '([el])[el]+', '\\1', 'g') AS collapsed, md5(p_partkey || ':u') AS uid FROM part""")

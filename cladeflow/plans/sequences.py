@@ -83,6 +83,14 @@ def k9_replaced_degenerates(t: Tables) -> DataFrame:
     return s.select("doc_id", F.length("text").cast("long").alias("n"), F.length(F.regexp_replace("text", "[ACGTacgt]", "")).cast("long").alias("odd"))
 
 
+@query("""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[ACGTacgt]+|[^ACGTacgt]') AS w FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents))
+    SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN regexp_matches(x, '^[ACGTacgt]') THEN x ELSE substr('ACGT', (('0x' || substr(md5(doc_id || '-' || (i - 1) || ':4'), 1, 4))::INTEGER % 4 + 1)::INT, 1) END), '') AS bases FROM p""")
+def k9_drawn_bases(t: Tables) -> DataFrame:
+    """The bases that stand for other symbols, in whole texts."""
+    texts = t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("bases"))
+    return op.replace_degenerate(texts, "doc_id", "bases", 4)
+
+
 @query(f"WITH {seqs_sql()} SELECT doc_id AS old_id, s::INT AS start, (s + 400)::INT AS \"end\", md5(substr(seq, (s + 1)::INT, 400)) AS digest FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 399, 200)) AS s FROM seqs WHERE length(seq) >= 400)")
 def k10_shredded(t: Tables) -> DataFrame:
     return op.shred(seqs(t), "doc_id", "seq", 400, -200).select("old_id", "start", "end", F.md5("frag").alias("digest"))

@@ -114,23 +114,20 @@ def t9_total_of_classified(t: Tables) -> DataFrame:
 @query(f"{CLOSURE} SELECT anc_id AS id, max(CASE d.rank WHEN 'customer' THEN 1 WHEN 'nation' THEN 2 WHEN 'region' THEN 3 WHEN 'root' THEN 4 ELSE 0 END) AS top FROM closure c JOIN tree d ON c.id = d.id WHERE dist > 0 GROUP BY 1")
 def t10_highest_rank_below(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
-    level = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in RANKS]), F.col("rank")), F.lit(0)).cast("int")
-    return pairs.filter("dist > 0").join(nodes.select("id", level.alias("level")), "id").groupBy(F.col("anc_id").alias("id")).agg(F.max("level").alias("top"))
+    return op.highest_rank_below(pairs, nodes, RANKS)
 
 
 @query(f"{CLOSURE} SELECT c.id, bool_or(a.name LIKE 'NATION_1%') AS flagged FROM closure c JOIN tree a ON anc_id = a.id GROUP BY 1")
 def t11_under_flagged(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
-    return op.with_info(pairs, nodes, "name").groupBy("id").agg(F.bool_or(F.col("anc_name").startswith("NATION_1")).alias("flagged"))
+    return op.under_flagged(pairs, nodes, F.col("name").startswith("NATION_1"))
 
 
 @query(f"""{CLOSURE} SELECT t.id, CASE t.rank WHEN 'customer' THEN 20 WHEN 'nation' THEN 30 WHEN 'region' THEN 90 WHEN 'root' THEN 100 ELSE 0 END AS level,
     (SELECT arg_min(a.rank, dist) FROM closure c JOIN tree a ON anc_id = a.id WHERE c.id = t.id AND a.rank IS NOT NULL) AS ranked FROM tree t""")
 def t12_levels(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
-    level = F.when(F.col("rank") == "customer", 20).when(F.col("rank") == "nation", 30).when(F.col("rank") == "region", 90).when(F.col("rank") == "root", 100).otherwise(0)
-    ranked = op.with_info(pairs, nodes, "rank").filter("anc_rank IS NOT NULL").groupBy("id").agg(F.min_by("anc_rank", "dist").alias("ranked"))
-    return nodes.select("id", level.alias("level")).join(ranked, "id", "left")
+    return op.node_levels(nodes, pairs, {"customer": 20, "nation": 30, "region": 90, "root": 100})
 
 
 @query(f"{CLOSURE}, {WIDE} SELECT id, customer, nation, region, root FROM wide")
@@ -148,7 +145,7 @@ def t14_filled_lineage(t: Tables) -> DataFrame:
 @query(f"{CLOSURE} SELECT c.id, a.rank AS level, anc_id AS clade, dist FROM closure c JOIN tree a ON anc_id = a.id WHERE a.rank IN ('nation', 'region')")
 def t15_level_rows(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
-    return op.with_info(pairs, nodes, "rank").filter("anc_rank IN ('nation', 'region')").select("id", F.col("anc_rank").alias("level"), F.col("anc_id").alias("clade"), "dist")
+    return op.level_rows(pairs, nodes, ["nation", "region"])
 
 
 @query(f"WITH {TREE}, asked AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 = 9 THEN 500000 + o_custkey ELSE 1000 + o_custkey END AS id FROM orders) SELECT o_orderkey, coalesce(1000 + m.c_custkey, id) AS id FROM asked LEFT JOIN customer m ON id = 500000 + m.c_custkey")
@@ -303,3 +300,14 @@ def w9_next_outside(t: Tables) -> DataFrame:
     excl = op.with_info(pairs, nodes, "rank").filter("anc_rank IN ('nation', 'region')").select(F.col("id").alias("truth"), F.col("anc_rank").alias("lev"), F.col("anc_id").alias("x"))
     outside = cand.join(excl, "truth").join(pairs.select(F.col("id").alias("node"), F.col("anc_id").alias("x")), ["node", "x"], "left_anti")
     return first_by(outside, ["l_orderkey", "lev"], [F.desc("l_extendedprice"), F.col("l_suppkey")]).select("l_orderkey", "lev", "l_suppkey")
+
+
+@query(f"""{CLOSURE}, {DEPTH}, r3 AS (SELECT id, idpar, ((id * 7) % 1009)::BIGINT AS result FROM tree JOIN depth USING (id) WHERE depth = 3),
+    r2 AS (SELECT t.id, t.idpar, ((t.id * 7 + coalesce(sum(k * c.result), 0)) % 1009)::BIGINT AS result FROM tree t JOIN depth USING (id) LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY idpar ORDER BY id) AS k FROM r3) c ON c.idpar = t.id WHERE depth = 2 GROUP BY 1, 2),
+    r1 AS (SELECT t.id, t.idpar, ((t.id * 7 + coalesce(sum(k * c.result), 0)) % 1009)::BIGINT AS result FROM tree t JOIN depth USING (id) LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY idpar ORDER BY id) AS k FROM r2) c ON c.idpar = t.id WHERE depth = 1 GROUP BY 1, 2),
+    r0 AS (SELECT t.id, t.idpar, ((t.id * 7 + coalesce(sum(k * c.result), 0)) % 1009)::BIGINT AS result FROM tree t JOIN depth USING (id) LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY idpar ORDER BY id) AS k FROM r1) c ON c.idpar = t.id WHERE depth = 0 GROUP BY 1, 2)
+    SELECT id, result FROM r3 UNION ALL SELECT id, result FROM r2 UNION ALL SELECT id, result FROM r1 UNION ALL SELECT id, result FROM r0""")
+def u3_function_argument(t: Tables) -> DataFrame:
+    """A function of the children's results in their order, which no aggregate expression gives."""
+    nodes, pairs = both(t)
+    return op.reduce_up_by(nodes.withColumn("x", F.col("id") * 7), pairs, "x", lambda own, kids: (own + sum(k * r for k, (_, r) in enumerate(kids, 1))) % 1009, "long")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DUMP = "\t|\t"
@@ -19,6 +20,80 @@ def read_fasta(spark: SparkSession, path, with_file: bool = False) -> DataFrame:
     return out.select(F.regexp_extract("header", r"^(\S*)", 1).alias("id"), *out.columns)
 
 
+def read_fasta_parts(spark: SparkSession, path, size: int = 1 << 16) -> DataFrame:
+    """(file, record, id, header, start, seq): records in parts of up to ``size`` symbols and a line, ``start`` being where in the
+    record a part begins. ``record`` numbers a file's records by the place of the block that they begin in.
+
+    Spark cuts files into blocks at any line, so that a record of many lines is read by as many tasks as it has
+    blocks. Each block is read once, in order; what it holds before its first header belongs to
+    the last header of the blocks before it, which follows from a row for each block. (A sequence on one line is one row
+    of one task; compressed files are one block.) Text before a file's first header is no record.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    kinds = "file string, block long, k long, header string, start long, seq string, len long"
+
+    def parts(batches):
+        place = header = None
+        k = start = 0
+        held: list = []
+        n = 0
+        rows: list = []
+
+        def put() -> None:
+            nonlocal held, n, start
+            if held:
+                text = "".join(held)
+                rows.append((*place, k, header, start, text, len(text)))
+                start, held, n = start + len(text), [], 0
+
+        for b in batches:
+            for value, file, block in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if place != (file, block):
+                    put()
+                    place, header, k, start = (file, block), None, 0, 0
+                if value.startswith(">"):
+                    put()
+                    header, k, start = value[1:].rstrip("\r"), k + 1, 0
+                    rows.append((*place, k, header, 0, None, 0))  # so that an empty record ends the one before it
+                else:
+                    text = "".join(value.split())
+                    if text:
+                        held.append(text)
+                        n += len(text)
+                        if n >= size:
+                            put()
+                if len(rows) >= 64:
+                    yield pa.RecordBatch.from_pylist(rows_of(rows), schema=schema)
+                    rows.clear()
+        put()
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows_of(rows), schema=schema)
+
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("k", pa.int64()), ("header", pa.string()), ("start", pa.int64()), ("seq", pa.string()), ("len", pa.int64())])
+    rows_of = lambda rows: [dict(zip(schema.names, r, strict=True)) for r in rows]
+    found = lines.mapInArrow(parts, kinds)
+    # a row for each block: its last header, and the symbols behind it (or all, without a header)
+    last = F.max("k")
+    blocks = found.groupBy("file", "block", "k").agg(F.max("header").alias("header"), F.sum("len").alias("len"))
+    blocks = blocks.groupBy("file", "block").agg(last.alias("k"), F.max_by("header", "k").alias("header"), F.max_by("len", "k").alias("behind"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_of", F.when(F.col("k") > 0, F.col("block")))
+    blocks = blocks.withColumn("_owner", F.last("_of", ignorenulls=True).over(before)).withColumn("_header", F.last(F.when(F.col("k") > 0, F.col("header")), ignorenulls=True).over(before)).withColumn("_k", F.last(F.when(F.col("k") > 0, F.col("k")), ignorenulls=True).over(before))
+    # symbols of the record before this block: of its owner and the blocks without a header since
+    owner = F.coalesce("_of", "_owner")
+    since = Window.partitionBy("file", "_since").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    sums = blocks.withColumn("_since", owner).withColumn("_end", F.sum("behind").over(since))
+    lead = sums.select("file", F.col("block").alias("_at"), F.col("_end"))
+    sums = blocks.withColumn("_before", F.lag("block").over(Window.partitionBy("file").orderBy("block"))).join(lead.withColumnRenamed("_at", "_before"), ["file", "_before"], "left")
+    sums = sums.select("file", "block", "_owner", "_header", "_k", F.col("_end").alias("_ahead"))
+    out = found.filter("seq IS NOT NULL").join(sums, ["file", "block"])
+    led = F.col("k") == 0
+    header = F.when(led, F.col("_header")).otherwise(F.col("header"))
+    record = F.concat_ws("-", F.when(led, F.col("_owner")).otherwise(F.col("block")).cast("string"), F.when(led, F.col("_k")).otherwise(F.col("k")).cast("string"))
+    out = out.withColumn("_h", header).filter("_h IS NOT NULL")
+    return out.select("file", record.alias("record"), F.regexp_extract("_h", r"^(\S*)", 1).alias("id"), F.col("_h").alias("header"), (F.col("start") + F.when(led, F.coalesce("_ahead", F.lit(0))).otherwise(0)).alias("start"), "seq")
+
+
 def _dump(spark: SparkSession, path, names: list[str]) -> DataFrame:
     """A dump whose fields are parted by tab, bar, tab and whose rows end in tab, bar."""
     parts = F.split(F.regexp_replace("value", r"\t\|$", ""), r"\t\|\t")

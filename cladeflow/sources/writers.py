@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import wrap_lines
+from cladeflow.operators.tree import nested_sets, node_levels
 
 
 def write_fasta(df: DataFrame, path: str, header: Column, seq: str, width: int = 80, by: str | None = None) -> None:
@@ -15,15 +16,23 @@ def write_fasta(df: DataFrame, path: str, header: Column, seq: str, width: int =
     (out.write.partitionBy(by) if by else out.write).mode("overwrite").text(path)
 
 
-def write_report(df: DataFrame, path: str, sep: str = "\t", header: bool = True, comment: str | None = None) -> None:
-    """A delimited report; with a comment, the first file holds the comment and the header, and the rows follow
-    in files after it, as many as there are tasks."""
-    if comment is None:
-        df.write.mode("overwrite").csv(path, sep=sep, header=header)
+def write_report(df: DataFrame, path: str, sep: str = "\t", header: bool = True, comment: str | None = None, epilog: str | None = None, append: bool = False) -> None:
+    """A delimited report; ``append``: behind what is there.
+
+    With a comment, the first file holds the comment and the header, and the rows follow in files after it, as
+    many as there are tasks; an epilog is the last file. Files are numbered in that order.
+    """
+    mode = "append" if append else "overwrite"
+    if comment is None and epilog is None:
+        df.write.mode(mode).csv(path, sep=sep, header=header)
         return
+    spark = df.sparkSession
+    one = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
     lines = df.select(F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
-    head = df.sparkSession.createDataFrame([(f"#{comment}\n" + sep.join(df.columns),)], "value string")
-    head.coalesce(1).union(lines).write.mode("overwrite").text(path)
+    top = [f"#{comment}"] if comment is not None else []
+    top += [sep.join(df.columns)] if header or comment is not None else []
+    out = one("\n".join(top)).union(lines) if top else lines
+    (out.union(one(epilog)) if epilog is not None else out).write.mode(mode).text(path)
 
 
 def gff_line(contig: Column, source: Column, kind: Column, start: Column, end: Column, score: Column, strand: Column, attributes: Column) -> Column:
@@ -38,5 +47,29 @@ def write_lines(df: DataFrame, line: Column, path: str, by: str | None = None) -
     (out.write.partitionBy(by) if by else out.write).mode("overwrite").text(path)
 
 
+def write_gff(df: DataFrame, line: Column, path: str, contig: str | None = None) -> None:
+    """GFF3 lines; ``contig``: a folder for each of its values, whose files begin as the format wants."""
+    lines = df.select(line.alias("value"), *([contig] if contig else []))
+    if contig is None:
+        lines.write.mode("overwrite").text(path)
+        return
+    heads = df.select(F.lit("##gff-version 3").alias("value"), contig).distinct()
+    both = heads.withColumn("_k", F.lit(0)).union(lines.withColumn("_k", F.lit(1)))
+    # a contig's header is the first line of its one file
+    both.repartition(contig).sortWithinPartitions(contig, "_k").drop("_k").write.partitionBy(contig).mode("overwrite").text(path)
+
+
 def write_tree(nodes: DataFrame, path: str) -> None:
     nodes.select("id", "idpar", "rank", "name").write.mode("overwrite").json(path)
+
+
+def write_tree_tables(nodes: DataFrame, pairs: DataFrame, path: str, levels: dict[str, int], attributes: DataFrame | None = None) -> None:
+    """A tree as tables under ``path``: nodes (id, idpar, rank, lnest, rnest, depth), names (id, name), levels (rank, level), node_levels
+    (id, level of its rank, nearest level above or its own) and attributes (id and what is given of it)."""
+    put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
+    put(nodes.select("id", "idpar", "rank").join(nested_sets(nodes, pairs), "id"), "nodes")
+    put(nodes.select("id", "name"), "names")
+    put(nodes.sparkSession.createDataFrame(list(levels.items()), "rank string, level int"), "levels")
+    put(node_levels(nodes, pairs, levels), "node_levels")
+    if attributes is not None:
+        put(attributes.join(nodes.select("id"), "id", "left_semi"), "attributes")

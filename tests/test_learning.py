@@ -98,16 +98,6 @@ def test_reports_do_not_lose_columns(spark, monkeypatch):
         relational.pivot_report(df, "r", "id", F.count(F.lit(1)))
 
 
-def test_neighbours_in_blocks(spark, monkeypatch):
-    r = np.random.default_rng(1)
-    df = spark.createDataFrame([(i, [float(x) for x in v], int(v[0] > 0)) for i, v in enumerate(r.normal(size=(60, 3)))], "id long, v array<double>, l int")
-    q = df.filter("id % 3 = 0")
-    whole = sorted(map(tuple, relational.nearest_neighbours(q, df, 5, "id", "v", "l").collect()))
-    monkeypatch.setattr(relational, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(relational, "POINT_PARTS", 4)
-    assert sorted(map(tuple, relational.nearest_neighbours(q, df, 5, "id", "v", "l").collect())) == whole
-
-
 def test_scales_scan_and_best(spark):
     assert learning.linear_scale(0.5, 3, 1) == [0.5, 1.5, 2.5] and learning.linear_scale(2, 2) == []
     assert learning.power_scale(2, -1, 4, 2) == [0.5, 2.0, 8.0]
