@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,11 +144,35 @@ def forward(df: DataFrame, begin: str, end: str, is_forward: Column) -> DataFram
 
 
 def overlay(queries: DataFrame, hits: DataFrame, ident: str, seq: str, order: str) -> DataFrame:
-    """The query with the last hit's symbol at each place, in small letters where it differs."""
-    base = queries.select(ident, F.posexplode(F.filter(F.split(F.upper(seq), ""), lambda c: c != "")).alias("pos", "own"))
-    chars = hits.select(ident, order, "start", F.posexplode(F.filter(F.split(F.upper("hit"), ""), lambda c: c != "")).alias("i", "sym"))
-    last = chars.withColumn("pos", F.col("start") + F.col("i")).groupBy(ident, "pos").agg(F.max_by("sym", order).alias("sym"))
-    x = base.join(last, [ident, "pos"], "left")
-    shown = F.when(F.col("sym").isNull(), F.col("own")).when(F.col("sym") == F.col("own"), F.col("own")).otherwise(F.lower("sym"))
-    items = F.array_sort(F.collect_list(F.struct("pos", shown.alias("c"))))
-    return x.groupBy(ident).agg(F.array_join(F.transform(items, lambda p: p["c"]), "").alias("shown"))
+    """The query with the last hit's symbol at each place, in small letters where it differs. What a hit holds beyond
+    the query's ends is left out; of hits of one order the one that sorts last counts.
+
+    A query meets its hits in one row, on which they are laid one after another as arrays.
+    """
+    laid = hits.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct(order, "start", F.upper("hit").alias("hit")))).alias("_hits"))
+    kind = queries.schema[ident].dataType.simpleString()
+    x = queries.filter(F.length(seq) > 0).select(ident, F.upper(seq).alias("_own")).join(laid, ident, "left")
+    x = x.select(ident, "_own", F.transform("_hits", lambda h: h["start"].cast("long")).alias("_starts"), F.transform("_hits", lambda h: h["hit"]).alias("_texts"))
+    symbols = lambda text: np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shown = []
+            for own, starts, texts in zip(*[b.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
+                base = symbols(own)
+                top = base.copy()
+                for start, text in zip(starts or [], texts or [], strict=True):
+                    if start is None or text is None:
+                        continue
+                    hit = symbols(text)[max(-start, 0) :]
+                    at = max(start, 0)
+                    hit = hit[: max(len(top) - at, 0)]
+                    top[at : at + len(hit)] = hit
+                differs = np.flatnonzero(top != base)
+                line = list(top.tobytes().decode("utf-32-le"))
+                for k in differs:
+                    line[k] = line[k].lower()
+                shown.append("".join(line))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shown, pa.string())], [ident, "shown"])
+
+    return x.mapInArrow(show, f"`{ident}` {kind}, shown string")

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import hash01, probabilistic_round, reverse_complement, seeded
 from cladeflow.operators.common import cut, in_seeded_order, range_bucket, running, summed
+from cladeflow.operators.neighbours import nearest_points
 
-#: Units of a grid at most.
-MAX_UNITS = 100_000
 #: Symbols of a sequence that are coded at once, and different k-mers that a task counts before it hands them on.
 STEP, HELD = 1 << 20, 1 << 18
 #: The longest k-mers that fit into a code of 64 bits.
@@ -262,14 +261,20 @@ def svmlight(label: Column, vector: Column) -> Column:
 
 
 def nearest_units(df: DataFrame, ident: str, vector: str, units: DataFrame, radius: float) -> DataFrame:
-    """(id, unit, dist) of the nearest grid unit (unit, weights) within ``radius``. The grid is a stated set
-    that meets all rows; one of more than ``MAX_UNITS`` units raises ``ValueError``."""
-    if units.count() > MAX_UNITS:
-        raise ValueError(f"more than {MAX_UNITS} units")
-    square = F.aggregate(F.zip_with(vector, "weights", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
-    pairs = df.join(F.broadcast(units)).select(ident, "unit", F.sqrt(square).alias("dist"))
-    best = pairs.groupBy(ident).agg(F.min(F.struct("dist", "unit")).alias("m"))
-    return best.select(ident, F.col("m.unit").alias("unit"), F.col("m.dist").alias("dist")).filter(F.col("dist") <= radius)
+    """(id, unit, dist) of the nearest grid unit (unit, weights) within ``radius``, ties to the smaller unit. A row visits the
+    units' cells that may hold a nearer one than it knows (neighbours.nearest_points)."""
+    asked = df.select(F.col(ident).alias("_i"), F.col(vector).alias("_v"))
+    grid = units.select(F.col("unit").alias("_i"), F.col("weights").alias("_v"), F.lit(0).alias("_l"))
+    near = nearest_points(asked, grid, 1, "_i", "_v", "_l", most=radius, itself=True)
+    return near.select(F.col("id_q").alias(ident), F.col("id_p").alias("unit"), "dist")
+
+
+def pair_radius(df: DataFrame, ident: str, vector: str, share: float = 0.18, rows: int = 500, seed: int = 20) -> DataFrame:
+    """(radius): the quantile ``share`` of the distances between all pairs of a sample of at most ``rows`` rows, in seeded order."""
+    few = df.orderBy(seeded(ident, seed), ident).limit(rows)
+    a, b = few.select(F.col(ident).alias("_i"), F.col(vector).alias("_v")), few.select(F.col(ident).alias("_j"), F.col(vector).alias("_w"))
+    square = F.aggregate(F.zip_with("_v", "_w", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, x: acc + x)
+    return a.join(F.broadcast(b), F.col("_i") < F.col("_j")).select(F.sqrt(square).alias("_d")).agg(F.percentile("_d", share).alias("radius"))
 
 
 def split_by_features(seqs: DataFrame, features: DataFrame, ident: str, length: str) -> DataFrame:

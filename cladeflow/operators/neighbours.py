@@ -33,9 +33,9 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
-def nearest_points(queries: DataFrame, points: DataFrame, k: int, ident: str, vector: str, label: str, most: float | None = None, counter=None) -> DataFrame:
+def nearest_points(queries: DataFrame, points: DataFrame, k: int, ident: str, vector: str, label: str, most: float | None = None, counter=None, itself: bool = False) -> DataFrame:
     """(id_q, id_p, label, dist): the ``k`` points of other ids that are nearest to each query, ties to smaller ids, within
-    ``most`` if that is given. ``counter``, an accumulator, is told how many distances were worked out.
+    ``most`` if that is given; ``itself``: of any ids. ``counter``, an accumulator, is told how many distances were worked out.
 
     Cells are cut into parts of ``POINTS``, and the queries that visit a cell into blocks of ``QUERIES``, so that
     no task holds more, however many points share a cell. Points and queries with null
@@ -94,7 +94,7 @@ def nearest_points(queries: DataFrame, points: DataFrame, k: int, ident: str, ve
                 lo, hi = np.searchsorted(r, far - reach), np.searchsorted(r, far + reach, side="right")
                 done += int(hi - lo)
                 d = np.sqrt(((x[:, lo:hi] - v[:, None]) ** 2).sum(axis=0))
-                at = np.flatnonzero((ids[lo:hi] != mine[i]) & (d <= reach))
+                at = np.flatnonzero(((ids[lo:hi] != mine[i]) | itself) & (d <= reach))
                 if len(at) > k:
                     at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
                 at = sorted(at.tolist(), key=lambda j: (d[j], ids[lo + j]))[:k]

@@ -328,3 +328,52 @@ def under_flagged(pairs: DataFrame, nodes: DataFrame, flag: Column) -> DataFrame
     """(id, flagged): whether ``flag``, a condition on a node, holds for it or for a node above it."""
     flagged = nodes.filter(flag).select(F.col("id").alias("anc_id"), F.lit(True).alias("_flag"))
     return pairs.join(flagged, "anc_id", "left").groupBy("id").agg(F.coalesce(F.bool_or("_flag"), F.lit(False)).alias("flagged"))
+
+
+def rounded_up(preds: DataFrame, nodes: DataFrame, pairs: DataFrame, column: str, inside: DataFrame, ranks: list[str]) -> DataFrame:
+    """``preds`` with nodes under any of ``inside`` (id) replaced by their nearest ancestor, or themselves, of the ranks: the first
+    rank that the lineage has; without one they stay."""
+    wide = fixed_lineage(pairs, nodes, ranks).select(F.col("id").alias(column), F.coalesce(*ranks).alias("_up"))
+    chosen = under(pairs, inside).select(F.col("id").alias(column), F.lit(True).alias("_inside"))
+    x = preds.join(wide, column, "left").join(chosen, column, "left")
+    return x.withColumn(column, F.when(F.col("_inside"), F.coalesce("_up", column)).otherwise(F.col(column))).select(*preds.columns)
+
+
+def rejected_ranks(preds: DataFrame, nodes: DataFrame, column: str, ranks: list[str], leaves: bool = False) -> DataFrame:
+    """``preds`` of nodes, 0 where the node's rank isn't one of ``ranks``; ``leaves``: nodes without children stay."""
+    ok = F.coalesce(F.col("rank").isin(ranks), F.lit(False))
+    known = nodes.select(F.col("id").alias(column), ok.alias("_ok"))
+    x = preds.join(known, column)
+    keep = F.col("_ok")
+    if leaves:
+        x = x.join(nodes.select(F.col("idpar").alias(column)).distinct().withColumn("_inner", F.lit(True)), column, "left")
+        keep = keep | F.col("_inner").isNull()
+    return x.withColumn(column, F.when(keep, F.col(column)).otherwise(0)).select(*preds.columns)
+
+
+def of_ranks_or_leaves(nodes: DataFrame, ranks: list[str]) -> DataFrame:
+    """(id) of the nodes of the ranks and of those without children."""
+    inner = nodes.select(F.col("idpar").alias("id")).distinct().withColumn("_inner", F.lit(True))
+    return nodes.join(inner, "id", "left").filter(F.col("_inner").isNull() | F.col("rank").isin(ranks)).select("id")
+
+
+def best_outside(candidates: DataFrame, nodes: DataFrame, pairs: DataFrame, sample: str, node: str, truth: str, ranks: list[str], order: list) -> DataFrame:
+    """``candidates`` with lev: for each sample and each of the ranks that its true node's lineage has, the first in ``order`` that isn't
+    under that ancestor."""
+    zones = level_rows(pairs, nodes, ranks).select(F.col("id").alias(truth), F.col("level").alias("lev"), F.col("clade").alias("_x"))
+    out = candidates.join(zones, truth).join(pairs.select(F.col("id").alias(node), F.col("anc_id").alias("_x")), [node, "_x"], "left_anti")
+    return first_by(out, [sample, "lev"], order).select(*candidates.columns, "lev")
+
+
+def clade_report(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, ranks: list[str]) -> DataFrame:
+    """(rank, name, cnt_samp, len_samp, avg_len, avg_score) of samples (id, cnt, len, score: sums of a node) by their clade of each rank; score
+    is weighted by length, and a null name counts what has no such clade."""
+    wide = rows.join(fixed_lineage(pairs, nodes, ranks), "id")
+    long = wide.unpivot(["id", "cnt", "len", "score"], ranks, "rank", "clade").join(nodes.select(F.col("id").alias("clade"), "name"), "clade", "left")
+    return long.groupBy("rank", "name").agg(F.sum("cnt").alias("cnt_samp"), F.sum("len").alias("len_samp"), F.floor(F.sum("len") / F.sum("cnt")).alias("avg_len"), (F.sum("score").cast("double") / F.sum("len")).alias("avg_score"))
+
+
+def rank_weights(weights: DataFrame, nodes: DataFrame, pairs: DataFrame, ranks: list[str]) -> DataFrame:
+    """(rank, clade, weight) of weights (id, weight) by their clade of each rank."""
+    wide = fixed_lineage(pairs, nodes, ranks).join(weights, "id")
+    return wide.unpivot(["weight"], ranks, "rank", "clade").groupBy("rank", "clade").agg(F.sum("weight").cast("double").alias("weight"))

@@ -157,10 +157,7 @@ def k19_grid_units(t: Tables) -> DataFrame:
 @query("""WITH s AS (SELECT vec_id, embedding AS v FROM embeddings ORDER BY md5(vec_id || ':20'), vec_id LIMIT 200), d AS (SELECT sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))) AS dist FROM s a JOIN s b ON a.vec_id < b.vec_id)
     SELECT round(quantile_cont(dist, 0.18), 8) AS radius FROM d""")
 def k20_radius(t: Tables) -> DataFrame:
-    s = t.embeddings.orderBy(fn.seeded("vec_id", 20), "vec_id").limit(200).select("vec_id", "embedding")
-    a, b = s.select(F.col("vec_id").alias("i"), F.col("embedding").alias("v")), s.select(F.col("vec_id").alias("j"), F.col("embedding").alias("w"))
-    square = F.aggregate(F.zip_with("v", "w", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, x: acc + x)
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).select(F.sqrt(square).alias("dist")).agg(F.round(F.percentile("dist", 0.18), 8).alias("radius"))
+    return op.pair_radius(t.embeddings, "vec_id", "embedding", rows=200).select(F.round("radius", 8).alias("radius"))
 
 
 @query(f"WITH {seqs_sql()}, f AS (SELECT doc_id, unnest(range(0, length(seq) - 399, 400)) AS s FROM seqs WHERE length(seq) >= 400) SELECT doc_id || '_' || s AS id, quality, toxic FROM f JOIN labels USING (doc_id)")

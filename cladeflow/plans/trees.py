@@ -192,17 +192,14 @@ def t21_faked_ranks(t: Tables) -> DataFrame:
 @query(f"{CLOSURE}, {WIDE} SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM closure c WHERE c.id = 1000 + o_custkey AND anc_id IN (11, 12)) THEN coalesce(nation, region) ELSE 1000 + o_custkey END AS taxid FROM orders JOIN wide ON id = 1000 + o_custkey")
 def t22_rounded_up(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
-    inside = op.under(pairs, nodes.filter("id IN (11, 12)")).withColumn("inside", F.lit(True))
-    up = op.fixed_lineage(pairs, nodes, RANKS).select("id", F.coalesce("nation", "region").alias("up"))
-    o = t.orders.select("o_orderkey", (F.col("o_custkey") + 1000).alias("id")).join(up, "id").join(inside, "id", "left")
-    return o.select("o_orderkey", F.when(F.col("inside"), F.col("up")).otherwise(F.col("id")).alias("taxid"))
+    o = t.orders.select("o_orderkey", (F.col("o_custkey") + 1000).cast("long").alias("taxid"))
+    return op.rounded_up(o, nodes, pairs, "taxid", nodes.filter("id IN (11, 12)"), ["nation", "region"])
 
 
 @query(f"WITH {TREE} SELECT o_orderkey, CASE WHEN rank IN ('nation', 'region') THEN id ELSE 0 END AS taxid FROM orders JOIN tree ON id = CASE o_orderkey % 3 WHEN 0 THEN 1000 + o_custkey WHEN 1 THEN 100 + o_custkey % 25 ELSE 10 + o_custkey % 5 END")
 def t23_rejected_ranks(t: Tables) -> DataFrame:
     pick = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") + 1000).when(F.col("o_orderkey") % 3 == 1, F.col("o_custkey") % 25 + 100).otherwise(F.col("o_custkey") % 5 + 10)
-    o = t.orders.select("o_orderkey", pick.alias("id")).join(nodes_of(t), "id")
-    return o.select("o_orderkey", F.when(F.col("rank").isin("nation", "region"), F.col("id")).otherwise(0).alias("taxid"))
+    return op.rejected_ranks(t.orders.select("o_orderkey", pick.cast("long").alias("taxid")), nodes_of(t), "taxid", ["nation", "region"])
 
 
 @query(f"{CLOSURE} SELECT anc_id AS id, sum(l_quantity)::DOUBLE AS weight, count(*) AS n, sum(l_quantity * l_linenumber) / sum(l_quantity) AS score FROM closure c JOIN orders ON c.id = 1000 + o_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -264,9 +261,7 @@ def f11_masked_candidates(t: Tables) -> DataFrame:
 
 @query(f"{CLOSURE}, leaf AS (SELECT id FROM tree WHERE id NOT IN (SELECT idpar FROM tree)) SELECT id FROM tree t WHERE id IN (SELECT id FROM leaf) OR rank IN ('region')")
 def f12_masked_ranks(t: Tables) -> DataFrame:
-    nodes = nodes_of(t)
-    leaf = nodes.join(nodes.select(F.col("idpar").alias("id")), "id", "left_anti").select("id", F.lit(True).alias("leaf"))
-    return nodes.join(leaf, "id", "left").filter("leaf OR rank = 'region'").select("id")
+    return op.of_ranks_or_leaves(nodes_of(t), ["region"])
 
 
 @query(f"""{CLOSURE}, {WIDE}, s AS (SELECT o_orderkey, 1000 + min(o_custkey) AS id, count(*) AS n, sum(l_quantity)::BIGINT AS len FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
@@ -276,16 +271,13 @@ def a8_clade_report(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
     s = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("len")).join(t.orders.select("o_orderkey", (F.col("o_custkey") + 1000).alias("id")), "o_orderkey")
     per_node = s.groupBy("id").agg(F.count("*").alias("cnt"), F.sum("len").alias("len"), F.sum(F.col("n") * F.col("len")).alias("score"))
-    wide = per_node.join(op.fixed_lineage(pairs, nodes, RANKS), "id")
-    long = wide.unpivot(["id", "cnt", "len", "score"], ["nation", "region"], "rank", "clade").join(nodes.select(F.col("id").alias("clade"), "name"), "clade", "left")
-    return long.groupBy("rank", "name").agg(F.sum("cnt").alias("cnt_samp"), F.sum("len").alias("len_samp"), F.floor(F.sum("len") / F.sum("cnt")).alias("avg_len"), (F.sum("score").cast("double") / F.sum("len")).alias("avg_score"))
+    return op.clade_report(per_node, nodes, pairs, ["nation", "region"])
 
 
 @query(f"{CLOSURE}, {WIDE} SELECT rank, clade, sum(c_acctbal::DECIMAL(18, 2))::DOUBLE AS weight FROM (SELECT id, 'nation' AS rank, nation AS clade FROM wide UNION ALL SELECT id, 'region', region FROM wide) JOIN customer ON id = 1000 + c_custkey GROUP BY 1, 2")
 def a9_rank_weights(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
-    wide = op.fixed_lineage(pairs, nodes, RANKS).join(balances(t), "id")
-    return wide.unpivot(["weight"], ["nation", "region"], "rank", "clade").groupBy("rank", "clade").agg(F.sum("weight").cast("double").alias("weight"))
+    return op.rank_weights(balances(t), nodes, pairs, ["nation", "region"])
 
 
 @query(f"""{CLOSURE}, cand AS (SELECT l_orderkey, l_suppkey, l_extendedprice, 100 + s_nationkey AS node, 1000 + o_custkey AS truth FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey),
@@ -297,9 +289,8 @@ def w9_next_outside(t: Tables) -> DataFrame:
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") + 100).cast("long").alias("node"))
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") + 1000).alias("truth"))
     cand = t.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice").join(s, "l_suppkey").join(o, "l_orderkey")
-    excl = op.with_info(pairs, nodes, "rank").filter("anc_rank IN ('nation', 'region')").select(F.col("id").alias("truth"), F.col("anc_rank").alias("lev"), F.col("anc_id").alias("x"))
-    outside = cand.join(excl, "truth").join(pairs.select(F.col("id").alias("node"), F.col("anc_id").alias("x")), ["node", "x"], "left_anti")
-    return first_by(outside, ["l_orderkey", "lev"], [F.desc("l_extendedprice"), F.col("l_suppkey")]).select("l_orderkey", "lev", "l_suppkey")
+    best = op.best_outside(cand, nodes, pairs, "l_orderkey", "node", "truth", ["nation", "region"], [F.desc("l_extendedprice"), F.col("l_suppkey")])
+    return best.select("l_orderkey", "lev", "l_suppkey")
 
 
 @query(f"""{CLOSURE}, {DEPTH}, r3 AS (SELECT id, idpar, ((id * 7) % 1009)::BIGINT AS result FROM tree JOIN depth USING (id) WHERE depth = 3),
