@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import uuid
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.operators.common import cut, shared_folder
 
-__all__ = ["WORD", "Tables", "cut", "release", "table", "within"]
+__all__ = ["WORD", "Tables", "cut", "forget", "release", "table", "within"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,17 +23,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of tables of this process, with what it takes to delete them.
+_ROOTS: list[tuple] = []
+
+
+def forget() -> None:
+    """Delete all tables of this process; results that haven't been read or written yet are lost. Runs when the process ends."""
+    while _ROOTS:
+        jvm, conf, root = _ROOTS.pop()
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(conf).delete(path, True)
+
+
+atexit.register(forget)
+
+
 class Tables:
     """Intermediate tables in the shared folder.
 
     ``put`` writes a frame as Parquet and reads it back, which cuts its lineage, lets later steps read
     only the columns that they need, and packs small files into few tasks. ``drop`` deletes those
-    that nothing reads any more.
+    that nothing reads any more; the last, which a result reads, go with forget().
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        _ROOTS.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), self.root))
         self.kept: list[tuple[DataFrame, str]] = []
         self.written = 0
 
