@@ -140,6 +140,18 @@ def against_reversed(counts: DataFrame, reversed_counts: DataFrame, ident: str,
     return counts.join(other, [ident, "kmer"], "left").withColumn("ratio", F.col("n") / F.coalesce(F.nullif("n_rev", F.lit(0)), expected))
 
 
+def filter_records(seqs: DataFrame, header: str, seq: str, function) -> DataFrame:
+    """(header, seq) of ``function(header, seq)`` for each record: a record as it is to be, or None to leave it out. For what no
+    column expression can say; the function runs in the tasks, on one record at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [x for x in (function(h, s) for h, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) if x is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], pa.string()) for k in (0, 1)], [header, seq])
+
+    return seqs.select(F.col(header).cast("string"), F.col(seq).cast("string")).mapInArrow(run, f"`{header}` string, `{seq}` string")
+
+
 def _starts(seq: str, length: int, step: int) -> Column:
     return F.when(F.length(seq) >= length, F.sequence(F.lit(0), F.length(seq) - length, F.lit(step))).otherwise(F.array().cast("array<int>"))
 

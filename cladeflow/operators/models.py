@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import seeded
-from cladeflow.operators.common import cut, first_by, in_seeded_order, small, summed
+from cladeflow.operators.common import cut, first_by, in_seeded_order, summed
 from cladeflow.operators.kmers import _codes, code_counts, code_of, coded
 from cladeflow.operators.relational import status_of
 from cladeflow.operators.tree import fill_lineage, fixed_lineage, lowest_common, with_info
@@ -125,7 +125,7 @@ def score(samples: DataFrame, ident: str, seq: str, table: DataFrame, model: str
 
 def best_of_shared(scores: DataFrame, sample: str, model: str, ids: DataFrame, score_id: str) -> DataFrame:
     """Models that share a score id give it the highest of their scores."""
-    return scores.join(small(ids), model).groupBy(sample, score_id).agg(F.max("score").alias("score"))
+    return scores.join(ids, model).groupBy(sample, score_id).agg(F.max("score").alias("score"))
 
 
 def combined(a: DataFrame, b: DataFrame, sample: str) -> DataFrame:
@@ -138,7 +138,7 @@ def combined(a: DataFrame, b: DataFrame, sample: str) -> DataFrame:
 
 def predictions(scores: DataFrame, sample: str, model: str, meta: DataFrame) -> DataFrame:
     """The best model of each sample, ties to the first, with what is known of it."""
-    return first_by(scores, [sample], [F.desc("score"), F.col(model)]).join(small(meta), model, "left")
+    return first_by(scores, [sample], [F.desc("score"), F.col(model)]).join(meta, model, "left")
 
 
 def confidence(score: Column, length: Column, level: Column, c: dict = SCALE) -> Column:
@@ -196,9 +196,9 @@ def prediction_rows(preds: DataFrame, meta: DataFrame, nodes: DataFrame, pairs:
     and the confidence at that node's own level, 1 at the root. A taxid that is no node (0, a reject)
     keeps its row, with nulls.
     """
-    x = preds.filter(F.col("len") >= least).join(small(meta), "idscore")
+    x = preds.filter(F.col("len") >= least).join(meta, "idscore")
     if mapped is not None:
-        x = x.join(small(mapped), "taxid", "left").withColumn("taxid", F.coalesce("to", "taxid")).drop("to")
+        x = x.join(mapped, "taxid", "left").withColumn("taxid", F.coalesce("to", "taxid")).drop("to")
     x = x.join(given, "id", "left") if given is not None else x.withColumn("given", F.lit(None))
     x = x.withColumn("weight", F.coalesce(F.col("given").cast("double"), F.col("len").cast("double")))
     info = nodes.select(F.col("id").alias("taxid"), "name", "rank")

@@ -173,6 +173,16 @@ def pivot_report(df: DataFrame, row: str, column: str, value: Column, columns: l
     return wide.select(row, *[shown(F.col(f"`{c}`")).alias(c) for c in cells])
 
 
+def pairs_table(df: DataFrame, entries: str, key: str, value: str, *keep: str) -> DataFrame:
+    """A row for each entry of a map column, its key and value under the names given."""
+    return df.select(*keep, F.explode(entries).alias(key, value))
+
+
+def records_table(df: DataFrame, records: str, *keep: str) -> DataFrame:
+    """A row for each record of a column of arrays of structs, the fields as columns."""
+    return df.select(*keep, F.explode(records).alias("_r")).select(*keep, "_r.*")
+
+
 def histogram(df: DataFrame, value: Column, width: float) -> DataFrame:
     return df.groupBy(F.floor(value / width).alias("bin")).agg(F.count("*").alias("n"))
 

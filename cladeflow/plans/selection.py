@@ -480,3 +480,16 @@ def x_scalar_functions(t: Tables) -> DataFrame:
         fn.collapse_runs(F.col("p_name"), "el").alias("collapsed"),
         fn.seeded("p_partkey", "u").alias("uid"),
     )
+
+
+@query("SELECT o_custkey, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1, 2")
+def src10_pairs_as_table(t: Tables) -> DataFrame:
+    n = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
+    maps = n.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "n"))).alias("entries"))
+    return op.pairs_table(maps, "entries", "priority", "n", "o_custkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS quantity FROM lineitem")
+def src11_records_as_table(t: Tables) -> DataFrame:
+    records = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("double").alias("quantity"))).alias("records"))
+    return op.records_table(records, "records", "l_orderkey")

@@ -228,3 +228,10 @@ def x11_alphabet(t: Tables) -> DataFrame:
 @query(f"WITH {seqs_sql()} SELECT source, doc_id FROM seqs QUALIFY row_number() OVER (PARTITION BY source ORDER BY length(seq) DESC, doc_id) <= 2")
 def k_longest_sequences(t: Tables) -> DataFrame:
     return first_by(seqs(t).withColumn("n", F.length("seq")), ["source"], [F.desc("n"), F.col("doc_id")], 2).select("source", "doc_id")
+
+
+@query(f"WITH {seqs_sql()} SELECT source || ' ' || length(seq) AS header, md5(reverse(seq)) AS digest FROM seqs WHERE length(seq) >= 500")
+def u4_record_callback(t: Tables) -> DataFrame:
+    s = seqs(t).select(F.col("source").alias("header"), "seq")
+    kept = op.filter_records(s, "header", "seq", lambda h, x: (f"{h} {len(x)}", x[::-1]) if len(x) >= 500 else None)
+    return kept.select("header", F.md5("seq").alias("digest"))
