@@ -23,7 +23,7 @@ SCALE = {"b0": -0.5, "b1": 2.0, "b2": 1.5, "b3": 0.01, "b4": 0.8, "e": 4.0}
 #: Models that a task scores at once, and contexts' symbols at most: a model's row of one length fits in memory.
 MODEL_BLOCK, MAX_ORDER = 64, 10
 #: Samples that one copy of a block of models serves at least and at most.
-LEAST_SAMPLES, MOST_SAMPLES = 256, 100_000
+LEAST_SAMPLES, MOST_SAMPLES = 256, 20_000
 #: What a symbol that a model has never seen gets.
 UNSEEN = -1.3862943611198906
 
