@@ -14,7 +14,7 @@ import heapq
 import itertools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,48 +141,46 @@ def _hash(id_col: str, text_col: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 1)
 
 
+def _running(base: DataFrame, cuts: list[tuple], bits: int, value: str) -> DataFrame:
+    """(cut, rest, value, size, n, before): sums by value of what lies in a cut's prefix, and what comes before each.
+
+    A cut has at most ``2 ** BITS`` values, or ``FINE`` documents, so that its window is small.
+    """
+    at = base.sparkSession.createDataFrame(cuts, "cut int, cut_pattern int, prefix long, shift int, rest long")
+    inside = base.join(F.broadcast(at), (F.col("pattern") == F.col("cut_pattern")) & (F.expr(f"shiftrightunsigned(h, shift + {bits})") == F.col("prefix")))
+    sums = inside.groupBy("cut", "rest", F.expr(value).alias("value")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("cut").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+
+
 def _cut_points(base: DataFrame, wanted: list[tuple[int, int]]) -> list[int]:
     """For each (pattern, words): the hash below which the pattern's documents hold about so many words.
 
     A few bits of the hash are fixed at a time: sums by their next values, for the one value that
-    each cut falls into, until few documents are left, which are then taken one by one.
+    each cut falls into, until few documents are left, which are then taken one by one. A round
+    brings one row of each cut to the driver.
     """
-    spark = base.sparkSession
     todo = {k: (p, 0, 63 - BITS, left) for k, (p, left) in enumerate(wanted)}
     points: dict[int, int] = {}
     while todo:
-        at = spark.createDataFrame([(k, p, prefix, shift) for k, (p, prefix, shift, _) in todo.items()], "cut int, cut_pattern int, prefix long, shift int")
-        inside = base.join(F.broadcast(at), (F.col("pattern") == F.col("cut_pattern")) & (F.expr(f"shiftrightunsigned(h, shift + {BITS})") == F.col("prefix")))
-        sums: dict[int, list] = {}
-        for r in inside.groupBy("cut", F.expr("shiftrightunsigned(h, shift)").alias("value")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect():
-            sums.setdefault(r.cut, []).append((r.value, r["size"], r.n))
-        fine = []
-        for k, (p, prefix, shift, left) in list(todo.items()):
-            del todo[k]
-            points[k] = (prefix + 1) << (shift + BITS)
-            for value, size, n in sorted(sums.get(k, [])):
-                if left < size:
-                    if shift == 0 or n <= 1:
-                        points[k] = (value + (2 * left >= size)) << shift
-                    elif n <= FINE:
-                        fine.append((k, p, value, shift, left))
-                    else:
-                        todo[k] = (p, value, shift - BITS, left)
-                    break
-                left -= size
+        cuts = [(k, *x) for k, x in todo.items()]
+        points |= {k: (prefix + 1) << (shift + BITS) for k, _, prefix, shift, _ in cuts}
+        # no more rows than cuts: running sums pass what is left once
+        fallen = _running(base, cuts, BITS, "shiftrightunsigned(h, shift)").filter("before <= rest AND rest < before + size").collect()
+        now, todo, fine = todo, {}, []
+        for r in fallen:
+            p, _, shift, left = now[r.cut]
+            left -= r.before
+            if shift == 0 or r.n <= 1:
+                points[r.cut] = (r.value + (2 * left >= r["size"])) << shift
+            elif r.n <= FINE:
+                fine.append((r.cut, p, r.value, shift, left))
+            else:
+                todo[r.cut] = (p, r.value, shift - BITS, left)
         if fine:
-            at = spark.createDataFrame([x[:4] for x in fine], "cut int, cut_pattern int, prefix long, shift int")
-            inside = base.join(F.broadcast(at), (F.col("pattern") == F.col("cut_pattern")) & (F.expr("shiftrightunsigned(h, shift)") == F.col("prefix")))
-            few: dict[int, list] = {}
-            for r in inside.groupBy("cut", "h").agg(F.sum("size").alias("size")).collect():
-                few.setdefault(r.cut, []).append((r.h, r["size"]))
-            for k, _, value, shift, left in fine:
-                points[k] = (value + 1) << shift
-                for h, size in sorted(few[k]):
-                    if 2 * left < size:
-                        points[k] = h
-                        break
-                    left -= size
+            points |= {k: (value + 1) << shift for k, _, value, shift, _ in fine}
+            first = _running(base, fine, 0, "h").filter("2 * (rest - before) < size").groupBy("cut").agg(F.min("value").alias("h"))
+            points |= {r.cut: r.h for r in first.collect()}
     return [min(points[k], (1 << 63) - 1) for k in range(len(wanted))]
 
 
