@@ -286,10 +286,13 @@ def a9_rank_weights(t: Tables) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, lev ORDER BY l_extendedprice DESC, l_suppkey) = 1""")
 def w9_next_outside(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
+    ranks = ["nation", "region"]
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") + 100).cast("long").alias("node"))
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") + 1000).alias("truth"))
-    cand = t.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice").join(s, "l_suppkey").join(o, "l_orderkey")
-    best = op.best_outside(cand, nodes, pairs, "l_orderkey", "node", "truth", ["nation", "region"], [F.desc("l_extendedprice"), F.col("l_suppkey")])
+    held = pairs.join(s.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    cand = t.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice").join(s, "l_suppkey").join(op.with_zones(o, nodes, pairs, "truth", ranks), "l_orderkey")
+    cand = op.with_above(cand, nodes, held, "node", ranks)
+    best = op.best_outside(cand, nodes, pairs, "l_orderkey", "node", "truth", ranks, [F.desc("l_extendedprice"), F.col("l_suppkey")])
     return best.select("l_orderkey", "lev", "l_suppkey")
 
 
