@@ -14,7 +14,7 @@ from cladeflow.functions.columns import seeded
 from cladeflow.operators.common import cut, first_by, in_seeded_order, summed
 from cladeflow.operators.kmers import _codes, code_counts, code_of, coded
 from cladeflow.operators.relational import status_of
-from cladeflow.operators.tree import fill_lineage, fixed_lineage, lowest_common, with_info
+from cladeflow.operators.tree import fill_lineage, fixed_lineage, level_rows, lowest_common, with_info
 
 # Coefficients of the confidence model.
 SCALE = {"b0": -0.5, "b1": 2.0, "b2": 1.5, "b3": 0.01, "b4": 0.8, "e": 4.0}
@@ -241,15 +241,25 @@ def match_rates(couples: DataFrame, pairs: DataFrame, nodes: DataFrame, a: str,
 
 def annotation_vote(hits: DataFrame, pairs: DataFrame, nodes: DataFrame, levels: dict[str, int], sample: str, node: str, weight: str, least: int = 4, least_here: int = 2, share: float = 0.75) -> DataFrame:
     """(sample, vote): each hit counts, with its weight, for its node and all above; from the lowest level
-    up, the first node wins that has all hits, or, of ``least`` or more, ``least_here`` and the share."""
-    total = hits.groupBy(sample).agg(F.count("*").alias("hits"), F.sum(weight).alias("all_weight"))
-    up = hits.join(pairs.select(F.col("id").alias(node), "anc_id"), node).groupBy(sample, "anc_id").agg(F.count("*").alias("here"), F.sum(weight).alias("weight"))
-    level = reduce(lambda c, kv: c.when(F.col("anc_rank") == kv[0], kv[1]), list(levels.items())[1:], F.when(F.col("anc_rank") == next(iter(levels)), next(iter(levels.values()))))
-    named = with_info(up, nodes, "rank").withColumn("level", level).filter("level IS NOT NULL").join(total, sample)
+    up, the first node wins that has all hits, or, of ``least`` or more, ``least_here`` and the share.
+
+    Hits are shuffled by sample before they are counted, as hardly two of a task are of one sample and node until then; ``pairs`` may
+    be those of the nodes that hits can have, which are broadcast if they are few.
+    """
+    level = F.create_map(*[F.lit(x) for kv in levels.items() for x in kv])[F.col("level")]
+    up = level_rows(pairs, nodes, list(levels)).groupBy(F.col("id").alias(node)).agg(F.collect_list(F.struct(level.alias("level"), F.col("clade").alias("vote"))).alias("_up"))
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = hits.select(sample, node, F.col(weight).alias("_w")).repartition(parts, sample).join(summed(up), node, "left")
+    # a hit's first row, of no node, counts for the sample as a whole
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("vote")))
+    x = x.select(sample, "_w", F.explode(F.concat(whole, F.coalesce("_up", F.array().cast(up.schema["_up"].dataType)))).alias("_x"))
+    sums = x.groupBy(sample, F.col("_x.level").alias("level"), F.col("_x.vote").alias("vote")).agg(F.count("*").alias("here"), F.sum("_w").alias("weight"))
+    of, all_of = Window.partitionBy(sample), F.col("level").isNull()
+    named = sums.withColumn("hits", F.max(F.when(all_of, F.col("here"))).over(of)).withColumn("all_weight", F.max(F.when(all_of, F.col("weight"))).over(of))
     part = F.col("weight") / F.col("all_weight")
     ok = (F.col("here") == F.col("hits")) | ((F.col("hits") >= least) & (F.col("here") >= least_here) & (part >= share))
-    won = first_by(named.filter(ok).withColumn("part", part), [sample], [F.col("level"), F.desc("part"), F.col("anc_id")])
-    return won.select(sample, F.col("anc_id").alias("vote"), "level")
+    won = named.filter(~all_of & ok).groupBy(sample).agg(F.min(F.struct("level", (-part).alias("part"), "vote")).alias("_m"))
+    return won.select(sample, F.col("_m.vote").alias("vote"), F.col("_m.level").alias("level"))
 
 
 def host_candidates(names: DataFrame, name: str, fillers: list[str]) -> DataFrame:

@@ -145,7 +145,8 @@ def p19_annotation_vote(t: Tables) -> DataFrame:
     nodes, pairs = both(t)
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") + 100).cast("long").alias("node"))
     h = t.lineitem.join(s, "l_suppkey").select("l_orderkey", "node", (20 - F.col("l_linenumber")).cast("long").alias("w"))
-    return op.annotation_vote(h, pairs, nodes, {"nation": 1, "region": 2, "root": 3}, "l_orderkey", "node", "w")
+    held = pairs.join(s.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    return op.annotation_vote(h, held, nodes, {"nation": 1, "region": 2, "root": 3}, "l_orderkey", "node", "w")
 
 
 @query(f"""{CLOSURE}, {DEPTH}, p AS (SELECT o_orderkey, 1000 + o_custkey AS a, 100 + (o_orderkey % 25) AS b FROM orders),
