@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cladeflow.functions.columns import hash01, probabilistic_round, reverse_complement, seeded
 from cladeflow.operators.common import cut, in_seeded_order, range_bucket, running, summed
@@ -20,6 +22,14 @@ MAX_K = 31
 
 _DIGIT = np.full(256, 4, dtype=np.int64)
 _DIGIT[list(b"ACGT")] = range(4)
+_IS_BASE = np.zeros(256, dtype=bool)
+_IS_BASE[list(b"ACGTacgt")] = True
+
+#: Hashes that are made at once, in arrays that fit into a cache; the fixed numbers of MD5.
+DRAWN = 1 << 13
+_MD5_START = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], dtype=np.uint32)
+_MD5_SINES = np.floor(np.abs(np.sin(np.arange(1, 65, dtype=np.float64))) * 2**32).astype(np.uint32)
+_MD5_TURNS = np.array([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], dtype=np.uint32)
 
 
 def windows(seqs: DataFrame, ident: str, seq: str, k: int, step: int = 50_000) -> DataFrame:
@@ -214,13 +224,115 @@ def random_part(seqs: DataFrame, ident: str, seq: str, length: int, seed: int) -
     return seqs.select(ident, start.alias("start"), F.substring(seq, start + 1, F.lit(length)).alias("part"))
 
 
+def _md5_second_byte(messages: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The second byte of the MD5 of each row of up to 55 bytes, all rows at once; ``messages`` has 64 columns, zero behind a row's end."""
+    messages[np.arange(len(lengths)), lengths] = 0x80
+    words = np.ascontiguousarray(messages.view("<u4").T)
+    words[14] = lengths * 8
+    used = [bool(w.any()) for w in words]
+    a, b, c, d = (np.full(len(lengths), x, dtype=np.uint32) for x in _MD5_START)
+    for i in range(64):
+        if i < 16:
+            f, k = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, k = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, k = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, k = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += _MD5_SINES[i]
+        if used[k]:
+            f += words[k]
+        turn = _MD5_TURNS[i // 16][i % 4]
+        turned = f << turn
+        f >>= np.uint32(32) - turn
+        turned |= f
+        turned += b
+        a, d, c, b = d, c, b, turned
+    return (a + _MD5_START[0] >> np.uint32(8)) & np.uint32(255)
+
+
+def _drawn(idents: np.ndarray, at: np.ndarray, places: np.ndarray, tail: bytes) -> np.ndarray:
+    """0 to 3 by the hash of "ident-place" and ``tail``, for each place (``at``: whose it is)."""
+    heads = [str(x).encode() + b"-" for x in idents]
+    width = np.array([len(h) for h in heads])
+    if width.max() + 20 + len(tail) > 55:
+        return np.array([hashlib.md5(heads[i] + b"%d" % p + tail).digest()[1] & 3 for i, p in zip(at.tolist(), places.tolist(), strict=True)], dtype=np.uint8)
+    table = np.array(heads, dtype=f"S{width.max()}").view(np.uint8).reshape(len(heads), -1)
+    out = np.empty(len(places), dtype=np.uint8)
+    for lo in range(0, len(places), DRAWN):
+        who, p = at[lo : lo + DRAWN], places[lo : lo + DRAWN]
+        message, row, head = np.zeros((len(p), 64), dtype=np.uint8), np.arange(len(p)), width[who]
+        message[:, : table.shape[1]] = table[who]
+        digits = np.ones(len(p), dtype=np.int64)
+        for e in range(1, len(str(int(p.max())))):
+            digits += p >= 10**e
+        rest = p.copy()
+        for e in range(int(digits.max())):
+            here = np.flatnonzero(digits > e)
+            message[here, (head + digits - 1 - e)[here]] = 48 + rest[here] % 10
+            rest //= 10
+        for j, x in enumerate(tail):
+            message[row, head + digits + j] = x
+        out[lo : lo + DRAWN] = _md5_second_byte(message, head + digits + len(tail)) & 3
+    return out
+
+
 def replace_degenerate(seqs: DataFrame, ident: str, seq: str, seed: int) -> DataFrame:
     """Symbols that aren't A, C, G or T replaced by bases that follow from id, seed and how many such symbols and stretches of
-    others come before. The sequence is taken apart at those symbols only."""
-    pieces = F.regexp_extract_all(F.col(seq), F.lit("[ACGTacgt]+|[^ACGTacgt]"), F.lit(0))
-    draw = lambda i: F.conv(F.substring(seeded(F.concat(F.col(ident).cast("string"), F.lit("-"), i.cast("string")), seed), 1, 4), 16, 10).cast("int") % 4
-    shown = F.transform(pieces, lambda p, i: F.when(p.rlike("^[ACGTacgt]"), p).otherwise(F.substring(F.lit("ACGT"), draw(i) + 1, F.lit(1))))
-    return seqs.withColumn(seq, F.array_join(shown, ""))
+    others come before.
+
+    Tasks draw the bases of many symbols at once, in arrays: a base is the hash that seeded() gives, of id and place.
+    """
+    name, tail = "_seq", f":{seed}".encode()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idents, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            lo = 0
+            while lo < len(texts):  # some rows at a time, as arrays hold several numbers for a symbol
+                hi, size = lo, 0
+                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= STEP):
+                    size += len(texts[hi] or "")
+                    hi += 1
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[2:]], pa.array(_replaced(idents[lo:hi], texts[lo:hi], tail), pa.string())], [*rest, name])
+                lo = hi
+
+    rest = [c for c in seqs.columns if c != seq]
+    fields = [*[seqs.schema[c] for c in rest], StructField(name, StringType())]
+    x = seqs.select(F.col(ident).cast("string").alias("_ident"), F.col(seq).alias("_text"), *rest).mapInArrow(draw, StructType(fields))
+    return x.select(*[F.col(name).alias(c) if c == seq else F.col(c) for c in seqs.columns])
+
+
+def _replaced(idents: list, texts: list, tail: bytes) -> list[str | None]:
+    known = [i for i, x in enumerate(texts) if x is not None and (idents[i] is not None)]
+    out = [None] * len(texts)
+    # without an id there is no hash: what holds none but bases stays, and other texts lose the symbols
+    for i, x in enumerate(texts):
+        if x is not None and idents[i] is None:
+            out[i] = "".join(c for c in x if c in "ACGTacgt")
+    if not known:
+        return out
+    symbols = np.frombuffer("".join(texts[i] for i in known).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.array([len(texts[i]) for i in known], dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    base = (symbols < 256) & _IS_BASE[np.minimum(symbols, 255)]
+    # a piece is a symbol or a stretch of bases; a text's first symbol begins one
+    new = np.ones(len(symbols), dtype=bool)
+    new[1:] = ~(base[1:] & base[:-1])
+    new[starts[lengths > 0]] = True
+    piece = np.cumsum(new)
+    odd = np.flatnonzero(~base)
+    at = np.searchsorted(starts, odd, side="right") - 1
+    shown = symbols.astype(np.uint8)
+    if len(odd):
+        drawn = _drawn(np.array([idents[i] for i in known], dtype=object), at, piece[odd] - piece[starts[at]], tail)
+        shown[odd] = np.frombuffer(b"ACGT", dtype=np.uint8)[drawn]
+    text = shown.tobytes().decode("ascii")
+    for i, lo, n in zip(known, starts.tolist(), lengths.tolist(), strict=True):
+        out[i] = text[lo : lo + n]
+    return out
 
 
 def chunk_index(seqs: DataFrame, group: str, ident: str, length: str, size: int) -> DataFrame:

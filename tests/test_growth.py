@@ -1,11 +1,13 @@
 """Operators whose work must not grow faster than the input: their results against naive versions, and the shape of their plans."""
 
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from cladeflow.operators import tree
+from cladeflow.operators import kmers, tree
 from cladeflow.plans import registry
 
 NODES = "id long, idpar long, rank string, name string"
@@ -88,3 +90,18 @@ def test_candidates_are_not_shuffled_by_node(spark, sf, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(l_orderkey#" in plan and "hashpartitioning(node#" not in plan
+
+
+@pytest.mark.parametrize("step", [50, 1 << 20])
+def test_drawn_bases_equal_hashlib(spark, monkeypatch, step):
+    """Ids and places of any number of digits, several hashes at once."""
+    monkeypatch.setattr(kmers, "DRAWN", 64)
+    monkeypatch.setattr(kmers, "STEP", step)
+    r = random.Random(2)
+    rows = [(x, None if n is None else "".join(r.choices("ACGTacgtxyN\n\u00e9\U0001f600", k=n))) for x, n in [("7", 1), ("12345", 30), ("", 200), ("a" * 60, 40), ("9", 1500), ("0", 0), (None, 20), ("5", None), ("-3", 12)]]
+    idents, texts = [x for x, _ in rows], [t for _, t in rows]
+    draw = lambda x, k: "ACGT"[int(hashlib.md5(f"{x}-{k}:4".encode()).hexdigest()[:4], 16) % 4]
+    whole = lambda x, t: "".join(p if re.match("[ACGTacgt]", p) else "" if x is None else draw(x, k) for k, p in enumerate(re.findall("(?s)[ACGTacgt]+|[^ACGTacgt]", t)))
+    assert kmers._replaced(idents, texts, b":4") == [None if t is None else whole(x, t) for x, t in rows]
+    out = kmers.replace_degenerate(spark.createDataFrame([(k, x, t) for k, (x, t) in enumerate(rows)], "k int, x string, t string"), "x", "t", 4)
+    assert out.columns == ["k", "x", "t"] and out.orderBy("k").first().t == whole(*rows[0])
