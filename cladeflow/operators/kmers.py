@@ -17,8 +17,8 @@ from cladeflow.operators.neighbours import nearest_points
 
 #: Symbols of a sequence that are coded at once, and different k-mers that a task counts before it hands them on.
 STEP, HELD = 1 << 20, 1 << 18
-#: The longest k-mers that fit into a code of 64 bits.
-MAX_K = 31
+#: The longest k-mers that fit into a code of 64 bits, and those of which a task holds all of a sequence.
+MAX_K, SHORT = 31, 9
 
 _DIGIT = np.full(256, 4, dtype=np.int64)
 _DIGIT[list(b"ACGT")] = range(4)
@@ -72,14 +72,28 @@ def _codes(text: bytes, ks: list[int], merge: bool) -> Iterator[tuple[int, np.nd
             yield k, *np.unique(codes, return_counts=True)
 
 
+def _summed_codes(counted: Iterator[tuple[int, np.ndarray, np.ndarray]], ks: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """_codes() of a sequence with its stretches added up, each k once."""
+    parts = {k: [] for k in ks}
+    for k, codes, n in counted:
+        if parts[k]:
+            both = np.concatenate([parts[k][1], codes]), np.concatenate([parts[k][2], n])
+            codes, where = np.unique(both[0], return_inverse=True)
+            n = np.bincount(where, weights=both[1]).astype(np.int64)
+        parts[k] = [k, codes, n]
+    yield from (tuple(x) for x in parts.values() if x)
+
+
 def code_counts(seqs: DataFrame, ident: str, seq: str, ks: list[int], merge: bool = False) -> DataFrame:
     """(id, k, code, n): how often a sequence has each k-mer of upper-case A, C, G and T, for all ``ks`` in one pass. A code is
     the k-mer as a number of k digits to the base 4; ``merge``: of the smaller of it and its reverse complement.
 
-    Tasks count stretches of a sequence in arrays, so that only different k-mers are shuffled.
+    Tasks count stretches of a sequence in arrays, so that only different k-mers are shuffled; where no id occurs twice and k-mers
+    are short, a task has a sequence's counts as a whole and nothing is shuffled or held.
     """
     if max(ks) > MAX_K:
         raise ValueError(f"k-mers of more than {MAX_K} symbols")
+    short = max(ks) <= SHORT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +108,8 @@ def code_counts(seqs: DataFrame, ident: str, seq: str, ks: list[int], merge: boo
                 return pa.RecordBatch.from_arrays(arrays, [ident, "k", "code", "n"])
 
             for row, text in enumerate(batch.column(1).cast(pa.binary())):
-                for k, found, n in _codes(text.as_py() or b"", ks, merge):
+                counted = _codes(text.as_py() or b"", ks, merge)
+                for k, found, n in _summed_codes(counted, ks) if short and batch.column(1)[row].is_valid else counted:
                     for kept, x in zip((at, of_k, codes, counts), (row, k, found, n), strict=True):
                         kept.append(x)
                     held += len(found)
@@ -106,6 +121,8 @@ def code_counts(seqs: DataFrame, ident: str, seq: str, ks: list[int], merge: boo
 
     kind = seqs.schema[ident].dataType.simpleString()
     parts = seqs.select(ident, seq).mapInArrow(count, f"`{ident}` {kind}, k int, code long, n long")
+    if short and seqs.groupBy(ident).agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty():
+        return parts
     return parts.groupBy(ident, "k", "code").agg(F.sum("n").alias("n"))
 
 

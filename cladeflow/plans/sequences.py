@@ -43,7 +43,7 @@ def k3_frequencies(t: Tables) -> DataFrame:
 
 @query(f"WITH {seqs_sql()}, {kmers_sql(5)} SELECT doc_id, count(*) AS kinds FROM km GROUP BY 1")
 def k4_presence(t: Tables) -> DataFrame:
-    return op.kmers(seqs(t), "doc_id", "seq", 5).distinct().groupBy("doc_id").agg(F.count("*").alias("kinds"))
+    return op.code_counts(seqs(t), "doc_id", "seq", [5]).groupBy("doc_id").agg(F.count("*").alias("kinds"))
 
 
 @query(f"""WITH {seqs_sql()}, {kmers_sql(1, 'k1')}, {kmers_sql(2, 'k2')}, {kmers_sql(3, 'k3')}, tot AS (SELECT doc_id, sum(n) AS total, count(*) AS kinds FROM k1 GROUP BY 1),

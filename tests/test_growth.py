@@ -105,3 +105,15 @@ def test_drawn_bases_equal_hashlib(spark, monkeypatch, step):
     assert kmers._replaced(idents, texts, b":4") == [None if t is None else whole(x, t) for x, t in rows]
     out = kmers.replace_degenerate(spark.createDataFrame([(k, x, t) for k, (x, t) in enumerate(rows)], "k int, x string, t string"), "x", "t", 4)
     assert out.columns == ["k", "x", "t"] and out.orderBy("k").first().t == whole(*rows[0])
+
+
+def test_kmers_of_whole_sequences_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "STEP", 20)
+    r = random.Random(5)
+    rows = [(k, "".join(r.choices("ACGTN", k=n))) for k, n in enumerate([0, 3, 19, 20, 21, 200])]
+    count = lambda rows: {(k, t[i : i + 3]): sum(u[j : j + 3] == t[i : i + 3] for m, u in rows if m == k for j in range(len(u))) for k, t in rows for i in range(len(t) - 2) if "N" not in t[i : i + 3]}
+    for given in (rows, rows + rows[2:4]):  # ids that occur once, and twice
+        out = kmers.kmer_counts(spark.createDataFrame([*given], "id int, s string"), "id", "s", 3)
+        got = [((x.id, x.kmer), x.n) for x in out.collect()]
+        assert len(got) == len(dict(got)) and dict(got) == count(given)
+        assert ("Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()) == (given is not rows)
