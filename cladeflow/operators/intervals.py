@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 #: Positions of a bin. Windows are sorted within bins of a key, and what lies before or after a bin is summed up
@@ -85,9 +86,82 @@ def overlapping(a: DataFrame, b: DataFrame, key: list[str], width: int = 4096) -
     return met.filter(F.col("_bin") == F.floor(F.greatest("start", "b_start") / width)).drop("_bin")
 
 
+def _covered(bins: np.ndarray, kinds: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, kind, positions) of the kinds from 0 that kind -1 covers; starts and ends lie within a bin. Bins, and then the kinds of each, are
+    laid behind one another on a line, on which unions are running maxima."""
+
+    def union(line: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s, e = s + line * (width + 1), e + line * (width + 1)
+        order = np.argsort(s, kind="stable")
+        line, s, reach = line[order], s[order], np.maximum.accumulate(e[order])
+        new = np.flatnonzero(np.concatenate([[True], s[1:] > reach[:-1]]))
+        return line[new], s[new], reach[np.append(new[1:], len(s)) - 1]
+
+    hit = kinds < 0
+    if not hit.any() or hit.all():
+        return bins[:0], kinds[:0], start[:0]
+    _, hs, he = union(bins[hit], start[hit], end[hit])
+    before = np.concatenate([[0], np.cumsum(he - hs)])
+    pairs, line = np.unique(np.stack([bins[~hit], kinds[~hit]]), axis=1, return_inverse=True)
+    line, ps, pe = union(line.ravel(), start[~hit], end[~hit])
+    shift = (pairs[0] - np.arange(pairs.shape[1]))[line] * (width + 1)
+
+    def upto(x: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(hs, x, side="right")
+        return before[k] - np.where(k > 0, np.maximum(he[k - 1] - x, 0), 0)
+
+    n = np.bincount(line, weights=upto(pe + shift) - upto(ps + shift), minlength=pairs.shape[1]).astype(np.int64)
+    return pairs[0][n > 0], pairs[1][n > 0], n[n > 0]
+
+
 def coverage(parts: DataFrame, hits: DataFrame, key: list[str], kind: str) -> DataFrame:
-    """Distinct positions of the parts of each kind that hits cover, without a row for a position or a pair."""
-    return overlap_totals(merged(parts, [*key, kind]), merged(hits, key), key, [kind]).withColumnRenamed("overlap", "covered")
+    """Distinct positions of the parts of each kind that hits cover, without a row for a position or a pair.
+
+    Intervals are cut at the bounds of bins, of equal starts the furthest end counts, and tasks unite and measure
+    many bins at once in arrays. A bin is as wide as intervals are on average, at least ``WIDTH``, so that there are no more pieces
+    than a few for each.
+    """
+    both = parts.select(*key, kind, "start", "end", F.lit(False).alias("_hit")).unionByName(hits.select(*key, F.lit(None).cast(parts.schema[kind].dataType).alias(kind), "start", "end", F.lit(True).alias("_hit"))).filter("start < end")
+    width = max(WIDTH, int(both.agg(F.avg(F.col("end").cast("double") - F.col("start"))).first()[0] or 0))
+    b = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_bin")
+    x = both.select(*key, kind, "_hit", "start", "end", b)
+    x = x.select(*key, kind, "_hit", "_bin", (F.greatest("start", F.col("_bin") * width) - F.col("_bin") * width).alias("_s"), (F.least("end", (F.col("_bin") + 1) * width) - F.col("_bin") * width).cast("long").alias("_e"))
+    x = x.withColumn("_s", F.col("_s").cast("long")).groupBy(*key, "_bin", "_hit", kind, "_s").agg(F.max("_e").alias("_e"))
+    of = [*key, "_bin"]
+    x = x.repartition(*of).sortWithinPartitions(*of).select(*of, kind, "_hit", "_s", "_e")
+    fields = [*[x.schema[c] for c in key], x.schema[kind], StructField("_n", LongType())]
+
+    def measure(t: pa.Table) -> pa.RecordBatch:
+        changed = np.zeros(t.num_rows, dtype=bool)
+        for c in of:
+            changed[1:] |= _differ(t[c])
+        bins = np.cumsum(changed)
+        names = t[kind].combine_chunks().dictionary_encode("encode")
+        kinds = np.where(t["_hit"].to_numpy(), -1, names.indices.to_numpy(zero_copy_only=False)).astype(np.int64)
+        at, k, n = _covered(bins, kinds, t["_s"].to_numpy(), t["_e"].to_numpy(), width)
+        first = pa.array(np.searchsorted(bins, at))
+        return pa.RecordBatch.from_arrays([*[t[c].combine_chunks().take(first) for c in key], names.dictionary.take(pa.array(k)), pa.array(n)], [*key, kind, "_n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            changed = np.flatnonzero(np.logical_or.reduce([_differ(t[c]) for c in of])) if t.num_rows > 1 else []
+            if len(changed):  # the last bin may go on
+                yield measure(t.slice(0, changed[-1] + 1))
+                held = t.slice(changed[-1] + 1).combine_chunks().to_batches()
+        if held:
+            yield measure(pa.Table.from_batches(held))
+
+    out = x.mapInArrow(run, StructType(fields))
+    return out.groupBy(*key, kind).agg(F.sum("_n").alias("covered"))
+
+
+def _differ(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value but the first is another than the one before; nulls are alike."""
+    codes = column.combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+    return codes[1:] != codes[:-1]
 
 
 def nearest(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cladeflow.operators import kmers, tree
+from cladeflow.operators import intervals, kmers, tree
 from cladeflow.plans import registry
 
 NODES = "id long, idpar long, rank string, name string"
@@ -117,3 +117,16 @@ def test_kmers_of_whole_sequences_are_not_shuffled(spark, monkeypatch):
         got = [((x.id, x.kmer), x.n) for x in out.collect()]
         assert len(got) == len(dict(got)) and dict(got) == count(given)
         assert ("Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()) == (given is not rows)
+
+
+def test_coverage_is_few_shuffles_and_equals_naive(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "WIDTH", 8)
+    r = random.Random(9)
+    span = lambda: (lambda s: (s, s + r.randrange(0, 25)))(r.randrange(-40, 60))
+    parts = [(r.choice([1, 2, None]), r.choice(["a", "b", None]), *span()) for _ in range(150)]
+    hits = [(r.choice([1, 2, None, 3]), *span()) for _ in range(12)]
+    out = intervals.coverage(spark.createDataFrame(parts, "k int, kind string, start int, end int"), spark.createDataFrame(hits, "k int, start int, end int"), ["k"], "kind")
+    at = lambda rows: {x for s, e in rows for x in range(s, e)}
+    want = {(k, c): len(at((s, e) for a, b, s, e in parts if (a, b) == (k, c)) & at((s, e) for a, s, e in hits if a == k)) for k, c, *_ in parts}
+    assert {(x.k, x.kind): x.covered for x in out.collect()} == {k: n for k, n in want.items() if n}
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") <= 3
