@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.functions.columns import wrap_lines
 from cladeflow.operators.tree import nested_sets, node_levels
 
+#: Characters that Spark writes as % and their code in the name of a partition's folder.
+ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+
 
 def write_fasta(df: DataFrame, path: str, header: Column, seq: str, width: int = 80, by: str | None = None) -> None:
     """Records with wrapped lines; ``by``: a folder for each value of a column."""
@@ -49,16 +58,68 @@ def write_lines(df: DataFrame, line: Column, path: str, by: str | None = None) -
 
 def write_gff(df: DataFrame, line: Column, path: str, contig: str | None = None) -> None:
     """GFF3 lines; ``contig``: a folder for each of its values, whose files begin as the format wants."""
-    lines = df.select(line.alias("value"), *([contig] if contig else []))
+    lines, first = df.select(line.alias("value"), *([contig] if contig else [])), "##gff-version 3"
     if contig is None:
         lines.write.mode("overwrite").text(path)
         return
-    heads = df.select(F.lit("##gff-version 3").alias("value"), contig).distinct()
+    if re.match("file:(//)?/[^/]", path):
+        write_folders(lines, path, contig, first)
+        return
+    heads = df.select(F.lit(first).alias("value"), contig).distinct()
     both = heads.withColumn("_k", F.lit(0)).union(lines.withColumn("_k", F.lit(1)))
     # a contig's header is the first line of its one file
     both.repartition(contig).sortWithinPartitions(contig, "_k").drop("_k").write.partitionBy(contig).mode("overwrite").text(path)
 
 
+def write_folders(lines: DataFrame, path: str, by: str, first: str) -> None:
+    """Lines (value, ``by``) as one file for each value of ``by``, with ``first`` as its first line, in folders named as by
+    partitionBy(), at a file: path that all machines share.
+
+    Without Hadoop's native library Spark starts a process (chmod) for each folder, file and checksum that it
+    makes on such a path, and the driver renames each folder; with very many values that takes most of the time. Here
+    tasks write the files, a line after another, under another name until they are whole, so that a task may be run again.
+    """
+    root = "/" + path.removeprefix("file:").lstrip("/")
+    none = lines.limit(0).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    none.partitionBy(by).mode("overwrite").text(path)  # an empty folder
+
+    def run(batches):
+        key = folder = out = None
+        files = 0
+
+        def shut() -> None:
+            nonlocal out
+            if out is not None:
+                out.close()
+                os.replace(out.name, f"{folder}/part-00000.txt")
+                out = None
+
+        try:
+            for b in batches:
+                value, runs = pc.fill_null(b.column(0), ""), pc.run_end_encode(b.column(1))
+                at = 0
+                for k, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                    if out is None or k != key:
+                        shut()
+                        name = "__HIVE_DEFAULT_PARTITION__" if k is None else ESCAPED.sub(lambda x: f"%{ord(x[0]):02X}", k)
+                        key, folder, files = k, f"{root}/{by}={name}", files + 1
+                        os.makedirs(folder, exist_ok=True)
+                        out = open(f"{folder}/.{uuid.uuid4().hex}", "w", encoding="utf-8", newline="\n")
+                        out.write(f"{first}\n")
+                    out.write("\n".join(value.slice(at, end - at).to_pylist()) + "\n")
+                    at = end
+            shut()
+        finally:
+            if out is not None:  # the task failed
+                out.close()
+                os.remove(out.name)
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    keyed = lines.select("value", F.nullif(F.col(by).cast("string"), F.lit("")).alias(by))
+    keyed.repartition(by).sortWithinPartitions(by).mapInArrow(run, "files long").collect()
+    open(f"{root}/_SUCCESS", "w").close()
+
+
 def write_tree(nodes: DataFrame, path: str) -> None:
     nodes.select("id", "idpar", "rank", "name").write.mode("overwrite").json(path)
 

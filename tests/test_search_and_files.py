@@ -180,3 +180,31 @@ def test_reports_trees_and_contigs_as_files(spark, tmp_path):
     text = spark.createDataFrame([(1, "ACNNg-T"), (2, None), (3, "")], "id long, s string")
     (a, b, c) = sorted(kmers.replace_degenerate(text, "id", "s", 1).collect())
     assert re.fullmatch("AC[ACGT]{2}g[ACGT]T", a.s) and b.s is None and c.s == ""
+
+
+def test_contig_files_are_whole_and_alone(spark, tmp_path):
+    """On a file: path tasks write the files, so that a contig costs neither a checksum nor a process that sets permissions; unknown
+    and empty names share a folder, and its file has one first line."""
+    contigs = ["a", "b/c", "50%", "x=y", "q:r*[1]", "\u00e4 b", "", None]
+    rows = [(c, f"l{i}" if i % 7 else None) for i in range(500) for c in contigs]
+    df, at = spark.createDataFrame(rows, "contig string, v string").repartition(5), f"file:{tmp_path}/gff"
+    for some in (df, df.filter("contig > 'a' OR contig IS NULL OR contig IN ('', 'a', '50%')")):  # the second takes the first's place
+        writers.write_gff(some, F.col("v"), at, "contig")
+    folders = list((tmp_path / "gff").glob("contig=*"))
+    assert len(folders) == 7 and (tmp_path / "gff" / "_SUCCESS").exists()
+    for folder in folders:
+        (one,) = folder.iterdir()
+        lines = one.read_text().split("\n")
+        n = 1000 if "HIVE" in folder.name else 500
+        assert lines[0] == "##gff-version 3" and lines[-1] == "" and len(lines) == n + 2 and lines.count("##gff-version 3") == 1
+        assert sorted(lines[1:-1]) == sorted((f"l{i}" if i % 7 else "") for i in range(500) for _ in range(n // 500))
+    back = {x.contig: x.n for x in spark.read.text(at).groupBy("contig").agg(F.count("*").alias("n")).collect()}
+    assert back == {c: 501 for c in contigs if c} | {None: 1001}
+
+
+def test_contig_files_of_a_failed_task_are_not_there(spark, tmp_path):
+    at = f"file:{tmp_path}/gff"
+    df = spark.range(60).selectExpr("'a' AS contig", "if(id < 59, 'x', raise_error('no line')) AS v")
+    with pytest.raises(Exception, match="no line"):
+        writers.write_gff(df, F.col("v"), at, "contig")
+    assert not (tmp_path / "gff" / "_SUCCESS").exists() and not list((tmp_path / "gff").glob("contig=*/*"))
