@@ -56,6 +56,21 @@ def test_fill_up_order_is_made_once(spark, bushy, monkeypatch, bound):
     assert set(on_top(out)) <= {"Project", "Filter"}  # nothing is shuffled or sorted behind the join
 
 
+def test_fill_up_order_numbers_no_list_in_vain(spark, bushy, monkeypatch):
+    """Leaves under themselves give no rows, so they are neither listed nor numbered, and a list's ranges are read, not made twice."""
+    nodes, pairs, lineage = bushy
+    leaves = sorted(set(lineage) - {a for up in lineage.values() for a in up[1:]})[:9]
+    given, real = [], tree.running
+    monkeypatch.setattr(tree, "running", lambda df, *a: given.append((df, a)) or real(df, *a))
+    targets, others = spark.createDataFrame([(x,) for x in leaves], "id long"), nodes.select("id")
+    out = tree.fill_up_order(pairs, targets, others, 1).collect()
+    [(lists, (_, bucket, *_))] = given
+    assert {r._list for r in lists.select("_list").distinct().collect()} == {lineage[x][1] for x in leaves}
+    assert bucket._jc.toString() in lists.columns
+    want = {(x, b, 1) for x in leaves for b in lineage if b != x and lineage[x][1] in lineage[b]}
+    assert len(out) == len(want) and {(r.target, r.id, r.up) for r in out} == want
+
+
 def test_best_outside_equals_naive(spark, bushy):
     nodes, pairs, lineage = bushy
     ranks = ["genus", "family"]
